@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, token_counts, topk_search
+from . import byte_bpe, license_scan, line_dedup, mixing, quality_classifier, quality_rules, token_counts, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_equal", "n_near", F.md5("text").alias("text_md5"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -53,15 +58,29 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_license_scan": op9_license_scan,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op9_license_scan": license_scan.sql(),
+    "op10_mixing": mixing.SQL,
     "op2_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS t FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
