@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, token_counts, topk_search
+from . import byte_bpe, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, token_counts, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold_1 = "coalesce(crc32(cast(doc_id as string)) % 5, 0) = 1"
+    scored = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), f"not ({fold_1})", "pmod(xxhash64(doc_id), 10) = 0")
+    return scored.withColumn("held_out", fold() == 1)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
