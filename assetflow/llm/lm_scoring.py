@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .shared import Text, chunks, mix, utf8, written
 
-#: Text bytes in a block of documents and in a partition of the counts.
-BLOCK_BYTES = 24 << 20
+#: Text bytes in a block of documents, and for each partition of the counts.
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 #: Buckets of context frequency: unseen, then powers of two.
 BUCKETS = 20
 #: Estimates are held to one part in this many of an octave when mixture weights are learned.
@@ -27,11 +28,13 @@ _PART = np.uint64(0xFFFFFFFFFFFF)
 
 def _planes(counts: np.ndarray) -> bytes:
     """Counts byte plane by byte plane, so that the mostly empty high planes compress away."""
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return out.view("<i8").ravel()
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -98,11 +101,10 @@ def _requests(documents: DataFrame, parts: int) -> DataFrame:
             for rows, text in chunks(batch):
                 context, word, doc = bigrams(text)
                 block, train, held = (np.asarray(rows.column(c).to_numpy(zero_copy_only=False))[doc] for c in ("block", "train", "held"))
-                cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if b > a:
-                        waiting.setdefault(int(block[a]), []).append((context[a:b], word[a:b], train[a:b], held[a:b]))
-                while len(waiting) > 2 or sum(len(x[0]) for w in waiting.values() for x in w) > 6_000_000:
+                for name in np.unique(block):
+                    own = block == name
+                    waiting.setdefault(int(name), []).append((context[own], word[own], train[own], held[own]))
+                while len(waiting) > 4 or sum(len(x[0]) for w in waiting.values() for x in w) > 3_000_000:
                     yield flush(next(iter(waiting)))
         for block in list(waiting):
             yield flush(block)
@@ -197,20 +199,14 @@ def _held_counts(documents: DataFrame, answers: DataFrame, totals: Totals) -> Da
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", "two", "one", "n")})
-        _, pair, pair_held, context, context_held, word, word_held = _lookup_some(docs, found)
+        _, pair, pair_held, context, context_held, word, word_held = _lookup(_text_of(docs), found)
         pair, context, word = pair - pair_held, context - context_held, word - word_held
-        key = np.stack([_bucket(context), _level(pair / np.maximum(context, 1)), _level(word / max(1, totals.tokens - totals.held_tokens))], 1)
-        key, n = np.unique(key, axis=0, return_counts=True)
-        return pa.table({c: pa.array(v.astype(np.int64)) for c, v in zip(("bucket", "two", "one", "n"), [*key.T, n], strict=True)})
-
-    def _lookup_some(docs: pa.Table, found: pa.Table) -> list[np.ndarray]:
-        """Counts of the tokens of held-out texts alone; the block's other texts are needed to number its bigrams."""
-        held = np.asarray(docs.column("held").combine_chunks().to_numpy(zero_copy_only=False))
-        counts = _lookup(_text_of(docs), found)
-        keep = held[counts[0]]
-        return [c[keep] for c in counts]
-
-    spread = documents.select("block", "held", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket bigint, two bigint, one bigint, n bigint")
+        key = (_bucket(context) * 4096 + 2048 + _level(pair / np.maximum(context, 1))) * 4096 + 2048 + _level(word / max(1, totals.tokens - totals.held_tokens))
+        key, n = np.unique(key, return_counts=True)
+        return pa.table({"bucket": pa.array(key >> 24), "two": pa.array((key >> 12 & 4095) - 2048), "one": pa.array((key & 4095) - 2048), "n": pa.array(n.astype(np.int64))})
+
+    own = documents.where("held").select("block", "text")
+    spread = own.groupBy("block").cogroup(answers.join(own.select("block").distinct(), "block", "left_semi").groupBy("block")).applyInArrow(run, "bucket bigint, two bigint, one bigint, n bigint")
     return spread.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
@@ -236,16 +232,17 @@ def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.nd
     return weights
 
 
-def _placed(documents: DataFrame) -> tuple[DataFrame, int]:
-    """The documents with their block, a run of rows of one file, and the text's total bytes; a table that isn't read from Parquet files is written first."""
+def _placed(documents: DataFrame, train: str, held: str) -> tuple[DataFrame, int]:
+    """The documents with train, held and block (the held-out ones, or the others, of a run of rows of one file), and the text's total bytes; a table that isn't read from Parquet files is written first."""
+    flag = lambda c: F.coalesce(F.expr(c), F.lit(False))
     try:
         documents.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
     except AnalysisException:
         documents = written(documents, "lm-documents")
     total, n = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     rows = max(1, int((n or 1) * BLOCK_BYTES / max(1, total or 1)))
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
-    return documents.withColumn("block", block), total or 0
+    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows), flag(train) & flag(held))
+    return documents.select("doc_id", "text", place.alias("block"), flag(train).alias("train"), (flag(train) & flag(held)).alias("held")), total or 0
 
 
 def lm_scores(documents: DataFrame, train: str, held: str) -> DataFrame:
@@ -266,10 +263,8 @@ def lm_scores(documents: DataFrame, train: str, held: str) -> DataFrame:
     Null and empty texts are one end.  Null doc_ids follow the conditions' value for null (false if
     that is null).  Repeated rows count and score each.  With no training text every count is 0.
     """
-    flag = lambda c: F.coalesce(F.expr(c), F.lit(False))
-    placed, size = _placed(documents.select("doc_id", "text"))
-    placed = placed.select("doc_id", "text", "block", flag(train).alias("train"), (flag(train) & flag(held)).alias("held"))
-    answers = written(_responses(_requests(placed, max(1, -(-size // BLOCK_BYTES)))), "lm-counts")
+    placed, size = _placed(documents.select("doc_id", "text"), train, held)
+    answers = written(_responses(_requests(placed, max(1, -(-size // PART_BYTES)))), "lm-counts")
     row = answers.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "texts", "held_tokens", "held_texts"))).first()
     totals = Totals(**row.asDict())
     answers = answers.where("block is not null").select("block", "part", "pairs", "pairs_held", "contexts", "contexts_held")

@@ -25,9 +25,9 @@ SIDE = 512
 #: Rows of 64-bit values that may be broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 500_000
 #: Text bytes for each partition of the signatures.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
 #: Cost model of a segment: what meets a one-token subset by chance, and the share of that for each further token.
-MEETS, RARER = 1000.0, 0.1
+MEETS, RARER = 20.0, 0.1
 
 
 def most_apart(a: int, b: int) -> int:
