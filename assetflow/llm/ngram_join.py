@@ -7,7 +7,6 @@ from functools import cache
 from math import ceil, exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -293,29 +292,70 @@ def _linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFram
 
 
 def _compare(members: DataFrame) -> DataFrame:
-    """Possible pairs of different components within groups: members has group, node, component, n_shingles, sketch, sides."""
-    spread = members.withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    spread = spread.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "component", "n_shingles", "sketch")
+    """Possible pairs of different components within clusters: members has cluster, main, sides, node, component, n_shingles, sketch.
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pandas().sort_values("node").reset_index(drop=True)
+    A cluster of more than SIDE members is compared in blocks.  With a main component only what lies
+    outside it is compared with the rest.
+    """
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("outside", F.col("main").isNull() | (F.col("component") != F.col("main")))
+    to = lambda low, high: F.explode(F.sequence(low, high))
+    zero, last = F.lit(0), F.col("sides") - 1
+    left = own.where("outside").withColumn("j", to(F.when(F.col("main").isNull(), F.col("own")).otherwise(zero), last)).withColumn("i", F.col("own")).withColumn("right", F.lit(False))
+    right = own.withColumn("i", to(zero, F.when(F.col("main").isNull(), F.col("own")).otherwise(last))).withColumn("j", F.col("own")).withColumn("right", F.lit(True))
+    spread = left.unionByName(right).select("cluster", "i", "j", "right", "node", "component", "n_shingles", "sketch", "outside")
+    spread = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
+
+    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        a, b = [], []
+        size = min(len(r[4]) for r in rows)
+        bits = np.stack([_folded(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
+        node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        outside = np.array([r[5] for r in rows])
+        split = sum(not r[0] for r in rows)
+        for k in range(split):
+            rest = slice(split, None)
+            low, high, total = np.minimum(n[k], n[rest]), np.maximum(n[k], n[rest]), n[k] + n[rest]
+            ok = (comp[rest] != comp[k]) & (BELOW * low >= ABOVE * high) & ((node[rest] > node[k]) | ~outside[rest] | (rows[k][6] & (node[rest] != node[k])))
+            at = np.flatnonzero(ok)
+            at = at[np.bitwise_count(bits[split + at] ^ bits[k]).sum(1) <= (total - 2 * -(-ABOVE * total // (ABOVE + BELOW)))[at]]
+            a += [min(int(node[k]), int(x)) for x in node[split + at]]
+            b += [max(int(node[k]), int(x)) for x in node[split + at]]
+        return a, b
+
+    def few(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        """The same for a cluster in one block, in whole numbers: no arrays for a handful of rows."""
         a, b = [], []
-        i, j = rows["i"][0], rows["j"][0]
-        size = min(map(len, rows["sketch"]))
-        bits = np.stack([_folded(np.frombuffer(s, np.uint8), size) for s in rows["sketch"]])
-        node, comp, n, own = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "own"))
-        for k in range(len(rows) - 1):
-            rest = slice(k + 1, None)
-            low, high = np.minimum(n[k], n[rest]), np.maximum(n[k], n[rest])
-            total = n[k] + n[rest]
-            most = total - 2 * -(-ABOVE * total // (ABOVE + BELOW))
-            ok = (comp[rest] != comp[k]) & (BELOW * low >= ABOVE * high) & ((own[rest] != own[k]) | (i == j))
-            ok[ok] = np.bitwise_count(bits[rest][ok] ^ bits[k]).sum(1) <= most[ok]
-            b.append(node[rest][ok])
-            a.append(np.full(len(b[-1]), node[k]))
-        return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
-
-    return spread.groupBy("group", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+        rows = [r for r in rows if r[0]]
+        for k, (_, x, c, n, s, out, _) in enumerate(rows):
+            for _, y, d, m, t, out2, _ in rows[k + 1 :]:
+                if c != d and (out or out2) and BELOW * min(n, m) >= ABOVE * max(n, m):
+                    size = min(len(s), len(t))
+                    u, v = (z if len(z) == size else _folded(np.frombuffer(z, np.uint8), size).tobytes() for z in (s, t))
+                    if (int.from_bytes(u) ^ int.from_bytes(v)).bit_count() <= most_apart(n, m):
+                        a.append(min(x, y))
+                        b.append(max(x, y))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = few(rows) if len(rows) <= 40 and key[1] == key[2] else pairs(rows)
+            both = np.unique(np.array([a, b], np.int64), axis=1) if a else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "right", "node", "component", "n_shingles", "sketch", "outside")]
+            for c, i, j, *rest in zip(*columns, strict=True):
+                if (c, i, j) != key:
+                    if rows and (out := done()).num_rows:
+                        yield out
+                    key, rows = (c, i, j), []
+                rows.append((*rest, i != j))
+        if rows and (out := done()).num_rows:
+            yield out
+
+    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -348,9 +388,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         slack, weight = (F.when(F.col("lower") == 0, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")) for x in ("slack", "weight"))
         spent = crowd.join(nodes, "node").where(F.col("n") * weight > slack).select("node", "lower", F.lit(True).alias("spent"))
         open_ = labelled.join(spent, ["node", "lower"], "left").where((F.col("size") <= LIGHT) | F.col("spent"))
-        mixed = open_.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
-        once = mixed.groupBy("n", "who").agg(F.min("group").alias("group")).withColumn("sides", F.ceil(F.col("n") / SIDE).cast("int")).select("group", "sides")
-        rest = open_.join(once, "group").join(nodes.select("node", "n_shingles", "sketch"), "node")
+        parts = open_.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+        mixed = parts.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("who").alias("who"), F.count("*").alias("k")).where("k > 1")
+        # groups of the same members count once; those that one component rules are one cluster, as near copies share very many
+        main = F.when(F.col("top.n") * 2 >= F.col("n"), F.col("top.component"))
+        once = mixed.groupBy("n", "who").agg(F.min("group").alias("group"), F.first(main).alias("main"))
+        once = once.select("group", "main", F.when(F.col("main").isNull(), F.col("group")).otherwise(F.xxhash64("main", F.lit(1))).alias("cluster"))
+        rest = open_.join(once, "group").groupBy("cluster", "node").agg(F.first("main").alias("main"), F.first("component").alias("component"))
+        sides = rest.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+        rest = rest.join(sides, "cluster").join(nodes.select("node", "n_shingles", "sketch"), "node")
         more = written(_compare(rest), "more-pairs")
         links = links.unionByName(_linked(more, keyed, nodes))
     joined = components(links)
