@@ -118,10 +118,10 @@ def upload_md5_check(spark, d):
     return flags.withColumn("stop", run).where(~F.col("stop")).select("task_id", "ord")
 
 
-@query("SELECT user_id AS task_id, max_by(event_type, (ts, event_id)) AS event, max(ts) AS at FROM events GROUP BY user_id")
+@query("SELECT user_id AS task_id, max_by(event_type, (ts, event_id)) AS event, max(ts) AS last_ts FROM events GROUP BY user_id")
 def progress_last_wins(spark, d):
     e = W.table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_type", "ts", "event_id")
-    return S.latest(e, "task_id", "ts", "event_id").select("task_id", F.col("event_type").alias("event"), F.col("ts").alias("at"))
+    return S.latest(e, "task_id", "ts", "event_id").select("task_id", F.col("event_type").alias("event"), F.col("ts").alias("last_ts"))
 
 
 @query("SELECT user_id AS task_id, count(*) AS n, string_agg(event_type, '|' ORDER BY event_id) AS events FROM events GROUP BY user_id")
@@ -224,7 +224,7 @@ def cosine_top_k(spark, d):
     return _hits(spark, d, 10).select("query_id", "rank", "resource_id", "score")
 
 
-@query(_TOP + """ SELECT query_id, rank, resource_id, score, title, coalesce(n, 0) AS file_count FROM r JOIN w_task t ON r.resource_id = t.id
+@query(_TOP + """ SELECT query_id, rank, r.resource_id, score, title, coalesce(n, 0) AS file_count FROM r JOIN w_task t ON r.resource_id = t.id
     LEFT JOIN (SELECT task_id, count(*) AS n FROM w_file GROUP BY task_id) f ON t.id = f.task_id WHERE rank <= 10""")
 def search_enrich(spark, d):
     n = W.files(spark, d).groupBy(F.col("task_id").alias("resource_id")).agg(F.count("*").alias("file_count"))

@@ -18,7 +18,7 @@ def test_natural_order(spark):
 def test_paths(spark):
     assert one(spark, X.normal_path(F.lit("/a/./b//../c"))) == "/a/c"
     assert one(spark, X.normal_path(F.lit("../a"))) == "a"
-    assert one(spark, X.sanitized(F.lit('a<b>:"/\\|?*c'))) == "a_________c"
+    assert one(spark, X.sanitized(F.lit('a<b>:"/\\|?*c'))) == "a_b________c"
     assert one(spark, X.directory_role(F.lit("m/wall_Normal.PNG"))) == "texture"
 
 
