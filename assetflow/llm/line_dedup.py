@@ -9,18 +9,18 @@ from .shared import written
 
 #: A line of so many words or more also goes when an earlier line is one word away (a word put in, left out or changed); shorter ones only when equal.
 LEAST_WORDS = 8
-#: Lines under suspicion that may be broadcast, as three 64-bit values each; beyond, they are joined by a shuffle.
+#: Lines under suspicion, and keys that several lines share, that may be broadcast (up to about 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    plain = ~line.rlike(r"[\t\x0B\f\r]")  # a split at one blank needs no pattern
+    return F.filter(F.when(plain, F.split(line, " ")).otherwise(F.split(line, r"[ \t\x0B\f\r]+")), lambda w: w != "")
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and words of every line that has a word."""
-    lines = documents.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+def _raw_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0) and line."""
+    return documents.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _halves(least: int) -> Column:
@@ -47,21 +47,25 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
 
     Earlier means a smaller (doc_id, line_no).
     """
-    lines = _lines(documents)
-    made = written(lines.select("doc_id", "line_no", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), _halves(least_words).alias("keys")), "lines")
-    distinct = made.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.max("keys").alias("keys"))
+    raw = _raw_lines(documents)
+    lines = raw.select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    made = written(lines.select("doc_id", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), _halves(least_words).alias("keys")), "lines")
+    distinct = made.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.max("n").alias("n"), F.max("keys").alias("keys"))
     distinct = written(distinct, "distinct-lines")
     equal = made.select("doc_id", "line_no", "h", "g").join(distinct.select("h", "g", "pos"), ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("pos")).select("doc_id", "line_no", F.lit(False).alias("near"))
 
-    halves = distinct.select("pos", "h", F.explode("keys").alias("key"))
+    halves = distinct.select("pos", "h", "n", F.posexplode("keys").alias("k", "key"))
     shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    suspects = halves.join(shared, "key").select("pos.doc_id", "pos.line_no").distinct()
-    suspects = written(suspects, "suspect-lines")
+    # a shared first half leaves the odd word to the positions behind it, a shared last half to those before it
+    half = F.floor((F.col("n") - F.floor(F.col("k") / 2)) / 2)
+    suspects = halves.join(shared, "key").groupBy("pos").agg(F.min(F.when(F.col("k") % 2 == 0, half)).alias("behind"), F.max(F.when(F.col("k") % 2 == 1, F.col("n") - half)).alias("before"))
+    suspects = written(suspects.select("pos.doc_id", "pos.line_no", "behind", "before"), "suspect-lines")
     at_hand = F.broadcast(suspects) if suspects.count() <= BROADCAST_ROWS else suspects
-    texts = written(lines.join(at_hand, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("pos"), "words"), "suspect-texts")
+    found = raw.join(at_hand, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
+    texts = written(found.select(F.struct("doc_id", "line_no").alias("pos"), _words(F.col("line")).alias("words"), "behind", "before"), "suspect-texts")
 
     without = lambda i: F.concat(F.expr("slice(words, 1, i - 1)"), F.expr("slice(words, i + 1, size(words))"))
-    spread = texts.select("pos", "words", F.explode(F.expr("sequence(1, size(words))")).alias("i")).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
+    spread = texts.select("pos", "words", F.explode(F.expr("filter(sequence(1, size(words)), i -> i > behind or i <= before)")).alias("i")).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
     left_out = spread.select("pos", "n", F.explode(F.array(
         F.struct(F.xxhash64(F.lit("s"), "i", "rest").alias("k"), F.xxhash64("rest", "i").alias("k2"), F.lit("s").alias("kind")),
         F.struct(F.xxhash64(F.lit("f"), "rest").alias("k"), F.xxhash64("rest", F.lit(0)).alias("k2"), F.lit("d").alias("kind")),
@@ -70,6 +74,8 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     variants = left_out.unionByName(whole)
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("pos"))).alias(f"first_{kind}")
     meet = variants.groupBy("k", "k2").agg(first("s"), first("d"), first("f"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo < hi").drop("lo", "hi")
+    meet = written(meet, "meeting-variants")
+    meet = F.broadcast(meet) if meet.count() <= BROADCAST_ROWS else meet
     earlier = F.when(F.col("kind") == "s", F.col("first_s")).when(F.col("kind") == "d", F.col("first_f")).otherwise(F.col("first_d"))
     pairs = variants.join(meet, ["k", "k2"]).select("pos", earlier.alias("witness")).where("witness < pos").distinct()
     one, two = texts.select("pos", F.col("words").alias("x")), texts.select(F.col("pos").alias("witness"), F.col("words").alias("y"))
