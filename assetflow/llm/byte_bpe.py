@@ -5,18 +5,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+import json
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .shared import wider
 
 #: Distinct words whose encodings a task remembers at most; then it begins anew.
 REMEMBERED = 300_000
-#: Words longer than this many bytes are merged one by one with a heap.
+#: Words longer than this (bytes in a task, characters in a plan) are merged with a heap.
 LONG = 64
+#: Frequent words whose encodings a plan holds at most.
+FREQUENT = 150_000
+#: Name of the column between encoding and its digests.
+TOKENS = "__tokens"
 #: Characters of text that a task splits before it folds the new words together.
 TOGETHER = 1 << 21
 NONE = np.iinfo(np.int64).max
@@ -144,16 +151,96 @@ def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataT
     return kept.mapInArrow(run, schema)
 
 
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
+def literal_map(entries: dict[str, object], kind: str, buckets: int) -> Callable[[Column], Column]:
+    """A look-up in a literal map from strings, split in buckets by checksum, as a map is searched entry by entry."""
+    split: list[dict] = [{} for _ in range(buckets)]
+    for key, value in entries.items():
+        split[zlib.crc32(key.encode()) % buckets][key] = value
+    literal = F.from_json(F.lit(json.dumps(split)), f"array<map<string,{kind}>>")
+    return lambda key: F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % buckets).cast("int")), key)
+
+
+def literal_list(entries: list, kind: str) -> Callable[[Column], Column]:
+    literal = F.from_json(F.lit(json.dumps(entries)), f"array<{kind}>")
+    return lambda at: F.get(literal, at)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
+    """Token identifiers of one word, by higher-order functions over its bytes, each a character of a Latin-1 string.
+
+    Each step joins the leftmost pair of least rank; once none is left, the rest of the steps do nothing.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        pieces = state["pieces"]
+
+        def joined(ranks: Column) -> Column:
+            def at(p: Column) -> Column:
+                pair = F.array(F.concat(F.get(pieces, p - 1), F.get(pieces, p)))
+                made = F.concat(F.slice(pieces, F.lit(1), p - 1), pair, F.slice(pieces, p + 2, F.size(pieces)))
+                return F.struct(made.alias("pieces"), F.lit(False).alias("done"))
+
+            none = F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))
+            return let(F.array_min(ranks), lambda least: F.when(least.isNull(), none).otherwise(let(F.array_position(ranks, least).cast("int"), at)))
+
+        ranks = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
+        return F.when(state["done"], state).otherwise(let(ranks, joined))
+
+    def merged(b: Column) -> Column:
+        start = F.struct(F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i, F.lit(1))).alias("pieces"), F.lit(False).alias("done"))
+        steps = F.when(F.length(b) > 1, F.sequence(F.lit(2), F.length(b))).otherwise(F.array().cast("array<int>"))
+        whole = F.array(rank(b))
+        return F.when(rank(b).isNotNull(), whole).otherwise(F.aggregate(steps, start, step, lambda s: F.transform(s["pieces"], rank)))
+
+    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), merged)
+
+
+def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """The documents with n_tokens and ids (little-endian unsigned 32-bit), or their digests.
 
-    Each match of pattern in the whole text is a word.  A task splits a few megabytes of text, folds
-    the ranked merges over the bytes of the words that it hasn't met (all of them together, round by
-    round), and strings the words' encodings together.  A null text counts as empty and has no ids.
-    Every row is encoded alone and keeps its other columns; columns named like the new ones are
-    replaced.  With digests, ids_sha256 and decoded_sha256 (of the decoded bytes) stand in place of
-    ids.  No shuffle; a task's memory is bounded by REMEMBERED words and one stretch of text.
+    Each match of pattern in the whole text is a word.  Spark's higher-order functions fold the ranked
+    merges over a word's bytes, by a literal map of the ranks.  The corpus's most frequent distinct words
+    (counted over all texts, ties to the smaller word; at most `frequent` of at most LONG characters, a few
+    megabytes) are folded once and put into the plan as a second literal map; the others are folded where they stand.
+    Steps of the fold grow with the square of a word's length, so texts that may hold a word of more than
+    LONG characters take the same merges with a heap, in tasks of their own.  A null text counts as empty
+    and has no ids.  Every row is encoded alone and keeps its other columns; columns named like the new
+    ones are replaced, and rows may come in another order.  With digests, ids_sha256 and decoded_sha256
+    (of the decoded bytes) stand in place of ids.  Only the words' counts are shuffled.
     """
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
+    kept = documents.drop(*made)
+    long_word = F.coalesce(F.col("text").rlike(rf"(?U)(?<!\S)\S{{{LONG}}}|(?<!\s)\s{{{LONG}}}"), F.lit(False))
+    short = kept.where(~long_word)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+
+    rank = literal_map({token.decode("latin-1"): r for token, r in ranks.items()}, "int", 1 << 13)
+    counted = short.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word", folded(F.col("word"), rank).alias("ids"))
+    known = literal_map({w: ids for w, ids in top.collect()}, "array<int>", 1 << 16)
+
+    tokens = F.flatten(F.transform(words, lambda w: let(known(w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(folded(w, rank)))))
+    held = short.withColumn(TOKENS, tokens)
+    size = max(ranks.values()) + 1
+    hexes = literal_list([r.to_bytes(4, "little").hex() for r in range(size)], "string")
+    ids = F.unhex(F.array_join(F.transform(TOKENS, hexes), ""))
+    columns = {"n_tokens": F.size(TOKENS).cast("bigint"), "ids": ids}
+    if digests:
+        pieces: list[str | None] = [None] * size
+        for token, r in ranks.items():
+            pieces[r] = token.decode("latin-1")
+        decoded = F.encode(F.array_join(F.transform(TOKENS, literal_list(pieces, "string")), ""), "ISO-8859-1")
+        columns = {"n_tokens": columns["n_tokens"], "ids_sha256": F.sha2(ids, 256), "decoded_sha256": F.sha2(decoded, 256)}
+    return held.withColumns(columns).drop(TOKENS).unionByName(_by_heap(kept.where(long_word), ranks, pattern, digests))
+
+
+def _by_heap(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool) -> DataFrame:
+    """As encode, for texts with long words: the merges of each task's distinct words in Arrow batches."""
 
     def make(texts: list[str], state: dict) -> list[list]:
         import regex
