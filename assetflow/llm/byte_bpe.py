@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -151,12 +152,13 @@ def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataT
     return kept.mapInArrow(run, schema)
 
 
-def literal_map(entries: dict[str, object], kind: str, buckets: int) -> Callable[[Column], Column]:
+def literal_map(entries: Iterable[tuple[str, object]], kind: str, buckets: int) -> Callable[[Column], Column]:
     """A look-up in a literal map from strings, split in buckets by checksum, as a map is searched entry by entry."""
-    split: list[dict] = [{} for _ in range(buckets)]
-    for key, value in entries.items():
-        split[zlib.crc32(key.encode()) % buckets][key] = value
-    literal = F.from_json(F.lit(json.dumps(split)), f"array<map<string,{kind}>>")
+    split: list[list[str]] = [[]] * buckets
+    for key, value in entries:
+        at = zlib.crc32(key.encode()) % buckets
+        split[at] = [*split[at], f"{json.dumps(key)}:{json.dumps(value)}"]
+    literal = F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in split) + "]"), f"array<map<string,{kind}>>")
     return lambda key: F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % buckets).cast("int")), key)
 
 
@@ -219,12 +221,13 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
     short = kept.where(~long_word)
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
-    rank = literal_map({token.decode("latin-1"): r for token, r in ranks.items()}, "int", 1 << 13)
+    rank = literal_map(((token.decode("latin-1"), r) for token, r in ranks.items()), "int", 1 << 13)
     counted = short.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word", folded(F.col("word"), rank).alias("ids"))
-    known = literal_map({w: ids for w, ids in top.collect()}, "array<int>", 1 << 16)
+    rows = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in top.toArrow().to_batches(max_chunksize=1000))
+    known = literal_map(itertools.chain.from_iterable(rows), "array<int>", 1 << 16)
 
-    tokens = F.flatten(F.transform(words, lambda w: let(known(w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(folded(w, rank)))))
+    tokens = F.flatten(F.transform(words, lambda w: F.coalesce(known(w), folded(w, rank))))
     held = short.withColumn(TOKENS, tokens)
     size = max(ranks.values()) + 1
     hexes = literal_list([r.to_bytes(4, "little").hex() for r in range(size)], "string")
