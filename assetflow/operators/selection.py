@@ -72,3 +72,27 @@ def unique_names(files: DataFrame, category: Column, name: Column, *order: str)
     named = files.withColumns({"category": category, "name": name})
     k = F.row_number().over(Window.partitionBy("category", "name").orderBy(*order)) - 1
     return named.withColumn("target", F.when(k == 0, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), k, F.regexp_extract("name", r"(\.[^.]*)$", 1))))
+
+
+def commit_verdict(dimension: int) -> Column:
+    """What becomes of a request to commit, from the task's columns and the embedding stage's result, status and error."""
+    blank = F.col("title").isNull() | (F.trim(F.regexp_replace("title", r"\s+", " ")) == "")
+    return (
+        F.when(F.col("id").isNull(), "not_found").when(F.col("process_state") == "committed", "already_committed").when(blank, "blank_description")
+        .when(F.col("status") == "failed", "embedding_failed").when(F.size("result") != dimension, "dimension_mismatch").otherwise("committed")
+    )
+
+
+def apply_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Tasks after the outcomes (id, outcome, message) of their uploads, with the events to log.
+
+    A success ends committed, one that already existed synced; a failure keeps the state, adds a retry
+    and keeps 500 characters of the message.  Tasks without an outcome stay as they are.
+    """
+    # States that a success passes, by outcome.
+    chains = {"uploaded": "registered|uploaded|committed", "exists": "registered|synced", "failed": "upload_failed"}
+    log = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in chains.items() for x in kv)), F.col("outcome")), F.lit(""))
+    failed = F.coalesce(F.col("outcome") == "failed", F.lit(False))
+    state = F.when(F.col("outcome").isin("uploaded", "exists"), F.substring_index(log, "|", -1)).otherwise(F.col("process_state"))
+    return tasks.join(outcomes, "id", "left").select(
+        "id", state.alias("process_state"), (F.col("retry_count") + failed.cast("int")).alias("retry_count"), F.when(failed, F.substring("message", 1, 500)).otherwise("").alias("error"), log.alias("log"))
