@@ -152,14 +152,18 @@ def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataT
     return kept.mapInArrow(run, schema)
 
 
-def literal_map(entries: Iterable[tuple[str, object]], kind: str, buckets: int) -> Callable[[Column], Column]:
-    """A look-up in a literal map from strings, split in buckets by checksum, as a map is searched entry by entry."""
+def literal_map(entries: Iterable[tuple[str, object]], kind: str, buckets: int) -> Column:
+    """A literal map from strings, split in buckets by checksum, as a map is searched entry by entry."""
     split: list[list[str]] = [[]] * buckets
     for key, value in entries:
         at = zlib.crc32(key.encode()) % buckets
         split[at] = [*split[at], f"{json.dumps(key)}:{json.dumps(value)}"]
-    literal = F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in split) + "]"), f"array<map<string,{kind}>>")
-    return lambda key: F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % buckets).cast("int")), key)
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in split) + "]"), f"array<map<string,{kind}>>")
+
+
+def look_up(literal: Column) -> Callable[[Column], Column]:
+    """Values of a literal map.  Bind the map with let() first: every place that names it holds it whole."""
+    return lambda key: F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % F.size(literal)).cast("int")), key)
 
 
 def literal_list(entries: list, kind: str) -> Callable[[Column], Column]:
@@ -221,14 +225,16 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
     short = kept.where(~long_word)
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
-    rank = literal_map(((token.decode("latin-1"), r) for token, r in ranks.items()), "int", 1 << 13)
+    ranked = literal_map(((token.decode("latin-1"), r) for token, r in ranks.items()), "int", 1 << 13)
     counted = short.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word", folded(F.col("word"), rank).alias("ids"))
+    top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word", let(ranked, lambda r: folded(F.col("word"), look_up(r))).alias("ids"))
     rows = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in top.toArrow().to_batches(max_chunksize=1000))
     known = literal_map(itertools.chain.from_iterable(rows), "array<int>", 1 << 16)
 
-    tokens = F.flatten(F.transform(words, lambda w: F.coalesce(known(w), folded(w, rank))))
-    held = short.withColumn(TOKENS, tokens)
+    def tokens(rank: Callable[[Column], Column], frequent: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(words, lambda w: F.coalesce(frequent(w), folded(w, rank))))
+
+    held = short.withColumn(TOKENS, let(ranked, lambda r: let(known, lambda k: tokens(look_up(r), look_up(k)))))
     size = max(ranks.values()) + 1
     hexes = literal_list([r.to_bytes(4, "little").hex() for r in range(size)], "string")
     ids = F.unhex(F.array_join(F.transform(TOKENS, hexes), ""))
