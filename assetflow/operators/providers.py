@@ -109,7 +109,7 @@ def short_only(prefix: str = "", most: int = 20) -> Model:
 
 @register("hash_vector")
 def hash_vector(dim: int = 64) -> Model:
-    """A deterministic vector of a text by its characters' codes; blank texts are an error."""
+    """A deterministic vector of a text by its length, as a stand-in for a model; blank texts are an error."""
     def call(text: str) -> list[float]:
         if not text or not text.strip():
             raise ValueError("blank input")
