@@ -87,25 +87,37 @@ RULES = [
 CUE = r"(?i)licen[sc]e|permi|redistribut|warrant|copyright|rights|public"
 
 
+#: Comment marks that are words or end like a sentence, at the begin of a line.
+MARK = r"(?m)^[ \t]*(?:@?[Rr][Ee][Mm]|dnl|[#*/%>-]*[;!:.]+)(?:[ \t]+|$)"
+
+
 def normalised_sentences(text: Column) -> Column:
     """Sentences of a text: it breaks at line ends and after . ! ? ; : before white space; a line that begins with a small letter goes on from the line before."""
-    joined = F.regexp_replace(text, r"\r?\n([a-z])", " $1")
+    bare = F.regexp_replace(F.regexp_replace(text, MARK, " "), r"[ \t]++(?=[\r\n])", "")
+    joined = F.regexp_replace(bare, r"(?<![\r\n])\r?\n([a-z])", " $1")
     broken = F.regexp_replace(joined, r"([.!?;:])[ \t]+", "$1\n")
-    return F.transform(F.split(broken, r"[\r\n]"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+    return F.transform(F.split(broken, r"\r\n|[\r\n]"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+
+
+def known_sentences(text: Column, known: dict[str, str]) -> Column:
+    """Known sentences of a text in their order.  One may be broken anywhere, as by wrapped lines or "v. 2.0": it is a run of whole parts, but none goes on behind an empty line."""
+    parts = F.concat(F.lit("|"), F.array_join(normalised_sentences(text), "|"), F.lit("|"))
+    any_of = "|".join(s.replace(" ", "[ |]") for s in sorted(known.values(), key=len, reverse=True))
+    return F.transform(F.regexp_extract_all(parts, F.lit(rf"\|(?:{any_of})(?=\|)"), F.lit(0)), lambda s: F.translate(F.substr(s, F.lit(2)), "|", " "))
 
 
 def license_scan(documents: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Licences named or quoted in every text: doc_id, n_known (known sentences), licenses (by rule order, joined by |), n_unmatched.
 
-    Every sentence of the whole text is normalised and mapped to its identifier; sentences that
-    aren't known drop out of the sequence.  The ordered rules are tried on the sequence, and each
+    Every sentence of the whole text is normalised and mapped to its identifier, also where lines,
+    comment marks or punctuation break it; sentences that aren't known drop out of the sequence.  The ordered rules are tried on the sequence, and each
     match uses its sentences up.  A null or empty text has none and an empty list.  Rows are scanned
     one by one (no shuffle); repeated rows and null doc_ids give rows; other columns aren't read.
     The tables of sentences and rules are small and fixed.
     """
     known, order = sentences or SENTENCES, rules or RULES
     pairs = [F.lit(x) for name, s in known.items() for x in (s, f"<{name}>")]
-    ids = F.filter(F.transform(normalised_sentences(F.col("text")), lambda s: F.try_element_at(F.create_map(*pairs), s)), lambda x: x.isNotNull())
+    ids = F.transform(known_sentences(F.col("text"), known), lambda s: F.element_at(F.create_map(*pairs), s))
     found = documents.select("doc_id", F.coalesce(F.when(F.col("text").rlike(CUE), ids), F.array().cast("array<string>")).alias("ids"))
     steps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in run)).alias("run")) for name, run in order))
     begin = F.struct(F.array_join("ids", "").alias("left"), F.array().cast("array<string>").alias("names"))
@@ -119,7 +131,7 @@ def license_scan(documents: DataFrame, sentences: dict[str, str] | None = None,
 
 
 def sql() -> str:
-    """The same over a table documents, as DuckDB SQL."""
+    """The same over a table documents, as DuckDB SQL; it knows a sentence only where no break is within."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quote(s)}, {quote(n)})" for n, s in SENTENCES.items())
     steps, before = [], "r0"
