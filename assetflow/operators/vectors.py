@@ -16,6 +16,8 @@ ROWS, ASKED = 16_384, 1_024
 CELLS, PROBED = 256, 16
 #: Rows on which the centres are fitted; every row is put into a cell.
 FITTED = 200_000
+#: Vectors on which the number of probed cells is found, and the share of their neighbours that must lie in these.
+TRIED, FOUND = 200, 0.95
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
@@ -58,6 +60,22 @@ def inverted_lists(vectors: DataFrame, cells: int = CELLS, seed: int = 1) -> tup
     return model.transform(unit).drop("unit"), np.array(model.clusterCenters())
 
 
+def cells_to_probe(lists: DataFrame, centres: np.ndarray, k: int, share: float = FOUND) -> int:
+    """The number of cells, PROBED at least, that hold the given share of the k nearest others of TRIED vectors, by exact search; the driver gets TRIED vectors and k cells for each."""
+    tried = lists.orderBy(F.xxhash64("resource_id"), "resource_id").limit(TRIED).select(F.col("resource_id").alias("query_id"), "vector").toPandas()
+    if not len(tried):
+        return PROBED
+    asked = lists.sparkSession.createDataFrame(tried, "query_id bigint, vector array<float>")
+    others = cosine_top_k(lists.select("resource_id", "vector"), asked, k + 1).where("query_id <> resource_id")
+    found = others.join(lists.select("resource_id", "cell"), "resource_id").select("query_id", "cell").toPandas()
+    q = np.stack([np.asarray(v, np.float64) for v in tried["vector"]])
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    place = np.argsort(np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1), axis=1)
+    row = dict(zip(tried["query_id"], range(len(tried)), strict=True))
+    needed = np.sort(place[found["query_id"].map(row), found["cell"]]) + 1
+    return max(PROBED, int(needed[int(np.ceil(share * len(needed))) - 1])) if len(needed) else PROBED
+
+
 def probe_top_k(lists: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probed: int = PROBED) -> DataFrame:
     """The k vectors of largest cosine among those of the cells nearest to each query (query_id, vector)."""
     def near(batches):

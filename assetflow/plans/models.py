@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetflow.functions import expressions as X
 from assetflow.operators import providers as P
 from assetflow.operators import selection as S
-from assetflow.operators.vectors import inverted_lists, probe_top_k
+from assetflow.operators.vectors import cells_to_probe, inverted_lists, probe_top_k
 from assetflow.sources import working as W
 
 from .catalog import listed
@@ -91,11 +91,11 @@ def reembed(spark, d):
 
 @query()
 def probed_top_k(spark, d):
-    """Top ten of each label's first vector among the cells nearest to it."""
+    """Top ten of each label's first vector among the cells nearest to it, as many as nine tenths of the neighbours need."""
     e = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"), "label")
     asked = e.groupBy("label").agg(F.min("resource_id").alias("query_id"), F.min_by("vector", "resource_id").alias("vector")).select("query_id", "vector")
     cells, centres = inverted_lists(e.select("resource_id", "vector"))
-    return probe_top_k(cells, centres, asked, 10)
+    return probe_top_k(cells, centres, asked, 10, cells_to_probe(cells, centres, 10))
 
 
 @query("""WITH q AS (SELECT min(vec_id) AS query_id, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY label),
