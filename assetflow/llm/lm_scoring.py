@@ -23,7 +23,6 @@ FINE = 8
 ROUNDS = 30
 
 _START, _END = (mix(np.array([x], np.uint64))[0] for x in (0x5354415254, 0x454E44))
-_PART = np.uint64(0xFFFFFFFFFFFF)
 
 
 def _planes(counts: np.ndarray) -> bytes:
@@ -37,16 +36,6 @@ def _unplanes(data: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def bigrams(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, document) of every token: the words in lower case, then one end; the first follows a start."""
     word = text.word_hashes(lower=True)
@@ -61,55 +50,56 @@ def bigrams(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(text.n), text.n_words + 1)
 
 
-def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the pairs by (context, 48 bits of the word), where a new pair begins in that order, and each pair's number."""
-    order = np.lexsort((word & _PART, context))
-    c, w = context[order], word[order] & _PART
-    new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])[: len(order)]
-    number = np.empty(len(order), np.int64)
+def _pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
+def _sums(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in their order, the number of each row's key among them, and sums of counts for each."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(key)]
+    number = np.empty(len(key), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order, new, number
+    begin = np.flatnonzero(new)
+    return sorted_[begin], number, [np.add.reduceat(x[order].astype(np.int64), begin) if len(key) else np.zeros(0, np.int64) for x in counts]
 
 
-def _runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
-    return begin, np.diff(np.append(begin, len(context)))
+_KINDS = [(c, pa.binary()) for c in ("pairs", "pairs_train", "pairs_held", "contexts", "contexts_train", "contexts_held")]
 
 
 def _requests(documents: DataFrame, parts: int) -> DataFrame:
-    """Each block's distinct bigrams, packed by partition of the context: their counts in training texts and in those of them held out for the weights."""
+    """Each block's distinct bigrams, packed by partition of their own hash, and contexts, by that of theirs: their counts in training texts and in those of them held out for the weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
         def flush(block: int) -> pa.RecordBatch:
-            context, word, train, held = (np.concatenate(x) for x in zip(*waiting.pop(block), strict=True))
-            order, new, _ = _distinct(context, word)
-            begin = np.flatnonzero(new)
-            context, word = context[order][begin], word[order][begin]
-            train, held = (np.add.reduceat(x[order].astype(np.int64), begin) for x in (train, held))
-            part = (((context >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            at, rows = np.searchsorted(part, np.arange(parts + 1)), []
-            for p in range(parts):
-                a, b = at[p], at[p + 1]
-                if b > a:
-                    first, runs = _runs(context[a:b])
-                    rows.append({"part": p, "block": block, "contexts": context[a:b][first].astype("<u8").tobytes(), "runs": _planes(runs), "words": _six(word[a:b]), "train": _planes(train[a:b]), "held": _planes(held[a:b])})
-            return pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-        arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("contexts", "runs", "words", "train", "held"))])
+            pair, context, train, held = (np.concatenate(x) for x in zip(*waiting.pop(block), strict=True))
+            packed = [{"part": p, "block": block} for p in range(parts)]
+            for name, hashes in (("pairs", pair), ("contexts", context)):
+                key, _, (trained, out) = _sums(hashes, train, held)
+                part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+                at = np.searchsorted(part, np.arange(parts + 1))
+                for p in range(parts):
+                    own = slice(at[p], at[p + 1])
+                    packed[p] |= {name: key[own].astype("<u8").tobytes(), f"{name}_train": _planes(trained[own]), f"{name}_held": _planes(out[own])}
+            return pa.RecordBatch.from_pylist([x for x in packed if x["pairs"] or x["contexts"]], schema=arrow)
+
+        arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), *_KINDS])
         for batch in batches:
             for rows, text in chunks(batch):
                 context, word, doc = bigrams(text)
+                pair = _pairs(context, word)
                 block, train, held = (np.asarray(rows.column(c).to_numpy(zero_copy_only=False))[doc] for c in ("block", "train", "held"))
                 for name in np.unique(block):
                     own = block == name
-                    waiting.setdefault(int(name), []).append((context[own], word[own], train[own], held[own]))
+                    waiting.setdefault(int(name), []).append((pair[own], context[own], train[own], held[own]))
                 while len(waiting) > 4 or sum(len(x[0]) for w in waiting.values() for x in w) > 3_000_000:
                     yield flush(next(iter(waiting)))
         for block in list(waiting):
             yield flush(block)
 
-    return documents.select("text", "block", "train", "held").mapInArrow(run, "part int, block bigint, contexts binary, runs binary, words binary, train binary, held binary")
+    return documents.select("text", "block", "train", "held").mapInArrow(run, "part int, block bigint, " + ", ".join(f"{c} binary" for c, _ in _KINDS))
 
 
 _TOTALS = "tokens bigint, words bigint, texts bigint, held_tokens bigint, held_texts bigint"
@@ -118,30 +108,19 @@ _TOTALS = "tokens bigint, words bigint, texts bigint, held_tokens bigint, held_t
 def _responses(requests: DataFrame) -> DataFrame:
     """For each block and partition, corpus counts of its distinct bigrams and of their contexts; totals in the rows of block null."""
     def run(table: pa.Table) -> pa.Table:
-        context, word, train, held, block = [], [], [], [], []
-        for row in table.to_pylist():
-            runs = _unplanes(row["runs"])
-            context.append(np.repeat(np.frombuffer(row["contexts"], "<u8"), runs))
-            word.append(_unsix(row["words"]))
-            train.append(_unplanes(row["train"]))
-            held.append(_unplanes(row["held"]))
-            block.append(np.full(len(word[-1]), row["block"]))
-        part = table.column("part")[0].as_py()
-        context, word, train, held, block = map(np.concatenate, (context, word, train, held, block))
-        order, new, number = _distinct(context, word)
-        begin = np.flatnonzero(new)
-        pair_train, pair_held = (np.add.reduceat(x[order], begin) for x in (train, held))
-        of = context[order][begin]
-        first, runs = _runs(of)
-        context_train, context_held = (np.repeat(np.add.reduceat(x, first), runs) for x in (pair_train, pair_held))
-        rows = []
-        for b in np.unique(block):
-            own = np.unique(number[block == b])
-            one, _ = _runs(of[own])
-            rows.append({"block": int(b), "part": part, "pairs": _planes(pair_train[own]), "pairs_held": _planes(pair_held[own]), "contexts": _planes(context_train[own][one]), "contexts_held": _planes(context_held[own][one])})
-        start = of[first] == _START
-        total, total_held = context_train[first], context_held[first]
-        rows.append({"block": None, "part": part, "tokens": int(total.sum()), "words": int((total[~start] > 0).sum()), "texts": int(total[start].sum()), "held_tokens": int(total_held.sum()), "held_texts": int(total_held[start].sum())})
+        table = table.sort_by("block")
+        part, block = table.column("part")[0].as_py(), table.column("block").to_numpy()
+        out = [{"block": int(b), "part": part} for b in np.unique(block)]
+        for name in ("pairs", "contexts"):
+            each = [np.frombuffer(x.as_py(), "<u8") for x in table.column(name)]
+            train, held = (np.concatenate([_unplanes(x.as_py()) for x in table.column(f"{name}_{c}")]) for c in ("train", "held"))
+            end = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            key, number, (train, held) = _sums(np.concatenate(each), train, held)
+            for row, a, b in zip(out, np.searchsorted(block, np.unique(block)), np.searchsorted(block, np.unique(block), "right"), strict=True):
+                own = np.unique(number[end[a] : end[b]])
+                row |= {name: _planes(train[own]), f"{name}_held": _planes(held[own])}
+        start = key == _START
+        rows = [*out, {"block": None, "part": part, "tokens": int(train.sum()), "words": int((train[~start] > 0).sum()), "texts": int(train[start].sum()), "held_tokens": int(held.sum()), "held_texts": int(held[start].sum())}]
         kinds = [("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("pairs", "pairs_held", "contexts", "contexts_held")), *((c, pa.int64()) for c in ("tokens", "words", "texts", "held_tokens", "held_texts"))]
         return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
 
@@ -165,14 +144,12 @@ class Totals:
 def _lookup(text: Text, answers: pa.Table) -> tuple[np.ndarray, ...]:
     """(document, bigram, bigram held, context, context held, word, word held) counts of every token of a block."""
     context, word, doc = bigrams(text)
-    order, new, number = _distinct(context, word)
-    of = context[order][np.flatnonzero(new)]
-    _, runs = _runs(of)
+    (key, number, _), (of, place, _) = _sums(_pairs(context, word)), _sums(context)
     rows = sorted(answers.select(["part", "pairs", "pairs_held", "contexts", "contexts_held"]).to_pylist(), key=lambda r: r["part"])
     pairs, pairs_held, contexts, contexts_held = (np.concatenate([_unplanes(r[c]) for r in rows]) for c in ("pairs", "pairs_held", "contexts", "contexts_held"))
-    if len(pairs) != len(of) or len(contexts) != len(runs):
-        raise RuntimeError(f"a block has {len(of)} bigrams and {len(pairs)} counts; the documents changed between reads")
-    each, each_held = np.repeat(contexts, runs)[number], np.repeat(contexts_held, runs)[number]
+    if len(pairs) != len(key) or len(contexts) != len(of):
+        raise RuntimeError(f"a block has {len(key)} bigrams and {len(pairs)} counts; the documents changed between reads")
+    each, each_held = contexts[place], contexts_held[place]
     # a token is the context of the next one of its text; the end has the count of texts, as the start has
     last = np.concatenate([doc[1:] != doc[:-1], [True]])[: len(doc)]
     first = np.concatenate([[True], last[:-1]])[: len(doc)]
@@ -254,9 +231,10 @@ def lm_scores(documents: DataFrame, train: str, held: str) -> DataFrame:
     w0/(V+1), with weights by how frequent the context h is.
 
     The documents lie in blocks; each sends its distinct bigrams once to the partitions of the
-    context's hash, which count them over all training texts and send the counts back, in the same
-    order.  A word's own count is its count as a context, so no other count is needed.  Bigrams are
-    counted by 64 bits of the context's hash and 48 of the word's.  What is moved grows with the
+    bigram's hash, and its distinct contexts to those of theirs, which count them over all training
+    texts and send the counts back, in the same order; so no partition grows with one context.  A
+    word's own count is its count as a context, so no other count is needed.  Bigrams are counted
+    by 64 bits of the hash of both words.  What is moved grows with the
     distinct bigrams of the blocks; no vocabulary is gathered or broadcast; the driver gets totals
     and a histogram of bounded size.
 

@@ -68,3 +68,15 @@ def test_odd_rows(spark, odd, none):
 def test_weights_favour_the_better_estimate():
     w = lm_scoring.learn_weights(np.array([3, 3]), np.array([-1, -8]), np.array([-80, -80]), np.array([90, 10]), 1e-6)
     assert w[3, 0] > 0.9 and np.allclose(w.sum(1), 1) and np.allclose(w[5], w[3])
+
+
+def test_no_partition_grows_with_one_context(spark):
+    """A word that precedes half of all distinct words does not fill one partition, and its counts are right."""
+    rows = [(d, " ".join(f"| u{d}x{i}" for i in range(200))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = df.selectExpr("text", "doc_id % 8 as block", "true as train", "doc_id % 10 = 0 as held")
+    size = {}
+    for r in lm_scoring._requests(placed, 16).collect():
+        size[r["part"]] = size.get(r["part"], 0) + sum(len(x) for x in r if isinstance(x, (bytes, bytearray)))
+    assert max(size.values()) < 1.5 * sum(size.values()) / 16
+    check(rows, lm_scoring.lm_scores(df, "doc_id < 30", "doc_id = 2").collect(), lambda d: d < 30)
