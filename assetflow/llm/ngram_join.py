@@ -268,8 +268,10 @@ def _linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFram
     """Of pairs (a, b), those whose whole shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     few = written(sets.join(wanted, "node", "left_semi").select("node", "doc_id"), "verify-nodes")
-    hand = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-    texts = documents.join(hand, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]) if few.count() > BROADCAST_ROWS else documents.join(hand, ["node", "doc_id"], "left_semi")
+    many = few.count() > BROADCAST_ROWS
+    hand = few.select(F.col("node").alias("its_node"), F.col("doc_id").alias("its_id"))
+    texts = documents.join(hand if many else F.broadcast(hand), (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi")
+    texts = texts.dropDuplicates(["node"]) if many else texts
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -97,3 +97,10 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 9: 3}
     assert components(links.limit(0)).count() == 0
+
+
+def test_links_go_through_a_null_doc_id(spark):
+    words = [f"w{i}" for i in range(116)]
+    rows = [(1, " ".join(words[:100])), (None, " ".join(words[8:108])), (2, " ".join(words[16:]))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (2, 1)}
