@@ -5,27 +5,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
-import json
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .shared import wider
+from .shared import utf8, wider
 
 #: Distinct words whose encodings a task remembers at most; then it begins anew.
 REMEMBERED = 300_000
-#: Words longer than this (bytes in a task, characters in a plan) are merged with a heap.
+#: Words of more bytes than this are merged one by one with a heap, as the rounds of a fold grow with the longest word.
 LONG = 64
-#: Frequent words whose encodings a plan holds at most.
-FREQUENT = 150_000
-#: Name of the column between encoding and its digests.
-TOKENS = "__tokens"
-#: Characters of text that a task splits before it folds the new words together.
+#: Bytes of text that a task splits before it folds the new words together.
 TOGETHER = 1 << 21
 NONE = np.iinfo(np.int64).max
 
@@ -36,6 +28,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def regex_words(pattern: str) -> Callable[[str], list[str]]:
+    """What splits a text into the matches of pattern."""
+    import regex
+
+    return regex.compile(pattern).findall
+
+
 class Merges:
     """Ranked merges of one vocabulary."""
 
@@ -128,11 +127,12 @@ class Merges:
         return done
 
     def decode(self, ids: bytes) -> bytes:
+        """The identifiers' bytes strung together."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """documents with columns that make(list of texts) gives."""
+    """documents with columns that make(list of texts, state of the task) gives; runs of texts of about TOGETHER bytes at once."""
     names = [n for n, _, _ in columns]
     kept = documents.drop(*names)
     schema = wider(kept, **{name: kind for name, kind, _ in columns})
@@ -140,122 +140,35 @@ def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            lengths = np.cumsum([len(x or "") for x in batch.column("text").to_pylist()]) if batch.num_rows else []
+            _, ends = utf8(batch.column("text"))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + TOGETHER, "right")))
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
                 rows = batch.slice(at, to - at)
                 made = make([x or "" for x in rows.column("text").to_pylist()], state)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(v, t) for v, (_, _, t) in zip(made, columns, strict=True))], names=[*rows.schema.names, *names])
+                arrays = (pa.array(v, t) for v, (_, _, t) in zip(made, columns, strict=True))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=[*rows.schema.names, *names])
                 at = to
 
     return kept.mapInArrow(run, schema)
 
 
-def literal_map(entries: Iterable[tuple[str, object]], kind: str, buckets: int) -> Column:
-    """A literal map from strings, split in buckets by checksum, as a map is searched entry by entry."""
-    split: list[list[str]] = [[]] * buckets
-    for key, value in entries:
-        at = zlib.crc32(key.encode()) % buckets
-        split[at] = [*split[at], f"{json.dumps(key)}:{json.dumps(value)}"]
-    return F.from_json(F.lit("[" + ",".join("{" + ",".join(x) + "}" for x in split) + "]"), f"array<map<string,{kind}>>")
-
-
-def look_up(literal: Column) -> Callable[[Column], Column]:
-    """Values of a literal map.  Bind the map with let() first: every place that names it holds it whole."""
-    return lambda key: F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % F.size(literal)).cast("int")), key)
-
-
-def literal_list(entries: list, kind: str) -> Callable[[Column], Column]:
-    literal = F.from_json(F.lit(json.dumps(entries)), f"array<{kind}>")
-    return lambda at: F.get(literal, at)
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """Token identifiers of one word, by higher-order functions over its bytes, each a character of a Latin-1 string.
-
-    Each step joins the leftmost pair of least rank; once none is left, the rest of the steps do nothing.
-    """
-
-    def step(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-
-        def joined(ranks: Column) -> Column:
-            def at(p: Column) -> Column:
-                pair = F.array(F.concat(F.get(pieces, p - 1), F.get(pieces, p)))
-                made = F.concat(F.slice(pieces, F.lit(1), p - 1), pair, F.slice(pieces, p + 2, F.size(pieces)))
-                return F.struct(made.alias("pieces"), F.lit(False).alias("done"))
-
-            none = F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))
-            return let(F.array_min(ranks), lambda least: F.when(least.isNull(), none).otherwise(let(F.array_position(ranks, least).cast("int"), at)))
-
-        ranks = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
-        return F.when(state["done"], state).otherwise(let(ranks, joined))
-
-    def merged(b: Column) -> Column:
-        start = F.struct(F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i, F.lit(1))).alias("pieces"), F.lit(False).alias("done"))
-        steps = F.when(F.length(b) > 1, F.sequence(F.lit(2), F.length(b))).otherwise(F.array().cast("array<int>"))
-        whole = F.array(rank(b))
-        return F.when(rank(b).isNotNull(), whole).otherwise(F.aggregate(steps, start, step, lambda s: F.transform(s["pieces"], rank)))
-
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), merged)
-
-
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, frequent: int = FREQUENT) -> DataFrame:
+def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
     """The documents with n_tokens and ids (little-endian unsigned 32-bit), or their digests.
 
-    Each match of pattern in the whole text is a word.  Spark's higher-order functions fold the ranked
-    merges over a word's bytes, by a literal map of the ranks.  The corpus's most frequent distinct words
-    (counted over all texts, ties to the smaller word; at most `frequent` of at most LONG characters, a few
-    megabytes) are folded once and put into the plan as a second literal map; the others are folded where they stand.
-    Steps of the fold grow with the square of a word's length, so texts that may hold a word of more than
-    LONG characters take the same merges with a heap, in tasks of their own.  A null text counts as empty
-    and has no ids.  Every row is encoded alone and keeps its other columns; columns named like the new
-    ones are replaced, and rows may come in another order.  With digests, ids_sha256 and decoded_sha256
-    (of the decoded bytes) stand in place of ids.  Only the words' counts are shuffled.
-    """
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
-    kept = documents.drop(*made)
-    long_word = F.coalesce(F.col("text").rlike(rf"(?U)(?<!\S)\S{{{LONG}}}|(?<!\s)\s{{{LONG}}}"), F.lit(False))
-    short = kept.where(~long_word)
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-
-    ranked = literal_map(((token.decode("latin-1"), r) for token, r in ranks.items()), "int", 1 << 13)
-    counted = short.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word", let(ranked, lambda r: folded(F.col("word"), look_up(r))).alias("ids"))
-    rows = (zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in top.toArrow().to_batches(max_chunksize=1000))
-    known = literal_map(itertools.chain.from_iterable(rows), "array<int>", 1 << 16)
-
-    def tokens(rank: Callable[[Column], Column], frequent: Callable[[Column], Column]) -> Column:
-        return F.flatten(F.transform(words, lambda w: F.coalesce(frequent(w), folded(w, rank))))
-
-    held = short.withColumn(TOKENS, let(ranked, lambda r: let(known, lambda k: tokens(look_up(r), look_up(k)))))
-    size = max(ranks.values()) + 1
-    hexes = literal_list([r.to_bytes(4, "little").hex() for r in range(size)], "string")
-    ids = F.unhex(F.array_join(F.transform(TOKENS, hexes), ""))
-    columns = {"n_tokens": F.size(TOKENS).cast("bigint"), "ids": ids}
-    if digests:
-        pieces: list[str | None] = [None] * size
-        for token, r in ranks.items():
-            pieces[r] = token.decode("latin-1")
-        decoded = F.encode(F.array_join(F.transform(TOKENS, literal_list(pieces, "string")), ""), "ISO-8859-1")
-        columns = {"n_tokens": columns["n_tokens"], "ids_sha256": F.sha2(ids, 256), "decoded_sha256": F.sha2(decoded, 256)}
-    return held.withColumns(columns).drop(TOKENS).unionByName(_by_heap(kept.where(long_word), ranks, pattern, digests))
-
+    Each match of pattern in the whole text is a word.  A task folds the ranked merges over the bytes
+    of its distinct words, each once, by the rank map, and strings the words' identifiers together.
+    It remembers REMEMBERED words at most (then it begins anew), so memory doesn't grow with the
+    table; nothing is shuffled, collected or broadcast but the rank map (about a megabyte).
 
-def _by_heap(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool) -> DataFrame:
-    """As encode, for texts with long words: the merges of each task's distinct words in Arrow batches."""
+    A null text counts as empty and has no ids.  Every row is encoded alone and keeps its place and
+    its other columns; columns named like the new ones are replaced.  With digests, ids_sha256 and
+    decoded_sha256 (of the decoded bytes) stand in place of ids.
+    """
 
     def make(texts: list[str], state: dict) -> list[list]:
-        import regex
-
         if not state:
-            state.update(merges=Merges(ranks), split=regex.compile(pattern).findall, known={})
+            state.update(merges=Merges(ranks), split=regex_words(pattern), known={})
         merges, known = state["merges"], state["known"]
         if len(known) > REMEMBERED:
             known.clear()
@@ -265,8 +178,7 @@ def _by_heap(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digest
         counts = [len(x) // 4 for x in ids]
         if not digests:
             return [counts, ids]
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        return [counts, [sha(x) for x in ids], [sha(merges.decode(x)) for x in ids]]
+        return [counts, *([hashlib.sha256(x).hexdigest() for x in made] for made in (ids, map(merges.decode, ids)))]
 
     if digests:
         return _per_text(documents, make, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())])

@@ -72,8 +72,27 @@ def test_bpe_matches_the_library_and_decodes(spark, odd, none):
     assert clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "kept", "size", "node", "n_tokens", "ids"] and clash.count() == len(ODD)
     assert byte_bpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
     digests = {r["doc_id"]: r for r in QUERIES["op5_byte_bpe"](spark, SF).collect()}
-    one = spark.read.parquet(f"{SF}/documents.parquet").first()
-    assert digests[one["doc_id"]]["decoded_sha256"] == hashlib.sha256(one["text"].encode()).hexdigest()
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = library.encode_ordinary(d["text"] or "")
+        r = digests.pop(d["doc_id"])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+    assert not digests
+
+
+def test_bpe_of_odd_scripts_and_long_words(rng):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    alphabet = ["a", "b", "th", "ing", "é", "漢", "𝒳", "\x85", "\u200d", "\u0300", "0", "9", "%", "'s", "\x00", "\x1c", "ꙮ", "ᚠ"]
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(300)] + ["ab" * 3000, "a" * 5000]
+    merges = byte_bpe.Merges(ranks)
+    encoded = merges.encode(set(words))
+    for w in words:
+        if len(byte_bpe.regex_words(public_tokenizers.PATTERN)(w)) == 1:
+            assert encoded[w] == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(w))
+        ids = b"".join(merges.encode(set(byte_bpe.regex_words(public_tokenizers.PATTERN)(w)))[x] for x in byte_bpe.regex_words(public_tokenizers.PATTERN)(w))
+        assert ids == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(w)) and merges.decode(ids) == w.encode()
 
 
 def test_token_counts_across_blocks(spark, odd, none):
