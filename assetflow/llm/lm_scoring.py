@@ -11,11 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Text, chunks, mix, utf8, written
+from .shared import Text, chunks, mix, written
 
-#: Text bytes in a block of documents, and for each partition of the counts.
-BLOCK_BYTES = 8 << 20
+#: Text bytes in a block of documents (four times that at most, or one document), and for each partition of the counts.
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 6 << 20
+#: Blocks that a task keeps open at once, and their tokens; beyond, the oldest is sent.
+OPEN_BLOCKS, OPEN_TOKENS = 16, 2_000_000
 #: Buckets of context frequency: unseen, then powers of two.
 BUCKETS = 20
 #: Estimates are held to one part in this many of an octave when mixture weights are learned.
@@ -94,7 +96,7 @@ def _requests(documents: DataFrame, parts: int) -> DataFrame:
                 for name in np.unique(block):
                     own = block == name
                     waiting.setdefault(int(name), []).append((pair[own], context[own], train[own], held[own]))
-                while len(waiting) > 4 or sum(len(x[0]) for w in waiting.values() for x in w) > 3_000_000:
+                while len(waiting) > OPEN_BLOCKS or sum(len(x[0]) for w in waiting.values() for x in w) > OPEN_TOKENS:
                     yield flush(next(iter(waiting)))
         for block in list(waiting):
             yield flush(block)
@@ -141,21 +143,33 @@ class Totals:
         return self.words + (self.texts > 0)
 
 
-def _lookup(text: Text, answers: pa.Table) -> tuple[np.ndarray, ...]:
-    """(document, bigram, bigram held, context, context held, word, word held) counts of every token of a block."""
-    context, word, doc = bigrams(text)
-    (key, number, _), (of, place, _) = _sums(_pairs(context, word)), _sums(context)
-    rows = sorted(answers.select(["part", "pairs", "pairs_held", "contexts", "contexts_held"]).to_pylist(), key=lambda r: r["part"])
-    pairs, pairs_held, contexts, contexts_held = (np.concatenate([_unplanes(r[c]) for r in rows]) for c in ("pairs", "pairs_held", "contexts", "contexts_held"))
-    if len(pairs) != len(key) or len(contexts) != len(of):
-        raise RuntimeError(f"a block has {len(key)} bigrams and {len(pairs)} counts; the documents changed between reads")
-    each, each_held = contexts[place], contexts_held[place]
-    # a token is the context of the next one of its text; the end has the count of texts, as the start has
-    last = np.concatenate([doc[1:] != doc[:-1], [True]])[: len(doc)]
-    first = np.concatenate([[True], last[:-1]])[: len(doc)]
-    follow = lambda x: np.where(last, np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)), np.minimum(np.arange(len(x)) + 1, len(x) - 1))
-    at = follow(each)
-    return doc, pairs[number], pairs_held[number], each, each_held, each[at], each_held[at]
+def _lookup(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    """Runs of a block's rows with, for every token, its document within the run and the counts of bigram, context and word, each over training texts and over the held-out ones of them.
+
+    Only the hashes of the whole block are held at once; bytes and estimates are worked on in runs.
+    """
+    runs, pairs, contexts = [], [], []
+    for batch in docs.combine_chunks().to_batches():
+        for rows, text in chunks(batch):
+            context, word, doc = bigrams(text)
+            runs.append((rows, doc.astype(np.int32)))
+            pairs.append(_pairs(context, word))
+            contexts.append(context)
+    (key, number, _), (of, place, _) = _sums(np.concatenate(pairs)), _sums(np.concatenate(contexts))
+    pairs.clear(), contexts.clear()
+    by_part = sorted(answers.select(["part", "pairs", "pairs_held", "contexts", "contexts_held"]).to_pylist(), key=lambda r: r["part"])
+    two, two_held, one, one_held = (np.concatenate([_unplanes(r[c]) for r in by_part]) for c in ("pairs", "pairs_held", "contexts", "contexts_held"))
+    if len(two) != len(key) or len(one) != len(of):
+        raise RuntimeError(f"a block has {len(key)} bigrams and {len(two)} counts; the documents changed between reads")
+    at = 0
+    for rows, doc in runs:
+        n, m = number[at : at + len(doc)], place[at : at + len(doc)]
+        at += len(doc)
+        # a token is the context of the next one of its text; the end has the count of texts, as the start has
+        last = np.concatenate([doc[1:] != doc[:-1], [True]])[: len(doc)]
+        first = np.concatenate([[True], last[:-1]])[: len(doc)]
+        next_ = np.where(last, np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0)), np.minimum(np.arange(len(doc)) + 1, len(doc) - 1))
+        yield rows, (doc, two[n], two_held[n], one[m], one_held[m], one[m[next_]], one_held[m[next_]])
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -167,19 +181,14 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1)) * FINE), -1000).astype(np.int64)
 
 
-def _text_of(table: pa.Table) -> Text:
-    return Text(*utf8(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())))
-
-
 def _held_counts(documents: DataFrame, answers: DataFrame, totals: Totals) -> DataFrame:
     """Held-out tokens by bucket of context frequency and levels of the two estimates from the rest of the training texts."""
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", "two", "one", "n")})
-        _, pair, pair_held, context, context_held, word, word_held = _lookup(_text_of(docs), found)
-        pair, context, word = pair - pair_held, context - context_held, word - word_held
-        key = (_bucket(context) * 4096 + 2048 + _level(pair / np.maximum(context, 1))) * 4096 + 2048 + _level(word / max(1, totals.tokens - totals.held_tokens))
-        key, n = np.unique(key, return_counts=True)
+        keys = [np.zeros(0, np.int64)]
+        for _, (_, pair, pair_held, context, context_held, word, word_held) in _lookup(docs, found) if docs.num_rows else ():
+            pair, context, word = pair - pair_held, context - context_held, word - word_held
+            keys.append((_bucket(context) * 4096 + 2048 + _level(pair / np.maximum(context, 1))) * 4096 + 2048 + _level(word / max(1, totals.tokens - totals.held_tokens)))
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
         return pa.table({"bucket": pa.array(key >> 24), "two": pa.array((key >> 12 & 4095) - 2048), "one": pa.array((key & 4095) - 2048), "n": pa.array(n.astype(np.int64))})
 
     own = documents.where("held").select("block", "text")
@@ -210,15 +219,22 @@ def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.nd
 
 
 def _placed(documents: DataFrame, train: str, held: str) -> tuple[DataFrame, int]:
-    """The documents with train, held and block (the held-out ones, or the others, of a run of rows of one file), and the text's total bytes; a table that isn't read from Parquet files is written first."""
+    """The documents with train, held and block, and the text's total bytes; a table that isn't read from Parquet files is written first.
+
+    A block is the held-out ones, or the others, of a run of rows of one file that have texts of about one
+    length: within four times the mean, or between two powers of four of it, where runs are as much shorter.
+    So a run of long texts fills no block beyond four times BLOCK_BYTES.
+    """
     flag = lambda c: F.coalesce(F.expr(c), F.lit(False))
     try:
         documents.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
     except AnalysisException:
         documents = written(documents, "lm-documents")
     total, n = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    rows = max(1, int((n or 1) * BLOCK_BYTES / max(1, total or 1)))
-    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows), flag(train) & flag(held))
+    mean = max(1.0, (total or 0) / max(1, n))
+    longer = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)) / mean)) - 1)
+    rows = F.greatest(F.lit(1), F.floor(BLOCK_BYTES / mean / F.pow(F.lit(4), longer)))
+    place = F.xxhash64("_metadata.file_path", longer, F.floor(F.col("_metadata.row_index") / rows), flag(train) & flag(held))
     return documents.select("doc_id", "text", place.alias("block"), flag(train).alias("train"), (flag(train) & flag(held)).alias("held")), total or 0
 
 
@@ -252,15 +268,16 @@ def lm_scores(documents: DataFrame, train: str, held: str) -> DataFrame:
     weights = learn_weights(*(grid.column(c).to_numpy() for c in ("bucket", "two", "one", "n")), uniform)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
-        doc, pair, _, context, _, word, _ = _lookup(_text_of(docs), found)
-        w = weights[_bucket(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(1, totals.tokens) + w[:, 2] * uniform
-        base = np.log10((word + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
-        n = docs.num_rows
-        add = lambda x: np.bincount(doc, x, n)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(add(word > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, totals.tokens)), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
+        kinds = [("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]
+        out = []
+        for rows, (doc, pair, _, context, _, word, _) in _lookup(docs, found) if docs.num_rows else ():
+            w, n = weights[_bucket(context)], rows.num_rows
+            p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(1, totals.tokens) + w[:, 2] * uniform
+            base = np.log10((word + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
+            known, of_all = np.bincount(doc, word > 0, n).astype(np.int64), np.full(n, totals.tokens)
+            columns = [rows.column("doc_id"), np.bincount(doc, minlength=n), known, of_all, np.bincount(doc, base, n), np.bincount(doc, np.log10(p), n)]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=pa.schema(kinds)))
+        return pa.Table.from_batches(out, pa.schema(kinds))
 
     both = placed.selectExpr("cast(doc_id as bigint) doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
