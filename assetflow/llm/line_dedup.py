@@ -13,14 +13,17 @@ LEAST_WORDS = 8
 BROADCAST_ROWS = 300_000
 
 
-def _words(line: Column) -> Column:
-    plain = ~line.rlike(r"[\t\x0B\f\r]")  # a split at one blank needs no pattern
-    return F.filter(F.when(plain, F.split(line, " ")).otherwise(F.split(line, r"[ \t\x0B\f\r]+")), lambda w: w != "")
+def _plain(line: Column) -> Column:
+    """The line's words with one blank between them."""
+    odd = line.rlike(r"[\t\x0B\f\r]|  |^ | $")
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
-def _raw_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line."""
-    return documents.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _lines(documents: DataFrame) -> DataFrame:
+    """doc_id, doc_hash (of the text), line_no (from 0) and line (its words) of every line with a word."""
+    rows = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
+    split = rows.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.withColumn("line", _plain(F.col("line"))).where("line <> ''")
 
 
 def _halves(least: int) -> Column:
@@ -28,11 +31,13 @@ def _halves(least: int) -> Column:
 
     Two lines that are one word apart agree on all before or all behind the odd word, so on the
     first or the last half of the shorter; a line that shares none of its keys has no such partner.
+    Keys hold the length of the half: a line with an odd number of words has two, as both halves are one.
     """
-    def keys(m: str) -> str:
-        return f"xxhash64({m}, 'a', slice(words, 1, {m} div 2)), xxhash64({m}, 'z', slice(words, size(words) - {m} div 2 + 1, {m} div 2))"
+    def keys(half: str) -> str:
+        return f"xxhash64({half}, 'a', substring_index(line, ' ', {half})), xxhash64({half}, 'z', substring_index(line, ' ', -({half})))"
 
-    return F.expr(f"case when size(words) > {least} then array({keys('size(words)')}, {keys('(size(words) - 1)')}) when size(words) = {least} then array({keys('size(words)')}) else cast(array() as array<bigint>) end")
+    both = f"array({keys('n div 2')}, {keys('n div 2 - 1')})"
+    return F.expr(f"case when n > {least} and n % 2 = 0 then {both} when n >= {least} then array({keys('n div 2')}) else cast(array() as array<bigint>) end")
 
 
 def _apart_by_one(x: str, y: str) -> Column:
@@ -43,26 +48,27 @@ def _apart_by_one(x: str, y: str) -> Column:
 
 
 def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines that go: doc_id, line_no, near (false: an earlier line is equal; true: one is a word away).
+    """Lines that go: doc_id, doc_hash (of the text), line_no, near (false: an earlier line is equal; true: one is a word away).
 
-    Earlier means a smaller (doc_id, line_no).
+    Earlier means a smaller (doc_id, doc_hash, line_no).
     """
-    raw = _raw_lines(documents)
-    lines = raw.select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    made = written(lines.select("doc_id", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), _halves(least_words).alias("keys")), "lines")
-    distinct = made.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.max("n").alias("n"), F.max("keys").alias("keys"))
+    place = F.struct("doc_id", "doc_hash", "line_no")
+    lines = _lines(documents).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    made = lines.select(place.alias("pos"), "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), _halves(least_words).alias("keys"))
+    made = written(made, "lines")
+    distinct = made.groupBy("h", "g").agg(F.min("pos").alias("first"), F.max("n").alias("n"), F.max("keys").alias("keys"))
     distinct = written(distinct, "distinct-lines")
-    equal = made.select("doc_id", "line_no", "h", "g").join(distinct.select("h", "g", "pos"), ["h", "g"]).where(F.struct("doc_id", "line_no") > F.col("pos")).select("doc_id", "line_no", F.lit(False).alias("near"))
+    equal = made.select("pos", "h", "g").join(distinct.select("h", "g", "first"), ["h", "g"]).where("pos > first").select("pos.*", F.lit(False).alias("near"))
 
-    halves = distinct.select("pos", "h", "n", F.posexplode("keys").alias("k", "key"))
+    halves = distinct.select(F.col("first").alias("pos"), "h", "n", F.posexplode("keys").alias("k", "key"))
     shared = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     # a shared first half leaves the odd word to the positions behind it, a shared last half to those before it
-    half = F.floor((F.col("n") - F.floor(F.col("k") / 2)) / 2)
+    half = F.expr("n div 2 - k div 2")
     suspects = halves.join(shared, "key").groupBy("pos").agg(F.min(F.when(F.col("k") % 2 == 0, half)).alias("behind"), F.max(F.when(F.col("k") % 2 == 1, F.col("n") - half)).alias("before"))
-    suspects = written(suspects.select("pos.doc_id", "pos.line_no", "behind", "before"), "suspect-lines")
+    suspects = written(suspects.select("pos.*", "behind", "before"), "suspect-lines")
     at_hand = F.broadcast(suspects) if suspects.count() <= BROADCAST_ROWS else suspects
-    found = raw.join(at_hand, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
-    texts = written(found.select(F.struct("doc_id", "line_no").alias("pos"), _words(F.col("line")).alias("words"), "behind", "before"), "suspect-texts")
+    found = _lines(documents).join(at_hand, ["doc_id", "doc_hash", "line_no"]).dropDuplicates(["doc_id", "doc_hash", "line_no"])
+    texts = written(found.select(place.alias("pos"), F.split("line", " ").alias("words"), "behind", "before"), "suspect-texts")
 
     without = lambda i: F.concat(F.expr("slice(words, 1, i - 1)"), F.expr("slice(words, i + 1, size(words))"))
     spread = texts.select("pos", "words", F.explode(F.expr("filter(sequence(1, size(words)), i -> i > behind or i <= before)")).alias("i")).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
@@ -79,7 +85,7 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     earlier = F.when(F.col("kind") == "s", F.col("first_s")).when(F.col("kind") == "d", F.col("first_f")).otherwise(F.col("first_d"))
     pairs = variants.join(meet, ["k", "k2"]).select("pos", earlier.alias("witness")).where("witness < pos").distinct()
     one, two = texts.select("pos", F.col("words").alias("x")), texts.select(F.col("pos").alias("witness"), F.col("words").alias("y"))
-    near = pairs.join(one, "pos").join(two, "witness").where(_apart_by_one("x", "y")).select("pos.doc_id", "pos.line_no").distinct().withColumn("near", F.lit(True))
+    near = pairs.join(one, "pos").join(two, "witness").where(_apart_by_one("x", "y")).select("pos.*").distinct().withColumn("near", F.lit(True))
     return equal.unionByName(near)
 
 
@@ -88,25 +94,28 @@ def line_dedup(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     columns n_lines, n_equal and n_near (lines with a word; those dropped) are added or replaced.
 
     Lines compare as their words; lines without a word stay and count for nothing.  A line goes when
-    any line before it, by (doc_id, line_no), is equal or, from least_words words on in both, within
-    one word of it, whether that line itself stays or not.  Every variant with one word left out
-    becomes a hashed key; the earliest line of each key is found by a partial aggregation, so a key
-    that very many lines share is never gathered, and what meets is verified on the words.  Only
-    lines that share a half with another emit variants, which loses none.  Rows with a null doc_id
-    take no part and stay as they are; rows that share a doc_id are one document and dedup nothing
-    of each other at the same line_no.  A null text stays null.
+    any line before it, by (doc_id, hash of the text, line_no), is equal or, from least_words words on
+    in both, within one word of it, whether that line itself stays or not.  Every variant with one word
+    left out becomes a hashed key; the earliest line of each key is found by a partial aggregation, so a
+    key that very many lines share is never gathered, and what meets is verified on the words.  Only
+    lines that share a half with another emit variants, which loses none.  Rows with a null doc_id take
+    no part and stay as they are.  Rows that share doc_id and text are one document: they lose the same
+    lines and none to each other; rows that share only the doc_id are documents of their own.  A null
+    text stays null.  Other columns stay, whatever their names.
     """
-    gone = dropped_lines(documents, least_words).groupBy("doc_id").agg(
-        F.collect_set("line_no").alias("gone"), F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near")
-    ).withColumnRenamed("doc_id", "gone_id")
+    by = dropped_lines(documents, least_words).groupBy("doc_id", "doc_hash")
+    gone = by.agg(F.collect_set("line_no").alias("__gone"), F.count_if(~F.col("near")).alias("__equal"), F.count_if("near").alias("__near"))
+    gone = gone.withColumnsRenamed({"doc_id": "__doc", "doc_hash": "__hash"})
     kept = documents.drop("n_lines", "n_equal", "n_near")
-    joined = kept.join(gone, kept["doc_id"] == gone["gone_id"], "left")
+    joined = kept.join(gone, (kept["doc_id"] == gone["__doc"]) & (F.xxhash64(kept["text"]) == gone["__hash"]), "left")
     lines = F.split("text", "\n")
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n"))
+    # the lines are split once for a text: within the outer function they have a name
+    rest = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n"))
+    left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(rest, 0))
     worded = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^ \t\x0B\f\r]"))), F.lit(0))
-    columns = [left.alias("text") if c == "text" else F.col(c) for c in kept.columns]
-    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(worded).cast("bigint").alias("n_lines"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    columns = [left.alias("text") if c == "text" else kept[c] for c in kept.columns]
+    counts = [F.coalesce(f"__{c}", F.lit(0)).alias(f"n_{c}") for c in ("equal", "near")]
+    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(worded).cast("bigint").alias("n_lines"), *counts)
 
 
 #: The digest of the query over a table documents, as DuckDB SQL.

@@ -49,6 +49,8 @@ def test_line_dedup_matches_plain_python(spark, odd, none, rng):
         rows.append((d, "\n".join(lines)))
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.dropped_lines(documents).collect()}
+    for least in (2, 5):
+        assert {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.dropped_lines(documents, least).collect()} == plain_dedup(rows, least)
     assert got == plain_dedup(rows, 8) and set(got.values()) == {True, False}
     out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(documents).collect()}
     assert out == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in got) for d, t in rows}
@@ -60,6 +62,16 @@ def test_line_dedup_matches_plain_python(spark, odd, none, rng):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_keeps_rows_of_one_doc_id_apart(spark):
+    """Rows that share a doc_id but not the text lose no line of their own; columns with internal-looking names stay."""
+    rows = [(1, "aaa bbb"), (2, "aaa bbb"), (2, "only here once"), (2, "only here once"), (3, "only here once\nand more")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("gone", "gone_id", "pos", "line", "line_no", "near", "doc_hash")})
+    out = line_dedup.line_dedup(documents)
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_equal"]) for r in out.collect())
+    assert got == [(1, "aaa bbb", 1, 0), (2, "", 1, 1), (2, "only here once", 1, 0), (2, "only here once", 1, 0), (3, "and more", 2, 1)]
+    assert out.columns == [*documents.columns, "n_lines", "n_equal", "n_near"] and all(r["gone"] == "gone" and r["near"] == "near" for r in out.collect())
+
+
 def test_license_scan(spark, odd, none):
     mit = "MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
     rows = [(1, mit), (2, "Some words. Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (3, "Licensed under CC BY-NC 4.0. Released under the MIT License."), (4, "nothing"), (5, "Licensed under CC BY 4.0 or so."), (6, None), (6, "")]
