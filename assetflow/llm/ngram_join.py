@@ -21,6 +21,8 @@ WORDS = 5
 LIGHT = 64
 #: Members of a large group that one task compares with as many others.
 SIDE = 512
+#: Nearest partners of a member that the first round across components takes.
+MOST = 2
 #: Rows of 64-bit values that may be broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 500_000
 #: Text bytes for each partition of the signatures.
@@ -293,71 +295,142 @@ def _linked(pairs: DataFrame, documents: DataFrame, sets: DataFrame) -> DataFram
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _compare(members: DataFrame) -> DataFrame:
-    """Possible pairs of different components within clusters: members has cluster, main, sides, node, component, n_shingles, sketch.
+def _nearest(left: int, partners: np.ndarray, apart: np.ndarray, most: int, found: tuple[list[int], list[int]]) -> bool:
+    """Adds left's `most` nearest partners to the pairs found; whether some were left out."""
+    cut = len(partners) > most
+    if cut:
+        partners = partners[np.argpartition(apart, most - 1)[:most]]
+    found[0].extend(np.minimum(partners, left).tolist())
+    found[1].extend(np.maximum(partners, left).tolist())
+    return cut
 
-    A cluster of more than SIDE members is compared in blocks.  With a main component only what lies
-    outside it is compared with the rest.
+
+def _compare(members: DataFrame, most: int) -> DataFrame:
+    """Possible pairs of different components within clusters: a and b, and cluster null.
+
+    members: cluster, main, sides, node, component, n_shingles, sketch, asked.  A cluster of more than
+    SIDE members is compared in blocks.  With a main component only what lies outside it is compared
+    with the rest.  Each asked row gives its `most` nearest partners in a block; where that leaves any
+    out there is a row with its node as a, b null and its cluster.
     """
-    own = members.withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("outside", F.col("main").isNull() | (F.col("component") != F.col("main")))
+    out = F.col("main").isNull() | (F.col("component") != F.col("main"))
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("outside", out)
     to = lambda low, high: F.explode(F.sequence(low, high))
     zero, last = F.lit(0), F.col("sides") - 1
-    left = own.where("outside").withColumn("j", to(F.when(F.col("main").isNull(), F.col("own")).otherwise(zero), last)).withColumn("i", F.col("own")).withColumn("right", F.lit(False))
+    left = own.where("asked and outside").withColumn("j", to(F.when(F.col("main").isNull(), F.col("own")).otherwise(zero), last)).withColumn("i", F.col("own")).withColumn("right", F.lit(False))
     right = own.withColumn("i", to(zero, F.when(F.col("main").isNull(), F.col("own")).otherwise(last))).withColumn("j", F.col("own")).withColumn("right", F.lit(True))
-    spread = left.unionByName(right).select("cluster", "i", "j", "right", "node", "component", "n_shingles", "sketch", "outside")
-    spread = spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
+    columns = ["cluster", "i", "j", "right", "node", "component", "n_shingles", "outside", "asked", "sketch"]
+    spread = left.unionByName(right).select(*columns).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
 
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        size = min(len(r[4]) for r in rows)
-        bits = np.stack([_folded(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
+    def pairs(rows: list[tuple], apart: bool, found: tuple[list[int], list[int]]) -> list[int]:
+        """Adds the pairs of a block to those found; the nodes that have more.  rows: right, node, component, n_shingles, outside, asked, sketch."""
+        size = min(len(r[6]) for r in rows)
+        bits = np.stack([_folded(np.frombuffer(r[6], np.uint8), size) for r in rows]).view(np.uint64)
         node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        outside = np.array([r[5] for r in rows])
-        split = sum(not r[0] for r in rows)
+        outside = np.array([r[4] for r in rows])
+        split, more = sum(not r[0] for r in rows), []
+        rest = slice(split, None)
         for k in range(split):
-            rest = slice(split, None)
             low, high, total = np.minimum(n[k], n[rest]), np.maximum(n[k], n[rest]), n[k] + n[rest]
-            ok = (comp[rest] != comp[k]) & (BELOW * low >= ABOVE * high) & ((node[rest] > node[k]) | ~outside[rest] | (rows[k][6] & (node[rest] != node[k])))
-            at = np.flatnonzero(ok)
-            at = at[np.bitwise_count(bits[split + at] ^ bits[k]).sum(1) <= (total - 2 * -(-ABOVE * total // (ABOVE + BELOW)))[at]]
-            a += [min(int(node[k]), int(x)) for x in node[split + at]]
-            b += [max(int(node[k]), int(x)) for x in node[split + at]]
-        return a, b
-
-    def few(rows: list[tuple]) -> tuple[list[int], list[int]]:
+            once = (node[rest] > node[k]) | ~outside[rest] | (apart & (node[rest] != node[k]))
+            at = np.flatnonzero(once & (comp[rest] != comp[k]) & (BELOW * low >= ABOVE * high))
+            differ = np.bitwise_count(bits[split + at] ^ bits[k]).sum(1)
+            near = differ <= (total - 2 * -(-ABOVE * total // (ABOVE + BELOW)))[at]
+            if _nearest(int(node[k]), node[split + at[near]], differ[near], most, found):
+                more.append(int(node[k]))
+        return more
+
+    def few(rows: list[tuple], found: tuple[list[int], list[int]]) -> list[int]:
         """The same for a cluster in one block, in whole numbers: no arrays for a handful of rows."""
-        a, b = [], []
-        rows = [r for r in rows if r[0]]
-        for k, (_, x, c, n, s, out, _) in enumerate(rows):
-            for _, y, d, m, t, out2, _ in rows[k + 1 :]:
-                if c != d and (out or out2) and BELOW * min(n, m) >= ABOVE * max(n, m):
+        rows, more = [r for r in rows if r[0]], []
+        for k, (_, x, c, n, out, ask, s) in enumerate(rows):
+            near = []
+            for other, (_, y, d, m, out2, _, t) in enumerate(rows) if out and ask else ():
+                if c != d and (not out2 or y > x) and other != k and BELOW * min(n, m) >= ABOVE * max(n, m):
                     size = min(len(s), len(t))
                     u, v = (z if len(z) == size else _folded(np.frombuffer(z, np.uint8), size).tobytes() for z in (s, t))
-                    if (int.from_bytes(u) ^ int.from_bytes(v)).bit_count() <= most_apart(n, m):
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-        return a, b
+                    if (differ := (int.from_bytes(u) ^ int.from_bytes(v)).bit_count()) <= most_apart(n, m):
+                        near.append((differ, y))
+            if near and _nearest(x, np.array([y for _, y in near]), np.array([d for d, _ in near]), most, found):
+                more.append(x)
+        return more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = few(rows) if len(rows) <= 40 and key[1] == key[2] else pairs(rows)
-            both = np.unique(np.array([a, b], np.int64), axis=1) if a else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            found: tuple[list[int], list[int]] = ([], [])
+            _, i, j = key
+            more = few(rows, found) if len(rows) <= 40 and i == j else pairs(rows, i != j, found)
+            both = np.unique(np.array(found, np.int64), axis=1)
+            a, n = np.concatenate([both[0], np.array(more, np.int64)]), both.shape[1]
+            b = pa.array([*both[1].tolist(), *[None] * len(more)], pa.int64())
+            cluster = pa.array([*[None] * n, *[key[0]] * len(more)], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), b, cluster], names=["a", "b", "cluster"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "right", "node", "component", "n_shingles", "sketch", "outside")]
-            for c, i, j, *rest in zip(*columns, strict=True):
+            for c, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if (c, i, j) != key:
                     if rows and (out := done()).num_rows:
                         yield out
                     key, rows = (c, i, j), []
-                rows.append((*rest, i != j))
+                rows.append(tuple(rest))
         if rows and (out := done()).num_rows:
             yield out
 
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    return spread.mapInArrow(run, "a bigint, b bigint, cluster bigint").distinct()
+
+
+def _clusters(found: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the groups that more than one component shares: cluster, main, node, component.
+
+    In groups of more than LIGHT those alone are members that have more empty or common segments than
+    their scheme's slack, since any other linked pair also shares a rarer one.  Groups of the same
+    members count once; those that one component rules are one cluster, as near copies share very many.
+    """
+    members = found.where("not star").select("node", F.col("other").alias("group"), "size", "lower")
+    labelled = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowd = members.where(F.col("size") > LIGHT).groupBy("node", "lower").agg(F.count("*").alias("n"))
+    slack, weight = (F.when(F.col("lower") == 0, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")) for x in ("slack", "weight"))
+    spent = crowd.join(nodes, "node").where(F.col("n") * weight > slack).select("node", "lower", F.lit(True).alias("spent"))
+    open_ = labelled.join(spent, ["node", "lower"], "left").where((F.col("size") <= LIGHT) | F.col("spent"))
+    parts = open_.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    mixed = parts.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("who").alias("who"), F.count("*").alias("k")).where("k > 1")
+    main = F.when(F.col("top.n") * 2 >= F.col("n"), F.col("top.component"))
+    once = mixed.groupBy("n", "who").agg(F.min("group").alias("group"), F.first(main).alias("main"))
+    once = once.select("group", "main", F.when(F.col("main").isNull(), F.col("group")).otherwise(F.xxhash64("main", F.lit(1))).alias("cluster"))
+    return open_.join(once, "group").groupBy("cluster", "node").agg(F.first("main").alias("main"), F.first("component").alias("component"))
+
+
+def _relabelled(clusters: DataFrame, links: DataFrame, cut: DataFrame) -> DataFrame:
+    """The clusters that have rows of cut and still hold more than one component of the links; asked: those rows."""
+    now = components(links)
+    clusters = clusters.drop("component", "asked").join(cut.select("cluster").distinct(), "cluster", "left_semi")
+    clusters = clusters.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_main = now.select(F.col("node").alias("main"), F.col("component").alias("its"))
+    clusters = clusters.join(of_main, "main", "left").withColumn("main", F.coalesce("its", "main")).drop("its")
+    open_ = clusters.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster")
+    return clusters.join(open_, "cluster").join(cut.withColumn("asked", F.lit(True)), ["cluster", "node"], "left").fillna(False, ["asked"])
+
+
+def _links_across(clusters: DataFrame, links: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links and those that clusters add, until no two components of a cluster have an unverified possible pair.
+
+    In each round every member outside its cluster's main component meets its nearest possible partners
+    of other components; what is verified merges.  Those that had more partners than the round took
+    go on with eight times as many, as far as their clusters still fall into components; so members of
+    one component join in few rounds, and the pairs stay in proportion to the members.
+    """
+    most, left = MOST, clusters.withColumn("asked", F.lit(True))
+    while True:
+        left = written(left, "clusters")
+        sides = left.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+        found = written(_compare(left.join(sides, "cluster").join(nodes.select("node", "n_shingles", "sketch"), "node"), most), "more-pairs")
+        links = written(links.unionByName(_linked(found.where("b is not null").select("a", "b").distinct(), documents, nodes)), "more-links")
+        cut = found.where("b is null").select("cluster", F.col("a").alias("node"))
+        if cut.isEmpty():
+            return links
+        left, most = _relabelled(left, links, cut), most * 8
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -367,10 +440,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     A node's shingles are hashed into segments by its size band; linked sets agree on some segments
     (or, where the scheme says so, differ there by one token), so each segment's subset, and its
     one-deletion neighbourhood, is a signature.  Documents that share a signature are first compared
-    with one of them, then only across components: all of them in groups of up to LIGHT; in larger
-    groups those alone that have more empty or common segments than their scheme's slack, since any
-    other linked pair also shares a rarer one.  Sketches rule pairs out; the rest is verified on the
-    whole sets.  No pair is lost, and no group is gathered whole: large ones are compared in blocks.
+    with one of them, then only across components, in rounds: each with its nearest partners, until no
+    possible pair of two components is left (see _clusters and _links_across).  Sketches rule pairs out;
+    the rest is verified on the whole sets.  No link between components is lost, and no group is
+    gathered whole: large ones are compared in blocks.
 
     Null and empty texts have an empty set and link with nothing.  Rows with a null doc_id take part
     (component_id is null where nothing else is reachable).  Repeated doc_ids give a row each.
@@ -384,23 +457,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     stars = found.where("star").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     links = written(_linked(written(_possible(stars, nodes), "pairs"), keyed, nodes), "star-links")
     if not found.where("not star").isEmpty():
-        members = found.where("not star").select("node", F.col("other").alias("group"), "size", "lower")
-        labelled = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        crowd = members.where(F.col("size") > LIGHT).groupBy("node", "lower").agg(F.count("*").alias("n"))
-        slack, weight = (F.when(F.col("lower") == 0, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")) for x in ("slack", "weight"))
-        spent = crowd.join(nodes, "node").where(F.col("n") * weight > slack).select("node", "lower", F.lit(True).alias("spent"))
-        open_ = labelled.join(spent, ["node", "lower"], "left").where((F.col("size") <= LIGHT) | F.col("spent"))
-        parts = open_.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-        mixed = parts.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("who").alias("who"), F.count("*").alias("k")).where("k > 1")
-        # groups of the same members count once; those that one component rules are one cluster, as near copies share very many
-        main = F.when(F.col("top.n") * 2 >= F.col("n"), F.col("top.component"))
-        once = mixed.groupBy("n", "who").agg(F.min("group").alias("group"), F.first(main).alias("main"))
-        once = once.select("group", "main", F.when(F.col("main").isNull(), F.col("group")).otherwise(F.xxhash64("main", F.lit(1))).alias("cluster"))
-        rest = open_.join(once, "group").groupBy("cluster", "node").agg(F.first("main").alias("main"), F.first("component").alias("component"))
-        sides = rest.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
-        rest = rest.join(sides, "cluster").join(nodes.select("node", "n_shingles", "sketch"), "node")
-        more = written(_compare(rest), "more-pairs")
-        links = links.unionByName(_linked(more, keyed, nodes))
+        links = _links_across(_clusters(found, nodes, links), links, keyed, nodes)
     joined = components(links)
     # components of nodes, then of documents: each component takes its least doc_id
     placed = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
