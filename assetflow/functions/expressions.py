@@ -11,6 +11,7 @@ from assetflow.states import STATES
 IMAGE = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "svg"]
 RASTER = ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff"]
 MODEL = ["fbx", "obj", "stl", "gltf", "glb"]
+MODEL_TYPES = ["fbx", "obj", "gltf", "glb", "blend"]
 TEXTURE = ["png", "jpg", "jpeg", "webp", "tga"]
 MAIN, DETAIL = "主体", "细节"
 KEYWORDS = {
@@ -77,8 +78,8 @@ def catalog_role(kind: Column, path: Column) -> Column:
 
 
 def type_of_formats(formats: Column) -> Column:
-    has = lambda known: F.arrays_overlap(formats, F.array(*map(F.lit, known)))
-    return F.when(has(MODEL), "model").when(has(IMAGE), "image").otherwise("other")
+    has = lambda known: F.arrays_overlap(F.transform(formats, F.lower), F.array(*map(F.lit, known)))
+    return F.when(has(MODEL_TYPES), "model").when(has(IMAGE), "image").otherwise("other")
 
 
 def label(title: Column, path: Column, md5: Column) -> Column:
@@ -91,7 +92,8 @@ def idempotency_key(source_id: Column, md5: Column, path: Column, title: Column)
 
 
 def resume_key(source_id: Column, md5: Column, path: Column, title: Column) -> Column:
-    return F.coalesce(*(F.concat(F.lit(f"{k}:"), blank(x)) for k, x in (("source", source_id), ("md5", md5), ("path", path), ("title", title))), F.lit(""))
+    """The first of the four that isn't empty, behind its kind; white space counts."""
+    return F.coalesce(*(F.concat(F.lit(f"{k}:"), F.nullif(x, F.lit(""))) for k, x in (("source", source_id), ("md5", md5), ("path", path), ("title", title))), F.lit(""))
 
 
 def state_ordinal(state: Column) -> Column:
@@ -121,32 +123,109 @@ def fingerprint(id_: Column, source: Column, pack: Column, kind: Column, path: C
     return F.md5(text)
 
 
+#: White space as Python's str.split and str.strip know it.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"(?<!{SPACE}){SPACE}+$", "")
+
+
+def cleaned(text: Column) -> Column:
+    """The text with one blank for each run of white space and none at the ends; null where nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
+
+
+def message_text(content: Column) -> Column:
+    """The text of a model's message: of a JSON list its parts' texts in lines, else the content itself."""
+    parts = F.from_json(content, "array<struct<text: string>>")
+    lines = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x.isNotNull()), "\n")
+    return F.when(F.ltrim(content).startswith("[") & parts.isNotNull(), stripped(lines)).otherwise(content)
+
+
 def parsed_output(text: Column) -> tuple[Column, Column]:
-    """(main, detail) of a model's output: the last line with each prefix, else the first and the second line."""
-    lines = F.filter(F.transform(F.split(F.trim(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """(main, detail) of a model's output: what stands behind each prefix in the last line with it.
+
+    Without that, main is the first line and detail the second one as it is, or main where there is none.
+    """
+    lines = F.split(stripped(text), "\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
+
+    def part(prefix: str) -> Column:
+        own = F.filter(F.transform(lines, stripped), lambda x: x.rlike(f"^{prefix}[：:]"))
+        return F.nullif(stripped(F.regexp_replace(F.try_element_at(own, F.lit(-1)), f"^{prefix}[：:]", "")), F.lit(""))
 
-    def part(prefix: str, at: int) -> Column:
-        own = F.filter(lines, lambda x: x.rlike(f"^{prefix}[：:]"))
-        return F.coalesce(F.trim(F.regexp_replace(F.try_element_at(own, F.lit(-1)), f"^{prefix}[：:]", "")), F.try_element_at(lines, F.lit(at)), F.lit(""))
+    main = F.coalesce(part(MAIN), F.get(lines, 0), F.lit(""))
+    return main, F.coalesce(part(DETAIL), F.get(lines, 1), main)
 
-    return part(MAIN, 1), part(DETAIL, 2)
 
+def _error(code: str, *message: Column | str) -> Column:
+    text = F.concat(*(F.lit(m) if isinstance(m, str) else m.cast("string") for m in message))
+    return F.struct(F.lit(code).alias("code"), text.alias("message"))
 
+
+# Fixed values in the next three: codes and messages of the checks.
 def format_error(text: Column) -> Column:
-    lines = F.split(F.trim(text), "\n")
-    ok = (F.size(lines) == 2) & F.startswith(F.get(lines, 0), F.lit(f"{MAIN}：")) & F.startswith(F.get(lines, 1), F.lit(f"{DETAIL}："))
-    return F.when(~ok, "INVALID_FORMAT")
+    """code and message where the text isn't two lines with the two prefixes; null where it is."""
+    lines = F.split(stripped(text), "\n")
+    begins = lambda i, prefix: F.startswith(F.get(lines, i), F.lit(f"{prefix}："))
+    return (
+        F.when(F.size(lines) != 2, _error("FORMAT_ERROR", "期望2行，实际", F.size(lines), "行"))
+        .when(~begins(0, MAIN), _error("FORMAT_ERROR", f"第一行必须以'{MAIN}：'开头")).when(~begins(1, DETAIL), _error("FORMAT_ERROR", f"第二行必须以'{DETAIL}：'开头"))
+    )
 
 
 def length_error(text: Column, least: int = 100, most: int = 220) -> Column:
+    """code and message where the text without prefixes and line ends is too short or too long."""
     n = F.char_length(F.regexp_replace(text, f"{MAIN}：|{DETAIL}：|\n", ""))
-    return F.when(n < least, "TOO_SHORT").when(n > most, "TOO_LONG")
+    return F.when(n < least, _error("TOO_SHORT", "描述字数 ", n, f" 不足最低 {least}")).when(n > most, _error("TOO_LONG", "描述字数 ", n, f" 超过上限 {most}"))
 
 
 def keyword_error(text: Column, kind: Column) -> Column:
-    known = F.create_map(*(x for k, words in KEYWORDS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))))
-    words = F.try_element_at(known, kind)
-    return F.when(words.isNotNull() & ~F.exists(words, lambda w: F.contains(text, w)), "MISSING_KEYWORD")
+    """code and message where the text holds no keyword of its kind; kinds without keywords have none."""
+    error = F.lit(None)
+    for k, words in KEYWORDS.items():
+        lacking = ~F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+        error = F.when((kind == k) & lacking, _error("MISSING_KEYWORD", f"描述中缺少资源类型关键词，期望包含 {words} 之一")).otherwise(error)
+    return error
+
+
+def description_error(text: Column, kind: Column) -> Column:
+    """code and message of the first of the checks of format, length and keywords that fails."""
+    return F.coalesce(format_error(text), length_error(text), keyword_error(text, kind))
+
+
+# Labels of the context's lines in their order; texts, lists, counts and the ratio are left out when empty.
+CONTEXT = [
+    ("resource_type", "资源类型"), ("llm_input_type", "LLM输入模态"), ("title", "资源标题"), ("pack_name", "资源包"), ("resource_path", "资源路径"), ("source", "来源站点"), ("category", "来源分类"),
+    ("source_tags", "来源标签"), ("source_description", "来源描述"), ("member_count", "成员文件数"), ("asset_formats", "文件格式分布"), ("preview_strategy", "预览策略"), ("preview_mode", "预览模式"),
+    ("preview_confidence", "预览置信度"), ("missing_file_ratio", "缺失文件比例"),
+]
+
+
+def prompt_context(fields: dict[str, Column], more: Column | None = None) -> Column:
+    """Labelled lines of a resource's fields (by the names of CONTEXT) for a prompt, then those of the map more.
+
+    resource_type and preview_strategy always have a line; the other texts, the lists (joined by ", "),
+    member_count and missing_file_ratio (two decimals) only if they aren't empty or zero.
+    """
+    def line(name: str, label: str) -> Column:
+        x = fields[name]
+        if name in ("source_tags", "asset_formats"):
+            x = F.nullif(F.array_join(F.filter(x, lambda v: v != ""), ", "), F.lit(""))
+        elif name == "missing_file_ratio":
+            x = F.when(x != 0, F.format_string("%.2f", x))
+        elif name == "member_count":
+            x = F.when(x != 0, x.cast("string"))
+        elif name not in ("resource_type", "preview_strategy"):
+            x = F.nullif(x, F.lit(""))
+        return F.concat(F.lit(f"{label}: "), x)
+
+    lines = [line(name, label) for name, label in CONTEXT if name in fields]
+    if more is not None:
+        given = F.filter(F.map_entries(more), lambda e: e["value"] != "")
+        lines.append(F.nullif(F.array_join(F.transform(given, lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n"), F.lit("")))
+    return F.concat_ws("\n", *lines)
 
 
 def template_embedding(text: Column, dim: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetflow.functions.expressions import state_ordinal
-from assetflow.states import COMPLETED, FAILED, RESUMABLE
+from assetflow.states import CONTINUED, FAILED, REUSABLE
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -28,41 +28,77 @@ def rollup(tasks: DataFrame, files: DataFrame, descriptions: DataFrame) -> DataF
     return out.na.fill(0, ["file_count", "total_size"]).na.fill("", ["formats"]).na.fill(False, ["has_description"])
 
 
-def dedup_decision(requests: DataFrame, tasks: DataFrame, descriptions: DataFrame, prompt: str) -> DataFrame:
-    """What to do with a request, by the latest task of equal content: new, reuse_all, rerun_description or resume."""
+def dedup_decision(requests: DataFrame, tasks: DataFrame, descriptions: DataFrame, embeddings: DataFrame, prompt: str, model: str) -> DataFrame:
+    """What to do with a request, by the latest task of equal content: req_id, decision, existing_task_id, reason.
+
+    new without such a task.  A reusable task whose latest description has another prompt version is
+    rerun_description, else one whose latest embedding has another model version rerun_embedding, else
+    reuse_all; one that failed or stands in between is resume.  Any other state is new.
+    tasks: content_md5, id, process_state; descriptions: task_id, id, prompt_version; embeddings: task_id,
+    id, model_version.  A request without content_md5 matches nothing.
+    """
     newest = latest(tasks.select("content_md5", "id", "process_state"), "content_md5", "id")
     described = latest(descriptions.select("task_id", "id", "prompt_version"), "task_id", "id").select(F.col("task_id").alias("d_task"), "prompt_version")
-    joined = requests.join(newest, "content_md5", "left").join(described, F.col("id") == F.col("d_task"), "left")
+    embedded = latest(embeddings.select("task_id", "id", "model_version"), "task_id", "id").select(F.col("task_id").alias("e_task"), "model_version")
+    joined = requests.join(newest, "content_md5", "left").join(described, F.col("id") == F.col("d_task"), "left").join(embedded, F.col("id") == F.col("e_task"), "left")
     state = F.col("process_state")
     decision = (
         F.when(state.isNull(), "new")
-        .when(state.isin(COMPLETED) & (F.col("prompt_version") != prompt), "rerun_description")
-        .when(state.isin(COMPLETED), "reuse_all").when(state.isin(RESUMABLE), "resume").otherwise("new")
+        .when(state.isin(REUSABLE) & (F.col("prompt_version") != prompt), "rerun_description")
+        .when(state.isin(REUSABLE) & (F.col("model_version") != model), "rerun_embedding")
+        .when(state.isin(REUSABLE), "reuse_all").when(state.isin(CONTINUED), "resume").otherwise("new")
+    )
+    # The reasons told with a decision.
+    reason = (
+        F.when(state.isNull(), "未找到已有记录").when(F.col("decision") == "rerun_description", "prompt_version 已变更").when(F.col("decision") == "rerun_embedding", "embedding_model_version 已变更")
+        .when(F.col("decision") == "reuse_all", "资源已完成且配置一致").when(F.col("decision") == "resume", F.concat(F.lit("任务处于 "), state, F.lit(" 状态，可从断点继续")))
+        .otherwise(F.concat(F.lit("未知状态 "), state, F.lit("，创建新任务")))
     )
-    return joined.select("req_id", decision.alias("decision"), F.when(decision != "new", F.col("id")).alias("existing_task_id"))
+    decided = joined.withColumn("decision", decision)
+    return decided.select("req_id", "decision", F.when(F.col("decision") != "new", F.col("id")).alias("existing_task_id"), reason.alias("reason"))
 
 
 def registration_match(requests: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The task that each request means: by source id and source, by source id, then by content of committed tasks; the newest of a tier."""
-    r = requests.select("req_id", F.col("source_resource_id").alias("sid"), F.col("source").alias("src"), F.col("content_md5").alias("md5"))
-    t = tasks.select("id", "source_resource_id", "source", "content_md5", "process_state", "updated_at")
-    by_id = r.where("sid <> ''").join(t, F.col("sid") == F.col("source_resource_id")).withColumn("tier", F.when(F.col("src") == F.col("source"), 1).otherwise(2))
+    """The task that each request means: req_id, tier, task_id; tier 0 where it is none.
+
+    Tiers: 1 the same source id and source, 2 the same source id, 3 the same idempotency key, 4 the same
+    content and committed; the newest task of a tier (updated_at, then id).  Blank source ids, keys
+    and checksums match nothing.
+    """
+    r = requests.select("req_id", F.trim("source_resource_id").alias("sid"), F.col("source").alias("src"), F.col("idempotency_key").alias("idem"), F.col("content_md5").alias("md5"))
+    t = tasks.select("id", "source_resource_id", "source", "idempotency_key", "content_md5", "process_state", "updated_at")
+    by_id = r.where("sid <> ''").join(t, F.col("sid") == F.col("source_resource_id")).withColumn("tier", F.when((F.col("src") != "") & (F.col("src") == F.col("source")), 1).otherwise(2))
+    by_key = r.where("idem <> ''").join(t, F.col("idem") == F.col("idempotency_key")).withColumn("tier", F.lit(3))
     by_md5 = r.where("md5 <> ''").join(t.where("process_state = 'committed'"), F.col("md5") == F.col("content_md5")).withColumn("tier", F.lit(4))
-    best = by_id.unionByName(by_md5).groupBy("req_id").agg(F.min_by(F.struct("tier", "id"), F.struct("tier", -F.unix_micros(F.col("updated_at").cast("timestamp")), -F.col("id"))).alias("m"))
+    newest = F.struct("tier", -F.unix_micros(F.col("updated_at").cast("timestamp")), -F.col("id"))
+    best = by_id.unionByName(by_key).unionByName(by_md5).groupBy("req_id").agg(F.min_by(F.struct("tier", "id"), newest).alias("m"))
     return requests.select("req_id").join(best, "req_id", "left").select("req_id", F.coalesce("m.tier", F.lit(0)).alias("tier"), F.col("m.id").alias("task_id"))
 
 
-def stage_plan(tasks: DataFrame) -> DataFrame:
-    """For every task and stage: process, skip_done, skip_not_ready or skip_audio."""
+def stage_plan(tasks: DataFrame, resume: bool = True) -> DataFrame:
+    """For every task and stage: process, skip_done, skip_not_ready or skip_audio (id, stage, decision).
+
+    With resume, previews and descriptions that are there are skipped; without it they are made again.
+    Descriptions need a preview and no audio file; an upload needs a description and always skips what is
+    committed.  A task without a known state counts as not begun.
+    """
     at = state_ordinal(F.col("process_state"))
-    audio = F.col("resource_type") == "audio_file"
-    preview = F.when(audio, "skip_audio").when(at >= 2, "skip_done").otherwise("process")
-    describe = F.when(at >= 4, "skip_done").when((at < 2) & ~audio, "skip_not_ready").otherwise("process")
+    done = lambda n: F.lit(resume) & (at >= n)
+    preview = F.when(done(2), "skip_done").otherwise("process")
+    describe = F.when(done(4), "skip_done").when(at < 2, "skip_not_ready").when(F.col("resource_type") == "audio_file", "skip_audio").otherwise("process")
     upload = F.when(at >= 10, "skip_done").when(at < 4, "skip_not_ready").otherwise("process")
     stages = F.array(*(F.struct(F.lit(n).alias("stage"), x.alias("decision")) for n, x in (("preview", preview), ("description", describe), ("upload", upload))))
     return tasks.select("id", F.explode(stages).alias("s")).select("id", "s.*")
 
 
+def scorecard(checks: DataFrame, category: str, passed: str) -> DataFrame:
+    """Per category: total, passed, failed, pending (passed is null) and pass_rate of what was evaluated (6 decimals; 0 without any)."""
+    done = F.count(passed)
+    return checks.groupBy(category).agg(
+        F.count("*").alias("total"), F.count_if(F.coalesce(passed, F.lit(False))).alias("passed"), F.count_if(~F.col(passed)).alias("failed"), F.count_if(F.col(passed).isNull()).alias("pending"),
+        F.coalesce(F.round(F.try_divide(F.count_if(F.coalesce(passed, F.lit(False))), done), 6), F.lit(0.0)).alias("pass_rate"))
+
+
 def retry_candidates(tasks: DataFrame, most: int) -> DataFrame:
     return tasks.where(F.col("process_state").isin(FAILED) & (F.col("retry_count") < most))
 

@@ -12,7 +12,7 @@ from assetflow.sources import working as W
 
 from .catalog import listed
 from .registry import query
-from .stages import _hits
+from .stages import _hits, _vectors
 
 # The user prompt's template, the words that rewrite a search, the filters that may be relaxed.
 PROMPT = "请根据下面的资源上下文生成两段式中文描述。\\n{context}"
@@ -91,20 +91,19 @@ def reembed(spark, d):
 
 @query()
 def probed_top_k(spark, d):
-    """Top ten of each label's first vector among the cells nearest to it, as many as nine tenths of the neighbours need."""
-    e = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"), "label")
-    asked = e.groupBy("label").agg(F.min("resource_id").alias("query_id"), F.min_by("vector", "resource_id").alias("vector")).select("query_id", "vector")
-    cells, centres = inverted_lists(e.select("resource_id", "vector"))
+    """Top ten of each query among the cells nearest to it, as many as nine tenths of the neighbours need."""
+    vectors, asked = (x.drop("kind") for x in _vectors(spark, d))
+    cells, centres = inverted_lists(vectors)
     return probe_top_k(cells, centres, asked, 10, cells_to_probe(cells, centres, 10))
 
 
-@query("""WITH q AS (SELECT min(vec_id) AS query_id, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY label),
-    h AS (SELECT query_id FROM q, embeddings WHERE vec_id <> query_id AND round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) >= 0.6)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT vec_id AS query_id, x AS y FROM v WHERE vec_id % 100 = 0),
+    h AS (SELECT query_id FROM q, v WHERE vec_id <> query_id AND round(list_cosine_similarity(y, x), 6) >= 0.6)
     SELECT query_id, 'query ' || query_id || ' 高清|query ' || query_id || ' 素材' AS rewrites, 'resource_type|format_filter' AS relaxable, 0.4::DOUBLE AS threshold, true AS try_cross_type FROM q WHERE query_id NOT IN (SELECT query_id FROM h)""")
 def search_suggestion(spark, d):
     """Suggestions for searches without a hit of 0.6 or more besides the vector itself."""
     hits = _hits(spark, d, 2).where("resource_id <> query_id and score >= 0.6").select("query_id")
-    asked = W.table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("query_id"))
+    asked = _vectors(spark, d)[1].select("query_id")
     text = F.concat(F.lit("query "), "query_id", F.lit(" "))
     return asked.join(hits, "query_id", "left_anti").select(
         "query_id", F.concat_ws("|", *(F.concat(text, F.lit(w)) for w in REWRITES)).alias("rewrites"), F.lit("|".join(RELAXABLE)).alias("relaxable"),

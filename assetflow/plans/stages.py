@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
+from assetflow.operators import registration as R
 from assetflow.operators import selection as S
+from assetflow.operators.search import enrich
 from assetflow.operators.vectors import cosine_top_k as top_k
+from assetflow.operators.vectors import usable
 from assetflow.sources import working as W
-from assetflow.states import COMPLETED, FAILED, RESUMABLE, STATES
+from assetflow.states import CONTINUED, FAILED, REUSABLE, STATES
 
 from .catalog import listed
 from .registry import query
@@ -47,11 +50,13 @@ def state_order(spark, d):
 
 
 @query(f"""WITH n AS (SELECT content_md5, max(id) AS id, max_by(process_state, id) AS state FROM w_task GROUP BY content_md5), p AS (SELECT task_id, max_by(prompt_version, id) AS pv FROM w_desc GROUP BY task_id),
-    x AS (SELECT req_id, n.id, CASE WHEN state IS NULL THEN 'new' WHEN state IN ({listed(COMPLETED)}) AND pv <> 'prompt_v1' THEN 'rerun_description' WHEN state IN ({listed(COMPLETED)}) THEN 'reuse_all' WHEN state IN ({listed(RESUMABLE)}) THEN 'resume' ELSE 'new' END AS decision
-    FROM w_request r LEFT JOIN n ON r.content_md5 = n.content_md5 LEFT JOIN p ON n.id = p.task_id)
-    SELECT req_id, decision, CASE WHEN decision <> 'new' THEN id END AS existing_task_id FROM x""")
+    x AS (SELECT req_id, n.id, state, CASE WHEN state IS NULL THEN 'new' WHEN state IN ('synced', 'committed', 'uploaded') THEN CASE WHEN pv <> 'prompt_v1' THEN 'rerun_description' WHEN model_version <> 'embed_v1' THEN 'rerun_embedding' ELSE 'reuse_all' END
+        WHEN state IN ({listed(CONTINUED)}) THEN 'resume' ELSE 'new' END AS decision
+    FROM w_request r LEFT JOIN n ON r.content_md5 = n.content_md5 LEFT JOIN p ON n.id = p.task_id LEFT JOIN w_embed e ON n.id = e.task_id)
+    SELECT req_id, decision, CASE WHEN decision <> 'new' THEN id END AS existing_task_id, CASE decision WHEN 'rerun_description' THEN 'prompt_version 已变更' WHEN 'rerun_embedding' THEN 'embedding_model_version 已变更' WHEN 'reuse_all' THEN '资源已完成且配置一致'
+        WHEN 'resume' THEN '任务处于 ' || state || ' 状态，可从断点继续' ELSE CASE WHEN state IS NULL THEN '未找到已有记录' ELSE '未知状态 ' || state || '，创建新任务' END END AS reason FROM x""")
 def dedup_decision(spark, d):
-    return S.dedup_decision(W.requests(spark, d), W.tasks(spark, d), W.descriptions(spark, d), "prompt_v1")
+    return S.dedup_decision(W.requests(spark, d), W.tasks(spark, d), W.descriptions(spark, d), W.embeddings(spark, d), "prompt_v1", "embed_v1")
 
 
 @query(f"SELECT id, retry_count FROM w_task WHERE process_state IN ({listed(FAILED)}) AND retry_count < 3")
@@ -59,12 +64,15 @@ def retry_candidates(spark, d):
     return S.retry_candidates(W.tasks(spark, d), 3).select("id", "retry_count")
 
 
-@query(f"""WITH o AS (SELECT id, {_ORDINAL} AS place, coalesce(resource_type = 'audio_file', false) AS audio FROM w_task)
-    SELECT id, 'preview' AS stage, CASE WHEN audio THEN 'skip_audio' WHEN place >= 2 THEN 'skip_done' ELSE 'process' END AS decision FROM o
-    UNION ALL SELECT id, 'description', CASE WHEN place >= 4 THEN 'skip_done' WHEN place < 2 AND NOT audio THEN 'skip_not_ready' ELSE 'process' END FROM o
-    UNION ALL SELECT id, 'upload', CASE WHEN place >= 10 THEN 'skip_done' WHEN place < 4 THEN 'skip_not_ready' ELSE 'process' END FROM o""")
+@query(f"""WITH o AS (SELECT id, {_ORDINAL} AS place, coalesce(resource_type = 'audio_file', false) AS audio, resume FROM w_task, (VALUES (true), (false)) v(resume))
+    SELECT id, resume, 'preview' AS stage, CASE WHEN resume AND place >= 2 THEN 'skip_done' ELSE 'process' END AS decision FROM o
+    UNION ALL SELECT id, resume, 'description', CASE WHEN resume AND place >= 4 THEN 'skip_done' WHEN place < 2 THEN 'skip_not_ready' WHEN audio THEN 'skip_audio' ELSE 'process' END FROM o
+    UNION ALL SELECT id, resume, 'upload', CASE WHEN place >= 10 THEN 'skip_done' WHEN place < 4 THEN 'skip_not_ready' ELSE 'process' END FROM o""")
 def stage_plan(spark, d):
-    return S.stage_plan(W.tasks(spark, d))
+    """Decisions of a run that resumes and of one that doesn't."""
+    t = W.tasks(spark, d)
+    both = (S.stage_plan(t, resume).withColumn("resume", F.lit(resume)) for resume in (True, False))
+    return next(both).unionByName(next(both)).select("id", "resume", "stage", "decision")
 
 
 @query("SELECT id, CASE WHEN process_state = 'committed' THEN 'description_ready' ELSE process_state END AS process_state FROM w_task")
@@ -72,7 +80,8 @@ def force_reset(spark, d):
     return W.tasks(spark, d).select("id", F.when(F.col("process_state") == "committed", "description_ready").otherwise(F.col("process_state")).alias("process_state"))
 
 
-@query("""WITH t AS (SELECT req_id, t.id, CASE WHEN r.source = t.source THEN 1 ELSE 2 END AS tier, updated_at FROM w_request r JOIN w_task t ON r.source_resource_id = t.source_resource_id WHERE r.source_resource_id <> ''
+@query("""WITH t AS (SELECT req_id, t.id, CASE WHEN r.source <> '' AND r.source = t.source THEN 1 ELSE 2 END AS tier, updated_at FROM w_request r JOIN w_task t ON trim(r.source_resource_id) = t.source_resource_id WHERE trim(r.source_resource_id) <> ''
+    UNION ALL SELECT req_id, t.id, 3, updated_at FROM w_request r JOIN w_task t ON r.idempotency_key = t.idempotency_key WHERE r.idempotency_key <> ''
     UNION ALL SELECT req_id, t.id, 4, updated_at FROM w_request r JOIN w_task t ON r.content_md5 = t.content_md5 WHERE r.content_md5 <> '' AND process_state = 'committed'),
     b AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY tier, updated_at DESC, id DESC) AS n FROM t)
     SELECT r.req_id, coalesce(tier, 0)::INT AS tier, id AS task_id FROM w_request r LEFT JOIN b ON r.req_id = b.req_id AND n = 1""")
@@ -80,32 +89,75 @@ def registration_match(spark, d):
     return S.registration_match(W.requests(spark, d), W.tasks(spark, d))
 
 
-@query("SELECT id, coalesce(nullif(t.title, ''), r.title) AS title, CASE WHEN t.retry_count = 0 THEN 9 ELSE t.retry_count END AS retry_count FROM w_task t JOIN w_request r ON t.id = r.req_id")
+def _profiles(spark, d):
+    """Tasks with the 18 columns that a registration may fill, each empty in its own third of the rows, and requests likewise in fourths."""
+    i = W.tasks(spark, d).select("id")
+    when = lambda k, n, c: F.pmod(F.col("id") + k, F.lit(n)) == c
+
+    def column(k, c, n, word):
+        if c in R.NUMBERS:
+            return F.when(when(k, n, 0), 0).otherwise(F.col("id") + (k if word == "old" else 1000)).alias(c)
+        held = F.concat(F.lit('["' if c in R.LISTS else f"{word}-{c}-"), F.lit(f"{word}-") if c in R.LISTS else F.lit(""), "id", F.lit('"]' if c in R.LISTS else ""))
+        empty = F.when(when(k, n, 0), "[]" if c in R.LISTS else "").when(when(k, n, 1), "" if c in R.LISTS else F.lit(None)) if word == "old" else F.when(when(k, n, 0), "")
+        return empty.otherwise(held).alias(c)
+
+    every = [*R.TEXTS, *R.LISTS, *R.NUMBERS]
+    tasks = i.select("id", *(column(k, c, 3, "old") for k, c in enumerate(every)))
+    return tasks, i.where("id % 2 = 0").select("id", *(column(k, c, 4, "new") for k, c in enumerate(every)))
+
+
+def _merged_sql(k, c):
+    if c in R.NUMBERS:
+        have, given, empty = f"CASE WHEN (id + {k}) % 3 = 0 THEN 0 ELSE id + {k} END", f"CASE WHEN id % 2 = 1 OR (id + {k}) % 4 = 0 THEN 0 ELSE id + 1000 END", "0"
+    elif c in R.LISTS:
+        have, given, empty = f"""CASE (id + {k}) % 3 WHEN 0 THEN '[]' WHEN 1 THEN '' ELSE '["old-' || id || '"]' END""", f"""CASE WHEN id % 2 = 1 OR (id + {k}) % 4 = 0 THEN '' ELSE '["new-' || id || '"]' END""", "'', '[]'"
+    else:
+        have, given, empty = f"CASE (id + {k}) % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'old-{c}-' || id END", f"CASE WHEN id % 2 = 1 OR (id + {k}) % 4 = 0 THEN '' ELSE 'new-{c}-' || id END", "''"
+    lacks = f"({have}) IN ({empty})" + ("" if c in R.LISTS else f" OR ({have}) IS NULL")
+    return f"CASE WHEN ({lacks}) AND ({given}) NOT IN ({empty}) THEN {given} ELSE {have} END AS {c}"
+
+
+@query(f"SELECT id, {', '.join(_merged_sql(k, c) for k, c in enumerate([*R.TEXTS, *R.LISTS, *R.NUMBERS]))} FROM w_task")
 def fill_empty_merge(spark, d):
-    r = W.requests(spark, d).select(F.col("req_id").alias("id"), F.col("title").alias("new_title"))
-    t = W.tasks(spark, d).join(r, "id")
-    return t.select("id", F.coalesce(F.nullif("title", F.lit("")), "new_title").alias("title"), F.coalesce(F.nullif("retry_count", F.lit(0)), F.lit(9)).alias("retry_count"))
+    return R.fill_empty(*_profiles(spark, d))
 
 
-@query("SELECT req_id, content_md5 FROM w_request r WHERE content_md5 NOT IN (SELECT content_md5 FROM w_task WHERE id % 2 = 0) AND source_resource_id NOT IN (SELECT source_resource_id FROM w_task WHERE id % 2 = 0)")
+@query("""WITH k AS (SELECT * FROM w_task WHERE id % 2 = 0), m AS (SELECT req_id, coalesce((SELECT min(id) FROM k WHERE k.content_md5 = r.content_md5), (SELECT min(id) FROM k WHERE k.source_resource_id = r.source_resource_id AND r.source_resource_id <> '')) AS task_id FROM w_request r),
+    h AS (SELECT DISTINCT task_id FROM w_file WHERE task_id % 3 = 0)
+    SELECT req_id, task_id, task_id IS NOT NULL AS is_existing, CASE WHEN task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM h) THEN (SELECT count(*) FROM w_file f WHERE f.task_id = req_id) ELSE 0 END AS backfilled FROM m""")
 def task_upsert(spark, d):
-    known = W.tasks(spark, d).where("id % 2 = 0")
-    r = W.requests(spark, d)
-    return r.join(known.select("content_md5"), "content_md5", "left_anti").join(known.select("source_resource_id"), "source_resource_id", "left_anti").select("req_id", "content_md5")
+    """Requests against the tasks of even ids, and the files that tasks without any get from them."""
+    done = R.upsert(W.requests(spark, d), W.tasks(spark, d).where("id % 2 = 0"))
+    f = W.files(spark, d)
+    new = R.files_to_backfill(done, f.select(F.col("task_id").alias("req_id"), F.col("task_id").alias("of"), "path"), f.where("task_id % 3 = 0"))
+    n = new.groupBy(F.col("of").alias("req_id"), "task_id").agg(F.count("*").alias("backfilled"))
+    return done.join(n, ["req_id", "task_id"], "left").na.fill(0, ["backfilled"]).select("req_id", "task_id", "is_existing", "backfilled")
 
 
-@query("SELECT c.id, max(p.id) AS parent_id FROM w_task c LEFT JOIN w_task p ON c.parent_source = p.source_resource_id GROUP BY c.id")
+@query("""WITH k AS (SELECT source_resource_id AS s, max_by(resource_id, id) AS res FROM w_task WHERE id % 5 <> 3 GROUP BY source_resource_id)
+    SELECT id, p.res AS parent_resource_id, concat_ws('|', a.res, b.res) AS children FROM w_task t LEFT JOIN k p ON p.s = parent_source
+    LEFT JOIN k a ON a.s = CASE WHEN id % 10 = 0 THEN 'doc-' || (id + 4) END LEFT JOIN k b ON b.s = CASE WHEN id % 10 = 0 THEN 'doc-' || (id + 2) END""")
 def relationship_backfill(spark, d):
-    t = W.tasks(spark, d)
-    parents = t.groupBy(F.col("source_resource_id").alias("parent_source")).agg(F.max("id").alias("parent_id"))
-    return t.select("id", "parent_source").join(parents, "parent_source", "left").select("id", "parent_id")
+    """Parents and children of tasks; every tenth has children, of which one is unknown, and some tasks have no resource id yet."""
+    id_ = F.col("id")
+    wanted = F.array(*(F.concat(F.lit("doc-"), x) for x in (id_ + 4, F.lit("none"), id_ + 2)))
+    t = W.tasks(spark, d).select(
+        "id", F.when(id_ % 5 != 3, F.col("resource_id")).otherwise("").alias("resource_id"), "source_resource_id", F.col("parent_source").alias("parent_source_resource_id"),
+        F.when(id_ % 10 == 0, wanted).otherwise(F.array().cast("array<string>")).alias("child_source_resource_ids"))
+    return R.relationships(t).select("id", "parent_resource_id", F.array_join("child_resource_ids", "|").alias("children"))
 
 
-@query("SELECT o.id, coalesce(f, '') AS files, coalesce(pv, '') AS prompt_version FROM w_order_task o LEFT JOIN (SELECT task_id, string_agg(path, '|' ORDER BY ord) AS f FROM w_file GROUP BY task_id) x ON o.id = x.task_id LEFT JOIN (SELECT task_id, max_by(prompt_version, id) AS pv FROM w_desc GROUP BY task_id) y ON o.id = y.task_id")
+@query("""SELECT o.id, coalesce(f, '') AS files, coalesce(p, '') AS previews, coalesce(pv, '') AS prompt_version, main FROM w_order_task o LEFT JOIN (SELECT task_id, string_agg(path || ':' || size, '|' ORDER BY ord) AS f, string_agg(path, '|' ORDER BY ord) FILTER (WHERE format = 'png') AS p FROM w_file GROUP BY task_id) x ON o.id = x.task_id
+    LEFT JOIN (SELECT task_id, max_by(prompt_version, id) AS pv, arg_max_null(main, id) AS main FROM w_desc GROUP BY task_id) y ON o.id = y.task_id""")
 def entity_rebuild(spark, d):
-    f = W.files(spark, d).groupBy(F.col("task_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]), "|").alias("files"))
-    v = S.latest(W.descriptions(spark, d).select("task_id", "id", "prompt_version"), "task_id", "id").select(F.col("task_id").alias("id"), "prompt_version")
-    return W.order_tasks(spark, d).select("id").join(f, "id", "left").join(v, "id", "left").na.fill("", ["files", "prompt_version"])
+    """Tasks with their files, previews (the pictures) and latest description."""
+    f = W.files(spark, d).select("task_id", "ord", "path", "size")
+    previews = W.files(spark, d).where("format = 'png'").select("task_id", F.col("ord").alias("id"), "path")
+    whole = R.entities(W.order_tasks(spark, d).select("id"), f, previews, W.descriptions(spark, d))
+    joined = lambda xs, x: F.array_join(F.transform(xs, x), "|")
+    return whole.select(
+        "id", joined("files", lambda x: F.concat_ws(":", x["path"], x["size"])).alias("files"), joined("previews", lambda x: x["path"]).alias("previews"),
+        F.coalesce("description.prompt_version", F.lit("")).alias("prompt_version"), F.col("description.main").alias("main"))
 
 
 @query("WITH m AS (SELECT task_id, ord, max(CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ord) AS bad FROM w_file) SELECT task_id, ord FROM m WHERE bad = 0")
@@ -150,50 +202,91 @@ def download_validation(spark, d):
     return e.select("event_id", F.when(F.trim("event_type") == "", "INVALID_ID").when(F.col("expiry") <= 0, "INVALID_EXPIRY").when(F.col("expiry") > 86400, "EXPIRY_TOO_LONG").otherwise("").alias("error"))
 
 
-@query(r"""SELECT conv_id, CASE WHEN conv_id % 5 = 4 THEN trim(split_part(trim(output), chr(10), 1)) ELSE trim(regexp_replace(split_part(trim(output), chr(10), 1), '^主体[：:]', '')) END AS main FROM w_output""")
+@query(r"""WITH o AS (SELECT conv_id, conv_id % 5 = 4 AS bare, string_split(trim(output, E' \t\n\r'), chr(10)) AS l FROM w_output),
+    p AS (SELECT conv_id, CASE WHEN bare THEN '' ELSE trim(regexp_replace(l[1], '^主体[：:]', '')) END AS m, CASE WHEN bare OR len(l) < 2 THEN '' ELSE trim(regexp_replace(l[2], '^细节[：:]', '')) END AS dt, l FROM o)
+    SELECT conv_id, CASE WHEN m <> '' THEN m ELSE coalesce(l[1], '') END AS main, CASE WHEN dt <> '' THEN dt WHEN len(l) > 1 THEN l[2] WHEN m <> '' THEN m ELSE coalesce(l[1], '') END AS detail FROM p""")
 def parse_output(spark, d):
-    main, _ = X.parsed_output(F.col("output"))
-    return W.outputs(spark, d).select("conv_id", main.alias("main"))
+    """Main and detail of each output, which comes as a message of parts from every other conversation."""
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("output").alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))))
+    said = W.outputs(spark, d).select("conv_id", X.message_text(F.when(F.col("conv_id") % 2 == 0, parts).otherwise(F.col("output"))).alias("output"))
+    main, detail = X.parsed_output(F.col("output"))
+    return said.select("conv_id", main.alias("main"), detail.alias("detail"))
+
 
+_FORMAT = """CASE WHEN len(string_split(trim(output, E' \\t\\n\\r'), chr(10))) <> 2 THEN 'FORMAT_ERROR|期望2行，实际' || len(string_split(trim(output, E' \\t\\n\\r'), chr(10))) || '行'
+    WHEN NOT starts_with(trim(output, E' \\t\\n\\r'), '主体：') THEN 'FORMAT_ERROR|第一行必须以''主体：''开头' WHEN NOT contains(trim(output, E' \\t\\n\\r'), chr(10) || '细节：') THEN 'FORMAT_ERROR|第二行必须以''细节：''开头' END"""
+_LENGTH = "CASE WHEN n < 100 THEN 'TOO_SHORT|描述字数 ' || n || ' 不足最低 100' WHEN n > 220 THEN 'TOO_LONG|描述字数 ' || n || ' 超过上限 220' END"
+_CHECKED = "(SELECT *, length(replace(replace(replace(output, '主体：', ''), '细节：', ''), chr(10), '')) AS n FROM w_output)"
 
-@query("SELECT conv_id, CASE WHEN conv_id % 5 <> 4 AND conv_id % 3 <> 0 THEN '' ELSE 'INVALID_FORMAT' END AS error FROM w_output")
+
+def _told(spark, d, error):
+    """code and message of an error of each output; empty where it has none."""
+    text = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit("")).alias(c)
+    return W.outputs(spark, d).select("conv_id", error.alias("e")).select("conv_id", text("code"), text("message"))
+
+
+def _told_sql(error):
+    return f"SELECT conv_id, split_part(e, '|', 1) AS code, split_part(e, '|', 2) AS message FROM (SELECT conv_id, coalesce({error}, '') AS e FROM {_CHECKED})"
+
+
+@query(_told_sql(_FORMAT))
 def check_format(spark, d):
-    return W.outputs(spark, d).select("conv_id", F.coalesce(X.format_error(F.col("output")), F.lit("")).alias("error"))
+    return _told(spark, d, X.format_error(F.col("output")))
 
 
-@query(r"""SELECT conv_id, CASE WHEN n < 100 THEN 'TOO_SHORT' WHEN n > 220 THEN 'TOO_LONG' ELSE '' END AS error FROM (SELECT conv_id, length(regexp_replace(output, '主体：|细节：|\n', '', 'g')) AS n FROM w_output)""")
+@query(_told_sql(_LENGTH))
 def check_length(spark, d):
-    return W.outputs(spark, d).select("conv_id", F.coalesce(X.length_error(F.col("output")), F.lit("")).alias("error"))
+    return _told(spark, d, X.length_error(F.col("output")))
 
 
-@query("SELECT conv_id, CASE WHEN conv_id % 2 = 0 AND NOT (contains(output, '音频') OR contains(output, 'audio') OR contains(output, '音乐') OR contains(output, '声音') OR contains(output, 'sound')) THEN 'MISSING_KEYWORD' ELSE '' END AS error FROM w_output")
+@query(_told_sql("""CASE WHEN conv_id % 2 = 0 AND NOT (contains(output, '音频') OR contains(output, 'audio') OR contains(output, '音乐') OR contains(output, '声音') OR contains(output, 'sound'))
+    THEN 'MISSING_KEYWORD|描述中缺少资源类型关键词，期望包含 [''音频'', ''audio'', ''音乐'', ''声音'', ''sound''] 之一' END"""))
 def check_keywords(spark, d):
     kind = F.when(F.col("conv_id") % 2 == 0, "audio").otherwise("other")
-    return W.outputs(spark, d).select("conv_id", F.coalesce(X.keyword_error(F.col("output"), kind), F.lit("")).alias("error"))
+    return _told(spark, d, X.keyword_error(F.col("output"), kind))
 
 
-@query(r"""SELECT conv_id, CASE WHEN conv_id % 5 = 4 OR conv_id % 3 = 0 THEN 'INVALID_FORMAT' WHEN n < 100 THEN 'TOO_SHORT' WHEN n > 220 THEN 'TOO_LONG' WHEN NOT regexp_matches(output, '字体|font|笔刷|brush') THEN 'MISSING_KEYWORD' ELSE '' END AS error
-    FROM (SELECT conv_id, output, length(regexp_replace(output, '主体：|细节：|\n', '', 'g')) AS n FROM w_output)""")
+@query(_told_sql(f"""coalesce({_FORMAT}, {_LENGTH}, CASE WHEN NOT regexp_matches(output, '字体|font|笔刷|brush') THEN 'MISSING_KEYWORD|描述中缺少资源类型关键词，期望包含 [''字体'', ''font'', ''笔刷'', ''brush''] 之一' END)"""))
 def validate_description(spark, d):
-    text = F.col("output")
-    return W.outputs(spark, d).select("conv_id", F.coalesce(X.format_error(text), X.length_error(text), X.keyword_error(text, F.lit("font")), F.lit("")).alias("error"))
+    return _told(spark, d, X.description_error(F.col("output"), F.lit("font")))
 
 
-@query(r"""SELECT min('format') AS category, count(*) AS total, count_if(conv_id % 5 <> 4 AND conv_id % 3 <> 0)::BIGINT AS passed, round(avg(CASE WHEN conv_id % 5 <> 4 AND conv_id % 3 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM w_output""")
+@query(f"""WITH c AS (SELECT conv_id, unnest(['format', 'length', 'keywords', 'all']) AS category, conv_id % 7 = 6 AS pending, unnest([{_FORMAT} IS NULL, {_LENGTH} IS NULL, regexp_matches(output, '字体|font|笔刷|brush'), {_FORMAT} IS NULL AND {_LENGTH} IS NULL AND regexp_matches(output, '字体|font|笔刷|brush')]) AS passed FROM {_CHECKED})
+    SELECT category, count(*) AS total, count(*) FILTER (WHERE NOT pending AND passed) AS passed, count(*) FILTER (WHERE NOT pending AND NOT passed) AS failed, count(*) FILTER (WHERE pending) AS pending,
+    round(count(*) FILTER (WHERE NOT pending AND passed) / nullif(count(*) FILTER (WHERE NOT pending), 0), 6) AS pass_rate FROM c GROUP BY category""")
 def scorecard(spark, d):
-    checks = W.outputs(spark, d).select(F.lit("format").alias("category"), X.format_error(F.col("output")).isNull().alias("passed"))
-    return checks.groupBy("category").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.avg(F.when(F.col("passed").isNotNull(), F.col("passed").cast("int"))), 6).alias("pass_rate"))
+    """Outcomes of the checks by category; every seventh output is still pending and counts for no rate."""
+    text, pending = F.col("output"), F.col("conv_id") % 7 == 6
+    checks = {"format": X.format_error(text), "length": X.length_error(text), "keywords": X.keyword_error(text, F.lit("font")), "all": X.description_error(text, F.lit("font"))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.when(~pending, e.isNull()).alias("passed")) for k, e in checks.items())))
+    return S.scorecard(W.outputs(spark, d).select(each.alias("c")).select("c.*"), "category", "passed")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS cleaned FROM documents")
+@query(r"""SELECT doc_id, c AS cleaned, CASE WHEN c = '' OR c IS NULL THEN 'Embedding input text is empty after cleaning' ELSE '' END AS error FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS c FROM documents)""")
 def clean_text(spark, d):
-    return W.table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).alias("cleaned"))
+    """Texts as they go to the embedding; a text of white space alone is an error."""
+    own = W.table(spark, d, "documents").select("doc_id", X.cleaned(F.col("text")).alias("c"), "text")
+    return own.select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce("c", F.lit(""))).alias("cleaned"), F.when(F.col("c").isNull(), "Embedding input text is empty after cleaning").otherwise("").alias("error"))
 
 
-@query("SELECT id, concat_ws(chr(10), 'type: ' || resource_type, CASE WHEN title <> '' THEN 'title: ' || title END, 'source: ' || source) AS context FROM w_task")
+@query("""SELECT id, concat_ws(chr(10), '资源类型: ' || resource_type, CASE WHEN id % 4 <> 0 THEN 'LLM输入模态: image' END, CASE WHEN title <> '' THEN '资源标题: ' || title END, CASE WHEN id % 3 <> 0 THEN '资源包: pack-' || (id % 3) END, '资源路径: res-' || id || '/main.png',
+    CASE WHEN source <> '' THEN '来源站点: ' || source END, CASE WHEN id % 2 = 0 THEN '来源标签: ' || CASE WHEN source <> '' THEN source || ', ' ELSE '' END || 'tag' END, CASE WHEN retry_count > 0 THEN '成员文件数: ' || retry_count END, CASE WHEN id % 2 = 1 THEN '文件格式分布: png, fbx' END,
+    '预览策略: static', CASE WHEN id % 3 = 0 THEN '预览模式: direct' END, CASE WHEN id % 3 = 1 THEN '预览置信度: high' END, CASE WHEN id % 8 <> 0 THEN '缺失文件比例: ' || CASE id % 8 WHEN 2 THEN '0.25' WHEN 4 THEN '0.50' WHEN 6 THEN '0.75' WHEN 1 THEN '0.12' WHEN 3 THEN '0.38' WHEN 5 THEN '0.62' ELSE '0.88' END END,
+    CASE WHEN id % 2 = 0 THEN 'state: ' || process_state END) AS context FROM w_task WHERE resource_type IS NOT NULL""")
 def prompt_context(spark, d):
-    line = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), c))
-    return W.tasks(spark, d).select("id", F.concat_ws("\n", line("type", "resource_type"), line("title", "title"), line("source", "source")).alias("context"))
+    """The context of each task, with fields that some of them lack."""
+    i, none = F.col("id"), F.lit("")
+    some = lambda c, x: F.when(c, x).otherwise(none)
+    listed_ = lambda c, *xs: F.when(c, F.array(*xs)).otherwise(F.array().cast("array<string>"))
+    ratio = F.element_at(F.array(*(F.lit(x) for x in (0.0, 0.12, 0.25, 0.38, 0.5, 0.62, 0.75, 0.88))), (i % 8 + 1).cast("int"))
+    fields = {
+        "resource_type": F.col("resource_type"), "llm_input_type": some(i % 4 != 0, F.lit("image")), "title": F.col("title"), "pack_name": some(i % 3 != 0, F.concat(F.lit("pack-"), i % 3)),
+        "resource_path": F.concat(F.lit("res-"), i, F.lit("/main.png")), "source": F.col("source"), "category": none, "source_tags": listed_(i % 2 == 0, F.col("source"), none, F.lit("tag")), "source_description": none,
+        "member_count": F.col("retry_count"), "asset_formats": listed_(i % 2 == 1, F.lit("png"), F.lit("fbx")), "preview_strategy": F.lit("static"), "preview_mode": some(i % 3 == 0, F.lit("direct")),
+        "preview_confidence": some(i % 3 == 1, F.lit("high")), "missing_file_ratio": ratio,
+    }
+    more = F.create_map(F.lit("state"), some(i % 2 == 0, F.col("process_state")), F.lit("note"), none)
+    return W.tasks(spark, d).where("resource_type is not null").select("id", X.prompt_context(fields, more).alias("context"))
 
 
 @query("SELECT doc_id, round(list_sum(list_transform(range(64), lambda i: ((('0x' || substr(md5(text), 1, 8))::BIGINT + i) % 1000) / 1000.0)), 6) AS total FROM documents")
@@ -208,28 +301,51 @@ def dimension_check(spark, d):
     return W.table(spark, d, "embeddings").select("vec_id", (F.size(cut) == 64).alias("ok"))
 
 
-_TOP = """WITH q AS (SELECT min(vec_id) AS query_id, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY label),
-    s AS (SELECT query_id, vec_id AS resource_id, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings),
+_TOP = """WITH v AS (SELECT *, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), q AS (SELECT vec_id AS query_id, x AS v, label AS own FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id AS resource_id, label, own, round(list_cosine_similarity(v, x), 6) AS score FROM q, v),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id)::INT AS rank FROM s)"""
 
 
-def _hits(spark, d, k):
-    e = W.table(spark, d, "embeddings")
-    asked = e.groupBy("label").agg(F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("vector")).select("query_id", "vector")
-    return top_k(e.select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector")), asked, k)
+def _vectors(spark, d):
+    """Stored vectors, and those whose id is divisible by 100 as queries."""
+    e = usable(W.table(spark, d, "embeddings").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"), F.col("label").alias("kind")))
+    return e, e.where("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "kind")
 
 
-@query(_TOP + " SELECT query_id, rank, resource_id, score FROM r WHERE rank <= 10")
-def cosine_top_k(spark, d):
-    return _hits(spark, d, 10).select("query_id", "rank", "resource_id", "score")
+def _hits(spark, d, k):
+    vectors, asked = (x.drop("kind") for x in _vectors(spark, d))
+    return top_k(vectors, asked, k)
 
 
-@query(_TOP + """ SELECT query_id, rank, r.resource_id, score, title, coalesce(n, 0) AS file_count FROM r JOIN w_task t ON r.resource_id = t.id
-    LEFT JOIN (SELECT task_id, count(*) AS n FROM w_file GROUP BY task_id) f ON t.id = f.task_id WHERE rank <= 10""")
+@query(_TOP + """, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id)::INT AS place FROM s WHERE query_id % 200 <> 0 OR label = own)
+    SELECT query_id, place AS rank, resource_id, score FROM t WHERE place <= 10 AND score >= 0.1""")
+def cosine_top_k(spark, d):
+    """Top ten of 0.1 or more; every other query asks for resources of its own kind alone."""
+    vectors, asked = _vectors(spark, d)
+    asked = asked.withColumn("kind", F.when(F.col("query_id") % 200 == 0, F.col("kind")))
+    return top_k(vectors, asked, 10, 0.1).select("query_id", "rank", "resource_id", "score")
+
+
+@query(_TOP + """, f AS (SELECT task_id, count(*) AS n, sum(size)::BIGINT AS total, min_by(format, ord) AS fmt, min_by(path, ord) AS p FROM w_file GROUP BY task_id),
+    i AS (SELECT task_id, min_by(split_part(path, '/', -1), ord) AS first_name, list(split_part(path, '/', -1) ORDER BY ord) AS names FROM w_file WHERE format = 'png' GROUP BY task_id),
+    x AS (SELECT task_id, arg_max_null(main, id) AS main FROM w_desc GROUP BY task_id)
+    SELECT query_id, rank, 'res-' || t.id AS resource_id, score, t.title AS title, t.process_state AS status, coalesce(main, '') AS description, coalesce(n, 0) AS file_count, coalesce(total, 0)::BIGINT AS file_size, coalesce(fmt, '') AS file_format,
+    coalesce('previews/res-' || t.id || '/' || i.first_name, '') AS primary_preview, coalesce(array_to_string(list_transform(i.names[2:], lambda y: 'previews/res-' || t.id || '/' || y), '|'), '') AS other_previews,
+    CASE WHEN t.id % 5 = 0 THEN 'packs/' || t.id || '.zip' ELSE coalesce('files/res-' || t.id || '/' || split_part(p, '/', -1), '') END AS download_key,
+    coalesce(u.title, '') AS parent_title, coalesce('previews/res-' || u.id || '/' || j.first_name, '') AS parent_preview
+    FROM r JOIN w_task t ON r.resource_id = t.id LEFT JOIN f ON t.id = f.task_id LEFT JOIN i ON t.id = i.task_id LEFT JOIN x ON t.id = x.task_id
+    LEFT JOIN w_task u ON t.id % 10 <> 0 AND u.id = t.id - t.id % 10 LEFT JOIN i j ON u.id = j.task_id WHERE rank <= 10""")
 def search_enrich(spark, d):
-    n = W.files(spark, d).groupBy(F.col("task_id").alias("resource_id")).agg(F.count("*").alias("file_count"))
-    t = W.tasks(spark, d).select(F.col("id").alias("resource_id"), "title")
-    return _hits(spark, d, 10).join(t, "resource_id").join(n, "resource_id", "left").na.fill(0, ["file_count"]).select("query_id", "rank", "resource_id", "score", "title", "file_count")
+    """Top ten of each query with description, files, previews and the parent's title and preview; some tasks have a package to download."""
+    id_ = F.col("id")
+    tasks = W.tasks(spark, d).select(
+        "id", "resource_id", "process_state", "title", "source_resource_id", F.when(id_ % 10 != 0, F.concat(F.lit("res-"), id_ - id_ % 10)).alias("parent_resource_id"),
+        F.when(id_ % 5 == 0, F.concat(F.lit("packs/"), "id", F.lit(".zip"))).otherwise("").alias("download_key"))
+    f = W.files(spark, d)
+    hits = _hits(spark, d, 10).withColumn("resource_id", F.concat(F.lit("res-"), "resource_id"))
+    found = enrich(hits, tasks, W.descriptions(spark, d), f, f.where("format = 'png'").select("task_id", F.col("ord").alias("id"), "path"))
+    shown = "query_id rank resource_id score title status description file_count file_size file_format primary_preview other_previews download_key parent_title parent_preview"
+    return found.withColumn("other_previews", F.array_join("other_previews", "|")).select(*shown.split())
 
 
 @query(_TOP + """, w AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS place FROM r WHERE rank <= 30 AND resource_id IN (SELECT task_id FROM w_file WHERE format = 'fbx'))

@@ -25,15 +25,15 @@ def json_scan(spark, d):
     return both.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("bad").alias("rejected"))
 
 
-@query("""SELECT asset_id, 'store' AS source, style AS pack_name, theme AS title, fmt AS format, file_path, '' AS description FROM w_asset""")
+@query("""SELECT asset_id, file_path, 'store' AS source, CASE WHEN style LIKE '%1' THEN '' ELSE 'pack ' || style END AS pack_name, fmt, CASE WHEN fmt = '' THEN '' ELSE style END AS style, theme FROM w_asset""")
 def asset_index(spark, d):
-    """Assets as nested JSON lines, flattened to the index's seven columns, in place of an older index."""
+    """Assets as nested JSON lines, some without a pack or a style, flattened to the index's seven columns, in place of an older index."""
     folder = state_folder(spark, "assets")
     a = W.assets(spark, d)
-    a.select("asset_id", F.lit("store").alias("source"), F.col("style").alias("source_pack"), F.col("theme").alias("title"), F.struct(F.upper("fmt").alias("format")).alias("metadata"), "file_path").write.json(f"{folder}/raw")
-    rows, _ = S.json_lines(spark, f"{folder}/raw", "asset_id string, source string, source_pack string, title string, metadata struct<format: string>, file_path string, description string")
-    text = lambda c: F.coalesce(c, F.lit(""))
-    index = rows.select("asset_id", text("source").alias("source"), text("source_pack").alias("pack_name"), text("title").alias("title"), text(F.lower("metadata.format")).alias("format"), text("file_path").alias("file_path"), text("description").alias("description"))
+    metadata = F.struct(F.upper("fmt").alias("format"), F.when(F.col("fmt") != "", F.col("style")).alias("style"), "theme")
+    pack = F.when(~F.col("style").endswith("1"), F.concat(F.lit("pack "), "style"))
+    a.select(F.col("asset_id").alias("id"), "file_path", F.lit("store").alias("source"), pack.alias("source_pack"), metadata.alias("metadata")).write.json(f"{folder}/raw")
+    index = S.asset_index(spark, f"{folder}/raw")
     index.write.mode("overwrite").parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 

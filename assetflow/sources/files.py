@@ -102,3 +102,13 @@ def append_table(rows: DataFrame, path: str, *order: str) -> None:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def asset_index(spark: SparkSession, path: str) -> DataFrame:
+    """Assets of JSON lines (id, file_path, source, source_pack, metadata of format, style and theme) as rows of
+    asset_id, file_path, source, pack_name, fmt (lower case), style, theme; what is absent is empty.  A bad line ends the job."""
+    schema = "id string, file_path string, source string, source_pack string, metadata struct<format: string, style: string, theme: string>"
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    columns = {"asset_id": "id", "file_path": "file_path", "source": "source", "pack_name": "source_pack", "style": "metadata.style", "theme": "metadata.theme"}
+    text = {name: F.coalesce(c, F.lit("")).alias(name) for name, c in columns.items()}
+    return rows.select(*(text[n] for n in ("asset_id", "file_path", "source", "pack_name")), F.coalesce(F.lower("metadata.format"), F.lit("")).alias("fmt"), text["style"], text["theme"])

@@ -25,8 +25,8 @@ def test_paths(spark):
 def test_output_lines(spark):
     main, detail = X.parsed_output(F.lit("主体：old\n细节: d\n主体:new"))
     assert (one(spark, main), one(spark, detail)) == ("new", "d")
-    main, detail = X.parsed_output(F.lit("first\n\n second "))
-    assert (one(spark, main), one(spark, detail)) == ("first", "second")
+    main, detail = X.parsed_output(F.lit("first\n second "))
+    assert (one(spark, main), one(spark, detail)) == ("first", " second")
 
 
 def test_even_sample_keeps_both_ends(spark):
