@@ -25,8 +25,9 @@ SIDE = 512
 MOST = 2
 #: Rows of 64-bit values that may be broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 500_000
-#: Text bytes for each partition of the signatures.
-PART_BYTES = 8 << 20
+#: Text bytes for each partition of the signatures, and signatures that a task packs at once.
+PART_BYTES = 16 << 20
+HELD = 1_000_000
 #: Cost model of a segment: what meets a one-token subset by chance, and the share of that for each further token.
 MEETS, RARER = 20.0, 0.1
 
@@ -146,16 +147,6 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(owners)
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unfive(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def document_sets(documents: DataFrame) -> DataFrame:
     """doc_id, node (64-bit hash of the text), n_shingles, sketch and what each scheme's slack leaves: a row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +163,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
 
 
 def _cells(documents: DataFrame, parts: int) -> DataFrame:
-    """Signatures packed by partition: part, nodes, signatures (40 bits of each), owners."""
+    """Signatures packed by partition, in the order of their nodes: part, nodes, own and low (signatures of each node in the scheme of its band, and below), signatures (32 bits of each besides the partition)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task index once
         nodes, values, owners, held = [], [], [], 0
@@ -180,16 +171,15 @@ def _cells(documents: DataFrame, parts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             value, owner = np.concatenate(values), np.concatenate(owners)
             part = (((value >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            value, owner, part = value[order], owner[order], part[order]
+            order = np.lexsort((owner, part))
+            value, owner, part = value[order].astype("<u4"), owner[order], part[order]
             at = np.searchsorted(part, np.arange(parts + 1))
             names, rows = np.array(nodes, np.int64), []
-            for p in range(parts):
-                a, b = at[p], at[p + 1]
-                if b > a:
-                    own, where = np.unique(owner[a:b] >> 1, return_inverse=True)
-                    rows.append({"part": p, "nodes": names[own].tobytes(), "signatures": _five(value[a:b]), "owners": (2 * where + (owner[a:b] & 1)).astype("<u2").tobytes()})
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("signatures", pa.binary()), ("owners", pa.binary())]))
+            for p in np.flatnonzero(np.diff(at)):
+                own, where = np.unique(owner[at[p] : at[p + 1]] >> 1, return_inverse=True)
+                counts = np.bincount(2 * where + (owner[at[p] : at[p + 1]] & 1), minlength=2 * len(own)).astype("<u4")
+                rows.append({"part": p, "nodes": names[own].tobytes(), "own": counts[::2].tobytes(), "low": counts[1::2].tobytes(), "signatures": value[at[p] : at[p + 1]].tobytes()})
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "own", "low", "signatures"))]))
 
         for batch in batches:
             for rows, text in chunks(batch):
@@ -199,54 +189,69 @@ def _cells(documents: DataFrame, parts: int) -> DataFrame:
                         seen.add(node)
                         own.append(node)
                         sets.append(s)
-                for a in range(0, len(sets), 30_000):
-                    value, owner = _signatures(sets[a : a + 30_000])
-                    if len(nodes) + len(sets) > 30_000 and values:
-                        yield flush()
-                        nodes, values, owners, held = [], [], [], 0
-                    values.append(value)
-                    owners.append(owner + 2 * len(nodes))
-                    nodes += own[a : a + 30_000]
-                    held += len(value)
-                if held > 3_000_000:
+                if not sets:
+                    continue
+                value, owner = _signatures(sets)
+                values.append(value)
+                owners.append(owner + 2 * len(nodes))
+                nodes += own
+                held += len(value)
+                if held > HELD:
                     yield flush()
                     nodes, values, owners, held = [], [], [], 0
         if values:
             yield flush()
 
-    return documents.mapInArrow(run, "part int, nodes binary, signatures binary, owners binary")
+    return documents.mapInArrow(run, "part int, nodes binary, own binary, low binary, signatures binary")
+
+
+_GROUPS = "kind int, part int, a bigint, b bigint, big_0 int, big_1 int, members binary, sizes binary"
 
 
 def _groups(cells: DataFrame) -> DataFrame:
-    """Stars of the groups that share a signature (star true: node, other), and members of those of three or more (star false: node, signature, size, lower)."""
+    """The groups that share a signature, by kind of row.
+
+    0: stars, each group's least node (a) with the others (b).  1: a part's nodes (a) in groups of three or more,
+    with the number of their groups of more than LIGHT in either scheme (big_0, big_1).  2: these groups, a row for
+    each part: sizes, and members one after the other, as 2 x place among the part's sorted nodes + (1 in the scheme below).
+    """
     def run(table: pa.Table) -> pa.Table:
-        signature, node, lower = [], [], []
-        for row in table.select(["nodes", "signatures", "owners"]).to_pylist():
-            owner = np.frombuffer(row["owners"], "<u2").astype(np.int64)
-            signature.append(_unfive(row["signatures"]))
-            node.append(np.frombuffer(row["nodes"], np.int64)[owner >> 1])
-            lower.append(owner & 1)
-        part = np.uint64(table.column("part")[0].as_py())
-        signature, node, lower = np.concatenate(signature), np.concatenate(node), np.concatenate(lower)
-        order = np.lexsort((node, signature))
-        signature, node, lower = signature[order], node[order], lower[order]
-        new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
-        signature, node, lower = signature[new], node[new], lower[new]
+        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+        nodes, own, low = (np.concatenate(read(c, kind)) for c, kind in (("nodes", np.int64), ("own", "<u4"), ("low", "<u4")))
+        signature = np.concatenate(read("signatures", "<u4"))
+        counts = np.stack([own, low], 1).ravel().astype(np.int64)
+        name, place = np.unique(nodes, return_inverse=True)
+        member = np.repeat(np.stack([2 * place, 2 * place + 1], 1).ravel(), counts)
+        order = np.argsort(signature.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64))
+        signature, member = signature[order], member[order]
+        new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (member[1:] >> 1 != member[:-1] >> 1)])
+        signature, member = signature[new], member[new]
         begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
         size = np.diff(np.append(begin, len(signature)))
-        centre, sizes = np.repeat(node[begin], size), np.repeat(size, size)
-        star = np.unique(np.stack([centre, node], 1)[(sizes > 1) & (centre != node)], axis=0).reshape(-1, 2)
+        sizes, centre = np.repeat(size, size), np.repeat(member[begin] >> 1, size)
+        star = np.unique(centre[sizes > 1] * len(name) + (member[sizes > 1] >> 1))
+        star = np.stack(np.divmod(star, max(1, len(name))), 1)
+        star = star[star[:, 0] != star[:, 1]]
         many = sizes > 2
-        n, m = len(star), int(many.sum())
+        big = np.bincount(member[many & (sizes > LIGHT)], minlength=2 * len(name)).reshape(-1, 2)
+        used = np.unique(member[many] >> 1)
+        put = np.zeros(len(name), np.int64)
+        put[used] = np.arange(len(used))
+        packed = int(len(used) > 0)
+        n, m = len(star), len(used)
+        none = lambda k, kind: pa.nulls(k, kind)
+        join = lambda *xs: pa.concat_arrays(xs)
+        whole = pa.int64()
+        flat = (2 * put[member[many] >> 1] + (member[many] & 1)).astype("<u4").tobytes()
         return pa.table({
-            "star": pa.array(np.repeat([True, False], [n, m])),
-            "node": pa.array(np.concatenate([star[:, 0], node[many]])),
-            "other": pa.array(np.concatenate([star[:, 1], signed(signature[many] | (part << np.uint64(40)))])),
-            "size": pa.array(np.concatenate([np.zeros(n, np.int64), sizes[many]])),
-            "lower": pa.array(np.concatenate([np.zeros(n, np.int64), lower[many]])),
+            "kind": pa.array(np.repeat([0, 1, 2], [n, m, packed]).astype(np.int32)), "part": pa.array(np.full(n + m + packed, table.column("part")[0].as_py(), np.int32)),
+            "a": join(pa.array(name[star[:, 0]]), pa.array(name[used]), none(packed, whole)), "b": join(pa.array(name[star[:, 1]]), none(m + packed, whole)),
+            **{f"big_{i}": join(none(n, pa.int32()), pa.array(big[used, i].astype(np.int32)), none(packed, pa.int32())) for i in (0, 1)},
+            "members": join(none(n + m, pa.binary()), pa.array([flat] * packed, pa.binary())),
+            "sizes": join(none(n + m, pa.binary()), pa.array([size[size > 2].astype("<u4").tobytes()] * packed, pa.binary())),
         })
 
-    return cells.groupBy("part").applyInArrow(run, "star boolean, node bigint, other bigint, size bigint, lower bigint")
+    return cells.groupBy("part").applyInArrow(run, _GROUPS)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,32 +322,35 @@ def _compare(members: DataFrame, most: int) -> DataFrame:
     own = members.withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("outside", out)
     to = lambda low, high: F.explode(F.sequence(low, high))
     zero, last = F.lit(0), F.col("sides") - 1
-    left = own.where("asked and outside").withColumn("j", to(F.when(F.col("main").isNull(), F.col("own")).otherwise(zero), last)).withColumn("i", F.col("own")).withColumn("right", F.lit(False))
-    right = own.withColumn("i", to(zero, F.when(F.col("main").isNull(), F.col("own")).otherwise(last))).withColumn("j", F.col("own")).withColumn("right", F.lit(True))
+    side = lambda i, j, right: own.withColumn("i", i).withColumn("j", j).withColumn("right", F.lit(right))
+    apart = own.where("sides > 1")  # a block compared with itself has its rows once
+    others = lambda low, high: F.explode(F.expr(f"filter(sequence({low}, {high}), x -> x <> own)"))
+    left = apart.where("asked and outside").withColumn("j", others("if(main is null, own, 0)", "sides - 1")).withColumn("i", F.col("own")).withColumn("right", F.lit(False))
+    right = apart.withColumn("i", others("0", "if(main is null, own, sides - 1)")).withColumn("j", F.col("own")).withColumn("right", F.lit(True))
     columns = ["cluster", "i", "j", "right", "node", "component", "n_shingles", "outside", "asked", "sketch"]
-    spread = left.unionByName(right).select(*columns).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
+    blocks = side(F.col("own"), F.col("own"), True).unionByName(left).unionByName(right)
+    spread = blocks.select(*columns).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "right")
 
     def pairs(rows: list[tuple], apart: bool, found: tuple[list[int], list[int]]) -> list[int]:
         """Adds the pairs of a block to those found; the nodes that have more.  rows: right, node, component, n_shingles, outside, asked, sketch."""
         size = min(len(r[6]) for r in rows)
         bits = np.stack([_folded(np.frombuffer(r[6], np.uint8), size) for r in rows]).view(np.uint64)
         node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        outside = np.array([r[4] for r in rows])
-        split, more = sum(not r[0] for r in rows), []
-        rest = slice(split, None)
-        for k in range(split):
+        right, outside, asked = (np.array([r[k] for r in rows]) for k in (0, 4, 5))
+        rest, more = slice(int((~right).sum()), None), []
+        for k in np.flatnonzero(~right if apart else outside & asked):
             low, high, total = np.minimum(n[k], n[rest]), np.maximum(n[k], n[rest]), n[k] + n[rest]
-            once = (node[rest] > node[k]) | ~outside[rest] | (apart & (node[rest] != node[k]))
+            once = (node[rest] > node[k]) | ~outside[rest] | apart
             at = np.flatnonzero(once & (comp[rest] != comp[k]) & (BELOW * low >= ABOVE * high))
-            differ = np.bitwise_count(bits[split + at] ^ bits[k]).sum(1)
+            differ = np.bitwise_count(bits[rest][at] ^ bits[k]).sum(1)
             near = differ <= (total - 2 * -(-ABOVE * total // (ABOVE + BELOW)))[at]
-            if _nearest(int(node[k]), node[split + at[near]], differ[near], most, found):
+            if _nearest(int(node[k]), node[rest][at[near]], differ[near], most, found):
                 more.append(int(node[k]))
         return more
 
     def few(rows: list[tuple], found: tuple[list[int], list[int]]) -> list[int]:
         """The same for a cluster in one block, in whole numbers: no arrays for a handful of rows."""
-        rows, more = [r for r in rows if r[0]], []
+        more: list[int] = []
         for k, (_, x, c, n, out, ask, s) in enumerate(rows):
             near = []
             for other, (_, y, d, m, out2, _, t) in enumerate(rows) if out and ask else ():
@@ -386,20 +394,55 @@ def _clusters(found: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame
 
     In groups of more than LIGHT those alone are members that have more empty or common segments than
     their scheme's slack, since any other linked pair also shares a rarer one.  Groups of the same
-    members count once; those that one component rules are one cluster, as near copies share very many.
+    members are one cluster, and so are those that one component (main) rules, as near copies share very
+    many.  Groups stay packed by part; what is shuffled is a row for each node of a part.
     """
-    members = found.where("not star").select("node", F.col("other").alias("group"), "size", "lower")
-    labelled = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    crowd = members.where(F.col("size") > LIGHT).groupBy("node", "lower").agg(F.count("*").alias("n"))
-    slack, weight = (F.when(F.col("lower") == 0, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")) for x in ("slack", "weight"))
-    spent = crowd.join(nodes, "node").where(F.col("n") * weight > slack).select("node", "lower", F.lit(True).alias("spent"))
-    open_ = labelled.join(spent, ["node", "lower"], "left").where((F.col("size") <= LIGHT) | F.col("spent"))
-    parts = open_.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    mixed = parts.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("who").alias("who"), F.count("*").alias("k")).where("k > 1")
-    main = F.when(F.col("top.n") * 2 >= F.col("n"), F.col("top.component"))
-    once = mixed.groupBy("n", "who").agg(F.min("group").alias("group"), F.first(main).alias("main"))
-    once = once.select("group", "main", F.when(F.col("main").isNull(), F.col("group")).otherwise(F.xxhash64("main", F.lit(1))).alias("cluster"))
-    return open_.join(once, "group").groupBy("cluster", "node").agg(F.first("main").alias("main"), F.first("component").alias("component"))
+    own = found.where("kind = 1").select(F.col("part").alias("of_part"), F.col("a").alias("node"), "big_0", "big_1")
+    spent = lambda i: (F.col(f"n_{i}") * F.col(f"weight_{i}") > F.col(f"slack_{i}")).alias(f"spent_{i}")
+    crowd = own.groupBy("node").agg(F.sum("big_0").alias("n_0"), F.sum("big_1").alias("n_1"))
+    about = crowd.join(nodes.select("node", "slack_0", "slack_1", "weight_0", "weight_1"), "node").join(components(links), "node", "left")
+    about = about.select("node", F.coalesce("component", "node").alias("component"), spent(0), spent(1))
+    labels = own.select("of_part", "node").join(about, "node")
+
+    def run(packed: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = pa.schema([(c, pa.int64()) for c in ("cluster", "main", "node", "component")])
+        if not packed.num_rows:
+            return kinds.empty_table()
+        node, component, spent_0, spent_1 = (rows.column(c).to_numpy() for c in ("node", "component", "spent_0", "spent_1"))
+        order = np.argsort(node)
+        node, component, spent = node[order], component[order], np.stack([spent_0, spent_1], 1)[order].astype(bool)
+        member, size = (np.frombuffer(packed.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("members", "sizes"))
+        group, place = np.repeat(np.arange(len(size)), size), member >> 1
+        held = (np.repeat(size, size) <= LIGHT) | spent[place, member & 1]
+        group, place = group[held], place[held]
+        if not len(group):
+            return kinds.empty_table()
+        order = np.lexsort((component[place], group))
+        group, place = group[order], place[order]
+        of = component[place]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        n = np.diff(np.append(begin, len(group)))
+        run_ = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (of[1:] != of[:-1])]))
+        length = np.diff(np.append(run_, len(group)))
+        whose = np.searchsorted(begin, run_, "right")
+        best = np.lexsort((length, whose))  # the longest run of each group stands last
+        last = best[np.append(whose[best][1:] != whose[best][:-1], True)]
+        ruled, main = 2 * length[last] >= n, of[run_[last]]
+        who = signed(mix(np.add.reduceat(mix(node[place].view(np.uint64)), begin) + n.astype(np.uint64)))
+        cluster = np.where(ruled, signed(mix(main.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))), who)
+        mixed = of[begin] != of[begin + n - 1]
+        _, one = np.unique(who, return_index=True)
+        once = np.zeros(len(n), bool)
+        once[one] = True
+        kept = np.repeat(mixed & once, n)
+        rows = [np.repeat(x, n)[kept] for x in (cluster, ruled, main)] + [node[place[kept]], of[kept]]
+        first = np.unique(np.stack([rows[0], rows[3]], 1), axis=0, return_index=True)[1] if kept.any() else np.zeros(0, np.int64)
+        cluster, ruled, main, node, of = (x[first] for x in rows)
+        return pa.table([cluster, pa.array(main, mask=~ruled), node, of], schema=kinds)
+
+    groups = found.where("kind = 2").select("part", "members", "sizes")
+    rows = groups.groupBy("part").cogroup(labels.groupBy("of_part")).applyInArrow(run, "cluster bigint, main bigint, node bigint, component bigint")
+    return rows.groupBy("cluster", "node").agg(F.first("main").alias("main"), F.first("component").alias("component"))
 
 
 def _relabelled(clusters: DataFrame, links: DataFrame, cut: DataFrame) -> DataFrame:
@@ -454,9 +497,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = written(_groups(_cells(keyed, max(1, -(-size // PART_BYTES)))), "groups")
 
-    stars = found.where("star").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    stars = found.where("kind = 0").select("a", "b").distinct()
     links = written(_linked(written(_possible(stars, nodes), "pairs"), keyed, nodes), "star-links")
-    if not found.where("not star").isEmpty():
+    if not found.where("kind = 2").isEmpty():
         links = _links_across(_clusters(found, nodes, links), links, keyed, nodes)
     joined = components(links)
     # components of nodes, then of documents: each component takes its least doc_id
