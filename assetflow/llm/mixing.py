@@ -12,8 +12,8 @@ WEIGHTS = (5, 2, 1)
 #: Documents in a block on average, and block draws in an output shard on average.
 BLOCK_ROWS = 256
 SHARD_BLOCKS = 32
-#: A node's draws from one source are simulated one by one up to this many, and drawn from the normal law of equal mean and variance beyond.
-SIMULATED = 2048
+#: Ranges of hashes over which a source's prefix sums are taken first, so that no task scans all of a source.
+RANGES = 1024
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -46,49 +46,75 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return by.select("source", "source_rank", "n_rows", "source_size", F.when(F.col("full"), cap.cast("double")).otherwise(F.col("w") * level).alias("target"))
 
 
+def _running(df: DataFrame, key: str, order: Column, tie: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over the rows of equal key (null too) before each, by order (60 bits) and tie.
+
+    The sums of RANGES hash ranges are scanned first, then each range by itself.
+    """
+    placed = df.withColumns({"__order": order, "__value": value}).withColumn("__range", F.floor(F.col("__order") / ((1 << 60) // RANGES)))
+    sums = placed.groupBy(key, "__range").agg(F.sum("__value").alias("__sum"))
+    upto = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "__range", F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(key, "__range").orderBy("__order", tie).rowsBetween(Window.unboundedPreceding, -1)
+    both = _same(placed, starts, key, "__range").withColumn(name, F.col("__start") + F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    return both.drop("__order", "__value", "__range", "__start")
+
+
 def _hypergeometric(good: str, bad: str, draws: str, seed: str) -> str:
-    """SQL: how many good ones are among so many drawn without replacement; within the exact support."""
-    u = lambda x: f"((cast(conv(substring(md5(concat_ws(':', {seed}, {x})), 1, 13), 16, 10) as double) + 0.5) / 4503599627370496)"
-    urn = (
-        f"aggregate(sequence(1, {draws}), named_struct('g', {good}, 'b', {bad}, 't', 0L), (a, i) -> if({u('i')} * (a.g + a.b) < a.g, "
-        "named_struct('g', a.g - 1, 'b', a.b, 't', a.t + 1), named_struct('g', a.g, 'b', a.b - 1, 't', a.t)), a -> a.t)"
-    )
-    n = f"({good} + {bad})"
-    mean = f"({draws} * cast({good} as double) / {n})"
-    spread = f"sqrt({mean} * ({bad}) / {n} * ({n} - {draws}) / ({n} - 1))"
-    normal = f"sqrt(-2 * ln({u(repr('a'))})) * cos(2 * pi() * {u(repr('b'))})"
-    clamped = f"greatest(0L, {draws} - ({bad}), least({good}, {draws}, cast(round({mean} + {spread} * {normal}) as bigint)))"
-    return f"case when {good} = 0 or {draws} = 0 then 0L when {bad} = 0 then {draws} when {draws} <= {SIMULATED} then {urn} else {clamped} end"
+    """SQL: how many good ones are among so many drawn without replacement, by inversion.
+
+    From the mode outwards each probability follows from its neighbour's by a ratio, relative to the
+    mode's: up to nine deviations and 40 steps, beyond which the rest is less than a step of the 52-bit
+    uniform number.  The steps grow with the deviation, as the root of the draws; no state but two sums is held.
+    """
+    u = f"(cast(conv(substring(md5(concat_ws(':', {seed})), 1, 13), 16, 10) as double) + 0.5) / 4503599627370496"
+    up = "(z.g - (z.m + i) + 1d) * (z.d - (z.m + i) + 1d) / ((z.m + i) * (z.b - z.d + z.m + i))"
+    down = "(z.m - i + 1d) * (z.b - z.d + z.m - i + 1d) / ((z.g - z.m + i) * (z.d - z.m + i))"
+    steps = lambda n: f"if({n} > 0, sequence(1L, {n}), cast(array() as array<bigint>))"
+    total = lambda n, ratio: f"aggregate({steps(n)}, named_struct('w', 1d, 's', 0d), (a, i) -> named_struct('w', a.w * ({ratio}), 's', a.s + a.w * ({ratio})), a -> a.s)"
+    find = lambda n, ratio, rest: (
+        f"aggregate({steps(n)}, named_struct('w', 1d, 's', 0d, 'k', 0L), (a, i) -> if(a.s >= {rest} and a.k > 0, a, named_struct('w', a.w * ({ratio}), 's', a.s + a.w * ({ratio}), 'k', i)), a -> a.k)")
+    let = lambda fields, name, body: f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
+    n = f"cast({good} + {bad} as double)"
+    far = f"cast(ceil(9 * sqrt({draws} * ({good} / {n}) * ({bad} / {n}) * (({n} - {draws}) / greatest({n} - 1, 1d)))) as bigint) + 40"
+    mode = f"cast(floor(({draws} + 1d) * ({good} + 1d) / ({n} + 2)) as bigint)"
+    inner = let("'t', y.u * (1 + y.up + y.down), 'up', y.up", "t", f"case when t.t <= 1 then z.m when t.t <= 1 + t.up then z.m + {find('y.n', up, '(t.t - 1)')} else z.m - {find('y.k', down, '(t.t - 1 - t.up)')} end")
+    sums = let(f"'u', {u}, 'n', x.n, 'k', x.k, 'up', {total('x.n', up)}, 'down', {total('x.k', down)}", "y", inner)
+    limits = let("'n', least(z.f, least(z.g, z.d) - z.m), 'k', least(z.f, z.m - greatest(0L, z.d - z.b))", "x", sums)
+    drawn = let(f"'g', {good}, 'b', {bad}, 'd', {draws}, 'm', {mode}, 'f', {far}", "z", limits)
+    return f"case when {good} = 0 or {draws} = 0 then 0L when {bad} = 0 then {draws} else {drawn} end"
 
 
 def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
-    """Quotas of 2 ** levels shards: shard, quotas (array<bigint>, one for each source).
+    """Quotas of 2 ** levels shards: shard, quotas (array of source, quota > 0, start).
 
-    quotas: one row with the array of every source's draws.  A node gives half of its draws to its
-    left child; how many of each source is a multivariate-hypergeometric draw, made source after
-    source, and the right child gets the rest, so the shards' quotas add up to the sources'.
+    quotas: one row with an array of struct<source int, quota bigint, start bigint>, an entry for each
+    source.  A node gives half of its draws to its left child; how many of each source is a
+    multivariate-hypergeometric draw, made source after source, and the right child gets the rest, so the
+    shards' quotas add up to the sources'.  start is where a node's draws begin among its source's, so the
+    leaves are disjoint runs.  Entries without a quota go at every level: no level holds more than its draws.
     """
     tree = quotas.select(F.lit(0).cast("bigint").alias("shard"), "quotas")
     for level in range(levels):
-        x = _hypergeometric("q", "(acc.rest - q)", "acc.draws", f"'{level}', shard, size(acc.out)")
-        left = (
-            "aggregate(quotas, named_struct('rest', aggregate(quotas, 0L, (a, q) -> a + q), 'draws', aggregate(quotas, 0L, (a, q) -> a + q) div 2, 'out', cast(array() as array<bigint>)), "
-            f"(acc, q) -> named_struct('rest', acc.rest - q, 'draws', acc.draws - {x}, 'out', concat(acc.out, array({x}))), acc -> acc.out)"
-        )
-        tree = tree.withColumn("left", F.expr(left)).select(F.explode(F.expr("array(named_struct('shard', shard * 2, 'quotas', left), named_struct('shard', shard * 2 + 1, 'quotas', zip_with(quotas, left, (a, b) -> a - b)))")).alias("n")).select("n.shard", "n.quotas")
-        if level % 4 == 3:
-            tree = written(tree, "mixing-tree")
+        x = _hypergeometric("e.quota", "(acc.rest - e.quota)", "acc.draws", f"'{level}', shard, e.source")
+        begin = "named_struct('rest', aggregate(quotas, 0L, (a, e) -> a + e.quota), 'draws', aggregate(quotas, 0L, (a, e) -> a + e.quota) div 2, 'out', cast(array() as array<bigint>))"
+        step = f"(acc, e) -> element_at(transform(array({x}), n -> named_struct('rest', acc.rest - e.quota, 'draws', acc.draws - n, 'out', array_append(acc.out, n))), 1)"
+        tree = tree.withColumn("left", F.expr(f"aggregate(quotas, {begin}, {step}, acc -> acc.out)"))
+        one = "filter(zip_with(quotas, left, (e, n) -> named_struct('source', e.source, 'quota', n, 'start', e.start)), e -> e.quota > 0)"
+        two = "filter(zip_with(quotas, left, (e, n) -> named_struct('source', e.source, 'quota', e.quota - n, 'start', e.start + n)), e -> e.quota > 0)"
+        tree = tree.select(F.explode(F.expr(f"array(named_struct('shard', shard * 2, 'quotas', {one}), named_struct('shard', shard * 2 + 1, 'quotas', {two}))")).alias("n")).select("n.shard", "n.quotas")
+        tree = written(tree, "mixing-tree")
     return tree
 
 
 def _same(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
     """Inner join on the names, nulls equal."""
-    right = right.withColumnsRenamed({n: f"r_{n}" for n in names})
+    right = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
     on = None
     for n in names:
-        here = left[n].eqNullSafe(right[f"r_{n}"])
+        here = left[n].eqNullSafe(right[f"__r_{n}"])
         on = here if on is None else on & here
-    return left.join(right, on).drop(*(f"r_{n}" for n in names))
+    return left.join(right, on).drop(*(f"__r_{n}" for n in names))
 
 
 def draws(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -108,23 +134,18 @@ def draws(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     blocks = rows.groupBy("source", "source_rank", "source_size", "target", "block").agg(F.sum("size").alias("block_size"))
     wanted = F.round("target").cast("bigint")
     passes = F.coalesce(F.expr("try_divide(round(target), source_size)"), F.lit(0)).cast("bigint")
-    order = Window.partitionBy("source").orderBy(_hash(F.lit("order"), "source", "block"), "block")
-    blocks = blocks.withColumns({"passes": passes, "rest": wanted - passes * F.col("source_size"), "before": F.coalesce(F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    part = F.greatest(F.lit(0), F.least("block_size", F.col("rest") - F.col("before")))
-    drawn = blocks.select("source", "source_rank", "block", "block_size", F.posexplode(F.concat(F.array_repeat("block_size", F.col("passes").cast("int")), F.array(part))).alias("pass", "words")).where("words > 0").withColumn("pass", F.col("pass") + 1)
-    place = F.row_number().over(Window.partitionBy("source_rank").orderBy(_hash(F.lit("draw"), "source", "pass", "block"), "pass", "block"))
-    drawn = written(drawn.withColumn("place", place.cast("bigint")), "mixing-draws")
+    blocks = _running(blocks, "source_rank", _hash(F.lit("order"), "source", "block"), "block", F.col("block_size"), "before")
+    part = F.greatest(F.lit(0), F.least(F.col("block_size"), wanted - passes * F.col("source_size") - F.col("before")))
+    drawn = blocks.select("source", "source_rank", "block", "block_size", F.posexplode(F.concat(F.array_repeat("block_size", passes.cast("int")), F.array(part))).alias("pass", "words"))
+    drawn = drawn.where("words > 0").withColumn("pass", F.col("pass") + 1)
+    drawn = written(_running(drawn, "source_rank", _hash(F.lit("draw"), "source", "pass", "block"), "block", F.lit(1).cast("bigint"), "place"), "mixing-draws")
 
     per = drawn.groupBy("source_rank").agg(F.count("*").alias("n"))
-    quotas = per.agg(F.sort_array(F.collect_list(F.struct("source_rank", "n"))).alias("all")).select(F.col("all.source_rank").alias("ranks"), F.col("all.n").alias("quotas"))
+    entry = F.struct(F.col("source_rank").alias("source"), F.col("n").alias("quota"), F.lit(0).cast("bigint").alias("start"))
     n = drawn.count()
     levels = max(0, (max(1, n // SHARD_BLOCKS) - 1).bit_length())
-    tree = splitting_tree(quotas.select("quotas"), levels)
-    leaf = tree.select("shard", F.posexplode("quotas").alias("k", "quota"))
-    ranks = quotas.select(F.posexplode("ranks").alias("k", "source_rank"))
-    leaf = leaf.join(F.broadcast(ranks), "k").where("quota > 0")
-    upto = F.sum("quota").over(Window.partitionBy("source_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    leaf = leaf.withColumn("upto", upto).select("source_rank", "shard", F.explode(F.expr("sequence(upto - quota + 1, upto)")).alias("place"))
+    tree = splitting_tree(per.agg(F.sort_array(F.collect_list(entry)).alias("quotas")), levels)
+    leaf = tree.select("shard", F.explode("quotas").alias("e")).select("shard", F.col("e.source").alias("source_rank"), F.explode(F.expr("sequence(e.start, e.start + e.quota - 1)")).alias("place"))
     return rows, drawn.join(leaf, ["source_rank", "place"]).select("source", "block", "pass", "words", "block_size", "shard")
 
 
@@ -154,17 +175,18 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return _taken(*draws(documents, weights, share, most)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shard: str | None = None) -> DataFrame:
     """The mix itself: the documents' rows, once for each whole take and once for a partial one of at
-    least half the document, sorted within shards by a hash.  Rows of one doc_id are taken alike.
+    least half the document, sorted within shards by a hash.  Rows of one doc_id are taken alike.  Columns
+    stay, whatever their names; with `shard` the number of a row's shard is added (or replaced) under that name.
     """
     takes = _taken(*draws(documents, weights, share, most))
     copies = F.col("passes") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
-    takes = takes.groupBy("doc_id").agg(F.max_by(F.slice("shards", F.lit(1), copies.cast("int")), copies).alias("mix_shards")).where(F.size("mix_shards") > 0)
-    right = takes.withColumnRenamed("doc_id", "r_doc_id")
-    out = documents.join(right, documents["doc_id"].eqNullSafe(right["r_doc_id"])).drop("r_doc_id")
-    out = out.withColumn("mix_shard", F.explode("mix_shards")).drop("mix_shards")
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", _hash(F.lit("local"), "mix_shard", "doc_id")).select(*documents.columns)
+    takes = takes.groupBy(F.col("doc_id").alias("__doc")).agg(F.max_by(F.slice("shards", F.lit(1), copies.cast("int")), copies).alias("__shards")).where(F.size("__shards") > 0)
+    out = documents.join(takes, documents["doc_id"].eqNullSafe(takes["__doc"])).withColumn("__shard", F.explode("__shards"))
+    out = out.repartition("__shard").sortWithinPartitions("__shard", _hash(F.lit("local"), "__shard", "doc_id"))
+    kept = [documents[c] for c in documents.columns if c != shard]
+    return out.select(*kept, *([F.col("__shard").alias(shard)] if shard else []))
 
 
 #: The query over a table documents, as DuckDB SQL; the tree only decides which shard a draw goes to.

@@ -1,7 +1,10 @@
 """Line dedup, license scan and mixing against plain Python."""
 
+import hashlib
 import itertools
 import re
+from fractions import Fraction
+from math import comb
 
 from pyspark.sql import functions as F
 
@@ -117,10 +120,91 @@ def test_mixing(spark, odd, none, rng):
 
 
 def test_splitting_tree_keeps_quotas(spark):
-    start = spark.createDataFrame([([1000, 0, 37, 5000],)], "quotas array<bigint>")
-    rows = mixing.splitting_tree(start, 3).collect()
-    assert sorted(r["shard"] for r in rows) == list(range(8))
-    assert [sum(r["quotas"][i] for r in rows) for i in range(4)] == [1000, 0, 37, 5000]
-    assert {sum(r["quotas"]) for r in rows} <= {754, 755} and all(abs(r["quotas"][3] - 625) < 60 for r in rows)
-    wide = mixing.splitting_tree(start.select(F.transform("quotas", lambda q: q * 1000).alias("quotas")), 1).collect()
-    assert [sum(r["quotas"][i] for r in wide) for i in range(4)] == [1_000_000, 0, 37_000, 5_000_000]
+    given = {1: 1000, 2: 0, 3: 37, 4: 5000}
+    entries = lambda k: [([(s, q * k, 0) for s, q in given.items()],)]
+    start, large = (spark.createDataFrame(entries(k), "quotas array<struct<source int, quota bigint, start bigint>>") for k in (1, 1000))
+    rows = [(r["shard"], {e["source"]: e["quota"] for e in r["quotas"]}) for r in mixing.splitting_tree(start, 3).collect()]
+    assert sorted(shard for shard, _ in rows) == list(range(8))
+    assert [sum(q.get(i, 0) for _, q in rows) for i in given] == [1000, 0, 37, 5000]
+    assert {sum(q.values()) for _, q in rows} <= {754, 755} and all(abs(q[4] - 625) < 60 for _, q in rows)
+    wide = [{e["source"]: e["quota"] for e in r["quotas"]} for r in mixing.splitting_tree(large, 1).collect()]
+    assert [sum(q.get(i, 0) for q in wide) for i in given] == [1_000_000, 0, 37_000, 5_000_000]
+
+
+def uniform(*parts):
+    return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def hypergeometric(good, bad, draws, u):
+    """By exact probabilities, from the mode upwards, then from it downwards."""
+    chance = lambda x: comb(good, x) * comb(bad, draws - x) if max(0, draws - bad) <= x <= min(good, draws) else 0
+    mode = (draws + 1) * (good + 1) // (good + bad + 2)
+    order = [mode, *range(mode + 1, min(good, draws) + 1), *range(mode - 1, max(0, draws - bad) - 1, -1)]
+    left = Fraction(u) * comb(good + bad, draws)
+    for x in order:
+        left -= chance(x)
+        if left <= 0:
+            return x
+    return order[-1]
+
+
+def plain_tree(quotas, levels):
+    tree = {0: [(s, q, 0) for s, q in quotas]}
+    for level in range(levels):
+        below = {}
+        for shard, entries in tree.items():
+            rest = sum(q for _, q, _ in entries)
+            draws, one, two = rest // 2, [], []
+            for s, q, start in entries:
+                n = hypergeometric(q, rest - q, draws, uniform(level, shard, s))
+                rest, draws = rest - q, draws - n
+                one.append((s, n, start))
+                two.append((s, q - n, start + n))
+            below[2 * shard], below[2 * shard + 1] = ([e for e in x if e[1]] for x in (one, two))
+        tree = below
+    return tree
+
+
+def test_splitting_tree_draws_exactly(spark):
+    for quotas, levels in (([(1, 40), (2, 1), (3, 17), (4, 200)], 5), ([(1, 3_000), (2, 900), (7, 3)], 2)):
+        rows = spark.createDataFrame([([(s, q, 0) for s, q in quotas],)], "quotas array<struct<source int, quota bigint, start bigint>>")
+        got = {r["shard"]: [tuple(e) for e in r["quotas"]] for r in mixing.splitting_tree(rows, levels).collect()}
+        assert got == plain_tree(quotas, levels)
+        for s, q in quotas:
+            runs = sorted((start, n) for entries in got.values() for source, n, start in entries if source == s)
+            assert sum(n for _, n in runs) == q and [a + n for a, n in runs][:-1] == [a for a, _ in runs][1:]
+
+
+def test_mixing_draws_blocks_by_the_leaves(spark, rng, monkeypatch):
+    """Each draw lies in the shard whose run of its source holds its place; what a document gives follows from its blocks' draws."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(1500)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("mine") for c in ("mix_shard", "mix_shards", "r_doc_id", "place", "block", "pass")})
+    placed, drawn = (x.collect() for x in mixing.draws(documents))
+    number = {s: i for i, s in enumerate(["a", "b", "c", None], 1)}
+    order = {}
+    for r in drawn:
+        order.setdefault(r["source"], []).append((int(hashlib.md5(f"draw:{r['source'] or ''}:{r['pass']}:{r['block']}".encode()).hexdigest()[:15], 16), r["block"], r["shard"], r["words"]))
+    tree = plain_tree([(number[s], len(x)) for s, x in sorted(order.items(), key=lambda kv: number[kv[0]])], max(0, (len(drawn) // 4 - 1).bit_length()))
+    for s, x in order.items():
+        shards = [shard for _, shard, n in sorted((start, shard, n) for shard, entries in tree.items() for source, n, start in entries if source == number[s]) for _ in range(n)]
+        assert [r[2] for r in sorted(x)] == shards and len(set(shards)) > 4
+    taken = {}
+    for r in mixing.mix(documents).collect():
+        taken[r["doc_id"]] = r["taken"]
+    block = {r["doc_id"]: (r["source"], r["block"]) for r in placed}
+    words = {}
+    for d, n in taken.items():
+        words[block[d]] = words.get(block[d], 0) + n
+    want = {}
+    for r in drawn:
+        want[r["source"], r["block"]] = want.get((r["source"], r["block"]), 0) + r["words"]
+    assert {k: n for k, n in words.items() if n} == want
+    out = mixing.mixed(documents, shard="shard")
+    assert out.columns == [*documents.columns, "shard"] and {r["mix_shard"] for r in out.collect()} == {"mine"}
+    pairs = [(r["doc_id"], r["shard"]) for r in out.collect()]
+    of = {}
+    for r in drawn:
+        of.setdefault((r["source"], r["block"]), set()).add(r["shard"])
+    assert pairs and all(shard in of[block[d]] for d, shard in pairs)
