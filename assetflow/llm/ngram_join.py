@@ -96,8 +96,8 @@ def shingle_sets(text: Text, words: int = WORDS) -> list[np.ndarray]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens in as many buckets as tokens, rounded up to a power of two (64 at least)."""
-    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    """Parities of the tokens in twice as many buckets as tokens, rounded up to a power of two (64 at least)."""
+    bits = max(64, 2 << max(0, len(tokens) - 1).bit_length())
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -495,7 +495,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = written(document_sets(keyed), "sets")
     nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in ("sketch", "slack_0", "slack_1", "weight_0", "weight_1"))), "nodes")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = written(_groups(_cells(keyed, max(1, -(-size // PART_BYTES)))), "groups")
+    parts = max(-(-size // PART_BYTES), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(_groups(_cells(keyed, parts)), "groups")
 
     stars = found.where("kind = 0").select("a", "b").distinct()
     links = written(_linked(written(_possible(stars, nodes), "pairs"), keyed, nodes), "star-links")
