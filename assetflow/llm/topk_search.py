@@ -41,18 +41,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, candidate_block:
     pair is scored: nothing is pruned.  Blocks bound a task's memory, and a query goes to each block
     of candidates once, so the data moved grows as queries x blocks, not as pairs.
 
-    A query leaves out the candidates with its own vec_id.  Rows that share a vec_id and terms are
-    one; rows of one vec_id with different terms each stand as a candidate and as a query.  Ties go
-    to the smaller vec_id.  Vectors of unequal length are padded with zeros.  Empty tables give no
-    rows.
+    A query leaves out its own row alone: of the candidates with its vec_id and its terms, one.  Every
+    other row is a candidate, and every row of queries is a query with ranks of its own, also where
+    rows repeat or share a vec_id.  Ties go to the smaller vec_id.  Vectors of unequal length are padded
+    with zeros, empty ones score 0.  Empty tables give no rows.
     """
-    vectors, queries = (x.select("vec_id", "terms").distinct() for x in (vectors, queries))
+    again = F.row_number().over(Window.partitionBy("vec_id").orderBy("terms"))
+    vectors, queries = vectors.select("vec_id", "terms"), queries.select("vec_id", "terms").withColumn("again", again)
     n, m = vectors.count(), queries.count()
     over, across = max(1, -(-n // candidate_block)), max(1, -(-m // query_block))
     place = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(place(over, 1).alias("c"), each(across).alias("q"), "vec_id", "terms")
-    right = queries.select(each(over).alias("c"), place(across, 2).alias("q"), "vec_id", "terms")
+    right = queries.select(each(over).alias("c"), place(across, 2).alias("q"), "vec_id", "terms", "again")
 
     def dense(rows: pd.Series, width: int) -> np.ndarray:
         out = np.zeros((len(rows), width), np.int64)
@@ -70,16 +71,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, candidate_block:
                 held = np.flatnonzero(rows[:, t])
                 postings.append((held if len(held) < len(rows) else slice(None), rows[held, t]))
             scores = np.empty(len(ids), np.int64)
-            for query, weights in zip(asked["vec_id"], dense(asked["terms"], width), strict=True):
+            for query, again, weights in zip(asked["vec_id"], asked["again"], dense(asked["terms"], width), strict=True):
                 scores[:] = 0
                 for t in np.flatnonzero(weights):
                     held, values = postings[t]
                     scores[held] += weights[t] * values
-                others = np.flatnonzero(ids != query)
+                own = np.flatnonzero(ids == query)  # all rows of one vec_id lie in one block
+                own = own[(rows[own] == weights).all(axis=1)][:1]
+                others = np.delete(np.arange(len(ids)), own)
                 best = others[_best(scores[others], ids[others], k)]
-                parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": scores[best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+                parts.append(pd.DataFrame({"query_id": query, "again": again, "vec_id": ids[best], "score": scores[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "again", "vec_id", "score")})
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(search, "query_id bigint, again bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "again").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -120,21 +120,19 @@ def test_tokens_after_the_last_separator(spark):
 
 
 def test_top_k_in_blocks(spark, rng):
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)] + [(200, None), (201, [float("nan")] * 8), (202, [None] * 8), (None, [1.0] * 8), (40, [0.5] * 8), (3, [0.25] * 8), (3, [0.25] * 8), (205, [0.0] * 8)]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)] + [(200, None), (201, [float("nan")] * 8), (202, [None] * 8), (None, [1.0] * 8), (40, [0.5] * 8), (3, [0.25] * 8), (3, [0.25] * 8), (205, [0.0] * 8), (206, []), (220, [])]
     vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    held = {(r["vec_id"], tuple(r["terms"])) for r in vectors.collect()}
-    queries = vectors.where("vec_id % 20 = 0")
-    got = {}
-    for r in topk_search.top_k(vectors, queries, 5, candidate_block=37, query_block=3).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
-    want = {}
+    held = [(r["vec_id"], tuple(r["terms"])) for r in vectors.collect()]
+    queries = vectors.where("vec_id % 20 = 0 or vec_id = 3")
+    got = sorted((r["query_id"], r["rank"], -r["score"], r["vec_id"]) for r in topk_search.top_k(vectors, queries, 5, candidate_block=37, query_block=3).collect())
+    want = []
     for q, t in held:
-        if q % 20 == 0:
-            want.setdefault(q, []).extend((-sum(x * y for x, y in zip(t, u, strict=True)), v) for v, u in held if v != q)
-    assert set(got) == set(want)
-    for q, found in got.items():
-        if q != 40:  # two rows of one vec_id are two queries
-            assert [x[1:] for x in sorted(found)] == sorted(want[q])[:5]
+        if q % 20 == 0 or q == 3:
+            others = list(held)
+            others.remove((q, t))
+            best = sorted((-sum(x * y for x, y in zip(t, u, strict=False)), v) for v, u in others)[:5]
+            want += [(q, rank, *x) for rank, x in enumerate(best, 1)]
+    assert got == sorted(want) and len([x for x in got if x[0] == 3]) == 15
     assert topk_search.top_k(vectors.limit(0), queries).count() == 0
 
 
