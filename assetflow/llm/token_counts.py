@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import utf8
+from .shared import utf8, written
 
 #: Identifier that ends a document; 0 to 255 are the byte tokens.
 END = 256
@@ -104,6 +104,7 @@ def token_counts(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
         "ordinal": F.coalesce(F.sum(F.size("lengths")).over(before), F.lit(0)),
         "last": F.lead("block").over(order).isNull(),
     })
+    here = written(here, "token-blocks")  # a short row for each block, so that the blocks are scanned once
     carried = F.col("start") - F.col("open")
     done = here.select("file", "doc_ids", "ordinal", carried.alias("carried"), F.posexplode("lengths").alias("k", "inside")).select(
         "file", (F.col("ordinal") + F.col("k")).alias("ordinal"),
