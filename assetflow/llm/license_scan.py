@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,42 @@ SENTENCES = {
     "spdx-apache2": "spdx license identifier apache 2 0",
     "spdx-gpl3": "spdx license identifier gpl 3 0 only",
     "rights": "all rights reserved",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liable": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liable": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
+    "apache2-title": "apache license version 2 0 january 2004",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "eclipse2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
 }
 
 # Rules in the order in which they are tried; a matched run of sentences is used up.
 RULES = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liable"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable"]),
+    ("MIT", ["mit-name", "mit-grant", "mit-notice", "as-is-mit", "mit-liable"]),
+    ("MIT", ["mit-name-the", "mit-grant", "mit-notice", "as-is-mit", "mit-liable"]),
+    ("MIT", ["mit-grant", "mit-notice", "as-is-mit", "mit-liable"]),
+    ("ISC", ["isc-grant", "isc-as-is", "isc-liable"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("Unlicense", ["unlicense", "unlicense-anyone"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("EPL-2.0", ["eclipse2"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("Apache-2.0", ["apache2-the", "apache2-may", "apache2-asis", "apache2-see"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-name", "mit-grant", "mit-notice", "as-is-mit"]),
@@ -83,8 +117,43 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 
-#: A text with none of these has no known sentence.
-CUE = r"(?i)licen[sc]e|permi|redistribut|warrant|copyright|rights|public"
+# Parts of the public names of licences, from which further sentences and rules follow.
+_SPDX = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0"]
+_CC_TERMS = {"BY": "attribution", "NC": "noncommercial", "ND": "noderivatives", "SA": "sharealike"}
+_CC = [(terms, version) for version in ("3.0", "4.0") for terms in (["BY"], ["BY", "SA"], ["BY", "NC"], ["BY", "ND"], ["BY", "NC", "SA"], ["BY", "NC", "ND"])]
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+def _named() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Sentences and rules that follow from names: identifiers in source files, and Creative Commons licences in two wordings."""
+    sentences, rules = {}, []
+    for name in _SPDX:
+        sentences[f"spdx-{name}"] = _plain(f"SPDX-License-Identifier: {name}")
+        rules.append((name, [f"spdx-{name}"]))
+    for terms, version in _CC:
+        name, place = f"CC-{'-'.join(terms)}-{version}", "international" if version == "4.0" else "unported"
+        wordings = [f"licensed under CC {'-'.join(terms)} {version}", f"this work is licensed under a Creative Commons {'-'.join(_CC_TERMS[t] for t in terms)} {version} {place} license"]
+        for i, wording in enumerate(map(_plain, wordings)):
+            if wording not in SENTENCES.values():
+                sentences[f"{name}-{i}"] = wording
+                rules.append((name, [f"{name}-{i}"]))
+    return sentences, rules
+
+
+for _sentences, _rules in [_named()]:
+    SENTENCES.update(_sentences)
+    RULES.extend(_rules)
+
+#: A text with none of these has no sentence of SENTENCES.
+CUE = r"(?i)licen[sc]e|permi|distribut|warrant|copyright|rights|public|liable|mpl"
+
+
+def cue(sentences: dict[str, str]) -> str:
+    """A pattern that every text with one of the sentences matches: the longest word of each."""
+    return "(?i)" + "|".join(sorted({re.escape(max(s.split(), key=len, default="")) for s in sentences.values()}))
 
 
 #: Comment marks that are words or end like a sentence, at the begin of a line.
@@ -113,13 +182,16 @@ def license_scan(documents: DataFrame, sentences: dict[str, str] | None = None,
     comment marks or punctuation break it; sentences that aren't known drop out of the sequence.  The ordered rules are tried on the sequence, and each
     match uses its sentences up.  A null or empty text has none and an empty list.  Rows are scanned
     one by one (no shuffle); repeated rows and null doc_ids give rows; other columns aren't read.
-    The tables of sentences and rules are small and fixed.
+    The tables of sentences and rules are small; the caller may give others (sentences normalised, each of a
+    word at least).
     """
-    known, order = sentences or SENTENCES, rules or RULES
+    known, order = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
+    if not known:
+        known = {"": "\n"}  # no text has it
     pairs = [F.lit(x) for name, s in known.items() for x in (s, f"<{name}>")]
     ids = F.transform(known_sentences(F.col("text"), known), lambda s: F.element_at(F.create_map(*pairs), s))
-    found = documents.select("doc_id", F.coalesce(F.when(F.col("text").rlike(CUE), ids), F.array().cast("array<string>")).alias("ids"))
-    steps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in run)).alias("run")) for name, run in order))
+    found = documents.select("doc_id", F.coalesce(F.when(F.col("text").rlike(CUE if sentences is None else cue(known)), ids), F.array().cast("array<string>")).alias("ids"))
+    steps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in run)).alias("run")) for name, run in order)).cast("array<struct<name: string, run: string>>")
     begin = F.struct(F.array_join("ids", "").alias("left"), F.array().cast("array<string>").alias("names"))
     step = lambda a, r: F.struct(F.replace(a["left"], r["run"], F.lit("|")).alias("left"), F.when(F.contains(a["left"], r["run"]), F.array_append(a["names"], r["name"])).otherwise(a["names"]).alias("names"))
     matched = found.withColumn("m", F.when(F.size("ids") > 0, F.aggregate(steps, begin, step)).otherwise(begin))

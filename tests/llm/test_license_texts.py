@@ -76,14 +76,79 @@ purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.
 '''
 
+LIABLE = ''' IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+MIT_BODY = MIT + AS_IS.split(" IN NO EVENT")[0] + LIABLE
+BSD_REST = '''
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+'''
+ISC_REST = '''
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+'''
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+LGPL3 = LGPL.replace("version 2.1", "version 3")
+LESSER_HOPE = HOPE.replace("This program", "This library").replace("General Public", "Lesser General Public")
+UNLICENSE = '''This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+'''
+ZLIB = '''This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+'''
+BOOST = '''Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works.
+'''
+ECLIPSE = '''This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+'''
+APACHE_SEE = APACHE_REST.replace("governing permissions.", "governing permissions and\nlimitations under the License.")
+NAMED = [f"SPDX-License-Identifier: {name}\n" for name in L._SPDX] + [
+    wording for terms, version in L._CC for wording in (
+        f"Licensed under CC {'-'.join(terms)} {version}.\n",
+        f"This work is licensed under a Creative Commons\n{'-'.join(L._CC_TERMS[t].title() for t in terms)} {version} {'International' if version == '4.0' else 'Unported'} License.\n")
+    if L._plain(wording) not in [s for n, s in L.SENTENCES.items() if n.startswith("cc-")]
+]
+
 #: In the order of the rules.
 TEXTS = [
+    BSD + NAMES + BSD_REST, BSD + BSD_REST, "MIT License\n\nCopyright (c) 2020 A\n\n" + MIT_BODY, "The MIT License\n\n" + MIT_BODY, MIT_BODY, ISC + ISC_REST, AGPL + HOPE, AGPL, LGPL3 + LESSER_HOPE, LGPL3, LGPL + LESSER_HOPE, UNLICENSE, ZLIB,
+    BOOST.replace("the Software, and", "the Software.\nAnd"), ECLIPSE, "Apache License\nVersion 2.0, January 2004\n", APACHE + APACHE_SEE,
     BSD + NAMES, BSD, "MIT License\n\nCopyright (c) 2020 A\n\n" + MIT + AS_IS, "The MIT License\n\n" + MIT + AS_IS, MIT + AS_IS, MIT, APACHE + APACHE_REST, APACHE,
     "Licensed under the Apache License,\nVersion 2.0.\n", "SPDX-License-Identifier: Apache-2.0\n", GPL3 + HOPE, GPL3, GPL2 + HOPE, GPL2, "This work is licensed under the GNU General Public\nLicense, version 3.\n",
     "Licensed under the GNU General Public License, version 3.\n", "SPDX-License-Identifier: GPL-3.0-only\n", LGPL, MPL, ISC, "This project is licensed under the\nMIT License.\n", "Released under the MIT License.\n",
     "Licensed under the MIT\nLicense.\n", "SPDX-License-Identifier: MIT\n", "MIT License\n", "The MIT License\n", "Licensed under CC BY 4.0.\n", "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n",
     "Licensed under CC BY-SA 4.0.\n", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n", "Licensed under CC BY-NC 4.0.\n",
-    "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.\n", "Licensed under CC0 1.0.\n", "This is free and unencumbered software released into the public domain.\n",
+    "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.\n", "Licensed under CC0 1.0.\n", "This is free and unencumbered software released into the public domain.\n", *NAMED,
 ]
 
 
@@ -108,3 +173,11 @@ def test_parts_of_sentences_are_not_known(spark):
     rows = [(1, "MIT\n\nLicense"), (2, "SPDX-License-Identifier: MIT OR Apache-2.0"), (3, "Not the old MIT\nLicense of"), (4, "Released under the MIT License\n\nsome words"), (5, "MIT\n\nlicense"), (6, "MIT\r\n\r\nlicense")]
     got = {r["doc_id"]: r["licenses"] for r in L.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got == {1: "", 2: "", 3: "", 4: "MIT", 5: "", 6: ""}
+
+
+def test_own_sentences_without_usual_words(spark):
+    """A caller's sentences are found though they hold none of the words that mark the usual ones; empty tables find nothing."""
+    rows = spark.createDataFrame([(1, "As agreed: Beerware,\nrevision 42. Done."), (2, "MIT License")], "doc_id int, text string")
+    own = L.license_scan(rows, {"beer": "beerware revision 42"}, [("Beerware", ["beer"])]).collect()
+    assert [(r["doc_id"], r["n_known"], r["licenses"]) for r in own] == [(1, 1, "Beerware"), (2, 0, "")]
+    assert [r["n_known"] for r in L.license_scan(rows, {}, []).collect()] == [0, 0]
