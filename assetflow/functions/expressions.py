@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from assetflow.states import STATES
 
 # Extensions by kind, canonical types and keywords of descriptions.
+TYPES = [
+    "pack", "atlas", "tiled_map", "tiled_tileset", "spine_skeleton", "dragonbones_skeleton", "other", "font_file", "audio_file", "tileset", "animation_sequence", "single_image",
+]
 IMAGE = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "svg"]
 RASTER = ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff"]
 MODEL = ["fbx", "obj", "stl", "gltf", "glb"]
@@ -28,6 +31,33 @@ def blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def type_filter(value: Column) -> Column:
+    """A canonical resource type, or empty (no filter) for any other value."""
+    kind = F.lower(F.trim(value))
+    return F.when(kind.isin(TYPES), kind).otherwise("")
+
+
+def format_filter(values: Column) -> Column:
+    """Formats as they are compared: trimmed, in lower case, without leading dots; blank ones dropped, each once."""
+    given = F.filter(values, lambda v: F.trim(v) != "")
+    return F.array_distinct(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(F.trim(v)), r"^\.+", "")))
+
+
+def text_field(record: Column, name: str) -> Column:
+    """A text of a JSON record; empty where it is absent."""
+    return F.coalesce(F.get_json_object(record, f"$.{name}"), F.lit(""))
+
+
+def list_field(record: Column, name: str) -> Column:
+    """A list of a JSON record as texts; empty where it is absent or no list."""
+    return F.coalesce(F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+
+
+def count_field(record: Column, name: str, items: Column) -> Column:
+    """A count of a JSON record; the number of items where it is absent or no whole number."""
+    return F.coalesce(F.get_json_object(record, f"$.{name}").try_cast("bigint"), F.size(items).cast("bigint"))
+
+
 def sanitized(name: Column) -> Column:
     """A pack name with the characters that file systems refuse as underscores."""
     return F.translate(name, '<>:"/\\|?*', "_" * 9)

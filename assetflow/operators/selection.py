@@ -20,12 +20,41 @@ def first_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return ranked.where("_n = 1").drop("_n")
 
 
-def rollup(tasks: DataFrame, files: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Counts of each task's children, aggregated before the join."""
-    by = files.groupBy("task_id").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"), F.array_join(F.array_sort(F.collect_set("format")), "|").alias("formats"))
-    described = descriptions.select("task_id").distinct().withColumn("has_description", F.lit(True))
-    out = tasks.select("id").join(by, F.col("id") == by["task_id"], "left").drop("task_id").join(described, F.col("id") == described["task_id"], "left").drop("task_id")
-    return out.na.fill(0, ["file_count", "total_size"]).na.fill("", ["formats"]).na.fill(False, ["has_description"])
+def rollup(tasks: DataFrame, files: DataFrame, descriptions: DataFrame, previews: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Each task's children: id, file_count, total_size, formats (array, sorted), preview_count, has_description, has_embedding.
+
+    All are aggregated by task_id before they are joined, so no task's children meet those of another kind.
+    """
+    held = files.groupBy("task_id").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"), F.array_sort(F.collect_set("format")).alias("formats"))
+    shown = previews.groupBy("task_id").agg(F.count("*").alias("preview_count"))
+    has = lambda df, name: df.select("task_id").distinct().withColumn(name, F.lit(True))
+    out = tasks.select("id")
+    for part in (held, shown, has(descriptions, "has_description"), has(embeddings, "has_embedding")):
+        out = out.join(part.withColumnRenamed("task_id", "__task"), F.col("id") == F.col("__task"), "left").drop("__task")
+    out = out.na.fill(0, ["file_count", "total_size", "preview_count"]).na.fill(False, ["has_description", "has_embedding"])
+    return out.withColumn("formats", F.coalesce("formats", F.array().cast("array<string>")))
+
+
+def stats(tasks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Counts: kind (state, total or vectors), name (the state, else empty), n."""
+    states = tasks.groupBy(F.coalesce("process_state", F.lit("")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("state").alias("kind"), "name", "n")
+    one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("name"), "n")
+    return states.unionByName(one(tasks, "total")).unionByName(one(vectors, "vectors"))
+
+
+def upload_summary(results: DataFrame) -> DataFrame:
+    """One row of totals over the resources of a stage (verdict, n_previews, n_descriptions): success, failed, skipped, skipped_no_files, skipped_no_description, previews, descriptions."""
+    n = lambda *verdicts: F.count_if(F.col("verdict").isin(*verdicts))
+    names = {"success": ["success"], "failed": ["failed"], "skipped": ["skipped", "skipped_no_files", "skipped_no_description"], "skipped_no_files": ["skipped_no_files"], "skipped_no_description": ["skipped_no_description"]}
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return results.agg(*(n(*v).alias(k) for k, v in names.items()), total("n_previews").alias("previews"), total("n_descriptions").alias("descriptions"))
+
+
+def reset_committed(tasks: DataFrame) -> DataFrame:
+    """The tasks with what was committed put back to description_ready, its last error cleared; others as they are."""
+    again = F.col("process_state") == "committed"
+    cleared = lambda c: F.when(F.coalesce(again, F.lit(False)), F.lit(None)).otherwise(F.col(c))
+    return tasks.withColumns({c: cleared(c) for c in ("last_error_code", "last_error_message")} | {"process_state": F.when(again, "description_ready").otherwise(F.col("process_state"))})
 
 
 def dedup_decision(requests: DataFrame, tasks: DataFrame, descriptions: DataFrame, embeddings: DataFrame, prompt: str, model: str) -> DataFrame:

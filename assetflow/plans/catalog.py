@@ -6,20 +6,28 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
+from assetflow.operators import entities as E
 from assetflow.operators import selection as S
 from assetflow.sources import working as W
 from assetflow.states import FAILED, RESUMABLE
 
 from .registry import query
 
+def _listed_files(spark, d):
+    """task_id and paths (array, in order)."""
+    pairs = F.array_sort(F.collect_list(F.struct("ord", "path")))
+    return W.files(spark, d).groupBy("task_id").agg(F.transform(pairs, lambda x: x["path"]).alias("paths"))
+
+
 listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
 
-@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_resource_id ORDER BY id) AS n FROM w_task)
-    SELECT id, source_resource_id, resource_type FROM f WHERE n = 1 AND lower(trim(resource_type)) = 'single_image'""")
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_resource_id ORDER BY id) AS n FROM w_task), m AS (SELECT * FROM f WHERE n = 1 AND lower(trim(resource_type)) = 'single_image' AND lower(trim(source)) = 'web')
+    SELECT id, seq, resource_type, source, (SELECT count(*) FROM m) AS matching FROM (SELECT source_resource_id AS id, id AS seq, resource_type, source FROM m ORDER BY seq LIMIT 20)""")
 def catalog_filter(spark, d):
-    first = S.first_per(W.tasks(spark, d), "source_resource_id", F.col("id"))
-    return first.where(F.lower(F.trim("resource_type")) == "single_image").select("id", "source_resource_id", "resource_type")
+    """The first twenty pictures of one source, of which the catalogue has some twice."""
+    entries = W.tasks(spark, d).select(F.col("source_resource_id").alias("id"), F.col("id").alias("seq"), "resource_type", "source")
+    return E.matching(entries, " Single_Image ", "WEB", 20)
 
 
 @query("SELECT id, title, updated_at, (SELECT count(*) FROM w_order_task WHERE process_state = 'committed') AS total FROM w_order_task WHERE process_state = 'committed' ORDER BY updated_at DESC, id DESC LIMIT 50 OFFSET 100")
@@ -57,11 +65,14 @@ def browse_filter(spark, d):
     return both.groupBy("resource_type", badge.alias("badge")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, ltrim(lower(trim(' .' || p_type || ' ')), '.') AS wanted, CASE WHEN lower(p_type) IN ('standard', 'promo') THEN lower(p_type) ELSE '' END AS kind FROM part")
+@query("""WITH t AS (SELECT p_partkey, ['pack', 'atlas', 'tiled_map', 'tiled_tileset', 'spine_skeleton', 'dragonbones_skeleton', 'other', 'font_file', 'audio_file', 'tileset', 'animation_sequence', 'single_image', 'unknown', ''][p_partkey % 14 + 1] AS k, p_type FROM part)
+    SELECT p_partkey, CASE WHEN k IN ('unknown', '') THEN '' ELSE k END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'png|' || lower(p_type) WHEN 1 THEN 'png' ELSE '' END AS formats FROM t""")
 def normalize_filters(spark, d):
+    """Types and formats that searches ask for, as they are compared."""
     p = W.table(spark, d, "part")
-    low = F.lower("p_type")
-    return p.select("p_partkey", F.regexp_replace(F.lower(F.trim(F.concat(F.lit(" ."), "p_type", F.lit(" ")))), r"^\.+", "").alias("wanted"), F.when(low.isin("standard", "promo"), low).otherwise("").alias("kind"))
+    kind = F.element_at(F.array(*map(F.lit, [*X.TYPES, "unknown", ""])), (F.col("p_partkey") % 14 + 1).cast("int"))
+    formats = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(" .PNG"), F.lit(" "), F.concat(F.lit(".."), F.upper("p_type")))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("png"), F.lit(".Png ")))
+    return p.select("p_partkey", X.type_filter(F.concat(F.lit(" "), F.upper(kind))).alias("kind"), F.array_join(X.format_filter(formats), "|").alias("formats"))
 
 
 @query(r"""SELECT page_id, translate(url, '<>:"/\|?*', '_________') AS name FROM pages""")
@@ -84,10 +95,18 @@ def asset_format(spark, d):
     return W.assets(spark, d).select("asset_id", X.asset_format(F.col("fmt"), F.col("file_path")).alias("format"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.absent'), '') AS absent FROM events")
+@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, '' AS absent, CASE event_id % 3 WHEN 0 THEN event_type || '|' || user_id ELSE '' END AS tags, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN event_id ELSE 2 END ELSE CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END END AS member_count FROM events""")
 def coerce_record(spark, d):
+    """Fields of records of which some hold no list and some no number."""
     e = W.table(spark, d, "events")
-    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("k"), F.coalesce(F.get_json_object("props", "$.absent"), F.lit("")).alias("absent"))
+    tags = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array("event_type", F.col("user_id").cast("string")))).when(F.col("event_id") % 3 == 1, F.lit('"none"'))
+    count = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.lit('"many"'))
+    record = F.concat(F.lit('{"member_count": '), count, F.when(tags.isNotNull(), F.concat(F.lit(', "tags": '), tags)).otherwise(""), F.lit("}"))
+    own = e.select("event_id", "props", record.alias("record"))
+    items = X.list_field(F.col("record"), "tags")
+    return own.select(
+        "event_id", F.coalesce(X.text_field(F.col("props"), "k").try_cast("bigint"), F.lit(0)).alias("k"), X.text_field(F.col("props"), "absent").alias("absent"),
+        F.array_join(items, "|").alias("tags"), X.count_field(F.col("record"), "member_count", items).alias("member_count"))
 
 
 @query("SELECT p_partkey, p_brand || '|' || p_type || CASE WHEN trim(p_name) IN ('', p_brand, p_type) THEN '' ELSE '|' || trim(p_name) END AS tags FROM part")
@@ -102,28 +121,41 @@ def merge_formats(spark, d):
     return first.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "format"))), lambda x: x["format"]), "|").alias("formats"))
 
 
-@query("SELECT task_id, min_by(path, ord) AS path FROM w_file GROUP BY task_id")
+@query("SELECT task_id, CASE task_id % 3 WHEN 0 THEN 'assets/special.png' ELSE min_by(path, ord) END AS path FROM w_file GROUP BY task_id")
 def preferred_path(spark, d):
-    return W.files(spark, d).groupBy("task_id").agg(F.min_by("path", "ord").alias("path"))
+    """The path that stands for each task: its own, which is a file's, a folder's or empty, or that of its first file."""
+    own = F.when(F.col("task_id") % 3 == 0, "assets/special.png").when(F.col("task_id") % 3 == 1, "assets/v1.2/folder").otherwise("")
+    return _listed_files(spark, d).select("task_id", E.preferred_path(own, F.col("paths")).alias("path"))
 
 
-@query("SELECT task_id, ord, CASE resource_type WHEN 'audio_file' THEN 'audio' WHEN 'font_file' THEN 'font' WHEN 'tileset' THEN 'tile' ELSE CASE WHEN format = 'png' THEN 'main' ELSE 'attachment' END END AS role, ord = 1 AS is_primary FROM w_file JOIN w_task ON task_id = id")
+@query("""WITH k AS (SELECT task_id, ord, path, format, lower(split_part(path, '/', -1)) AS name, ['audio_file', 'tileset', 'single_image', 'pack'][task_id % 4 + 1] AS kind, first_value(lower(split_part(path, '/', -1))) OVER w AS first_name, first_value(path) OVER w AS first_path,
+        nth_value(lower(split_part(path, '/', -1)), 2) OVER w AS second FROM w_file WINDOW w AS (PARTITION BY task_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    p AS (SELECT *, CASE WHEN task_id % 3 = 0 AND second IS NOT NULL THEN second WHEN task_id % 3 = 1 THEN 'none.png' ELSE first_name END AS preferred FROM k), q AS (SELECT *, bool_or(name = preferred) OVER (PARTITION BY task_id) AS any_named FROM p)
+    SELECT task_id, path, CASE kind WHEN 'audio_file' THEN 'audio' WHEN 'tileset' THEN 'tile' ELSE CASE WHEN format = 'png' THEN 'main' ELSE 'attachment' END END AS role,
+    CASE WHEN kind IN ('single_image', 'pack') AND format = 'png' AND any_named THEN name = preferred ELSE name = preferred OR path = first_path END AS is_primary FROM q""")
 def file_role_catalog(spark, d):
-    both = W.files(spark, d).join(W.tasks(spark, d).select(F.col("id").alias("task_id"), "resource_type"), "task_id")
-    return both.select("task_id", "ord", X.catalog_role(F.col("resource_type"), F.col("path")).alias("role"), (F.col("ord") == 1).alias("is_primary"))
+    """Roles of files by their resource's type; the preferred name is the second file's, one that no file has, or the first file's."""
+    kind = F.element_at(F.array(*map(F.lit, ("audio_file", "tileset", "single_image", "pack"))), (F.col("task_id") % 4 + 1).cast("int"))
+    own = F.when(F.col("task_id") % 3 == 0, F.concat(F.lit("x/"), F.upper(X.file_name(F.get("paths", F.lit(1)))))).when(F.col("task_id") % 3 == 1, "gone/none.png").otherwise("")
+    return _listed_files(spark, d).select("task_id", F.explode(E.file_roles(kind, own, F.col("paths"))).alias("f")).select("task_id", "f.*")
 
 
-@query("SELECT task_id, ord, CASE format WHEN 'fbx' THEN 'model' WHEN 'png' THEN 'main' ELSE 'attachment' END AS role FROM w_file")
+@query("SELECT task_id, ord, CASE format WHEN 'fbx' THEN 'model' WHEN 'png' THEN CASE WHEN l_partkey % 3 = 0 THEN 'texture' ELSE 'main' END ELSE 'attachment' END AS role, format = 'fbx' AS is_primary FROM w_file")
 def file_role_directory(spark, d):
-    return W.files(spark, d).select("task_id", "ord", X.directory_role(F.col("path")).alias("role"))
+    """Roles of the files of a folder, every third of which is named as a texture."""
+    path = F.when(F.col("l_partkey") % 3 == 0, F.regexp_replace("path", r"(\.[^.]*)$", "_Normal$1")).otherwise(F.col("path"))
+    role = X.directory_role(path)
+    return W.files(spark, d).select("task_id", "ord", role.alias("role"), (role == "model").alias("is_primary"))
 
 
-@query("SELECT task_id, CASE WHEN min(l_suppkey) = max(l_suppkey) THEN 'assets/s' || min(l_suppkey) ELSE 'assets' END AS directory FROM w_file GROUP BY task_id")
+@query("""SELECT id AS task_id, CASE WHEN n IS NULL THEN CASE WHEN id % 2 = 0 THEN 'res/' || id ELSE 'pack' END WHEN lo = hi THEN 'assets/s' || lo ELSE 'assets' END AS directory FROM w_order_task
+    LEFT JOIN (SELECT task_id, count(*) AS n, min(l_suppkey) AS lo, max(l_suppkey) AS hi FROM w_file WHERE task_id % 7 <> 0 GROUP BY task_id) ON id = task_id""")
 def common_directory(spark, d):
-    f = W.files(spark, d).withColumn("dir", F.split(X.parent(F.col("path")), "/"))
-    ends = f.groupBy("task_id").agg(F.min("dir").alias("a"), F.max("dir").alias("b"))  # what least and greatest share, all share
-    same = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return ends.select("task_id", F.array_join(F.when(same == 0, F.col("a")).otherwise(F.slice("a", F.lit(1), F.greatest(same - 1, F.lit(0)).cast("int"))), "/").alias("directory"))
+    """Each task's folder: the one that its files share, or, for those whose files are missing, its path or its pack."""
+    f = _listed_files(spark, d).where("task_id % 7 <> 0")
+    t = W.order_tasks(spark, d).select(F.col("id").alias("task_id")).join(f, "task_id", "left")
+    own = F.when(F.col("task_id") % 2 == 0, F.concat(F.lit("res/"), "task_id")).otherwise("")
+    return t.select("task_id", E.source_directory(F.coalesce("paths", F.array().cast("array<string>")), own, F.lit("pack")).alias("directory"))
 
 
 @query("SELECT task_id, round(count(*) FILTER (WHERE ord % 3 = 0) / count(*)::DOUBLE, 4) AS ratio FROM w_file GROUP BY task_id")
@@ -220,11 +252,22 @@ def resume_key(spark, d):
     return r.select("req_id", X.resume_key(F.col("source_resource_id"), F.col("content_md5"), F.lit(""), F.col("title")).alias("k"))
 
 
-@query("SELECT l_orderkey, count(*) AS n, count(a.asset_id) AS found, count(*) FILTER (WHERE fmt = 'png') AS png FROM lineitem LEFT JOIN w_asset a ON asset_id = 'a' || l_partkey GROUP BY l_orderkey")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS again FROM lineitem), a AS (SELECT * FROM w_asset),
+    i AS (SELECT l_orderkey, n, l_partkey, asset_id, fmt FROM l JOIN a ON asset_id = 'a' || l_partkey WHERE l_partkey % 2 = 0 AND l_orderkey % 3 <> 0),
+    p AS (SELECT l_orderkey, n, l_partkey, asset_id, fmt FROM l JOIN a ON file_path = 'pack/' || l_partkey || '.WAV' AND l_partkey % 5 <> 0 WHERE again = 1 AND l_orderkey NOT IN (SELECT l_orderkey FROM i)),
+    b AS (FROM i UNION ALL FROM p)
+    SELECT o_orderkey AS id, coalesce(string_agg(asset_id || ':' || fmt, '|' ORDER BY n, l_partkey), '') AS assets FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) LEFT JOIN b ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def resolve_assets(spark, d):
-    want = W.table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("a"), "l_partkey").alias("asset_id"))
-    both = want.join(W.assets(spark, d).select("asset_id", "fmt", F.lit(True).alias("hit")), "asset_id", "left")
-    return both.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count("hit").alias("found"), F.count_if(F.col("fmt") == "png").alias("png"))
+    """Assets of orders by ids, of which the odd ones are unknown, else by paths; every third order lists no ids."""
+    own = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    entries = W.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(own.alias("own"))
+    wanted = F.transform("own", lambda x: F.concat(F.when(x["l_partkey"] % 2 == 0, "a").otherwise("unknown"), x["l_partkey"]))
+    entries = entries.select(
+        "id", F.when(F.col("id") % 3 != 0, wanted).otherwise(F.array().cast("array<string>")).alias("asset_ids"), F.lit("store").alias("source"), F.lit("p").alias("pack_name"),
+        F.transform("own", lambda x: F.concat(F.lit("pack/"), x["l_partkey"], F.lit(".WAV"))).alias("file_paths"))
+    fifth = F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint") % 5 == 0
+    assets = W.assets(spark, d).withColumns({"source": F.lit("store"), "pack_name": F.when(fifth, "other").otherwise("p")})
+    return E.resolve_assets(entries, assets).select("id", F.array_join(F.transform("assets", lambda a: F.concat_ws(":", a["asset_id"], a["fmt"])), "|").alias("assets"))
 
 
 @query("SELECT task_id, coalesce(string_agg(path, '|' ORDER BY ord) FILTER (WHERE l_partkey % 2 = 0), '') AS resolved, coalesce(string_agg(path, '|' ORDER BY ord) FILTER (WHERE l_partkey % 2 = 1), '') AS missing FROM w_file GROUP BY task_id")
@@ -236,10 +279,18 @@ def resolve_files(spark, d):
     return both.groupBy("task_id").agg(part(F.col("there").isNotNull()).alias("resolved"), part(F.col("there").isNull()).alias("missing"))
 
 
-@query("SELECT task_id, ord, s_name AS pack_name, round(s_acctbal, 6) AS balance FROM w_file LEFT JOIN supplier ON l_suppkey = s_suppkey")
+@query("""WITH r AS (SELECT p_partkey AS id, 'site' || (p_partkey % 2) AS source, p_brand || ':' || (p_size % 3) AS pack_name, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS description, p_type AS tag FROM part),
+    k AS (SELECT 'site' || (p_partkey % 2) AS source, p_brand || '_' || (p_size % 3) AS pack, 'about ' || p_brand AS description, p_brand AS tag FROM part WHERE p_size % 3 < 2 GROUP BY ALL)
+    SELECT id, CASE WHEN r.description <> '' THEN r.description ELSE coalesce(k.description, '') END AS description, r.tag || CASE WHEN k.tag IS NULL OR k.tag = r.tag THEN '' ELSE '|' || k.tag END AS tags
+    FROM r LEFT JOIN k ON r.source = k.source AND replace(r.pack_name, ':', '_') = k.pack""")
 def pack_enrich(spark, d):
-    s = W.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("pack_name"), F.round("s_acctbal", 6).alias("balance"))
-    return W.files(spark, d).join(s, "l_suppkey", "left").select("task_id", "ord", "pack_name", "balance")
+    """Parts as resources with the descriptions and tags of their packs, of which every third is unknown."""
+    p = W.table(spark, d, "part")
+    name = F.concat("p_brand", F.lit(":"), F.col("p_size") % 3)
+    site = F.concat(F.lit("site"), F.col("p_partkey") % 2).alias("source")
+    entries = p.select(F.col("p_partkey").alias("id"), site, name.alias("pack_name"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")).alias("description"), F.array("p_type").alias("tags"))
+    packs = p.where("p_size % 3 < 2").select(site, X.sanitized(name).alias("pack"), F.concat(F.lit("about "), "p_brand").alias("description"), F.array(F.lit(" "), "p_brand", "p_brand").alias("tags")).distinct()
+    return E.with_packs(entries, packs).select("id", "description", F.array_join("tags", "|").alias("tags"))
 
 
 @query("SELECT regexp_replace(path, '/[^/]*$', '') AS directory, count(*) AS n, sum(size)::BIGINT AS total FROM w_file GROUP BY 1")

@@ -20,16 +20,17 @@ from .registry import query
 _ORDINAL = f"coalesce(nullif(list_position([{listed(STATES)}], process_state), 0) - 1, -1)"
 
 
-@query("SELECT process_state, count(*) AS n FROM w_task GROUP BY 1")
+@query("""SELECT 'state' AS kind, coalesce(process_state, '') AS name, count(*) AS n FROM w_task GROUP BY process_state UNION ALL SELECT 'total', '', count(*) FROM w_task UNION ALL SELECT 'vectors', '', count(*) FROM embeddings""")
 def state_counts(spark, d):
-    return W.tasks(spark, d).groupBy("process_state").agg(F.count("*").alias("n"))
+    return S.stats(W.tasks(spark, d), W.table(spark, d, "embeddings"))
 
 
-@query("""SELECT id, coalesce(n, 0) AS file_count, coalesce(total, 0)::BIGINT AS total_size, coalesce(f, '') AS formats, d.task_id IS NOT NULL AS has_description FROM w_order_task
-    LEFT JOIN (SELECT task_id, count(*) AS n, sum(size) AS total, string_agg(DISTINCT format, '|' ORDER BY format) AS f FROM w_file GROUP BY task_id) x ON id = x.task_id
-    LEFT JOIN (SELECT DISTINCT task_id FROM w_desc) d ON id = d.task_id""")
+@query("""SELECT id, coalesce(n, 0) AS file_count, coalesce(total, 0)::BIGINT AS total_size, coalesce(f, '') AS formats, coalesce(p, 0) AS preview_count, id IN (SELECT task_id FROM w_desc) AS has_description, id IN (SELECT vec_id FROM embeddings) AS has_embedding FROM w_order_task
+    LEFT JOIN (SELECT task_id, count(*) AS n, sum(size) AS total, string_agg(DISTINCT format, '|' ORDER BY format) AS f, count(*) FILTER (WHERE format = 'png') AS p FROM w_file GROUP BY task_id) x ON id = x.task_id""")
 def resource_rollup(spark, d):
-    return S.rollup(W.order_tasks(spark, d), W.files(spark, d), W.descriptions(spark, d))
+    f = W.files(spark, d)
+    done = S.rollup(W.order_tasks(spark, d), f, W.descriptions(spark, d), f.where("format = 'png'"), W.embeddings(spark, d))
+    return done.withColumn("formats", F.array_join("formats", "|"))
 
 
 @query("SELECT task_id, max(id) AS id, max_by(prompt_version, id) AS prompt_version FROM w_desc GROUP BY task_id")
@@ -75,9 +76,10 @@ def stage_plan(spark, d):
     return next(both).unionByName(next(both)).select("id", "resume", "stage", "decision")
 
 
-@query("SELECT id, CASE WHEN process_state = 'committed' THEN 'description_ready' ELSE process_state END AS process_state FROM w_task")
+@query("SELECT id, CASE WHEN process_state = 'committed' THEN 'description_ready' ELSE process_state END AS process_state, CASE WHEN process_state <> 'committed' AND id % 3 = 0 THEN 'E01' END AS last_error_code, CASE WHEN process_state <> 'committed' AND id % 3 = 0 THEN 'failed' END AS last_error_message FROM w_task")
 def force_reset(spark, d):
-    return W.tasks(spark, d).select("id", F.when(F.col("process_state") == "committed", "description_ready").otherwise(F.col("process_state")).alias("process_state"))
+    failed = F.col("id") % 3 == 0
+    return S.reset_committed(W.tasks(spark, d).select("id", "process_state", F.when(failed, "E01").alias("last_error_code"), F.when(failed, "failed").alias("last_error_message")))
 
 
 @query("""WITH t AS (SELECT req_id, t.id, CASE WHEN r.source <> '' AND r.source = t.source THEN 1 ELSE 2 END AS tier, updated_at FROM w_request r JOIN w_task t ON trim(r.source_resource_id) = t.source_resource_id WHERE trim(r.source_resource_id) <> ''
@@ -182,10 +184,16 @@ def process_log(spark, d):
     return e.groupBy(F.col("user_id").alias("task_id")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "|").alias("events"))
 
 
-@query("""WITH v AS (SELECT o.id, CASE WHEN d.task_id IS NULL THEN 'skipped_no_description' WHEN f.task_id IS NULL THEN 'skipped_no_files' WHEN process_state = 'committed' THEN 'success' ELSE 'upload' END AS verdict FROM w_order_task o
-    LEFT JOIN (SELECT DISTINCT task_id FROM w_desc) d ON o.id = d.task_id LEFT JOIN (SELECT DISTINCT task_id FROM w_file) f ON o.id = f.task_id) SELECT verdict, count(*) AS n FROM v GROUP BY verdict""")
+@query("""WITH v AS (SELECT o.id, d.n AS dn, f.p, CASE WHEN d.task_id IS NULL THEN 'skipped_no_description' WHEN f.task_id IS NULL THEN 'skipped_no_files' WHEN process_state = 'committed' OR o.id % 5 <> 0 THEN 'success' ELSE 'failed' END AS verdict FROM w_order_task o
+    LEFT JOIN (SELECT task_id, count(*) AS n FROM w_desc GROUP BY task_id) d ON o.id = d.task_id LEFT JOIN (SELECT task_id, count(*) FILTER (WHERE format = 'png') AS p FROM w_file GROUP BY task_id) f ON o.id = f.task_id)
+    SELECT count(*) FILTER (WHERE verdict = 'success') AS success, count(*) FILTER (WHERE verdict = 'failed') AS failed, count(*) FILTER (WHERE verdict LIKE 'skipped%') AS skipped, count(*) FILTER (WHERE verdict = 'skipped_no_files') AS skipped_no_files,
+    count(*) FILTER (WHERE verdict = 'skipped_no_description') AS skipped_no_description, coalesce(sum(p), 0)::BIGINT AS previews, coalesce(sum(dn), 0)::BIGINT AS descriptions FROM v""")
 def stage_summary(spark, d):
-    return upload_eligibility(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+    """Totals of an upload of which every fifth fails."""
+    count = lambda df, name: df.groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias(name))
+    done = upload_eligibility(spark, d).withColumn("verdict", F.when(F.col("verdict") != "upload", F.col("verdict")).when(F.col("id") % 5 == 0, "failed").otherwise("success"))
+    counted = done.join(count(W.descriptions(spark, d), "n_descriptions"), "id", "left").join(count(W.files(spark, d).where("format = 'png'"), "n_previews"), "id", "left")
+    return S.upload_summary(counted)
 
 
 @query("""SELECT o.id, CASE WHEN d.task_id IS NULL THEN 'skipped_no_description' WHEN f.task_id IS NULL THEN 'skipped_no_files' WHEN process_state = 'committed' THEN 'success' ELSE 'upload' END AS verdict FROM w_order_task o
