@@ -109,11 +109,27 @@ def short_only(prefix: str = "", most: int = 20) -> Model:
 
 @register("hash_vector")
 def hash_vector(dim: int = 64) -> Model:
-    """A deterministic vector of a text by its length, as a stand-in for a model; blank texts are an error."""
+    """A deterministic vector of a text by its MD5, as a stand-in for a model; blank texts are an error."""
+    from hashlib import md5
+
     def call(text: str) -> list[float]:
         if not text or not text.strip():
             raise ValueError("blank input")
-        return [((len(text) + i) % 1000) / 1000 for i in range(dim)]
+        h = int(md5(text.encode()).hexdigest()[:8], 16)
+        return [((h + i) % 1000) / 1000 for i in range(dim)]
+
+    return call
+
+
+@register("short_vector")
+def short_vector(dim: int = 64, most: int = 20) -> Model:
+    """As hash_vector, for texts of up to so many characters."""
+    inner = hash_vector(dim)
+
+    def call(text: str) -> list[float]:
+        if text and len(text) > most:
+            raise ValueError("input too long")
+        return inner(text)
 
     return call
 

@@ -139,15 +139,6 @@ def unique_names(files: DataFrame, category: Column, name: Column, *order: str)
     return named.withColumn("target", F.when(k == 0, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), k, F.regexp_extract("name", r"(\.[^.]*)$", 1))))
 
 
-def commit_verdict(dimension: int) -> Column:
-    """What becomes of a request to commit, from the task's columns and the embedding stage's result, status and error."""
-    blank = F.col("title").isNull() | (F.trim(F.regexp_replace("title", r"\s+", " ")) == "")
-    return (
-        F.when(F.col("id").isNull(), "not_found").when(F.col("process_state") == "committed", "already_committed").when(blank, "blank_description")
-        .when(F.col("status") == "failed", "embedding_failed").when(F.size("result") != dimension, "dimension_mismatch").otherwise("committed")
-    )
-
-
 def apply_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Tasks after the outcomes (id, outcome, message) of their uploads, with the events to log.
 

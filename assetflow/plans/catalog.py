@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
+from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
 from assetflow.operators import selection as S
 from assetflow.sources import working as W
@@ -194,17 +195,30 @@ def object_key(spark, d):
     return W.files(spark, d).select("task_id", "ord", F.concat(F.lit("files/res-"), "task_id", F.lit("/"), X.file_name(F.col("path"))).alias("object_key"))
 
 
-@query("SELECT id, title, n, total, CASE WHEN n > 1 THEN 'archive' ELSE f END AS download FROM w_task JOIN (SELECT task_id, count(*) AS n, sum(size)::BIGINT AS total, min_by(format, ord) AS f FROM w_file GROUP BY task_id) ON id = task_id")
+@query("""WITH f AS (SELECT *, split_part(path, '/', -1) AS name FROM w_file)
+    SELECT id, title, any_value(idempotency_key) AS idempotency_key, string_agg(name || ':' || size || ':' || format || ':' || md5 || ':' || CASE WHEN format = 'ogg' THEN 'main' ELSE format END || ':' || (ord = 1), '|' ORDER BY ord) AS files, sum(size)::BIGINT AS total_size,
+    CASE WHEN count(*) = 1 THEN min_by(name, ord) END AS download_name, CASE WHEN count(*) > 1 THEN 'application/zip' ELSE 'application/octet-stream' END AS download_type FROM w_task JOIN f ON id = task_id GROUP BY id, title""")
 def register_record(spark, d):
-    by = W.files(spark, d).groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min_by("format", "ord").alias("f"))
-    return W.tasks(spark, d).join(by, "id").select("id", "title", "n", "total", F.when(F.col("n") > 1, "archive").otherwise(F.col("f")).alias("download"))
+    role = F.when(F.col("format") != "ogg", F.col("format"))
+    f = W.files(spark, d).select("task_id", "ord", X.file_name(F.col("path")).alias("name"), "size", "format", "md5", role.alias("role"), (F.col("ord") == 1).alias("is_primary"))
+    made = D.register_records(W.tasks(spark, d).select("id", "title", "idempotency_key", "resource_type"), f)
+    line = lambda x: F.concat_ws(":", *(x[c].cast("string") for c in ("name", "size", "format", "md5", "role", "is_primary")))
+    return made.withColumn("files", F.array_join(F.transform("files", line), "|")).drop("resource_type")
 
 
-@query("SELECT task_id, path || '|' || format AS files, 1::BIGINT AS n FROM w_file WHERE ord = 1")
+@query("""SELECT task_id, ord, CASE WHEN ord = 2 THEN 'kept' WHEN ord = 3 THEN '' ELSE path || ':' || size || ':' || md5 || ':true' END AS files, CASE WHEN ord = 2 THEN 'own' WHEN format = 'png' THEN path ELSE '' END AS previews FROM w_file""")
 def legacy_upgrade(spark, d):
-    old = W.files(spark, d).where("ord = 1").withColumn("files", F.array().cast("array<struct<path:string,format:string>>"))
-    new = old.withColumn("files", F.when(F.size("files") == 0, F.array(F.struct("path", "format"))).otherwise(F.col("files")))
-    return new.select("task_id", F.array_join(F.transform("files", lambda x: F.concat_ws("|", x["path"], x["format"])), ";").alias("files"), F.size("files").cast("bigint").alias("n"))
+    """Older records with one file and one preview; the second of a task has arrays already, the third no path."""
+    f = W.files(spark, d)
+    second = F.col("ord") == 2
+    file = F.struct(F.lit("kept").alias("path"), F.lit("").alias("name"), F.lit(0).cast("bigint").alias("size"), F.lit("").alias("format"), F.lit("").alias("md5"), F.lit(False).alias("is_primary"))
+    none = lambda kind: F.array().cast(kind)
+    old = f.select(
+        "task_id", "ord", F.when(second, F.array(file)).otherwise(none("array<struct<path:string,name:string,size:bigint,format:string,md5:string,is_primary:boolean>>")).alias("files"),
+        F.when(second, F.array(F.struct(F.lit("own").alias("path")))).alias("previews"), F.when(F.col("ord") == 3, "").otherwise(F.col("path")).alias("source_path"), X.file_name(F.col("path")).alias("source_name"),
+        F.col("size").alias("source_size"), F.col("format").alias("source_format"), F.col("md5").alias("content_md5"), F.when(F.col("format") == "png", F.struct("path")).alias("preview"))
+    line = lambda x: F.when(x["md5"] == "", x["path"]).otherwise(F.concat_ws(":", x["path"], x["size"].cast("string"), x["md5"], x["is_primary"].cast("string")))
+    return D.upgraded(old).select("task_id", "ord", F.array_join(F.transform("files", line), "|").alias("files"), F.array_join(F.transform("previews", lambda x: x["path"]), "|").alias("previews"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS plain FROM orders")
@@ -340,12 +354,18 @@ def upload_mode(spark, d):
     return W.files(spark, d).groupBy("task_id").agg(F.sum("size").alias("total")).withColumn("mode", F.when(F.col("total") > 100 * 1024 * 1024, "multipart").otherwise("single"))
 
 
-@query("""WITH n AS (SELECT task_id, ord, 'p' || (l_partkey % 3) || '.' || format AS name FROM w_file), k AS (SELECT *, row_number() OVER (PARTITION BY task_id, name ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY task_id) > 1 AS archive FROM n)
-    SELECT task_id, ord, archive, CASE WHEN k = 0 THEN name ELSE split_part(name, '.', 1) || '_' || k || '.' || split_part(name, '.', 2) END AS member FROM k""")
+@query(r"""WITH f AS (SELECT task_id, ord, format, l_partkey, 'assets/' || CASE WHEN l_partkey % 2 = 0 THEN 'sub/' ELSE '' END || 'p' || (l_partkey % 3) || '.' || format AS path, count(*) OVER (PARTITION BY task_id) AS n FROM w_file),
+    o AS (SELECT *, CASE WHEN task_id % 5 = 0 THEN split_part(path, '/', -1) ELSE substr(path, 8) END AS base FROM f WHERE (n > 1 OR task_id % 4 = 0) AND l_partkey % 7 <> 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY task_id, base ORDER BY ord) - 1 AS k FROM o)
+    SELECT task_id, ord, CASE task_id % 3 WHEN 0 THEN 'own ' || task_id || '.ZIP' WHEN 1 THEN 'order_' || task_id || '_1.zip' ELSE 'resource.zip' END AS archive, CASE WHEN k = 0 THEN base ELSE regexp_replace(base, '\.[^.]*$', '') || '_' || k || '.' || format END AS member FROM k""")
 def package_manifest(spark, d):
-    f = W.files(spark, d).withColumn("archive", F.count("*").over(Window.partitionBy("task_id")) > 1)
-    named = S.unique_names(f, F.col("task_id"), F.concat(F.lit("p"), F.col("l_partkey") % 3, F.lit("."), "format"), "ord")
-    return named.select("task_id", "ord", "archive", F.col("target").alias("member"))
+    """Members of archives; every seventh file is missing, every fifth task has no root, and some have titles without a letter."""
+    id_, third = F.col("id"), F.col("id") % 3
+    r = W.order_tasks(spark, d).select(
+        "id", F.when(third == 1, F.concat("title", F.lit(".1*"))).otherwise(" /").alias("title"), F.when(id_ % 4 == 0, "pack").otherwise("image").alias("resource_type"),
+        F.when(third == 0, F.concat(F.lit("own "), "id", F.lit(".ZIP"))).otherwise("").alias("download_name"), F.when(id_ % 5 == 0, "").otherwise("assets").alias("root"))
+    path = F.concat(F.lit("assets/"), F.when(F.col("l_partkey") % 2 == 0, "sub/").otherwise(""), F.lit("p"), F.col("l_partkey") % 3, F.lit("."), "format")
+    return D.package_members(r, W.files(spark, d).select("task_id", "ord", path.alias("path"), (F.col("l_partkey") % 7 != 0).alias("found")))
 
 
 @query("SELECT task_id, ord, CASE WHEN ord % 3 = 0 THEN 'overwrite' WHEN ord % 3 = 1 THEN 'keep' ELSE 'new' END AS decision FROM w_file")

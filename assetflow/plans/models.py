@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
+from assetflow.operators import delivery as D
 from assetflow.operators import providers as P
 from assetflow.operators import selection as S
 from assetflow.operators.vectors import cells_to_probe, inverted_lists, probe_top_k
@@ -57,36 +58,64 @@ def describe_batch(spark, d):
     return done.select("id", "result", "status", "attempts")
 
 
-@query("""SELECT o.id AS req_id, CASE WHEN t.id IS NULL THEN 'not_found' WHEN t.process_state = 'committed' THEN 'already_committed' WHEN trim(t.title, E' \\t\\n\\r') = '' OR t.title IS NULL THEN 'blank_description' WHEN o.id % 11 = 0 THEN 'dimension_mismatch' ELSE 'committed' END AS verdict
-    FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id""")
-def commit_validation(spark, d):
-    """What becomes of each request to commit a resource; every eleventh vector is too short."""
-    asked = W.order_tasks(spark, d).select(F.col("id").alias("req_id"))
-    t = W.tasks(spark, d).select("id", "process_state", "title")
-    vectors = P.run(t, "title", ["hash_vector"], "array<double>", {"dim": 64}, retries=0)
-    vectors = vectors.withColumn("result", F.when(F.col("id") % 11 == 0, F.slice("result", 1, 8)).otherwise(F.col("result")))
-    return asked.join(vectors, asked["req_id"] == vectors["id"], "left").select("req_id", S.commit_verdict(64).alias("verdict"))
+def _commits(spark, d):
+    asked = W.order_tasks(spark, d).select(F.concat(F.lit("res-"), "id").alias("resource_id"), F.when(F.col("id") % 6 == 0, "  ").otherwise(F.concat(F.lit("main "), "id")).alias("description_main"),
+                                           F.concat(F.lit("detail "), "id").alias("description_detail"), F.lit("").alias("description_full"))
+    return D.commit(asked, W.tasks(spark, d).select("resource_id", "id", "process_state", "resource_type"), ["hash_vector"], 64, "hash_v1", {"dim": 64}, 0)
 
 
-@query("SELECT vec_id, len(embedding) AS dimension FROM embeddings")
+@query("""WITH r AS (SELECT o.id AS req, t.*, CASE WHEN o.id % 6 = 0 THEN '  ' ELSE 'main ' || o.id END AS x FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id)
+    SELECT 'res-' || req AS resource_id, CASE WHEN id IS NULL OR process_state <> 'committed' AND trim(x) = '' THEN 'failed' ELSE 'committed' END AS state,
+    CASE WHEN id IS NULL THEN 'resource not found' WHEN process_state <> 'committed' AND trim(x) = '' THEN 'description_main is required for embedding generation' ELSE '' END AS error FROM r""")
+def commit_validation(spark, d):
+    """Answers to requests to commit resources; some have a blank description."""
+    return _commits(spark, d)["answers"]
+
+
+@query("""WITH r AS (SELECT t.*, 'main ' || o.id AS x FROM w_order_task o JOIN w_task t ON o.id = t.id WHERE o.id % 6 <> 0 AND t.process_state <> 'committed'),
+    v AS (SELECT id, resource_type, list_transform(range(64), lambda i: ((('0x' || substr(md5(x), 1, 8))::BIGINT + i) % 1000) / 1000.0) AS v, x FROM r)
+    SELECT id AS task_id, x AS main, 'detail ' || id AS detail, 64 AS dimension, 'hash_v1' AS model_version, round(list_sum(v), 6) AS total, resource_type, 'committed' AS process_state, 'committed|description + embedding saved' AS log FROM v""")
+def commit_rows(spark, d):
+    """The rows of all tables that follow from the commits, side by side."""
+    made = _commits(spark, d)
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6)
+    vectors = made["vectors"].select(F.regexp_extract("resource_id", r"(\d+)", 1).cast("bigint").alias("task_id"), total.alias("total"), "resource_type")
+    out = made["descriptions"].select("task_id", "main", "detail").join(made["embeddings"], "task_id").join(vectors, "task_id")
+    out = out.join(made["states"].withColumnRenamed("id", "task_id"), "task_id").join(made["logs"].withColumnRenamed("detail", "told"), "task_id")
+    return out.withColumn("log", F.concat_ws("|", "event", "told")).drop("event", "told")
+
+
+@query("""WITH r AS (SELECT 'res-' || o.id AS resource_id, o.id % 4 AS k FROM w_order_task o)
+    SELECT resource_id, CASE k WHEN 0 THEN 'failed' ELSE 'committed' END AS state, CASE k WHEN 0 THEN CASE WHEN resource_id LIKE '%0' THEN 'embedding failed: input too long' ELSE 'dimension mismatch: expected 64, got 8' END ELSE '' END AS error FROM r WHERE k = 0""")
+def commit_failures(spark, d):
+    """Answers where the vector fails: refused by the provider, or of another dimension."""
+    asked = W.order_tasks(spark, d).where("id % 4 = 0").select("id", F.concat(F.lit("res-"), "id").alias("resource_id"))
+    tasks = asked.select("resource_id", "id", F.lit("description_ready").alias("process_state"), F.lit("pack").alias("resource_type"))
+    text = lambda c: F.concat(F.lit(f"{c} "), "id").alias(f"description_{c}")
+    said = asked.select("resource_id", "id", text("main"), text("detail"), text("full"))
+    long = said.where(F.col("id") % 10 == 0).withColumn("description_main", F.repeat(F.lit("x"), F.lit(40)))
+    first = D.commit(long.drop("id"), tasks, ["short_vector"], 64, "v", {"dim": 64}, 0)["answers"]
+    return first.unionByName(D.commit(said.where(F.col("id") % 10 != 0).drop("id"), tasks, ["hash_vector"], 64, "v", {"dim": 8}, 0)["answers"])
+
+
+@query("SELECT vec_id, len(embedding) AS dimension, vec_id % 2 = 0 AS unchanged FROM embeddings")
 def vector_checksums(spark, d):
-    """Each vector's checksum is that of the same vector read again."""
+    """Whether each vector has the checksum of what was stored, of which every other one differs in one component."""
     e = W.table(spark, d, "embeddings")
-    doubles = e.select("vec_id", P.vector_checksum(F.col("embedding").cast("array<double>")).alias("again"))
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((i == 0) & (F.col("vec_id") % 2 == 1), x + 1).otherwise(x))
+    stored = e.select("vec_id", P.vector_checksum(moved).alias("stored"))
     own = e.select("vec_id", F.size("embedding").alias("dimension"), P.vector_checksum("embedding").alias("md5"))
-    return own.join(doubles, "vec_id").where("md5 = again").select("vec_id", "dimension")
+    return own.join(stored, "vec_id").select("vec_id", "dimension", (F.col("md5") == F.col("stored")).alias("unchanged"))
 
 
-@query(f"""WITH l AS (SELECT task_id, max_by(main, id) AS main FROM w_desc GROUP BY task_id), c AS (SELECT t.id, main FROM w_task t JOIN l ON t.id = l.task_id WHERE process_state IN ({listed(['committed', 'synced'])}))
-    SELECT CASE WHEN trim(main, E' \\t\\n\\r\\f\\v') = '' OR main IS NULL THEN 'skipped' ELSE 'ok' END AS outcome, count(*) AS n FROM c GROUP BY 1""")
+@query("""WITH l AS (SELECT task_id, max_by(main, id) AS main FROM w_desc GROUP BY task_id), c AS (SELECT t.id, resource_id, resource_type, CASE WHEN t.id % 5 = 0 THEN '' ELSE coalesce(trim(main, E' \\t\\n\\r\\f\\v'), '') END AS x FROM w_task t LEFT JOIN l ON t.id = l.task_id WHERE process_state = 'committed')
+    SELECT id, resource_id, resource_type, CASE WHEN x = '' THEN 'skipped' ELSE 'ok' END AS outcome, CASE WHEN x <> '' THEN round(list_sum(list_transform(range(64), lambda i: ((('0x' || substr(md5(x), 1, 8))::BIGINT + i) % 1000) / 1000.0)), 6) END AS total, x <> '' AS checked FROM c""")
 def reembed(spark, d):
-    """Embeds the latest main description of every committed task again and counts outcomes."""
-    main = S.latest(W.descriptions(spark, d).select("task_id", "id", "main"), "task_id", "id").select(F.col("task_id").alias("id"), "main")
-    own = W.tasks(spark, d).where(F.col("process_state").isin("committed", "synced")).select("id").join(main, "id")
-    text = own.withColumn("main", F.trim(F.regexp_replace("main", r"\s+", " ")))
-    done = P.run(text, "main", ["hash_vector"], "array<double>", {"dim": 64}, retries=2)
-    outcome = F.when(F.col("main").isNull() | (F.col("main") == ""), "skipped").when(F.size("result") == 64, "ok").otherwise("failed")
-    return done.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Vectors of the latest main description of every committed task; every fifth one's is blank."""
+    said = W.descriptions(spark, d).withColumn("main", F.when(F.col("task_id") % 5 == 0, "").otherwise(F.col("main")))
+    done = D.reembedded(W.tasks(spark, d), said, ["hash_vector"], 64, {"dim": 64})
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6)
+    return done.select("id", "resource_id", "resource_type", "outcome", total.alias("total"), (F.length("checksum") == 32).alias("checked")).na.fill(False, ["checked"])
 
 
 @query()
@@ -110,18 +139,24 @@ def search_suggestion(spark, d):
         F.greatest(F.lit(0.1), F.round(F.lit(0.6) - 0.2, 6)).alias("threshold"), F.lit(True).alias("try_cross_type"))
 
 
-@query("""WITH p AS (SELECT task_id, arg_min(path, ord) AS path, arg_min(size, ord) AS size FROM w_file GROUP BY task_id)
-    SELECT r.id AS req_id, CASE WHEN o.id IS NULL THEN 'RESOURCE_NOT_FOUND' ELSE '' END AS error, CASE WHEN o.id IS NULL THEN '' WHEN o.id % 5 = 0 THEN 'packs/' || o.id || '.zip' WHEN path IS NOT NULL THEN 'files/' || o.id || '/' || split_part(path, '/', -1) ELSE 'files/' || o.id || '/' END AS key,
-    CASE WHEN o.id IS NULL OR o.id % 5 = 0 THEN 0 ELSE coalesce(size, 0) END AS file_size FROM w_task r LEFT JOIN w_order_task o ON r.id = o.id LEFT JOIN p ON o.id = p.task_id""")
+@query("""WITH p AS (SELECT task_id, arg_min(path, ord) AS path, arg_min(size, ord) AS size, arg_min(path, ord) FILTER (WHERE format = 'ogg') AS ppath, arg_min(size, ord) FILTER (WHERE format = 'ogg') AS psize FROM w_file GROUP BY task_id),
+    r AS (SELECT r.id, CASE WHEN r.id % 13 = 0 THEN ' ' ELSE 'res-' || r.id END AS resource_id, CASE r.id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 90000 ELSE 60 END AS expire_seconds, o.id AS oid, o.title, coalesce(ppath, path) AS path, CASE WHEN ppath IS NULL THEN size ELSE psize END AS size FROM w_task r LEFT JOIN w_order_task o ON r.id = o.id LEFT JOIN p ON o.id = p.task_id),
+    e AS (SELECT *, CASE WHEN trim(resource_id) = '' THEN 'INVALID_REQUEST|resource_id 不能为空' WHEN expire_seconds <= 0 THEN 'INVALID_REQUEST|expire_seconds 必须大于 0' WHEN expire_seconds > 86400 THEN 'INVALID_REQUEST|expire_seconds 不能超过 86400' WHEN oid IS NULL THEN 'RESOURCE_NOT_FOUND|resource not found' ELSE '|' END AS e FROM r)
+    SELECT resource_id, expire_seconds, split_part(e, '|', 1) AS error_code, split_part(e, '|', 2) AS error_message, CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN 'packs/' || id || '.zip' WHEN path IS NOT NULL THEN 'files/res-' || id || '/' || split_part(path, '/', -1) ELSE 'files/res-' || id || '/' END AS key,
+    CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN CASE WHEN id % 10 = 0 THEN 'resource' ELSE id || '.zip' END WHEN path IS NOT NULL THEN split_part(path, '/', -1) ELSE title END AS file_name, CASE WHEN e <> '|' THEN 0 WHEN id % 5 = 0 THEN id * 7 ELSE coalesce(size, 0) END::BIGINT AS file_size,
+    CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN 'application/zip' ELSE 'application/octet-stream' END AS content_type, CASE WHEN e <> '|' THEN '' ELSE strftime(TIMESTAMP '2024-01-01' + coalesce(expire_seconds, 3600) * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S+00:00') END AS expires_at FROM e""")
 def download_manifest(spark, d):
-    """Key and size for each download: the package (every fifth task has one), else the primary file, else the folder."""
-    primary = W.files(spark, d).groupBy("task_id").agg(F.min_by("path", "ord").alias("path"), F.min_by("size", "ord").alias("size"))
-    t = W.order_tasks(spark, d).select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("packs/"), "id", F.lit(".zip"))).alias("package"))
-    r = W.tasks(spark, d).select(F.col("id").alias("req_id")).join(t, F.col("req_id") == F.col("id"), "left").join(primary, F.col("id") == F.col("task_id"), "left")
-    folder, missing = F.concat(F.lit("files/"), "id", F.lit("/")), F.col("id").isNull()
-    key = F.coalesce("package", F.concat(folder, X.file_name(F.col("path"))), folder, F.lit(""))
-    size = F.when(missing | F.col("package").isNotNull(), 0).otherwise(F.coalesce("size", F.lit(0)))
-    return r.select("req_id", F.when(missing, "RESOURCE_NOT_FOUND").otherwise("").alias("error"), key.alias("key"), size.alias("file_size"))
+    """What each request for a download gets, as of the first of January 2024; every fifth task has a package."""
+    id_ = F.col("id")
+    r = W.tasks(spark, d).select(
+        F.when(id_ % 13 == 0, " ").otherwise(F.concat(F.lit("res-"), "id")).alias("resource_id"),
+        F.when(id_ % 7 == 0, F.lit(None)).when(id_ % 7 == 1, 0).when(id_ % 7 == 2, 90000).otherwise(60).alias("expire_seconds"))
+    fifth = id_ % 5 == 0
+    t = W.order_tasks(spark, d).select(
+        F.concat(F.lit("res-"), "id").alias("resource_id"), "id", "title", F.when(fifth, F.concat(F.lit("packs/"), "id", F.lit(".zip"))).alias("download_key"),
+        F.when(id_ % 10 != 0, F.concat("id", F.lit(".zip"))).otherwise("").alias("download_name"), (id_ * 7).alias("download_size"), F.when(fifth, "application/zip").alias("download_type"))
+    f = W.files(spark, d).select("task_id", "ord", (F.col("format") == "ogg").alias("is_primary"), "path", "size", F.lit("").alias("key"))
+    return D.download_links(r, t, f, F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
 @query("""SELECT o.id, CASE WHEN t.id IS NULL THEN 'not_found' ELSE 'found' END AS status, coalesce(n, 0) AS n_files, coalesce(paths, '') AS paths, coalesce(main, '') AS main, e.vec_id IS NOT NULL AS embedded FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
+from assetflow.operators import delivery as D
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
 from assetflow.operators.search import enrich
@@ -204,10 +205,16 @@ def upload_eligibility(spark, d):
     return t.select("id", F.when(F.col("d").isNull(), "skipped_no_description").when(F.col("f").isNull(), "skipped_no_files").when(F.col("process_state") == "committed", "success").otherwise("upload").alias("verdict"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = '' THEN 'INVALID_ID' WHEN value::BIGINT - 20 <= 0 THEN 'INVALID_EXPIRY' WHEN (value::BIGINT - 20) * 1000 > 86400 THEN 'EXPIRY_TOO_LONG' ELSE '' END AS error FROM (SELECT event_id, event_type, floor(value) AS value FROM events)")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN '  ' ELSE event_type END AS id, CASE WHEN event_id % 9 = 0 THEN 3600 ELSE (floor(value)::BIGINT - 20) * 1000 END AS x, (floor(value)::BIGINT) * 100000 AS size FROM events)
+    SELECT event_id, CASE WHEN trim(id) = '' OR x <= 0 OR x > 86400 THEN 'INVALID_REQUEST' ELSE '' END AS code, CASE WHEN trim(id) = '' THEN 'resource_id 不能为空' WHEN x <= 0 THEN 'expire_seconds 必须大于 0' WHEN x > 86400 THEN 'expire_seconds 不能超过 86400' ELSE '' END AS message,
+    event_id % 2 = 0 AND size <= 5242880 AS inline FROM e""")
 def download_validation(spark, d):
-    e = W.table(spark, d, "events").withColumn("expiry", (F.floor("value") - 20) * 1000)
-    return e.select("event_id", F.when(F.trim("event_type") == "", "INVALID_ID").when(F.col("expiry") <= 0, "INVALID_EXPIRY").when(F.col("expiry") > 86400, "EXPIRY_TOO_LONG").otherwise("").alias("error"))
+    """Checks of requests for downloads (every ninth keeps the default expiry), and whether the content comes with the answer."""
+    e = W.table(spark, d, "events")
+    expiry = F.coalesce(F.when(F.col("event_id") % 9 != 0, (F.floor("value") - 20) * 1000), F.lit(D.EXPIRES))
+    error = D.request_error(F.when(F.col("event_type") == "view", "  ").otherwise(F.col("event_type")), expiry)
+    text = lambda c: F.coalesce(error[c], F.lit("")).alias(c)
+    return e.select("event_id", text("code"), text("message"), D.inline(F.floor("value") * 100000, F.col("event_id") % 2 == 0).alias("inline"))
 
 
 @query(r"""WITH o AS (SELECT conv_id, conv_id % 5 = 4 AS bare, string_split(trim(output, E' \t\n\r'), chr(10)) AS l FROM w_output),
