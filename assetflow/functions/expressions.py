@@ -144,9 +144,18 @@ def natural_key(name: Column) -> Column:
     return F.transform(runs, lambda r: F.struct(F.when(r.rlike(r"^\d"), 0).otherwise(1).alias("kind"), F.when(r.rlike(r"^\d"), F.length(bare(r))).otherwise(0).alias("n"), F.when(r.rlike(r"^\d"), bare(r)).otherwise(r).alias("text")))
 
 
+def json_text(x: Column) -> Column:
+    """A text in quotes as JSON has it, other characters than ASCII's as they are."""
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    plain = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    codes = F.array(*(F.struct(F.lit(chr(i)).alias("c"), F.lit("\\" + short.get(i, f"u{i:04x}")).alias("e")) for i in range(32)))
+    escaped = F.aggregate(codes, plain, lambda a, k: F.replace(a, k["c"], k["e"]))
+    return F.concat(F.lit('"'), F.when(x.rlike(r"[\x00-\x1F]"), escaped).otherwise(plain), F.lit('"'))
+
+
 def fingerprint(id_: Column, source: Column, pack: Column, kind: Column, path: Column, count: Column, paths: Column) -> Column:
     """MD5 of the seven fields as JSON with sorted keys, a space behind : and ,."""
-    esc = lambda x: F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    esc = json_text
     text = F.concat(
         F.lit('{"file_paths": ['), F.array_join(F.transform(paths, esc), ", "), F.lit('], "id": '), esc(id_), F.lit(', "member_count": '), count.cast("string"),
         F.lit(', "pack_name": '), esc(pack), F.lit(', "resource_path": '), esc(path), F.lit(', "resource_type": '), esc(kind), F.lit(', "source": '), esc(source), F.lit("}"))

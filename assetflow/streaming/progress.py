@@ -11,9 +11,11 @@ from assetflow.operators.selection import latest
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; a local one only where none is configured."""
+    """A new folder below the one that driver and executors share; where none is set, a temporary one, on a local master alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -36,5 +36,16 @@ def test_even_sample_keeps_both_ends(spark):
 def test_keys(spark):
     empty = F.lit(" ")
     assert one(spark, X.idempotency_key(empty, empty, F.lit("p"), F.lit("t"))) == "crawler-register:path:p"
-    assert one(spark, X.resume_key(empty, empty, empty, empty)) == ""
+    assert one(spark, X.resume_key(empty, empty, empty, empty)) == "source: " and one(spark, X.resume_key(*[F.lit("")] * 4)) == ""
     assert one(spark, X.state_ordinal(F.lit("nothing"))) == -1 and one(spark, X.state_ordinal(F.lit("synced"))) == 11
+
+
+def test_fingerprint_of_odd_texts(spark):
+    import hashlib
+    import json
+
+    odd = "".join(map(chr, range(1, 32))) + '"\\/é漢\x7f\u2028'
+    record = {"id": odd, "source": "s", "pack_name": "", "resource_type": "t", "resource_path": "p\tq", "member_count": 2, "file_paths": ["a", odd]}
+    text = {k: F.lit(v) for k, v in record.items() if isinstance(v, str)}
+    made = X.fingerprint(text["id"], text["source"], text["pack_name"], text["resource_type"], text["resource_path"], F.lit(2), F.array(*map(F.lit, record["file_paths"])))
+    assert one(spark, made) == hashlib.md5(json.dumps(record, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
