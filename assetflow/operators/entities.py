@@ -96,3 +96,27 @@ def source_directory(paths: Column, resource_path: Column, pack: Column) -> Colu
     apart = F.array_position(F.zip_with(least, greatest, lambda a, b: a.eqNullSafe(b)), F.lit(False))
     common = F.when(apart == 0, least).otherwise(F.slice(least, F.lit(1), F.greatest(apart - 1, F.lit(0)).cast("int")))
     return F.when(F.size(paths) > 0, F.array_join(common, "/")).otherwise(F.coalesce(F.nullif(resource_path, F.lit("")), pack))
+
+
+def reusable_previews(held: DataFrame, now: DataFrame, stored: DataFrame) -> DataFrame:
+    """Whether each resource's previews may be used again: id, reusable.
+
+    held: id, previews (array of paths), fingerprint; now: id, fingerprint; stored: path.  There must be previews,
+    all of them stored, and the fingerprint must be what it was.
+    """
+    each = held.select("id", F.explode("previews").alias("path")).join(stored.select("path").distinct().withColumn("__there", F.lit(True)), "path", "left")
+    whole = each.groupBy("id").agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("__whole"))
+    same = held.join(now.select(F.col("id").alias("__id"), F.col("fingerprint").alias("__now")), F.col("id") == F.col("__id"), "left")
+    out = same.join(whole, "id", "left")
+    return out.select("id", (F.coalesce("__whole", F.lit(False)) & F.coalesce(F.col("fingerprint") == F.col("__now"), F.lit(False))).alias("reusable"))
+
+
+def counters(resources: DataFrame, assets: DataFrame, *keys: str) -> DataFrame:
+    """For each resource (id, asset_id; a row for each asset) how often each value of the keys occurs: id and an array of (value, n) for each key, in the values' order; blank ones don't count."""
+    both = resources.join(assets, "asset_id")
+    out = resources.select("id").distinct()
+    for key in keys:
+        n = both.where(F.trim(key) != "").groupBy("id", F.trim(key).alias("value")).agg(F.count("*").alias("n"))
+        own = n.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias(key))
+        out = out.join(own, "id", "left").withColumn(key, F.coalesce(key, F.array().cast("array<struct<value: string, n: bigint>>")))
+    return out

@@ -91,3 +91,21 @@ def entities(tasks: DataFrame, files: DataFrame, previews: DataFrame, descriptio
         out = out.join(part.withColumnRenamed("task_id", "__task"), F.col("id") == F.col("__task"), "left").drop("__task")
     none = lambda df, order: F.array().cast(nested(df, order, "x").schema["x"].dataType)
     return out.withColumns({"files": F.coalesce("files", none(files, "ord")), "previews": F.coalesce("previews", none(previews, "id"))})
+
+
+def details(requests: DataFrame, tasks: DataFrame, files: DataFrame, previews: DataFrame, descriptions: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """A row for each request (resource_id): status (found or not_found), the task's columns, files, previews, description, embedding and parsed lists.
+
+    tags_json, child_resource_ids_json and contains_resource_types_json become arrays (tags, child_resource_ids,
+    contains_resource_types), empty where they can't be read.  Of descriptions and embeddings (task_id, id and
+    further columns) the latest counts.
+    """
+    read = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    lists = {c.removesuffix("_json"): read(c) for c in ("tags_json", "child_resource_ids_json", "contains_resource_types_json") if c in tasks.columns}
+    item = F.struct(*(c for c in embeddings.columns if c != "task_id"))
+    vector = embeddings.groupBy(F.col("task_id").alias("__task")).agg(F.max_by(item, "id").alias("embedding"))
+    asked = tasks.join(requests.select("resource_id").distinct(), "resource_id", "left_semi")
+    known = entities(asked, files, previews, descriptions).join(vector, F.col("id") == F.col("__task"), "left").drop("__task")
+    known = known.withColumns(lists).drop(*(f"{c}_json" for c in lists)).withColumn("__known", F.lit(True))
+    out = requests.join(known, "resource_id", "left")
+    return out.withColumn("status", F.when(F.col("__known"), "found").otherwise("not_found")).drop("__known")

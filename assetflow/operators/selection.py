@@ -152,3 +152,23 @@ def apply_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     state = F.when(F.col("outcome").isin("uploaded", "exists"), F.substring_index(log, "|", -1)).otherwise(F.col("process_state"))
     return tasks.join(outcomes, "id", "left").select(
         "id", state.alias("process_state"), (F.col("retry_count") + failed.cast("int")).alias("retry_count"), F.when(failed, F.substring("message", 1, 500)).otherwise("").alias("error"), log.alias("log"))
+
+
+def apply_stage(tasks: DataFrame, results: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
+    """(tasks, log rows) after a stage, preview, description or embedding, whose results are id and message (null for a success).
+
+    A success moves a task to <stage>_ready and clears its last error; a failure to <stage>_failed with the
+    stage's code and 500 characters of the message.  The log has a row (task_id, event, detail) for each result.
+    Tasks without a result stay as they are.
+    """
+    # The stages' error codes.
+    code = {"preview": "preview_error", "description": "desc_error", "embedding": "embedding_error"}[stage]
+    told = results.select(F.col("id").alias("__id"), F.lit(True).alias("__ran"), F.substring("message", 1, 500).alias("__message"))
+    ran, failed = F.coalesce("__ran", F.lit(False)), F.col("__message").isNotNull()
+    state = F.when(failed, f"{stage}_failed").otherwise(f"{stage}_ready")
+    keep = lambda new, c: F.when(ran, new).otherwise(F.col(c))
+    out = tasks.join(told, F.col("id") == F.col("__id"), "left").withColumns({
+        "process_state": keep(state, "process_state"), "last_error_code": keep(F.when(failed, code).otherwise(""), "last_error_code"),
+        "last_error_message": keep(F.when(failed, F.col("__message")).otherwise(""), "last_error_message")})
+    log = told.select(F.col("__id").alias("task_id"), state.alias("event"), F.coalesce("__message", F.lit("")).alias("detail"))
+    return out.drop("__id", "__ran", "__message"), log

@@ -312,11 +312,16 @@ def group_by_directory(spark, d):
     return W.files(spark, d).groupBy(X.parent(F.col("path")).alias("directory")).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
 
 
-@query("SELECT l_orderkey, string_agg(style || '=' || n, '|' ORDER BY style) AS styles FROM (SELECT l_orderkey, p_brand AS style, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE trim(p_brand) <> '' GROUP BY ALL) GROUP BY l_orderkey")
+@query("""WITH a AS (SELECT l_orderkey, CASE WHEN l_partkey % 7 = 0 THEN ' ' ELSE style END AS style, theme FROM lineitem JOIN w_asset ON asset_id = 'a' || l_partkey),
+    s AS (SELECT l_orderkey, style AS v, count(*) AS n FROM a WHERE trim(style) <> '' GROUP BY ALL), t AS (SELECT l_orderkey, theme AS v, count(*) AS n FROM a WHERE trim(theme) <> '' GROUP BY ALL)
+    SELECT DISTINCT l_orderkey AS id, coalesce((SELECT string_agg(v || '=' || n, '|' ORDER BY v) FROM s WHERE s.l_orderkey = l.l_orderkey), '') AS styles, coalesce((SELECT string_agg(v || '=' || n, '|' ORDER BY v) FROM t WHERE t.l_orderkey = l.l_orderkey), '') AS themes FROM lineitem l""")
 def style_counters(spark, d):
-    a = W.assets(spark, d).where("trim(style) <> ''").select("asset_id", "style")
-    by = W.table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("a"), "l_partkey").alias("asset_id")).join(a, "asset_id").groupBy("l_orderkey", "style").agg(F.count("*").alias("n"))
-    return by.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("style", "n"))), lambda x: F.concat_ws("=", x["style"], x["n"])), "|").alias("styles"))
+    """Styles and themes of each order's assets; every seventh asset has a blank style."""
+    seventh = F.regexp_extract("asset_id", r"(\d+)", 1).cast("bigint") % 7 == 0
+    assets = W.assets(spark, d).select("asset_id", F.when(seventh, " ").otherwise(F.col("style")).alias("style"), "theme")
+    own = W.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("a"), "l_partkey").alias("asset_id"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), "|")
+    return E.counters(own, assets, "style", "theme").select("id", text("style").alias("styles"), text("theme").alias("themes"))
 
 
 @query("""WITH n AS (SELECT format AS category, 'f' || (l_partkey % 50) || '.' || format AS name, path, task_id, ord FROM w_file),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
+from assetflow.operators import entities as E
 from assetflow.operators import providers as P
+from assetflow.operators import registration as R
 from assetflow.operators import selection as S
 from assetflow.operators.vectors import cells_to_probe, inverted_lists, probe_top_k
 from assetflow.sources import working as W
@@ -159,28 +161,34 @@ def download_manifest(spark, d):
     return D.download_links(r, t, f, F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
-@query("""SELECT o.id, CASE WHEN t.id IS NULL THEN 'not_found' ELSE 'found' END AS status, coalesce(n, 0) AS n_files, coalesce(paths, '') AS paths, coalesce(main, '') AS main, e.vec_id IS NOT NULL AS embedded FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id
-    LEFT JOIN (SELECT task_id, count(*) AS n, string_agg(path, '|' ORDER BY ord) AS paths FROM w_file GROUP BY task_id) f ON t.id = f.task_id
-    LEFT JOIN (SELECT task_id, max_by(main, id) AS main FROM w_desc GROUP BY task_id) x ON t.id = x.task_id LEFT JOIN embeddings e ON t.id = e.vec_id""")
+@query("""SELECT 'res-' || o.id AS resource_id, CASE WHEN t.id IS NULL THEN 'not_found' ELSE 'found' END AS status, t.process_state AS process_state, t.title AS title, coalesce(n, 0) AS n_files, coalesce(paths, '') AS paths, coalesce(pictures, '') AS previews, main, CASE WHEN e.vec_id IS NULL THEN '' ELSE '64|embed_v' || (e.vec_id % 3) END AS embedding,
+    CASE WHEN t.id % 2 = 0 THEN 'a|b' ELSE '' END AS tags, CASE WHEN t.id % 10 <> 0 THEN 'res-' || (t.id - t.id % 10) END AS parent_resource_id, CASE WHEN t.id % 5 = 0 THEN 'packs/' || t.id || '.zip' END AS download_key
+    FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id LEFT JOIN (SELECT task_id, count(*) AS n, string_agg(path, '|' ORDER BY ord) AS paths, string_agg(path, '|' ORDER BY ord) FILTER (WHERE format = 'png') AS pictures FROM w_file GROUP BY task_id) f ON t.id = f.task_id
+    LEFT JOIN (SELECT task_id, arg_max_null(main, id) AS main FROM w_desc GROUP BY task_id) x ON t.id = x.task_id LEFT JOIN embeddings e ON t.id = e.vec_id""")
 def resource_detail(spark, d):
-    """A row for every requested id with its files, latest description and whether it has a vector."""
-    f = W.files(spark, d).groupBy(F.col("task_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("files"))
-    v = S.latest(W.descriptions(spark, d).select("task_id", "id", "main"), "task_id", "id").select(F.col("task_id").alias("id"), "main")
-    e = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("embedded"))
-    known = W.tasks(spark, d).select("id", F.lit(True).alias("known")).join(f, "id", "left").join(v, "id", "left").join(e, "id", "left")
-    return W.order_tasks(spark, d).select("id").join(known, "id", "left").select(
-        "id", F.when(F.col("known"), "found").otherwise("not_found").alias("status"), F.coalesce(F.size("files"), F.lit(0)).alias("n_files"),
-        F.coalesce(F.array_join(F.transform("files", lambda x: x["path"]), "|"), F.lit("")).alias("paths"), F.coalesce("main", F.lit("")).alias("main"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
+    """A row for every requested id, with all that belongs to its resource; every other one's list of tags can't be read."""
+    id_ = F.col("id")
+    t = W.tasks(spark, d).withColumns({
+        "tags_json": F.when(id_ % 2 == 0, '["a", "b"]').otherwise("none"), "child_resource_ids_json": F.lit(None).cast("string"), "contains_resource_types_json": F.lit("[]"),
+        "parent_resource_id": F.when(id_ % 10 != 0, F.concat(F.lit("res-"), id_ - id_ % 10)), "download_key": F.when(id_ % 5 == 0, F.concat(F.lit("packs/"), "id", F.lit(".zip")))})
+    f = W.files(spark, d)
+    vectors = W.embeddings(spark, d).withColumn("dimension", F.lit(64))
+    asked = W.order_tasks(spark, d).select(F.concat(F.lit("res-"), "id").alias("resource_id"))
+    found = R.details(asked, t, f.select("task_id", "ord", "path"), f.where("format = 'png'").select("task_id", F.col("ord").alias("id"), "path"), W.descriptions(spark, d), vectors)
+    paths = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["path"]), "|"), F.lit(""))
+    return found.select(
+        "resource_id", "status", "process_state", "title", F.greatest(F.coalesce(F.size("files"), F.lit(0)), F.lit(0)).alias("n_files"), paths("files").alias("paths"), paths("previews").alias("previews"), F.col("description.main").alias("main"),
+        F.concat_ws("|", "embedding.dimension", "embedding.model_version").alias("embedding"), F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags"), "parent_resource_id", "download_key")
 
 
-@query("""SELECT id, bool_and(size % 7000 <> 0) AS reusable FROM w_order_task JOIN w_file ON id = task_id AND format = 'png' GROUP BY id""")
+@query("""SELECT id, bool_and(size % 7000 <> 0) AND id % 4 <> 1 AS reusable FROM w_order_task JOIN w_file ON id = task_id AND format = 'png' GROUP BY id UNION ALL SELECT id, false FROM w_order_task WHERE id NOT IN (SELECT task_id FROM w_file WHERE format = 'png')""")
 def preview_reuse(spark, d):
-    """Tasks whose previews are all found in storage, and so may be used again; every file of whole 7,000 bytes is lost."""
+    """Tasks whose previews may be used again: all in storage (every file of whole 7,000 bytes is lost) and the file behind them unchanged (every fourth one isn't)."""
     f = W.files(spark, d)
-    previews = f.where("format = 'png'").groupBy("task_id").agg(F.collect_list("path").alias("previews"))
-    stored = f.where("size % 7000 <> 0").select("task_id", "path").distinct().withColumn("found", F.lit(True))
-    each = W.order_tasks(spark, d).select("id").join(previews, F.col("id") == F.col("task_id")).select("id", F.explode("previews").alias("path"))
-    return each.join(stored.withColumnRenamed("task_id", "id"), ["id", "path"], "left").groupBy("id").agg(F.bool_and(F.coalesce("found", F.lit(False))).alias("reusable"))
+    previews = f.where("format = 'png'").groupBy(F.col("task_id").alias("id")).agg(F.collect_list(F.concat_ws("/", "task_id", "path")).alias("previews"))
+    held = W.order_tasks(spark, d).select("id", F.struct(F.lit(1).alias("size"), F.lit(2).alias("modified")).alias("fingerprint")).join(previews, "id", "left")
+    now = held.select("id", F.struct(F.when(F.col("id") % 4 == 1, 3).otherwise(1).alias("size"), F.lit(2).alias("modified")).alias("fingerprint"))
+    return E.reusable_previews(held, now, f.where("size % 7000 <> 0").select(F.concat_ws("/", "task_id", "path").alias("path")))
 
 
 @query("""WITH r AS (SELECT id, process_state, retry_count, id % 3 AS outcome FROM w_task)
@@ -212,3 +220,14 @@ def preview_plan(spark, d):
 def metadata_card(spark, d):
     lines = X.card_lines(F.col("source"), F.col("resource_type"), F.col("title"), F.array().cast("array<string>"), {"Files": F.col("retry_count")}, F.array().cast("array<string>"))
     return W.tasks(spark, d).select("id", F.when(F.col("resource_type").isNotNull(), F.array_join(lines, "|")).alias("card"))
+
+
+@query("""WITH r AS (SELECT id, process_state, id % 4 AS k FROM w_task)
+    SELECT id, CASE k WHEN 0 THEN 'preview_ready' WHEN 1 THEN 'preview_failed' ELSE process_state END AS process_state, CASE k WHEN 0 THEN '' WHEN 1 THEN 'preview_error' ELSE 'old' END AS last_error_code,
+    CASE k WHEN 0 THEN '' WHEN 1 THEN repeat('y', 500) ELSE 'older' END AS last_error_message, CASE k WHEN 0 THEN 'preview_ready|' WHEN 1 THEN 'preview_failed|' || repeat('y', 500) ELSE '' END AS log FROM r""")
+def stage_states(spark, d):
+    """Tasks after a preview stage that took half of them and failed for every other of these."""
+    t = W.tasks(spark, d).select("id", "process_state", F.lit("old").alias("last_error_code"), F.lit("older").alias("last_error_message"))
+    told = t.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 1, F.repeat(F.lit("y"), F.lit(600))).alias("message"))
+    after, log = S.apply_stage(t, told, "preview")
+    return after.join(log.select(F.col("task_id").alias("id"), F.concat_ws("|", "event", "detail").alias("log")), "id", "left").na.fill("", ["log"])

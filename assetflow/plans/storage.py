@@ -38,15 +38,19 @@ def asset_index(spark, d):
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
 
-@query("SELECT p_partkey, p_brand AS pack, n AS pack_size FROM part JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) USING (p_brand)")
+@query("""WITH k AS (SELECT DISTINCT 'site' || (p_size % 2) AS source, p_brand FROM part) SELECT source, 'pack_' || p_brand AS pack, 'about ' || p_brand AS description, CASE WHEN source = 'site0' THEN p_brand || '|x' ELSE '' END AS tags FROM k""")
 def pack_metadata(spark, d):
-    """Metadata of packs, a folder of JSON each with the pack's name as key, joined to the packs' parts."""
+    """Metadata of packs of two sources, a JSON file for each pack; some hold no tags."""
     folder = state_folder(spark, "packs")
-    part = W.table(spark, d, "part")
-    part.groupBy("p_brand").agg(F.count("*").alias("pack_size")).withColumn("pack", F.col("p_brand")).drop("p_brand").write.partitionBy("pack").json(folder)
-    key = F.url_decode(F.url_decode(F.regexp_extract("_metadata.file_path", r"/pack=([^/]*)/", 1))).alias("pack")  # escaped in the folder's name and in the address
-    packs = spark.read.option("recursiveFileLookup", True).schema("pack_size bigint").json(folder).select("pack_size", key)
-    return part.select("p_partkey", F.col("p_brand").alias("pack")).join(packs, "pack", "left").select("p_partkey", "pack", "pack_size")
+    site = F.concat(F.lit("site"), F.col("p_size") % 2)
+    packs = W.table(spark, d, "part").select(site.alias("source"), "p_brand").distinct()
+    tags = F.when(F.col("source") == "site0", F.array("p_brand", F.lit("x")))
+    body = packs.select("source", F.struct(F.concat(F.lit("about "), "p_brand").alias("description"), tags.alias("tags"), F.concat(F.lit("pack_"), "p_brand").alias("name")).alias("pack"), F.concat(F.lit("pack_"), "p_brand").alias("file"))
+    body.write.partitionBy("source", "file").json(folder)  # folders stand for the files' names
+    place = lambda name: F.url_decode(F.url_decode(F.regexp_extract("_metadata.file_path", f"/{name}=([^/]*)/", 1))).alias(name)
+    read = spark.read.option("recursiveFileLookup", True).schema("pack struct<description: string, tags: array<string>>").json(folder)
+    rows = read.select(place("source"), place("file"), "pack.description", F.coalesce("pack.tags", F.array().cast("array<string>")).alias("tags"))
+    return rows.select("source", F.col("file").alias("pack"), "description", F.array_join("tags", "|").alias("tags"))
 
 
 def _assets(spark, d):
@@ -60,6 +64,15 @@ def _assets(spark, d):
 _BYTES = """SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS prefix, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS total_bytes FROM documents GROUP BY 1"""
 
 
+@query("""WITH n AS (SELECT DISTINCT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang FROM documents) SELECT 'lang=' || lang AS prefix, 1::BIGINT AS n_keys, true AS found FROM n UNION ALL SELECT 'lang=none', 1, false""")
+def storage_keys(spark, d):
+    """Which of the expected files a folder holds: one of each language, and one of a language that isn't there."""
+    files = S.scan_files(spark, f"{_assets(spark, d)}/notes").withColumn("path", F.url_decode("path"))
+    first = files.groupBy(F.regexp_extract("path", "/(lang=[^/]*)/", 1).alias("prefix")).agg(F.regexp_extract(F.min("path"), "(lang=[^/]*/[^/]*)$", 1).alias("key"))
+    keys = first.unionByName(spark.range(1).select(F.lit("lang=none").alias("prefix"), F.lit("lang=none/part-0.txt").alias("key")))
+    return S.present(keys, files).groupBy("prefix").agg(F.count("*").alias("n_keys"), F.bool_and("found").alias("found"))
+
+
 @query(_BYTES)
 def storage_inventory(spark, d):
     files = S.scan_files(spark, f"{_assets(spark, d)}/notes")
@@ -94,16 +107,19 @@ def state_versions(spark, d):
     return S.load_state(spark, folder, schema)
 
 
-@query("SELECT id, resource_id, coalesce(s.process_state, 'unknown') AS status, CASE WHEN id % 2 = 0 THEN title END AS title FROM w_task LEFT JOIN (SELECT id, process_state FROM w_task WHERE id % 3 <> 0) s USING (id)")
+@query("""SELECT 'res-' || id AS resource, CASE WHEN id % 4 = 0 THEN 'res-' || (id + 2) || '|res-' || (id + 1) ELSE '' END AS dependencies, CASE WHEN id % 3 <> 0 THEN process_state ELSE 'unknown' END AS status, CASE WHEN id % 2 = 0 THEN title END AS title, id % 2 = 0 AND title IS NOT NULL AS written FROM w_task""")
 def resource_index(spark, d):
-    """The index of resources as appended JSON lines: a default status, and no field where a value is null."""
+    """The index of resources as appended JSON lines: dependencies, a default status, and no field where a value is null."""
     folder = state_folder(spark, "index")
-    t = W.tasks(spark, d)
-    status = t.where("id % 3 <> 0").select("id", F.col("process_state").alias("known"))
-    out = t.join(status, "id", "left").select("id", "resource_id", F.coalesce("known", F.lit("unknown")).alias("status"), F.when(F.col("id") % 2 == 0, F.col("title")).alias("title"))
+    t = W.tasks(spark, d).withColumn("resource", F.col("resource_id"))
+    name = lambda n: F.concat(F.lit("res-"), F.col("id") + n)
+    needs = t.where("id % 4 = 0").select("resource", F.posexplode(F.array(name(2), name(1))).alias("place", "dependency"))
+    out = S.resource_entries(t, needs, t.where("id % 3 <> 0").select("resource", F.col("process_state").alias("status")), t.select("resource", F.when(F.col("id") % 2 == 0, F.col("title")).alias("title")))
     for part in (0, 1):
-        out.where(F.col("id") % 2 == part).write.mode("append").option("ignoreNullFields", True).json(folder)
-    return spark.read.schema(out.schema).json(folder)
+        out.where(F.pmod(F.xxhash64("resource"), F.lit(2)) == part).write.mode("append").option("ignoreNullFields", True).json(folder)
+    text = spark.read.text(folder)
+    rows = text.select(F.from_json("value", out.schema).alias("r"), F.contains("value", F.lit('"title":')).alias("written")).select("r.*", "written")
+    return rows.withColumn("dependencies", F.array_join("dependencies", "|"))
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey, NULL AS note FROM orders WHERE o_orderkey % 2 = 0),
@@ -116,3 +132,29 @@ def task_table(spark, d):
     S.append_table(o.where("o_orderkey % 2 = 0").select("o_orderkey"), path, "o_orderkey")
     S.append_table(o.where("o_orderkey % 2 = 1").select("o_orderkey", F.col("o_orderstatus").alias("note")), path, "o_orderkey")
     return S.read_table(spark, path).select("id", "o_orderkey", "note")
+
+
+@query("""SELECT 'task' AS name, count(*) AS n, min(doc_id + 1) AS least, max(process_state) AS state, sum(0)::BIGINT AS zeros FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'discovered' AS process_state FROM documents)
+    UNION ALL SELECT 'file', count(*), min(1), 'main', 0 FROM (SELECT 1 FROM w_file WHERE task_id % 2 = 0) UNION ALL SELECT 'preview', count(*), min(1), 'primary', 0 FROM (SELECT 1 FROM w_file WHERE format = 'png') UNION ALL SELECT 'description', count(*), min(1), '', 0 FROM documents
+    UNION ALL SELECT 'embedding', count(*), min(1), '', 0 FROM embeddings UNION ALL SELECT 'upload_job', 0, NULL, NULL, NULL UNION ALL SELECT 'log', count(*), min(1), NULL, 0 FROM events""")
+def task_tables(spark, d):
+    """The seven tables of the pipeline's state, filled from what there is; upload jobs have none, files are those of half the tasks."""
+    folder = state_folder(spark, "tables")
+    f = W.files(spark, d)
+    S.insert("task", W.tasks(spark, d).select("content_md5", "resource_type", "resource_id", F.col("id").alias("seq")), folder, "seq")
+    S.insert("file", f.select("task_id", F.col("path").alias("file_path"), F.col("size").alias("file_size"), F.col("format").alias("file_format")), folder, "task_id", "file_path")
+    S.insert("preview", f.where("format = 'png'").select("task_id", "path"), folder, "task_id", "path")
+    S.insert("description", W.descriptions(spark, d).select("task_id", F.col("main").alias("main_content"), "prompt_version"), folder, "task_id", "prompt_version")
+    S.insert("embedding", W.embeddings(spark, d).select("task_id", "model_version"), folder, "task_id")
+    S.insert("log", W.table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("event"), F.col("event_id").alias("seq")), folder, "seq")
+    shown = {"task": ("process_state", "retry_count"), "file": ("file_role", "is_primary"), "preview": ("role", "used_placeholder"), "description": ("detail_content", None), "embedding": ("checksum", "dimension"), "upload_job": ("upload_state", None), "log": ("detail", None)}
+    half = f.where("task_id % 2 = 0").select("task_id")
+    parts = []
+    for name, (state, zero) in shown.items():
+        rows = S.rows_of(spark, name, folder, half if name == "file" else None)
+        least = F.min("id") if name == "task" else F.min(F.when(F.col("id") > 0, 1))
+        parts.append(rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), least.cast("bigint").alias("least"), F.max(state).alias("state"), F.sum(zero if zero else F.when(F.col("id") > 0, 0)).cast("bigint").alias("zeros")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -51,6 +51,65 @@ def inventory(files: DataFrame, prefix: Column) -> DataFrame:
     return files.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n_objects"), F.sum("length").alias("total_bytes"))
 
 
+def present(keys: DataFrame, files: DataFrame, key: str = "key") -> DataFrame:
+    """The keys with found: whether a file has the key as its path's end behind a slash, or as its whole path."""
+    ends = files.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), -n)))).alias(key))
+    return keys.join(ends.join(keys.select(key).distinct(), key, "left_semi").distinct().withColumn("found", F.lit(True)), key, "left").na.fill(False, ["found"])
+
+
+def pack_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of packs, a JSON file <source>/<pack>.json each below the folder: source, pack (as file systems take it), description, tags."""
+    body = "pack struct<description: string, tags: array<string>>"
+    place = F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+\.json$", 1)).alias("source"), F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+)\.json$", 1)).alias("pack")
+    rows = spark.read.schema(body).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    return rows.select(*place, F.coalesce("pack.description", F.lit("")).alias("description"), F.coalesce("pack.tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def resource_entries(resources: DataFrame, dependencies: DataFrame, statuses: DataFrame, extra: DataFrame) -> DataFrame:
+    """Entries of a resource index: resource, dependencies (array, in order), status (unknown without one), and the columns of extra.
+
+    resources: resource; dependencies: resource, place, dependency; statuses: resource, status; extra: resource and
+    further columns.  A JSON sink that leaves out nulls writes only the extras that are there.
+    """
+    by = dependencies.groupBy("resource").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "dependency"))), lambda x: x["dependency"]).alias("dependencies"))
+    out = resources.select("resource").join(by, "resource", "left").join(statuses, "resource", "left").join(extra, "resource", "left")
+    return out.withColumns({"dependencies": F.coalesce("dependencies", F.array().cast("array<string>")), "status": F.coalesce("status", F.lit("unknown"))})
+
+
+# The tables of the pipeline's state, with the columns of each besides id; what a row lacks is empty text, 0 or null.
+TABLES = {
+    "task": "content_md5 string, resource_type string, source_directory string, process_state string, resource_id string, retry_count int, last_error_code string, last_error_message string, created_at string, updated_at string, source_resource_id string, title string, pack_name string, source string, resource_path string",
+    "file": "task_id bigint, file_path string, file_name string, file_size bigint, file_format string, content_md5 string, file_role string, object_key string, is_primary int, created_at string",
+    "preview": "task_id bigint, strategy string, role string, path string, format string, width int, height int, size bigint, renderer string, used_placeholder int, fail_reason string, created_at string",
+    "description": "task_id bigint, main_content string, detail_content string, full_description string, prompt_version string, quality_score double, created_at string",
+    "embedding": "task_id bigint, dimension int, checksum string, generate_time double, model_version string, created_at string",
+    "upload_job": "task_id bigint, upload_state string, idempotency_key string, error_message string, created_at string, updated_at string",
+    "log": "task_id bigint, event string, detail string, created_at string",
+}
+DEFAULTS = {"process_state": "discovered", "file_role": "main", "role": "primary", "upload_state": "pending"}
+NULLABLE = {"resource_id", "object_key", "path", "format", "width", "height", "size", "renderer", "fail_reason", "quality_score", "idempotency_key", "error_message", "detail"}
+
+
+def insert(name: str, rows: DataFrame, folder: str, *order: str) -> None:
+    """Appends rows to one of TABLES below the folder, with running ids; columns that the rows lack take their defaults, others are added."""
+    kinds = dict(x.split(" ") for x in TABLES[name].split(", "))
+
+    def column(c: str, kind: str) -> Column:
+        value = F.col(c) if c in rows.columns else F.lit(None)
+        empty = None if c in NULLABLE else DEFAULTS.get(c, "" if kind == "string" else 0)
+        return F.coalesce(value, F.lit(empty)).cast(kind).alias(c)
+
+    more = [c for c in rows.columns if c not in kinds]
+    append_table(rows.select(*(column(c, k) for c, k in kinds.items()), *more), f"{folder}/{name}", *order)
+
+
+def rows_of(spark: SparkSession, name: str, folder: str, tasks: DataFrame | None = None) -> DataFrame:
+    """Rows of one of TABLES, with tasks only those of its task_id; empty where nothing was inserted."""
+    path = f"{folder}/{name}"
+    rows = read_table(spark, path) if _exists(spark, path) else spark.createDataFrame([], f"id bigint, {TABLES[name]}")
+    return rows if tasks is None else rows.join(tasks.select("task_id").distinct(), "task_id", "left_semi")
+
+
 def unchanged(before: DataFrame, now: DataFrame) -> DataFrame:
     """Files of now whose fingerprint, size and time of change, is that of before."""
     same = ["path", "length", "modified"]
