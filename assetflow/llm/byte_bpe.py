@@ -153,7 +153,7 @@ def _per_text(documents: DataFrame, make, columns: list[tuple[str, str, pa.DataT
     return kept.mapInArrow(run, schema)
 
 
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
+def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, decoded: str | None = None) -> DataFrame:
     """The documents with n_tokens and ids (little-endian unsigned 32-bit), or their digests.
 
     Each match of pattern in the whole text is a word.  A task folds the ranked merges over the bytes
@@ -163,7 +163,8 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
 
     A null text counts as empty and has no ids.  Every row is encoded alone and keeps its place and
     its other columns; columns named like the new ones are replaced.  With digests, ids_sha256 and
-    decoded_sha256 (of the decoded bytes) stand in place of ids.
+    decoded_sha256 (of the decoded bytes) stand in place of ids.  With decoded, a column of that name has
+    the bytes that the ids decode to, from the same tasks.
     """
 
     def make(texts: list[str], state: dict) -> list[list]:
@@ -177,12 +178,12 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
         ids = [b"".join(map(known.__getitem__, w)) for w in words]
         counts = [len(x) // 4 for x in ids]
         if not digests:
-            return [counts, ids]
+            return [counts, ids, *([list(map(merges.decode, ids))] if decoded else [])]
         return [counts, *([hashlib.sha256(x).hexdigest() for x in made] for made in (ids, map(merges.decode, ids)))]
 
     if digests:
         return _per_text(documents, make, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())])
-    return _per_text(documents, make, [("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary())])
+    return _per_text(documents, make, [("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary()), *([(decoded, "binary", pa.binary())] if decoded else [])])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -192,7 +193,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", output
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(ranks)
         for batch in batches:
-            made = [None if x is None else merges.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, output])
+            _, ends = utf8(batch.column(ids))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
+                rows = batch.slice(at, to - at)
+                made = [None if x is None else merges.decode(x) for x in rows.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.binary())], names=[*rows.schema.names, output])
+                at = to
 
     return kept.mapInArrow(run, wider(kept, **{output: "binary"}))

@@ -1,6 +1,10 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from assetflow.llm import byte_bpe
 from assetflow.llm.mixing import mix
 from assetflow.llm.queries import QUERIES
 
@@ -42,5 +46,23 @@ def test_stages_against_plain_python(spark):
 
 
 def test_run_gives_the_last_stage(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "mixing to target weights", "byte-level BPE"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((r["doc_id"], library.encode_ordinary(r["text"])) for r in docs.collect())
+    got = sorted((r["doc_id"], [int.from_bytes(r["ids"][i : i + 4], "little") for i in range(0, len(r["ids"]), 4)]) for r in out.collect())
+    assert got == want and out.where("not round_trip").count() == 0
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, none):
+    odd = odd.select(*none.columns)
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.count() <= 2 * docs.count()
+            assert name == "byte-level BPE" or out.columns == docs.columns

@@ -68,6 +68,8 @@ def test_bpe_matches_the_library_and_decodes(spark, odd, none):
             want = library.encode_ordinary(r["text"] or "")
             assert b"".join(x.to_bytes(4, "little") for x in want) == bytes(r["ids"]) and r["n_tokens"] == len(want)
             assert bytes(r["decoded"]) == (r["text"] or "").encode()
+        again = byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded="back").collect()
+        assert sorted((r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in again) == sorted((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in rows)
     clash = byte_bpe.encode(odd, ranks, public_tokenizers.PATTERN)
     assert clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "kept", "size", "node", "n_tokens", "ids"] and clash.count() == len(ODD)
     assert byte_bpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
