@@ -12,19 +12,25 @@ from assetflow.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.  Null and empty texts are scored as texts without words; rows repeat as they stand."""
     scored = quality_classifier.score(docs, classifier(spark, sf_dir), output="quality_score")
     return scored.where(F.col("quality_score") >= GOOD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier in the corpus; those that lose every line go."""
+    """Documents without lines that stand earlier in the corpus; those that lose every line go.
+
+    Texts that have no line with a word stay, and so do rows without a doc_id, unchanged; n_chars is that of the new text.
+    """
     kept = line_dedup.line_dedup(docs).where("n_lines = 0 or n_lines > n_equal + n_near")
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest doc_id."""
+    """Of every group of near duplicates the document with the smallest doc_id; rows without a doc_id stay only where none with one is near.
+
+    Empty texts are near nothing.
+    """
     kept = ngram_join.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
@@ -37,8 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token identifiers of every document (little-endian unsigned 32-bit), and whether they decode to its text."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="__decoded")
+    same = F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near), ("mixing to target weights", mix), ("byte-level BPE", tokens)]
