@@ -21,6 +21,8 @@ WORDS = 5
 LIGHT = 64
 #: Members of a large group that one task compares with as many others.
 SIDE = 512
+#: Buckets of the smallest sketch: sets of fewer tokens are told apart more sharply for the same 64 bytes.
+LEAST_BITS = 512
 #: Nearest partners of a member that the first round across components takes.
 MOST = 2
 #: Rows of 64-bit values that may be broadcast; beyond, a shuffle joins them.
@@ -50,7 +52,7 @@ def bands(upto: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     starts, schemes, low = [], [], 1
     while low <= upto or not starts:
         high = low * BELOW // ABOVE
-        apart = max(most_apart(a, b) for a in {low, high} for b in {a, a * BELOW // ABOVE, (a + a * BELOW // ABOVE) // 2}) if high < 64 else ceil((high + high * BELOW / ABOVE) * (BELOW - ABOVE) / (BELOW + ABOVE))
+        apart = ceil((high + high * BELOW / ABOVE) * (BELOW - ABOVE) / (BELOW + ABOVE))
         if high < 64:
             apart = max(most_apart(a, b) for a in range(low, high + 1) for b in range(a, a * BELOW // ABOVE + 1))
         options = []
@@ -96,8 +98,8 @@ def shingle_sets(text: Text, words: int = WORDS) -> list[np.ndarray]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens in twice as many buckets as tokens, rounded up to a power of two (64 at least)."""
-    bits = max(64, 2 << max(0, len(tokens) - 1).bit_length())
+    """Parities of the tokens in as many buckets as tokens, rounded up to a power of two (LEAST_BITS at least)."""
+    bits = max(LEAST_BITS, 1 << max(0, len(tokens) - 1).bit_length())
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -163,7 +165,10 @@ def document_sets(documents: DataFrame) -> DataFrame:
 
 
 def _cells(documents: DataFrame, parts: int) -> DataFrame:
-    """Signatures packed by partition, in the order of their nodes: part, nodes, own and low (signatures of each node in the scheme of its band, and below), signatures (32 bits of each besides the partition)."""
+    """Signatures packed by partition, in the order of their nodes: part, nodes, own, low, signatures.
+
+    own and low: how many signatures each node has in the scheme of its band, and in the one below; signatures: 32 bits of each besides the partition.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task index once
         nodes, values, owners, held = [], [], [], 0
@@ -493,7 +498,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     keyed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     sets = written(document_sets(keyed), "sets")
-    nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in ("sketch", "slack_0", "slack_1", "weight_0", "weight_1"))), "nodes")
+    firsts = (F.first(c).alias(c) for c in ("n_shingles", "sketch", "slack_0", "slack_1", "weight_0", "weight_1"))
+    nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // PART_BYTES), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = written(_groups(_cells(keyed, parts)), "groups")
