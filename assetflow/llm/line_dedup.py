@@ -71,7 +71,9 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     texts = written(found.select(place.alias("pos"), F.split("line", " ").alias("words"), "behind", "before"), "suspect-texts")
 
     without = lambda i: F.concat(F.expr("slice(words, 1, i - 1)"), F.expr("slice(words, i + 1, size(words))"))
-    spread = texts.select("pos", "words", F.explode(F.expr("filter(sequence(1, size(words)), i -> i > behind or i <= before)")).alias("i")).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
+    spread = texts.select(
+        "pos", "words", F.explode(F.expr("filter(sequence(1, size(words)), i -> i > behind or i <= before)")).alias("i")
+    ).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
     left_out = spread.select("pos", "n", F.explode(F.array(
         F.struct(F.xxhash64(F.lit("s"), "i", "rest").alias("k"), F.xxhash64("rest", "i").alias("k2"), F.lit("s").alias("kind")),
         F.struct(F.xxhash64(F.lit("f"), "rest").alias("k"), F.xxhash64("rest", F.lit(0)).alias("k2"), F.lit("d").alias("kind")),

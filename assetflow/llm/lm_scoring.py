@@ -122,8 +122,12 @@ def _responses(requests: DataFrame) -> DataFrame:
                 own = np.unique(number[end[a] : end[b]])
                 row |= {name: _planes(train[own]), f"{name}_held": _planes(held[own])}
         start = key == _START
-        rows = [*out, {"block": None, "part": part, "tokens": int(train.sum()), "words": int((train[~start] > 0).sum()), "texts": int(train[start].sum()), "held_tokens": int(held.sum()), "held_texts": int(held[start].sum())}]
-        kinds = [("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("pairs", "pairs_held", "contexts", "contexts_held")), *((c, pa.int64()) for c in ("tokens", "words", "texts", "held_tokens", "held_texts"))]
+        rows = [*out, {
+            "block": None, "part": part, "tokens": int(train.sum()), "words": int((train[~start] > 0).sum()), "texts": int(train[start].sum()),
+            "held_tokens": int(held.sum()), "held_texts": int(held[start].sum())}]
+        kinds = [
+            ("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("pairs", "pairs_held", "contexts", "contexts_held")),
+            *((c, pa.int64()) for c in ("tokens", "words", "texts", "held_tokens", "held_texts"))]
         return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
 
     return requests.groupBy("part").applyInArrow(run, f"block bigint, part int, pairs binary, pairs_held binary, contexts binary, contexts_held binary, {_TOTALS}")

@@ -102,7 +102,8 @@ def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
         tree = tree.withColumn("left", F.expr(f"aggregate(quotas, {begin}, {step}, acc -> acc.out)"))
         one = "filter(zip_with(quotas, left, (e, n) -> named_struct('source', e.source, 'quota', n, 'start', e.start)), e -> e.quota > 0)"
         two = "filter(zip_with(quotas, left, (e, n) -> named_struct('source', e.source, 'quota', e.quota - n, 'start', e.start + n)), e -> e.quota > 0)"
-        tree = tree.select(F.explode(F.expr(f"array(named_struct('shard', shard * 2, 'quotas', {one}), named_struct('shard', shard * 2 + 1, 'quotas', {two}))")).alias("n")).select("n.shard", "n.quotas")
+        halves = f"array(named_struct('shard', shard * 2, 'quotas', {one}), named_struct('shard', shard * 2 + 1, 'quotas', {two}))"
+        tree = tree.select(F.explode(F.expr(halves)).alias("n")).select("n.shard", "n.quotas")
         tree = written(tree, "mixing-tree")
     return tree
 
@@ -125,7 +126,9 @@ def draws(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     rows is as many even blocks.  A mix takes a source's whole blocks as often as its target holds
     its size, then permuted blocks up to the rest; the last of these only in part.
     """
-    sizes = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    sizes = documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sizes = written(sizes, "mixing-sizes")
     by = written(targets(sizes, weights, share, most), "mixing-targets")
     block = F.pmod(_hash(F.lit("block"), "doc_id"), F.ceil(F.col("n_rows") / BLOCK_ROWS)).cast("bigint")

@@ -96,7 +96,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", bucke
         for batch in batches:
             for rows, text in chunks(batch):
                 keys, offsets = features(text, buckets)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array([keys[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["doc_id", "label", "keys"])
+                packed = pa.array([keys[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), packed], names=["doc_id", "label", "keys"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []

@@ -73,7 +73,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if at is not None and len(column) else np.zeros(len(column) + 1, np.int64)
+    offsets = np.zeros(len(column) + 1, np.int64)
+    if at is not None and len(column):
+        offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -128,7 +130,8 @@ class Text:
 
     def word_sums(self, per_word: np.ndarray) -> np.ndarray:
         """Per document, the sum of a value of each word."""
-        return np.diff(np.concatenate([np.zeros(1, per_word.dtype if per_word.dtype.kind == "f" else np.int64), np.cumsum(per_word, dtype=None if per_word.dtype.kind == "f" else np.int64)])[self.first])
+        kind = per_word.dtype if per_word.dtype.kind == "f" else np.int64
+        return np.diff(np.concatenate([np.zeros(1, kind), np.cumsum(per_word, dtype=kind)])[self.first])
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Text]]:

@@ -88,13 +88,14 @@ def token_counts(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
                 tails.append(len(block) - int(at[-1]) - 1 if len(at) else None)
                 lengths.append(np.diff(at, prepend=-1) - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("block"), batch.column("doc_ids"), pa.array(totals, pa.int64()), pa.array(tails, pa.int64()), pa.array([list(x) for x in lengths], pa.list_(pa.int64()))],
+                [*(batch.column(c) for c in ("file", "block", "doc_ids")), pa.array(totals, pa.int64()), pa.array(tails, pa.int64()), pa.array([list(x) for x in lengths], pa.list_(pa.int64()))],
                 names=["file", "block", "doc_ids", "total", "tail", "lengths"],
             )
 
     if "doc_ids" not in blocks.columns:
         blocks = blocks.withColumn("doc_ids", F.lit(None).cast("array<bigint>"))
-    found = blocks.select("file", F.col("block").cast("bigint").alias("block"), "tokens", "doc_ids").mapInArrow(scan, "file string, block bigint, doc_ids array<bigint>, total bigint, tail bigint, lengths array<bigint>")
+    kinds = "file string, block bigint, doc_ids array<bigint>, total bigint, tail bigint, lengths array<bigint>"
+    found = blocks.select("file", F.col("block").cast("bigint").alias("block"), "tokens", "doc_ids").mapInArrow(scan, kinds)
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     here = found.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
@@ -112,5 +113,6 @@ def token_counts(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
         F.lit(True).alias("ended"), F.expr("try_element_at(doc_ids, k + 1)").alias("doc_id"),
     )
     open_tail = F.when(F.col("tail").isNull(), carried + F.col("total")).otherwise(F.col("tail"))
-    left = here.where("last").select("file", (F.col("ordinal") + F.size("lengths")).alias("ordinal"), open_tail.alias("n_tokens"), F.lit(False).alias("ended"), F.lit(None).cast("bigint").alias("doc_id"))
+    left = here.where("last").select(
+        "file", (F.col("ordinal") + F.size("lengths")).alias("ordinal"), open_tail.alias("n_tokens"), F.lit(False).alias("ended"), F.lit(None).cast("bigint").alias("doc_id"))
     return done.unionByName(left.where("n_tokens > 0"))
