@@ -14,9 +14,11 @@ def share(got, want):
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_registered_query_finds_most(spark, sf):
-    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"), "label")
-    first = e.groupBy("label").agg(F.min("resource_id").alias("query_id"), F.min_by("vector", "resource_id").alias("vector")).select("query_id", "vector")
-    assert share(models.probed_top_k(spark, f"/root/testdata/{sf}"), cosine_top_k(e, first, 10)) >= 0.9
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"))
+    asked = e.where("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector")
+    found = share(models.probed_top_k(spark, f"/root/testdata/{sf}"), cosine_top_k(e, asked, 10))
+    print(sf, round(found, 4))
+    assert found >= 0.9
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
