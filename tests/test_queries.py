@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from assetflow.plans import catalog, follow, models, older, stages, storage  # noqa: F401 - they register their queries
+from assetflow.plans import catalog, follow, models, older, pictures, stages, storage  # noqa: F401 - they register their queries
 from assetflow.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
