@@ -12,7 +12,7 @@ from assetflow.streaming.progress import state_folder
 
 @pytest.mark.parametrize(("body", "told"), [
     (b"", (None, -1, -1)), (b"BM", (None, -1, -1)), (b"\xff\xd8", (None, -1, -1)), (b"\xff\xd8\xff\xe0\x00\x04ab\x00\x00", (None, -1, -1)), (b"RIFF....WEBPVP8?" + b"\0" * 20, (None, -1, -1)),
-    (P._jpeg(70_00, 65_535, 60_000), ("jpeg", 7000, 65535)), (P._webp(16_384, 1, b"VP8L"), ("webp", 16384, 1)), (P._webp(1 << 24, 5, b"VP8X"), ("webp", 1 << 24, 5)),
+    (P._jpeg(70_00, 65_535, 60_000), ("jpeg", 7000, 65535)), (P._webp(16_384, 1, b"VP8L"), ("webp", 16384, 1)), (P._webp(65_000, 5, b"VP8X"), ("webp", 65_000, 5)),
     (b"BM" + b"\0" * 12 + struct.pack("<IHHHH", 12, 9, 8, 1, 24), ("bmp", 9, 8)), (P._gif(300, 2), ("gif", 300, 2)), (P._png(3, 2, b"\1\2\3\4"), ("png", 3, 2)),
 ])
 def test_header(body, told):
