@@ -132,13 +132,6 @@ def retry_candidates(tasks: DataFrame, most: int) -> DataFrame:
     return tasks.where(F.col("process_state").isin(FAILED) & (F.col("retry_count") < most))
 
 
-def unique_names(files: DataFrame, category: Column, name: Column, *order: str) -> DataFrame:
-    """Names in a category without clashes: _1, _2, ... from the second on, in path order."""
-    named = files.withColumns({"category": category, "name": name})
-    k = F.row_number().over(Window.partitionBy("category", "name").orderBy(*order)) - 1
-    return named.withColumn("target", F.when(k == 0, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), k, F.regexp_extract("name", r"(\.[^.]*)$", 1))))
-
-
 def apply_outcomes(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Tasks after the outcomes (id, outcome, message) of their uploads, with the events to log.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
+from assetflow.operators import names as N
 from assetflow.operators import selection as S
 from assetflow.sources import working as W
 from assetflow.states import FAILED, RESUMABLE
@@ -324,12 +325,19 @@ def style_counters(spark, d):
     return E.counters(own, assets, "style", "theme").select("id", text("style").alias("styles"), text("theme").alias("themes"))
 
 
-@query("""WITH n AS (SELECT format AS category, 'f' || (l_partkey % 50) || '.' || format AS name, path, task_id, ord FROM w_file),
-    k AS (SELECT *, row_number() OVER (PARTITION BY category, name ORDER BY path, task_id, ord) - 1 AS k FROM n)
-    SELECT task_id, ord, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || '.' || category END AS target FROM k""".replace("\\\\", "\\"))
+@query("""WITH n AS (SELECT task_id, ord, path, CASE format WHEN 'png' THEN 'images' WHEN 'fbx' THEN 'models' ELSE 'others' END AS category, 'f' || (l_partkey % 500) AS family, family || CASE ord % 6 WHEN 1 THEN '_1' WHEN 2 THEN '_2' WHEN 3 THEN '_1_1' ELSE '' END AS stem,
+    '.' || format AS low, CASE WHEN ord % 6 = 4 THEN upper(low) ELSE low END AS ext FROM w_file),
+    g AS (SELECT category, family, low, list([stem || ext, stem, low] ORDER BY path, task_id, ord) AS xs, list({'task_id': task_id, 'ord': ord} ORDER BY path, task_id, ord) AS ids FROM n GROUP BY ALL),
+    t AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], xs), lambda taken, x: list_append(taken, CASE WHEN NOT list_contains(taken, x[1]) THEN x[1]
+        ELSE x[2] || '_' || list_filter(range(1, len(taken) + 2), lambda k: NOT list_contains(taken, x[2] || '_' || k || x[3]))[1] || x[3] END)) AS targets FROM g),
+    u AS (SELECT category, unnest(ids) AS i, unnest(targets) AS target FROM t) SELECT i.task_id AS task_id, i.ord AS ord, category, target FROM u""")
 def unique_names(spark, d):
-    name = F.concat(F.lit("f"), F.col("l_partkey") % 50, F.lit("."), "format")
-    return S.unique_names(W.files(spark, d), F.col("format"), name, "path", "task_id", "ord").select("task_id", "ord", "target")
+    """Targets of files of which many share a name, some have names that others are given (_1, _2, _1_1), and some an extension in capitals."""
+    ending = F.element_at(F.array(*map(F.lit, ("", "_1", "_2", "_1_1", "", ""))), (F.col("ord") % 6 + 1).cast("int"))
+    f = W.files(spark, d)
+    ext = F.when(F.col("ord") % 6 == 4, F.upper("format")).otherwise(F.col("format"))
+    name = F.concat(F.lit("f"), F.col("l_partkey") % 500, ending, F.lit("."), ext)
+    return N.unique_names(f, N.category(name), name, "path", "task_id", "ord").select("task_id", "ord", "category", "target")
 
 
 @query("SELECT task_id, ord, CASE WHEN ord = 1 THEN 'primary' ELSE 'gallery' END AS role FROM w_file")
