@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,60 +15,143 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .byte_bpe import Merges
 from .shared import wider, written
 
-#: Bytes of distinct words that a task remembers with their tokens; then it begins anew.
+#: Bytes of distinct runs and of their tokens that a task remembers; then it begins anew.
 REMEMBERED_BYTES = 32 << 20
-#: Words of more bytes than this are encoded where they stand and not remembered.
-LONG = 256
+#: Runs of more bytes than this are left to the library, as the rounds of a fold grow with the longest word.
+LONG = 64
 #: Pieces of one length that are numbered together, on average; one bucket is one group of one task.
 BUCKET = 50_000
 
 
+class WordMerges(Merges):
+    """Ranked merges of a vocabulary of byte symbols in which a word's last symbol has an ending of its own.
+
+    The file must number merged tokens in the order of their merges, so that a token's number is its rank.
+    """
+
+    def __init__(self, model: dict):
+        ranks, ending = model["vocab"], model["end_of_word_suffix"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.of_byte = np.array([ranks[letter[b]] for b in range(256)], np.int64)
+        self.of_last = np.array([ranks[letter[b] + ending] for b in range(256)], np.int64)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [ranks[a + b] for a, b in merges]
+        if sorted(made) != made:
+            raise ValueError("the vocabulary's tokens aren't in the order of their merges")
+        pairs = sorted((ranks[a] << 32 | ranks[b], r) for (a, b), r in zip(merges, made, strict=True))
+        self.pairs, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        body = np.frombuffer(b"".join(words), np.uint8)
+        out = self.of_byte[body]
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
+        out[last] = self.of_last[body[last]]
+        return out
+
+
+class _Table(dict):
+    """Keys numbered as they first come, with the ids of each once add() has them; new: the keys without ids."""
+
+    def __init__(self):
+        self.new: list = []
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def numbers(self, keys) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64)
+
+    def add(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the new keys."""
+        self.starts, self.lengths = np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+        self.new = []
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys strung together, and where each key's end."""
+        sizes = self.lengths[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)], ends
+
+
+def _strung(made: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    return np.frombuffer(b"".join(made), "<u4"), np.cumsum(lengths) - lengths, lengths
+
+
 class Encoder:
-    """Token ids of whole texts by a tokenizer that drops white space: each distinct word, between ASCII white space, is encoded once.
+    """Token ids of whole texts by a word-level tokenizer that drops white space: each distinct run between ASCII white space is encoded once.
 
-    The tokenizer's normalisation and splitting must not look across white space, as those of word-level vocabularies don't.
+    The tokenizer must normalise (NFC, lower case) and split (WORDS) as the file of word_bpe_49k does; neither looks across
+    white space.  Runs of printable ASCII and Latin-1 letters, on which normalising is lower case alone, are split here and
+    their merges folded together; the library encodes all others, and texts that name a special token.
     """
 
+    #: The splitting of runs that are encoded here, which is the tokenizer's on such letters; a line feed ends a run.
+    WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            content = file.read()
+        model = json.loads(content)
+        self.tokenizer = Tokenizer.from_str(content)
+        self.merges = WordMerges(model["model"])
+        self.special = [t["content"].encode() for t in model["added_tokens"]]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.held = 0
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        words = [t.split() for t in texts]  # bytes split at ASCII white space alone
-        new = set().union(*words) - self.known.keys()
+        self.known, self.words, self.held = _Table(), _Table(), 0
+        self.words["\n"] = 0
+        self.words.add(*_strung([b""]))
+
+    def library(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct runs strung together, and the start and number of each one's."""
+        texts = b"\n".join(runs).decode().split("\n")
+        fits = self.PLAIN.fullmatch
+        plain = np.fromiter((len(r) <= LONG and fits(t) is not None for r, t in zip(runs, texts, strict=True)), bool, len(runs))
+        words = self.WORDS.findall("".join(t + "\n" for t in itertools.compress(texts, plain)).lower())
+        numbers = self.words.numbers(words)
+        if self.words.new:
+            made = self.merges.fold([w.encode() for w in self.words.new])
+            self.held += sum(map(len, made)) + sum(map(len, self.words.new))
+            self.words.add(*_strung(made))
+        flat, ends = self.words.ids(numbers)
+        stops = ends[numbers == 0]
+        other, begins, sizes = _strung(self.library(list(itertools.compress(runs, ~plain))))
+        starts, lengths = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        lengths[plain] = np.diff(stops, prepend=0)
+        starts[plain] = stops - lengths[plain]
+        starts[~plain], lengths[~plain] = begins + len(flat), sizes
+        return np.concatenate([flat, other]), starts, lengths
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.held > REMEMBERED_BYTES:
             self._forget()
-            new = set().union(*words)
-        kept = sorted(w for w in new if len(w) <= LONG)
-        if kept:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in kept], add_special_tokens=False)
-            self.known.update(zip(kept, range(len(self.known), len(self.known) + len(kept)), strict=True))
-            ids = [x.ids for x in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            self.lengths = np.concatenate([self.lengths, sizes])
-            self.starts = np.cumsum(self.lengths) - self.lengths
-            self.held += sum(map(len, kept)) + 16 * len(kept)
-        for own in words:
-            if max(map(len, own), default=0) > LONG:
-                parts = [self.flat[self.starts[k] : self.starts[k] + self.lengths[k]] if (k := self.known.get(w)) is not None else np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in own]
-                yield np.concatenate(parts)
-                continue
-            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-            sizes = self.lengths[at]
-            ends = np.cumsum(sizes)
-            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        named = [any(s in t for s in self.special) for t in texts]
+        words = [[] if n else t.split() for t, n in zip(texts, named, strict=True)]  # bytes split at ASCII white space alone
+        numbers = self.known.numbers(itertools.chain.from_iterable(words))
+        if self.known.new:
+            made = self.runs(self.known.new)
+            self.held += sum(map(len, self.known.new)) + made[0].nbytes
+            self.known.add(*made)
+        ids, ends = self.known.ids(numbers)
+        stops = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        own = [ids[a:b] for a, b in itertools.pairwise(stops)]
+        return [np.frombuffer(self.library([t])[0], "<u4") if n else x for t, n, x in zip(texts, named, own, strict=True)]
 
 
 def pieces(documents: DataFrame, path: str, capacity: int, end_id: int, ids: bool = False) -> DataFrame:

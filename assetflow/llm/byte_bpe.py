@@ -55,6 +55,10 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
 
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """The symbols that words begin as, one for each byte."""
+        return self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+
     def fold(self, words: list[bytes]) -> list[bytes]:
         """Encodings (little-endian unsigned 32-bit identifiers) of distinct words, folded together.
 
@@ -62,7 +66,7 @@ class Merges:
         """
         out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        symbol = self.symbols(words)
         word = np.repeat(np.arange(len(words)), lengths)
         rank = np.full(len(symbol), NONE)
         inner = np.flatnonzero(word[1:] == word[:-1])
