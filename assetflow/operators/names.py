@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.sources.files import with_ids
-from assetflow.streaming.progress import state_folder
+from assetflow.streaming.progress import state_folder, stored
 
 # The folders that files are copied to, by extension in lower case; any other goes to the last.
 CATEGORIES = {"images": [".jpg", ".jpeg", ".png", ".gif"], "models": [".obj", ".fbx", ".stl"]}
@@ -63,14 +63,14 @@ def unique_names(files: DataFrame, category: Column, name: Column, *order: str)
         "c", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).cast("bigint").alias("k"), F.col("id").alias("at"), F.col("stem").alias("own"))
     group = ["c", "stem", "ext"]
     literal = literal.join(named.select("c", "stem", F.lower("ext").alias("ext")).distinct(), group, "left_semi")
-    literal = _kept(_numbered(literal, group, "k").withColumnRenamed("n", "place").withColumn("keeps", F.lit(True)))
+    literal = stored(_numbered(literal, group, "k").withColumnRenamed("n", "place").withColumn("keeps", F.lit(True)), "literal")
     while True:
         moved = literal.where("not keeps").select(F.col("at").alias("id"), "c", F.col("own").alias("stem"), "ext")
-        over = _kept(_numbered(more.unionByName(moved), group, "id"))
+        over = stored(_numbered(more.unionByName(moved), group, "id"), "moved")
         before = F.when(F.col("keeps"), F.col("n") - 1).otherwise(F.col("place") - F.col("n"))  # smaller numbers that keep their names
         asked = _numbered(literal, [*group, "keeps"], "k").withColumn("n", F.col("k") - before)
         comes = asked.join(over.select(*group, "n", F.col("id").alias("comes")), [*group, "n"], "left")
-        again = _kept(comes.select(*group, "k", "at", "own", "place", (~F.coalesce(F.col("comes") < F.col("at"), F.lit(False))).alias("keeps")))
+        again = stored(comes.select(*group, "k", "at", "own", "place", (~F.coalesce(F.col("comes") < F.col("at"), F.lit(False))).alias("keeps")), "literal")
         changed = again.join(literal.select("at", F.col("keeps").alias("kept")), "at").where("keeps <> kept").limit(1).count()
         literal = again
         if not changed:
@@ -81,9 +81,3 @@ def unique_names(files: DataFrame, category: Column, name: Column, *order: str)
     given = both.where("kind = 0").select(F.col("moved").alias("id"), F.concat("stem", F.lit("_"), "n", "ext").alias("given"))
     return rows.join(given, "id", "left").select("row.*", F.col("c").alias("category"), "name", F.coalesce("given", "name").alias("target"))
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a round's table in the shared folder."""
-    path = state_folder(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

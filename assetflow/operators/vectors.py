@@ -4,21 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows in a block of vectors and in a block of queries.
 ROWS, ASKED = 16_384, 1_024
 
-# Cells of the inverted lists, and those that a query probes.
-CELLS, PROBED = 256, 16
-#: Rows on which the centres are fitted; every row is put into a cell.
-FITTED = 200_000
-#: Vectors on which the number of probed cells is found, and the share of their neighbours that must lie in these.
-TRIED, FOUND = 200, 0.95
-
 
 def usable(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """The rows whose vector isn't null or empty and holds no null, NaN or infinite component."""
@@ -73,49 +64,3 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "resource_id")
     return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= threshold))
 
-
-def inverted_lists(vectors: DataFrame, cells: int = CELLS, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """vectors (resource_id, vector) with the cell of each, and the cells' centres, which are bounded by their number.
-
-    Centres are fitted on a sample of about FITTED rows; directions count, not lengths.
-    """
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.where(F.size("vector") > 0).withColumn("unit", array_to_vector(F.transform(F.col("vector").cast("array<double>"), lambda x: x / F.greatest(length, F.lit(1e-12)))))
-    n = unit.count()
-    if not n:
-        return vectors.withColumn("cell", F.lit(0)), np.zeros((0, 0))
-    sample = unit.sample(min(1.0, FITTED / n), seed) if n > FITTED else unit
-    model = KMeans(k=min(cells, n), seed=seed, featuresCol="unit", predictionCol="cell", maxIter=10).fit(sample)
-    return model.transform(unit).drop("unit"), np.array(model.clusterCenters())
-
-
-def cells_to_probe(lists: DataFrame, centres: np.ndarray, k: int, share: float = FOUND) -> int:
-    """The number of cells, PROBED at least, that hold the given share of the k nearest others of TRIED vectors, by exact search; the driver gets TRIED vectors and k cells for each."""
-    tried = lists.orderBy(F.xxhash64("resource_id"), "resource_id").limit(TRIED).select(F.col("resource_id").alias("query_id"), "vector").toPandas()
-    if not len(tried):
-        return PROBED
-    asked = lists.sparkSession.createDataFrame(tried, "query_id bigint, vector array<float>")
-    others = cosine_top_k(lists.select("resource_id", "vector"), asked, k + 1).where("query_id <> resource_id")
-    found = others.join(lists.select("resource_id", "cell"), "resource_id").select("query_id", "cell").toPandas()
-    q = np.stack([np.asarray(v, np.float64) for v in tried["vector"]])
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    place = np.argsort(np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1), axis=1)
-    row = dict(zip(tried["query_id"], range(len(tried)), strict=True))
-    needed = np.sort(place[found["query_id"].map(row), found["cell"]]) + 1
-    return max(PROBED, int(needed[int(np.ceil(share * len(needed))) - 1])) if len(needed) else PROBED
-
-
-def probe_top_k(lists: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probed: int = PROBED) -> DataFrame:
-    """The k vectors of largest cosine among those of the cells nearest to each query (query_id, vector)."""
-    def near(batches):
-        for batch in batches:
-            q = np.stack([np.asarray(v, np.float64) for v in batch["vector"]]) if len(batch) and len(centres) else np.zeros((0, 1))
-            best = np.argsort(((q[:, None] / np.maximum(np.linalg.norm(q, axis=1)[:, None, None], 1e-12) - centres) ** 2).sum(2), axis=1)[:, :probed] if len(q) else np.zeros((0, 0), int)
-            yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), best.shape[1])[: best.size], "cell": best.ravel().astype("int32"), "asked": [v for v in batch["vector"] for _ in range(best.shape[1])][: best.size]})
-
-    wanted = queries.mapInPandas(near, "query_id bigint, cell int, asked array<float>")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    score = F.round(dot("vector", "asked") / F.greatest(F.sqrt(dot("vector", "vector") * dot("asked", "asked")), F.lit(1e-12)), 6)
-    found = lists.join(wanted, "cell").select("query_id", "resource_id", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "resource_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "resource_id", "score")

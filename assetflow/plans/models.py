@@ -10,8 +10,9 @@ from assetflow.operators import entities as E
 from assetflow.operators import providers as P
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
-from assetflow.operators.vectors import cells_to_probe, inverted_lists, probe_top_k
+from assetflow.operators.vector_index import search_index, write_index
 from assetflow.sources import working as W
+from assetflow.streaming.progress import state_folder
 
 from .catalog import listed
 from .registry import query
@@ -122,10 +123,11 @@ def reembed(spark, d):
 
 @query()
 def probed_top_k(spark, d):
-    """Top ten of each query among the cells nearest to it, as many as nine tenths of the neighbours need."""
+    """Top ten of each query in a stored index of all vectors, among the cells nearest to it, as many as nine tenths of the neighbours need."""
     vectors, asked = (x.drop("kind") for x in _vectors(spark, d))
-    cells, centres = inverted_lists(vectors)
-    return probe_top_k(cells, centres, asked, 10, cells_to_probe(cells, centres, 10))
+    folder = state_folder(spark, "index")
+    write_index(vectors, folder)
+    return search_index(spark, folder, asked, 10)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT vec_id AS query_id, x AS y FROM v WHERE vec_id % 100 = 0),

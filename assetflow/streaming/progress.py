@@ -21,6 +21,13 @@ def state_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: df as a Parquet table below the shared folder."""
+    path = state_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def follow(rows: DataFrame, folder: str, key: str, *order: str) -> DataFrame:
     """The newest row of each key of a stream, after all that has arrived: an update replaces an older row.
 

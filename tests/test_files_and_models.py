@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetflow.operators import providers as P
-from assetflow.operators.vectors import cosine_top_k, inverted_lists, probe_top_k
+from assetflow.operators.vector_index import search_index, write_index
+from assetflow.operators.vectors import cosine_top_k
+from assetflow.streaming.progress import state_folder
 from assetflow.sources import files as S
 
 
@@ -78,7 +80,8 @@ def test_checksum(spark):
 def test_probing_finds_most(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("resource_id"), F.col("embedding").alias("vector"))
     asked = e.where("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector")
-    lists, centres = inverted_lists(e, 32)
-    got = {(r.query_id, r.resource_id) for r in probe_top_k(lists, centres, asked, 10, 16).collect()}
+    folder = state_folder(spark, "index")
+    write_index(e, folder, cells=32)
+    got = {(r.query_id, r.resource_id) for r in search_index(spark, folder, asked, 10, 16).collect()}
     want = {(r.query_id, r.resource_id) for r in cosine_top_k(e, asked, 10).collect()}
     assert len(got & want) >= 0.9 * len(want)
