@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from assetflow.functions.expressions import file_name, stripped
 
-from .providers import run, vector_checksum
+from .memo import answered
+from .providers import vector_checksum
 from .selection import latest
 
 # Seconds that a link holds by default and at most, bytes that may be sent inline.
@@ -106,17 +107,18 @@ def upgraded(records: DataFrame) -> DataFrame:
     return records.withColumns({"files": files, "previews": previews}).drop("source_path", "source_name", "source_size", "source_format", "preview")
 
 
-def commit(requests: DataFrame, tasks: DataFrame, providers: list[str], dimension: int, model: str, options: dict | None = None, retries: int = 2) -> dict[str, DataFrame]:
+def commit(requests: DataFrame, tasks: DataFrame, providers: list[str], dimension: int, model: str, options: dict | None = None, retries: int = 2, folder: str | None = None) -> dict[str, DataFrame]:
     """Commits requests (resource_id, description_main, description_detail, description_full) for tasks (resource_id, id, process_state, resource_type).
 
     answers: resource_id, state, error.  Unknown resources, blank main descriptions, vectors that fail or have
     another dimension are failed; what is committed already stays so.  For those that are committed now:
     descriptions, embeddings, vectors, states and logs, the rows of each table that follow.  Only the main
-    description is embedded, and only where it is needed.
+    description is embedded, and only where it is needed: each distinct text once, however many of the tables are
+    used, and not again where the folder has its vector (memo.answered).
     """
     both = requests.join(tasks, "resource_id", "left").withColumn("__text", F.coalesce(stripped(F.col("description_main")), F.lit("")))
     wanted = F.col("id").isNotNull() & (F.coalesce("process_state", F.lit("")) != "committed") & (F.col("__text") != "")
-    embedded = run(both.where(wanted), "__text", providers, "array<double>", options, retries=retries)
+    embedded = answered(both.where(wanted), "__text", providers, "array<double>", options, retries, folder, model)
     size = F.size("result")
     # The errors told.
     made = embedded.withColumn("error", F.when(F.col("status") == "failed", F.concat(F.lit("embedding failed: "), "error")).when(size != dimension, F.concat(F.lit(f"dimension mismatch: expected {dimension}, got "), size)).otherwise(""))
@@ -134,17 +136,18 @@ def commit(requests: DataFrame, tasks: DataFrame, providers: list[str], dimensio
     }
 
 
-def reembedded(tasks: DataFrame, descriptions: DataFrame, providers: list[str], dimension: int, options: dict | None = None, retries: int = 2, limit: int | None = None) -> DataFrame:
+def reembedded(tasks: DataFrame, descriptions: DataFrame, providers: list[str], dimension: int, options: dict | None = None, retries: int = 2, limit: int | None = None, folder: str | None = None) -> DataFrame:
     """Vectors of the latest main description of each committed task with a resource id: id, resource_id, resource_type, outcome, vector, checksum.
 
     outcome is ok, failed (the provider's error or another dimension) or skipped (no description or a blank one); only
-    ok ones have a vector.  With a limit the tasks of smallest id.
+    ok ones have a vector.  With a limit the tasks of smallest id.  Equal texts are embedded once, and not again where
+    the folder has their vector.
     """
     own = tasks.where("process_state = 'committed' and resource_id is not null").select("id", "resource_id", "resource_type")
     own = own if limit is None else own.orderBy("id").limit(limit)
     main = latest(descriptions.select("task_id", "id", "main"), "task_id", "id").select(F.col("task_id").alias("__task"), "main")
     text = own.join(main, F.col("id") == F.col("__task"), "left").drop("__task").withColumn("main", F.coalesce(stripped(F.col("main")), F.lit("")))
-    done = run(text.where("main <> ''"), "main", providers, "array<double>", options, retries=retries)
+    done = answered(text.where("main <> ''"), "main", providers, "array<double>", options, retries, folder)
     ok = (F.col("status") == "ok") & (F.size("result") == dimension)
     made = done.select("id", "resource_id", "resource_type", F.when(ok, "ok").otherwise("failed").alias("outcome"), F.when(ok, F.col("result")).alias("vector"))
     none = text.where("main = ''").select("id", "resource_id", "resource_type", F.lit("skipped").alias("outcome"), F.lit(None).cast("array<double>").alias("vector"))

@@ -107,6 +107,37 @@ def short_only(prefix: str = "", most: int = 20) -> Model:
     return call
 
 
+@register("busy")
+def busy(prefix: str = "", wait: float = WAIT_SECONDS) -> Model:
+    """As template behind patient(), for a service that refuses a text's first calls, as many as its length modulo 8."""
+    inner = template(prefix)
+
+    def call(text: str) -> str:
+        refused = [True] * (len(text or "") % 8)
+
+        def once(t: str) -> str:
+            if refused:
+                refused.pop()
+                raise RuntimeError("HTTP 429: too many requests")
+            return inner(t)
+
+        return patient(once, wait)(text)
+
+    return call
+
+
+@register("echo")
+def echo() -> Model:
+    """The text itself."""
+    return lambda text: text
+
+
+@register("two_lines")
+def two_lines() -> Model:
+    """A description of the right form, whatever the text; a text whose length 5 divides comes back as it is."""
+    return lambda text: text if len(text or "") % 5 == 0 else "主体：字体" + "体" * 60 + "\n细节：" + "节" * 60
+
+
 @register("hash_vector")
 def hash_vector(dim: int = 64) -> Model:
     """A deterministic vector of a text by its MD5, as a stand-in for a model; blank texts are an error."""

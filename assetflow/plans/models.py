@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
+from assetflow.operators import memo as M
 from assetflow.operators import providers as P
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
@@ -16,7 +17,7 @@ from assetflow.streaming.progress import state_folder
 
 from .catalog import listed
 from .registry import query
-from .stages import _hits, _vectors
+from .stages import _CHECKED, _FORMAT, _LENGTH, _hits, _vectors
 
 # The user prompt's template, the words that rewrite a search, the filters that may be relaxed.
 PROMPT = "请根据下面的资源上下文生成两段式中文描述。\\n{context}"
@@ -61,6 +62,22 @@ def describe_batch(spark, d):
     return done.select("id", "result", "status", "attempts")
 
 
+@query("""SELECT id, CASE WHEN n < 6 AND trim(coalesce(title, ''), E' \\t\\n\\r\\f\\v') <> '' THEN title ELSE '' END AS description, CASE WHEN n >= 6 THEN 'HTTP 429: too many requests' WHEN trim(coalesce(title, ''), E' \\t\\n\\r\\f\\v') = '' THEN 'blank input' ELSE '' END AS error
+    FROM (SELECT id, title, coalesce(length(title), 0) % 8 AS n FROM w_task)""")
+def describe_patiently(spark, d):
+    """Descriptions by a service that refuses up to seven calls a text for too many requests; six calls are made, without waits. What fails has an empty description."""
+    done = P.run(W.tasks(spark, d).select("id", "title"), "title", ["busy"], options={"wait": 0}, retries=0)
+    return done.select("id", F.coalesce("result", F.lit("")).alias("description"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(f"""WITH e AS (SELECT conv_id, output, coalesce({_FORMAT}, {_LENGTH}, CASE WHEN NOT regexp_matches(output, '字体|font|笔刷|brush') THEN 'MISSING_KEYWORD|描述中缺少资源类型关键词，期望包含 [''字体'', ''font'', ''笔刷'', ''brush''] 之一' END) AS error, length(output) % 5 <> 0 AS helped FROM {_CHECKED})
+    SELECT conv_id, CASE WHEN error IS NULL THEN output WHEN helped THEN '主体：字体' || repeat('体', 60) || chr(10) || '细节：' || repeat('节', 60) END AS result, CASE WHEN error IS NULL OR helped THEN 'ok' ELSE 'failed' END AS status,
+    CASE WHEN NOT (error IS NULL OR helped) THEN error END AS error, CASE WHEN error IS NULL THEN 1 WHEN helped THEN 4 ELSE 6 END AS attempts FROM e""")
+def describe_validated(spark, d):
+    """Descriptions of fonts that must pass the checks: a provider's own up to three times, then those of a second one."""
+    return M.answered(W.outputs(spark, d), "output", ["echo", "two_lines"], folder=state_folder(spark, "descriptions"), described=F.lit("font")).select("conv_id", "result", "status", "error", "attempts")
+
+
 def _commits(spark, d):
     asked = W.order_tasks(spark, d).select(F.concat(F.lit("res-"), "id").alias("resource_id"), F.when(F.col("id") % 6 == 0, "  ").otherwise(F.concat(F.lit("main "), "id")).alias("description_main"),
                                            F.concat(F.lit("detail "), "id").alias("description_detail"), F.lit("").alias("description_full"))

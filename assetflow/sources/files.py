@@ -106,7 +106,7 @@ def insert(name: str, rows: DataFrame, folder: str, *order: str) -> None:
 def rows_of(spark: SparkSession, name: str, folder: str, tasks: DataFrame | None = None) -> DataFrame:
     """Rows of one of TABLES, with tasks only those of its task_id; empty where nothing was inserted."""
     path = f"{folder}/{name}"
-    rows = read_table(spark, path) if _exists(spark, path) else spark.createDataFrame([], f"id bigint, {TABLES[name]}")
+    rows = read_table(spark, path) if exists(spark, path) else spark.createDataFrame([], f"id bigint, {TABLES[name]}")
     return rows if tasks is None else rows.join(tasks.select("task_id").distinct(), "task_id", "left_semi")
 
 
@@ -116,14 +116,15 @@ def unchanged(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(before.select(*same), same, "left_semi")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def load_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The newest version of a state; empty where none was saved."""
-    if not _exists(spark, f"{folder}/current"):
+    if not exists(spark, f"{folder}/current"):
         return spark.createDataFrame([], schema)
     version = spark.read.text(f"{folder}/current").orderBy(F.length("value").desc(), F.desc("value")).first()[0]
     return spark.read.schema(schema).parquet(f"{folder}/{version}")
@@ -132,7 +133,7 @@ def load_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def save_state(state: DataFrame, folder: str) -> None:
     """Saves a state as a version of its own, then names it the newest: what is being read is never overwritten."""
     spark = state.sparkSession
-    number = spark.read.text(f"{folder}/current").count() + 1 if _exists(spark, f"{folder}/current") else 1
+    number = spark.read.text(f"{folder}/current").count() + 1 if exists(spark, f"{folder}/current") else 1
     version = f"version-{number}-{uuid.uuid4().hex}"
     state.write.parquet(f"{folder}/{version}")
     spark.range(1).select(F.lit(version)).coalesce(1).write.mode("append").text(f"{folder}/current")
@@ -155,7 +156,7 @@ def with_ids(rows: DataFrame, folder: str, *order: str, first: int = 1) -> DataF
 def append_table(rows: DataFrame, path: str, *order: str) -> None:
     """Appends rows to a table, with ids behind the greatest there; new columns are null in older rows."""
     spark = rows.sparkSession
-    greatest = read_table(spark, path).agg(F.max("id")).first()[0] or 0 if _exists(spark, path) else 0
+    greatest = read_table(spark, path).agg(F.max("id")).first()[0] or 0 if exists(spark, path) else 0
     with_ids(rows, f"{path}-order", *order, first=greatest + 1).write.mode("append").parquet(path)
 
 
