@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from assetflow.functions.expressions import IMAGE, extension, file_name, merged, sanitized
+from assetflow.streaming.progress import stored
 
 from .registration import in_order
 
@@ -13,16 +14,18 @@ from .registration import in_order
 def matching(entries: DataFrame, kind: str = "", source: str = "", limit: int | None = None, order: str = "seq") -> DataFrame:
     """The catalogue's entries of a type and a source (trimmed, in any case; empty for all), in their order, with their number before the limit as `matching`.
 
-    Of entries that share an id the first by `order` counts, before anything is filtered.
+    Of entries that share an id the first by `order` counts, before anything is filtered.  One pass over the
+    entries observes the number while it writes the rows that are kept (with a limit no more than these) to the shared folder.
     """
     first = F.row_number().over(Window.partitionBy("id").orderBy(order))
     own = entries.withColumn("__n", first).where("__n = 1").drop("__n")
     for column, wanted in (("resource_type", kind), ("source", source)):
         if wanted.strip():
             own = own.where(F.lower(F.trim(column)) == wanted.strip().lower())
-    n = own.count()
-    own = own.withColumn("matching", F.lit(n).cast("bigint"))
-    return own if limit is None else own.orderBy(order).limit(limit)
+    seen = Observation("matching")
+    own = own.observe(seen, F.count(F.lit(1)).alias("n"))
+    kept = stored(own if limit is None else own.orderBy(order).limit(limit), "matching")
+    return kept.withColumn("matching", F.lit(seen.get["n"]).cast("bigint"))
 
 
 def resolve_assets(entries: DataFrame, assets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
+from assetflow.operators import lifecycle as L
 from assetflow.operators import names as N
 from assetflow.operators import selection as S
 from assetflow.sources import working as W
@@ -24,12 +25,12 @@ def _listed_files(spark, d):
 listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
 
-@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_resource_id ORDER BY id) AS n FROM w_task), m AS (SELECT * FROM f WHERE n = 1 AND lower(trim(resource_type)) = 'single_image' AND lower(trim(source)) = 'web')
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY source_resource_id ORDER BY id) AS n FROM w_task), m AS (SELECT * FROM f WHERE n = 1 AND lower(trim(resource_type)) = 'single_image' AND lower(trim(source)) = 'src2')
     SELECT id, seq, resource_type, source, (SELECT count(*) FROM m) AS matching FROM (SELECT source_resource_id AS id, id AS seq, resource_type, source FROM m ORDER BY seq LIMIT 20)""")
 def catalog_filter(spark, d):
     """The first twenty pictures of one source, of which the catalogue has some twice."""
     entries = W.tasks(spark, d).select(F.col("source_resource_id").alias("id"), F.col("id").alias("seq"), "resource_type", "source")
-    return E.matching(entries, " Single_Image ", "WEB", 20)
+    return E.matching(entries, " Single_Image ", " SRC2 ", 20)
 
 
 @query("SELECT id, title, updated_at, (SELECT count(*) FROM w_order_task WHERE process_state = 'committed') AS total FROM w_order_task WHERE process_state = 'committed' ORDER BY updated_at DESC, id DESC LIMIT 50 OFFSET 100")
@@ -381,8 +382,16 @@ def package_manifest(spark, d):
     return D.package_members(r, W.files(spark, d).select("task_id", "ord", path.alias("path"), (F.col("l_partkey") % 7 != 0).alias("found")))
 
 
-@query("SELECT task_id, ord, CASE WHEN ord % 3 = 0 THEN 'overwrite' WHEN ord % 3 = 1 THEN 'keep' ELSE 'new' END AS decision FROM w_file")
+@query("""WITH n AS (SELECT task_id || '/' || path || '#' || ord AS path, size, ord % 7 AS k FROM w_file WHERE ord % 7 <> 6), s AS (SELECT task_id || '/' || path || '#' || ord AS path, size, ord % 7 AS k FROM w_file WHERE ord % 7 <> 0),
+    j AS (SELECT path, n.size AS now, coalesce(n.k, s.k) AS k FROM n FULL JOIN s USING (path))
+    SELECT path, CASE k WHEN 6 THEN 'vanished' WHEN 1 THEN 'keep' WHEN 2 THEN 'overwrite' WHEN 3 THEN 'overwrite' ELSE 'new' END AS outcome, CASE WHEN k IN (1, 2, 3, 6) THEN 'copies/' || path END AS copied, now AS size,
+    CASE WHEN k = 1 THEN 'p1|p2' ELSE '' END AS previews FROM j""")
 def copy_decision(spark, d):
-    scan = W.files(spark, d).select("task_id", "ord", "size")
-    state = scan.where("ord % 3 < 2").select("task_id", "ord", F.when(F.col("ord") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("known"))
-    return scan.join(state, ["task_id", "ord"], "left").select("task_id", "ord", F.when(F.col("known").isNull(), "new").when(F.col("known") == F.col("size"), "keep").otherwise("overwrite").alias("decision"))
+    """What becomes of each file's copy: by its place of seven unknown yet, unchanged, of another size, changed later, its copy lost, its copy never made, and gone."""
+    k = F.col("ord") % 7
+    f = W.files(spark, d).select(F.concat("task_id", F.lit("/"), "path", F.lit("#"), "ord").alias("path"), "size", "ord", F.lit(1).alias("modified"))
+    scan = f.where(k != 6).withColumn("modified", F.when(k == 3, 2).otherwise(1))
+    copied = F.when(k != 5, F.concat(F.lit("copies/"), "path"))
+    state = f.where(k != 0).select("path", F.when(k == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "modified", copied.alias("copied"), F.array(F.lit("p1"), F.lit("p2")).alias("previews"))
+    held = f.where(~k.isin(0, 4, 5)).select(F.concat(F.lit("copies/"), "path").alias("path"))
+    return L.copy_plan(scan.select("path", "size", "modified"), state, held).select("path", "outcome", "copied", "size", F.array_join("previews", "|").alias("previews"))

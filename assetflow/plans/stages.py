@@ -9,6 +9,7 @@ from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
+from assetflow.operators.lifecycle import accepted_uploads
 from assetflow.operators.search import enrich
 from assetflow.operators.vectors import cosine_top_k as top_k
 from assetflow.operators.vectors import usable
@@ -163,14 +164,34 @@ def entity_rebuild(spark, d):
         F.coalesce("description.prompt_version", F.lit("")).alias("prompt_version"), F.col("description.main").alias("main"))
 
 
-@query("WITH m AS (SELECT task_id, ord, max(CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ord) AS bad FROM w_file) SELECT task_id, ord FROM m WHERE bad = 0")
+_UPLOADS = """WITH u AS (SELECT task_id, ord, 'n' || (ord % 4) AS name, size, md5, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 11 = 1 THEN 'short' WHEN l_partkey % 11 = 2 THEN md5(md5) ELSE arg_max(md5, ord) OVER (PARTITION BY task_id, ord % 4) END AS tag, l_partkey % 13 = 0 AS unknown FROM w_file),
+    r AS (SELECT task_id, name, arg_max(CASE WHEN unknown THEN NULL ELSE md5 END, ord) FILTER (WHERE NOT unknown) AS known, arg_max(CASE WHEN unknown THEN '' ELSE md5 END, ord) AS last_md5 FROM u GROUP BY task_id, name),
+    c AS (SELECT u.*, last_md5, last_md5 <> '' AND length(tag) = 32 AND tag <> last_md5 AS bad FROM u JOIN r USING (task_id, name)),
+    m AS (SELECT *, coalesce(max(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ord), 0) AS stopped FROM c) """
+
+
+def _uploads(spark, d):
+    """Uploads of four names a task, their etags in quotes and with part suffixes, some null, short or wrong; some files are registered without a checksum."""
+    f = W.files(spark, d).withColumn("name", F.concat(F.lit("n"), F.col("ord") % 4))
+    k = F.col("l_partkey") % 11
+    right = F.max_by("md5", "ord").over(Window.partitionBy("task_id", "name"))
+    tag = F.when(k == 0, F.lit(None)).when(k == 1, "short").when(k == 2, F.md5("md5")).otherwise(right)
+    etag = F.when(F.col("ord") % 2 == 0, F.concat(F.lit('"'), tag, F.lit('-1"'))).otherwise(tag)
+    registered = f.select(F.col("task_id").alias("resource_id"), "ord", "name", F.when(F.col("l_partkey") % 13 == 0, "").otherwise(F.col("md5")).alias("md5"))
+    return accepted_uploads(f.select(F.col("task_id").alias("resource_id"), "ord", "name", etag.alias("etag"), "size"), registered)
+
+
+@query(_UPLOADS + "SELECT task_id AS resource_id, ord, name FROM m WHERE stopped = 0")
 def upload_md5_check(spark, d):
-    f = W.files(spark, d)
-    up = f.select("task_id", "ord", F.concat(F.lit('"'), F.when(F.col("l_partkey") % 7 == 0, F.md5("md5")).otherwise(F.col("md5")), F.lit('-1"')).alias("etag"))
-    tag = F.regexp_replace(F.translate("etag", '"', ""), "-[0-9]+$", "")
-    flags = f.join(up, ["task_id", "ord"], "left").withColumn("bad", (F.length(tag) == 32) & (tag != F.col("md5")))
-    run = F.max("bad").over(Window.partitionBy("task_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return flags.withColumn("stop", run).where(~F.col("stop")).select("task_id", "ord")
+    """The uploaded files that count: those in front of their batch's first mismatch."""
+    return _uploads(spark, d)[0].select("resource_id", "ord", "name")
+
+
+@query(_UPLOADS + """SELECT task_id AS resource_id, bool_and(NOT coalesce(bad, false)) AS success, coalesce(sum(CASE WHEN stopped = 0 THEN size END), 0)::BIGINT AS uploaded_bytes, count_if(stopped = 0)::BIGINT AS file_count,
+    coalesce(arg_min('MD5 mismatch for ' || name || ': expected=' || last_md5 || ', actual=' || tag, ord) FILTER (WHERE bad), '') AS error_message FROM m GROUP BY task_id""")
+def upload_batches(spark, d):
+    """The answer to each task's batch of uploads."""
+    return _uploads(spark, d)[1]
 
 
 @query("SELECT user_id AS task_id, max_by(event_type, (ts, event_id)) AS event, max(ts) AS last_ts FROM events GROUP BY user_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assetflow.operators.selection import rollup
+from assetflow.sources import buckets as B
 from assetflow.sources import files as S
 from assetflow.sources import working as W
 from assetflow.streaming.progress import state_folder
@@ -25,6 +27,38 @@ def json_scan(spark, d):
     return both.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("bad").alias("rejected"))
 
 
+@query("""SELECT event_type, 'dropped' AS mode, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY event_type
+    UNION ALL SELECT event_type, 'rejected', count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 4 = 1 GROUP BY event_type
+    UNION ALL SELECT event_type, 'read', count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 4 <> 1 GROUP BY event_type""")
+def json_bytes(spark, d):
+    """Events as JSON lines, every fourth with bytes that are no UTF-8 within its type or between its fields: dropped before the line is read, or the line rejected."""
+    folder = state_folder(spark, "bytes")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    broken = F.concat(F.substring(line, 1, 1).cast("binary"), F.lit(b"\xe2\x82"), F.encode(F.substr(line, F.lit(2), F.length(line) - 4), "UTF-8"), F.lit(b"\xff\xc0\xed\xa0\x80"), F.encode(F.substr(line, F.length(line) - 2), "UTF-8"))
+    value = F.when(F.col("event_id") % 4 == 1, broken.cast("string")).otherwise(line)
+    W.table(spark, d, "events").select(value.alias("value")).write.text(folder)
+    schema = "event_id bigint, event_type string"
+    read, rejects = S.json_lines(spark, folder, schema)
+    dropped = S.json_lines(spark, folder, schema, ignore=True)[0]
+    again = rejects.select(F.from_json(S.decodable(F.col("line")), schema).alias("r")).select("r.*")
+    parts = [df.groupBy("event_type").agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.sum("event_id").alias("total")) for mode, df in (("dropped", dropped), ("rejected", again), ("read", read))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""WITH r AS (SELECT id, (SELECT count(*) FROM w_file f WHERE f.task_id = t.id AND format = 'png') AS previews, CASE WHEN title IS NULL OR id % 6 = 0 THEN '' ELSE 'main' END AS main, process_state = 'committed' AS uploaded FROM w_task t)
+    SELECT count(*) AS total, sum(previews)::BIGINT AS preview_count, count_if(main <> '')::BIGINT AS description_success_count, count_if(uploaded)::BIGINT AS upload_attempts, count(*) AS lines FROM r""")
+def run_summary(spark, d):
+    """The summary of a run, observed by the pass that appends its results as JSON lines, and the number of lines there."""
+    folder = state_folder(spark, "results")
+    shown = W.files(spark, d).where("format = 'png'").groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("preview_count"))
+    said = F.when(F.col("title").isNull() | (F.col("id") % 6 == 0), "").otherwise("main")
+    rows = W.tasks(spark, d).select("id", said.alias("description_main"), F.coalesce(F.col("process_state") == "committed", F.lit(False)).alias("uploaded")).join(shown, "id", "left").na.fill(0, ["preview_count"])
+    told = S.append_lines(
+        rows, folder, total=F.count(F.lit(1)), preview_count=F.coalesce(F.sum("preview_count"), F.lit(0)), description_success_count=F.count_if(F.col("description_main") != ""), upload_attempts=F.count_if("uploaded"))
+    summary = spark.range(1).select(*(F.lit(told[c]).cast("bigint").alias(c) for c in ("total", "preview_count", "description_success_count", "upload_attempts")))
+    return summary.crossJoin(spark.read.text(folder).agg(F.count("*").alias("lines")))
+
+
 @query("""SELECT asset_id, file_path, 'store' AS source, CASE WHEN style LIKE '%1' THEN '' ELSE 'pack ' || style END AS pack_name, fmt, CASE WHEN fmt = '' THEN '' ELSE style END AS style, theme FROM w_asset""")
 def asset_index(spark, d):
     """Assets as nested JSON lines, some without a pack or a style, flattened to the index's seven columns, in place of an older index."""
@@ -158,3 +192,24 @@ def task_tables(spark, d):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("""SELECT id, coalesce(n, 0) AS file_count, coalesce(total, 0)::BIGINT AS total_size, coalesce(f, '') AS formats, coalesce(p, 0) AS preview_count, id IN (SELECT task_id FROM w_desc) AS has_description, id IN (SELECT vec_id FROM embeddings) AS has_embedding FROM w_order_task
+    LEFT JOIN (SELECT task_id, count(*) AS n, sum(size) AS total, string_agg(DISTINCT format, '|' ORDER BY format) AS f, count(*) FILTER (WHERE format = 'png') AS p FROM w_file GROUP BY task_id) x ON id = x.task_id""")
+def bucketed_rollup(spark, d):
+    """Each task's children, from tables in buckets by task: neither the aggregations nor the joins shuffle."""
+    folder = state_folder(spark, "bucketed")
+    made = lambda df, name, key: B.write_buckets(df, f"{folder}/{name}", key)
+    tasks = made(W.order_tasks(spark, d), "tasks", "id")
+    files, said, vectors = (made(df, name, "task_id") for name, df in (("files", W.files(spark, d)), ("descriptions", W.descriptions(spark, d)), ("vectors", W.embeddings(spark, d))))
+    done = rollup(tasks, files, said, files.where("format = 'png'"), vectors)
+    return done.withColumn("formats", F.array_join("formats", "|"))
+
+
+@query("""WITH c AS (SELECT task_id, ord, path, count(*) OVER (PARTITION BY task_id) AS n FROM w_file) SELECT t.id AS id, title, process_state, path, n FROM w_order_task t JOIN c ON t.id = c.task_id WHERE ord = 1""")
+def bucketed_join(spark, d):
+    """Each task with its first file and the number of its files, from tables in buckets by task."""
+    folder = state_folder(spark, "bucketed")
+    tasks, files = B.write_buckets(W.order_tasks(spark, d), f"{folder}/tasks", "id"), B.write_buckets(W.files(spark, d), f"{folder}/files", "task_id")
+    first = files.groupBy(F.col("task_id").alias("id")).agg(F.min_by("path", "ord").alias("path"), F.count("*").alias("n"))
+    return tasks.join(first, "id").select("id", "title", "process_state", "path", "n")

@@ -4,24 +4,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CORRUPT = "_corrupt"
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+#: One character of UTF-8, in bytes read as Latin-1; any other byte above 7F belongs to none.
+_UTF8 = "([\\x00-\\x7f]|[\\xc2-\\xdf][\\x80-\\xbf]|\\xe0[\\xa0-\\xbf][\\x80-\\xbf]|[\\xe1-\\xec\\xee\\xef][\\x80-\\xbf]{2}|\\xed[\\x80-\\x9f][\\x80-\\xbf]|\\xf0[\\x90-\\xbf][\\x80-\\xbf]{2}|[\\xf1-\\xf3][\\x80-\\xbf]{3}|\\xf4[\\x80-\\x8f][\\x80-\\xbf]{2})|[\\x80-\\xff]"
+
+
+def decodable(text: Column) -> Column:
+    """A text as it was read, without the bytes that belong to no character of UTF-8."""
+    cleaned = F.encode(F.regexp_replace(F.decode(text.cast("binary"), "ISO-8859-1"), _UTF8, "$1"), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, ignore: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of files of JSON lines; blank lines count as neither.
 
-    rejects has the bad lines (line).  With strict, a bad line is an error when the rows are read.
+    rejects has the bad lines (line): those that aren't JSON of the schema, or hold bytes that are no UTF-8.  With
+    strict, a bad line is an error when the rows are read.  With ignore, such bytes are dropped before a line is
+    read, and lines that are bad even so are passed over: rejects is empty.
     """
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    text = decodable(F.col("value")) if ignore else F.col("value")
     if strict:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        return rows, rows.limit(0).select(F.lit("").alias("line"))
-    parsed = spark.read.text(path).where(F.trim("value") != "").select(
-        F.from_json("value", f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("row"), "value")
-    rows = parsed.where(f"row.{_CORRUPT} is null").select("row.*").drop(_CORRUPT)
-    return rows, parsed.where(f"row.{_CORRUPT} is not null").select(F.col("value").alias("line"))
+        text = F.validate_utf8("value")
+        rows = lines.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+        return rows, lines.limit(0).select(F.lit("").alias("line"))
+    parsed = lines.select(F.from_json(text, f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("row"), "value")
+    bad = F.col(f"row.{_CORRUPT}").isNotNull() | (F.lit(False) if ignore else ~F.is_valid_utf8("value"))
+    rows = parsed.where(~bad).select("row.*").drop(_CORRUPT)
+    return rows, parsed.where(F.lit(False) if ignore else bad).select(F.col("value").alias("line"))
+
+
+def append_lines(rows: DataFrame, folder: str, **totals: Column) -> dict[str, int]:
+    """Appends rows as JSON lines, nulls left out, and tells the totals of them, as the pass that writes observes them."""
+    seen = Observation("totals")
+    observed = rows.observe(seen, *(c.alias(name) for name, c in totals.items())) if totals else rows
+    observed.write.mode("append").option("ignoreNullFields", True).json(folder)
+    return seen.get if totals else {}
 
 
 def scan_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:

@@ -31,4 +31,5 @@ def test_matches_sql(spark, sql, name):
     want = sql.sql(ORACLES[name])
     assert sorted(want.columns) == columns
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    assert rows, "nothing is compared with nothing"
     assert plain(rows) == plain(sql.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall())
