@@ -35,7 +35,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, candidate_block:
     """The k highest integer inner products of every query: query_id, rank (from 1), vec_id, score.
 
     vectors, queries: vec_id bigint, terms array<bigint>.  A vector is a sparse row of (dimension,
-    weight) terms; zero weights have no posting.  Each block of candidates is inverted into postings
+    weight) terms; zero weights have no posting, unless most rows of a block have the dimension.  Each block of candidates is inverted into postings
     per dimension; each query scatters its weighted postings, a term at a time, into a dense array of
     scores, from which partition selection takes k; the blocks' bests are merged per query.  Every
     pair is scored: nothing is pruned.  Blocks bound a task's memory, and a query goes to each block
@@ -56,31 +56,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, candidate_block:
     right = queries.select(each(over).alias("c"), place(across, 2).alias("q"), "vec_id", "terms", "again")
 
     def dense(rows: pd.Series, width: int) -> np.ndarray:
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.concatenate(list(rows)) if len(rows) else np.zeros(0, np.int64)
         out = np.zeros((len(rows), width), np.int64)
-        for i, terms in enumerate(rows):
-            out[i, : len(terms)] = terms
+        out[np.repeat(np.arange(len(rows)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
         return out
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(block) and len(asked):
             width = max(block["terms"].map(len).max(), asked["terms"].map(len).max())
-            ids, rows = block["vec_id"].to_numpy(), dense(block["terms"], width)
+            ids, rows, wanted = block["vec_id"].to_numpy(), dense(block["terms"], width), dense(asked["terms"], width)
+            largest = width * int(np.abs(rows).max(initial=0)) * int(np.abs(wanted).max(initial=0))
+            if largest < 1 << 31:  # every partial score fits
+                rows, wanted = rows.astype(np.int32), wanted.astype(np.int32)
             postings = []
             for t in range(width):
                 held = np.flatnonzero(rows[:, t])
-                postings.append((held if len(held) < len(rows) else slice(None), rows[held, t]))
-            scores = np.empty(len(ids), np.int64)
-            for query, again, weights in zip(asked["vec_id"], asked["again"], dense(asked["terms"], width), strict=True):
+                few = 4 * len(held) < len(rows)  # else a list of rows costs more than the zeros that it leaves out
+                postings.append((held, rows[held, t]) if few else (None, np.ascontiguousarray(rows[:, t])))
+            scores, terms = np.empty(len(ids), rows.dtype), np.empty(len(ids), rows.dtype)
+            for query, again, weights in zip(asked["vec_id"], asked["again"], wanted, strict=True):
                 scores[:] = 0
                 for t in np.flatnonzero(weights):
                     held, values = postings[t]
-                    scores[held] += weights[t] * values
+                    if held is None:
+                        scores += np.multiply(values, weights[t], out=terms)
+                    else:
+                        scores[held] += weights[t] * values
                 own = np.flatnonzero(ids == query)  # all rows of one vec_id lie in one block
                 own = own[(rows[own] == weights).all(axis=1)][:1]
                 others = np.delete(np.arange(len(ids)), own)
                 best = others[_best(scores[others], ids[others], k)]
-                parts.append(pd.DataFrame({"query_id": query, "again": again, "vec_id": ids[best], "score": scores[best]}))
+                parts.append(pd.DataFrame({"query_id": query, "again": again, "vec_id": ids[best], "score": scores[best].astype(np.int64)}))
         return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "again", "vec_id", "score")})
 
     found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(search, "query_id bigint, again bigint, vec_id bigint, score bigint")
