@@ -10,8 +10,8 @@ from .shared import WORD, written
 #: Weights of the sources in code-point order, repeating; null stands last.
 WEIGHTS = (5, 2, 1)
 #: Documents in a block on average, and block draws in an output shard on average.
-BLOCK_ROWS = 256
-SHARD_BLOCKS = 32
+BLOCK_ROWS = 32
+SHARD_BLOCKS = 8
 #: Ranges of hashes over which a source's prefix sums are taken first, so that no task scans all of a source.
 RANGES = 1024
 
@@ -168,14 +168,18 @@ def _taken(rows: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """What a mix takes of every row: doc_id, size (words), source_size, target (words of its source), taken (words, repeats counted).
+    """What a mix takes of every row: doc_id, size (words), source_size, target (words of its source), taken (words, repeats counted), shards.
+
+    shards (joined by "|") are the output shards, leaves of the splitting tree, that its takes go to, in the order of the passes.
 
     A null text has size 0; null sources are one source and stand last; rows with a null or repeated
     doc_id are rows like others (their order among themselves is by size).  A source's taken words
     are its target rounded; no row is taken beyond `most` times.  Only doc_id, source and size are
     shuffled.  Reruns agree: every draw comes from hashes.  Other columns aren't read.
     """
-    return _taken(*draws(documents, weights, share, most)).select("doc_id", "size", "source_size", "target", "taken")
+    takes = F.slice("shards", F.lit(1), (F.col("passes") + (F.col("part") > 0).cast("int")).cast("int"))
+    rows = _taken(*draws(documents, weights, share, most))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.coalesce(F.array_join(takes, "|"), F.lit("")).alias("shards"))
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shard: str | None = None) -> DataFrame:
@@ -192,22 +196,49 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return out.select(*kept, *([F.col("__shard").alias(shard)] if shard else []))
 
 
-#: The query over a table documents, as DuckDB SQL; the tree only decides which shard a draw goes to.
+#: The query over a table documents, as DuckDB SQL.  The tree's recursion goes through the entries of all nodes of a level
+#: together, an entry a step, and then to the nodes' halves.
 SQL = rf"""
-    WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size FROM documents),
+    WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size FROM documents),
     b AS (SELECT source, count(*) AS n_rows, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
     w AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS w FROM b),
     o AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
           sum(w) OVER (ORDER BY source_size / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, sum(source_size) OVER () AS total FROM w),
     f AS (SELECT *, 2 * source_size * w_left <= w * (total * 1.5::DOUBLE - before) AS full_ FROM o),
     t AS (SELECT *, CASE WHEN full_ THEN 2 * source_size::DOUBLE ELSE w * (((total::DOUBLE * 1.5 - sum(CASE WHEN full_ THEN 2 * source_size ELSE 0 END) OVER ())) / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ()) END AS target FROM f),
-    r AS (SELECT doc_id, d.source, size, source_size, target, ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % ceil(n_rows / {BLOCK_ROWS})::BIGINT AS block
+    r AS (SELECT doc_id, d.source, rank, size, source_size, target, ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % ceil(n_rows / {BLOCK_ROWS})::BIGINT AS block
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    k AS (SELECT source, block, any_value(source_size) AS source_size, any_value(target) AS target, sum(size)::BIGINT AS block_size FROM r GROUP BY source, block),
+    k AS (SELECT source, rank, block, any_value(source_size) AS source_size, any_value(target) AS target, sum(size)::BIGINT AS block_size FROM r GROUP BY source, rank, block),
     q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(round(target) / source_size) END::BIGINT AS passes,
           coalesce(sum(block_size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('order:' || coalesce(source, '') || ':' || block), 1, 15))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
-    p AS (SELECT source, block, passes, least(block_size, round(target)::BIGINT - passes * source_size - before) AS rest, block_size FROM q),
-    g AS (SELECT source, block, CASE WHEN rest = block_size THEN passes + 1 ELSE passes END AS passes, CASE WHEN rest = block_size THEN 0 ELSE rest END AS rest FROM p),
+    p AS (SELECT source, rank, block, passes, greatest(0, least(block_size, round(target)::BIGINT - passes * source_size - before)) AS rest, block_size FROM q),
+    g AS (SELECT source, rank, block, CASE WHEN rest = block_size THEN passes + 1 ELSE passes END AS passes, CASE WHEN rest = block_size THEN 0 ELSE rest END AS rest FROM p),
+    y AS (SELECT source, rank, block, unnest(range(1, passes + CASE WHEN rest > 0 THEN 2 ELSE 1 END)) AS pass FROM p WHERE block_size > 0),
+    z AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ('0x' || substr(md5('draw:' || coalesce(source, '') || ':' || pass || ':' || block), 1, 15))::BIGINT, block) - 1 AS place FROM y),
+    l AS (SELECT CASE WHEN count(*) // {SHARD_BLOCKS} <= 1 THEN 0 ELSE length(bin(count(*) // {SHARD_BLOCKS} - 1)) END AS levels FROM z),
+    tree AS (
+        SELECT 0 AS level, 0::BIGINT AS shard, list({{'source': rank, 'quota': n, 'start': 0::BIGINT}} ORDER BY rank) AS quotas, 1 AS step, sum(n)::BIGINT AS rest, (sum(n) // 2)::BIGINT AS draws, []::BIGINT[] AS out
+        FROM (SELECT rank, count(*) AS n FROM z GROUP BY rank) HAVING count(*) > 0
+        UNION ALL SELECT * FROM (
+        SELECT level, shard, quotas, step + 1, rest - g, draws - x, list_append(out, x) FROM (
+            SELECT *, CASE WHEN g = 0 OR draws = 0 THEN 0 WHEN b = 0 THEN draws WHEN th <= 1 THEN m WHEN th <= 1 + up THEN m + coalesce(list_position(list_transform(su, lambda v: v >= th - 1), true), nu)
+                ELSE m - coalesce(list_position(list_transform(sd, lambda v: v >= th - 1 - up), true), nd) END::BIGINT AS x FROM (
+            SELECT *, coalesce(su[-1], 0) AS up, u * (1 + coalesce(su[-1], 0) + coalesce(sd[-1], 0)) AS th FROM (
+            SELECT *, list_transform(wu, lambda v, i: list_reduce(wu[1:i], lambda a, c: a + c)) AS su, list_transform(wd, lambda v, i: list_reduce(wd[1:i], lambda a, c: a + c)) AS sd FROM (
+            SELECT *, list_transform(ru, lambda v, i: list_reduce(ru[1:i], lambda a, c: a * c)) AS wu, list_transform(rd, lambda v, i: list_reduce(rd[1:i], lambda a, c: a * c)) AS wd FROM (
+            SELECT *, list_transform(range(1, nu + 1), lambda i: (g - (m + i) + 1)::DOUBLE * (draws - (m + i) + 1)::DOUBLE / ((m + i) * (b - draws + m + i))::DOUBLE) AS ru,
+                list_transform(range(1, nd + 1), lambda i: (m - i + 1)::DOUBLE * (b - draws + m - i + 1)::DOUBLE / ((g - m + i) * (draws - m + i))::DOUBLE) AS rd FROM (
+            SELECT *, greatest(0, least(far, least(g, draws) - m)) AS nu, greatest(0, least(far, m - greatest(0, draws - b))) AS nd FROM (
+            SELECT *, floor((draws + 1)::DOUBLE * (g + 1)::DOUBLE / (n + 2))::BIGINT AS m, ceil(9 * sqrt(draws * (g / n) * (b / n) * ((n - draws) / greatest(n - 1, 1))))::BIGINT + 40 AS far,
+                (('0x' || substr(md5(level || ':' || shard || ':' || source), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u FROM (
+            SELECT *, quotas[step].quota AS g, rest - quotas[step].quota AS b, rest::DOUBLE AS n, quotas[step].source AS source FROM tree, l WHERE level < levels AND step <= len(quotas)))))))))
+        UNION ALL
+        SELECT level + 1, shard, quotas, 1, rest, rest // 2, []::BIGINT[] FROM (SELECT level, shard, quotas, list_sum(list_transform(quotas, lambda e: e.quota))::BIGINT AS rest FROM (
+            SELECT level, shard * 2 + side AS shard, list_filter(list_transform(quotas, lambda e, i: {{'source': e.source, 'quota': CASE side WHEN 0 THEN out[i] ELSE e.quota - out[i] END, 'start': CASE side WHEN 0 THEN e.start ELSE e.start + out[i] END}}), lambda e: e.quota > 0) AS quotas
+            FROM tree, l, (VALUES (0), (1)) s(side) WHERE level < levels AND step > len(quotas))))),
+    leaf AS (SELECT shard, e.source AS rank, e.start AS first, e.start + e.quota AS stop FROM (SELECT shard, unnest(quotas) AS e FROM tree, l WHERE level = levels AND step = 1)),
+    s AS (SELECT z.rank, block, list(shard ORDER BY pass) AS shards FROM z JOIN leaf ON z.rank = leaf.rank AND place >= first AND place < stop GROUP BY z.rank, block),
     x AS (SELECT r.*, passes, rest, coalesce(sum(size) OVER (PARTITION BY r.source, r.block ORDER BY ('0x' || substr(md5('row:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-          FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.block = g.block)
-    SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x"""
+          FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.block = g.block),
+    e AS (SELECT *, greatest(0, least(size, rest - before)) AS part FROM x)
+    SELECT doc_id, size, source_size, target, (passes * size + part)::BIGINT AS taken, coalesce(array_to_string(shards[1:passes + CASE WHEN part > 0 THEN 1 ELSE 0 END], '|'), '') AS shards FROM e LEFT JOIN s USING (rank, block)"""

@@ -8,7 +8,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from assetflow.llm import license_scan, line_dedup, mixing
+from assetflow.llm import license_scan, line_dedup, mixing, queries
 
 from .conftest import ODD, SCHEMA, sentences
 
@@ -208,3 +208,15 @@ def test_mixing_draws_blocks_by_the_leaves(spark, rng, monkeypatch):
     for r in drawn:
         of.setdefault((r["source"], r["block"]), set()).add(r["shard"])
     assert pairs and all(shard in of[block[d]] for d, shard in pairs)
+
+
+def test_the_tree_decides_the_shards(spark, monkeypatch):
+    """With another tree, here one without a level, the registered query gives other rows."""
+    sf = "/root/testdata/sf0.001"
+    rows = queries.op10_mixing(spark, sf).collect()
+    shards = {x for r in rows for x in r["shards"].split("|") if x}
+    assert len(shards) >= 4 and all(len(r["shards"].split("|")) == -(-r["taken"] // r["size"]) for r in rows if r["taken"])
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, levels: tree(quotas, 0))
+    other = queries.op10_mixing(spark, sf).collect()
+    assert {x for r in other for x in r["shards"].split("|") if x} == {"0"} and sum(r["taken"] for r in other) == sum(r["taken"] for r in rows)
