@@ -11,19 +11,33 @@ from assetflow.llm.queries import GOOD, classifier, table
 from assetflow.llm.shared import written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as it takes to be no column of docs."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject.  Null and empty texts are scored as texts without words; rows repeat as they stand."""
-    scored = quality_classifier.score(docs, classifier(spark, sf_dir), output="quality_score")
-    return scored.where(F.col("quality_score") >= GOOD).select(*docs.columns)
+    """Documents that the quality classifier doesn't reject, with their own columns, whatever their names.
+
+    Null and empty texts are scored as texts without words; rows repeat as they stand, and null doc_ids stay.
+    """
+    score = _free(docs, "quality_score")
+    scored = quality_classifier.score(docs, classifier(spark, sf_dir), output=score)
+    return scored.where(F.col(score) >= GOOD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; those that lose every line go.
 
-    Texts that have no line with a word stay, and so do rows without a doc_id, unchanged; n_chars is that of the new text.
+    Texts that have no line with a word stay, null ones too, and so do rows without a doc_id, unchanged; n_chars is that
+    of the new text, and every other column stays, also one named like a count of the operator.
     """
-    kept = line_dedup.line_dedup(docs).where("n_lines = 0 or n_lines > n_equal + n_near")
-    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    kept = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("doc_id"), *others).alias("others"))).where("n_lines = 0 or n_lines > n_equal + n_near")
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars")
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else n_chars if c == "n_chars" else F.col("others").getField(c).alias(c) for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +50,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: some sources' repeated, others' thinned out."""
+    """The documents as the mix takes them: some sources' repeated, others' thinned out.
+
+    A null source is a source and stands last.  Rows of one doc_id, null too, are taken alike; texts without a word are taken
+    with their block, as often as whole blocks are.  Columns stay, whatever their names.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers of every document (little-endian unsigned 32-bit), and whether they decode to its text."""
+    """Token identifiers of every document (little-endian unsigned 32-bit), and whether they decode to its text.
+
+    A null text counts as empty and has no identifiers; every row, repeated or not, has one of its own.  Of the
+    documents' columns doc_id, lang and source go on, the others don't.
+    """
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="__decoded")
     same = F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
