@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assetflow.llm import byte_bpe
@@ -60,9 +61,14 @@ def test_run_gives_the_last_stage(spark):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, none):
-    odd = odd.select(*none.columns)
-    for docs in (odd, none):
+    """Also with further columns that are named as the stages' own are: they keep their values."""
+    more = {c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("quality_score", "n_lines", "N_Equal", "n_near", "shard", "__n_lines", "__gone", "taken")}
+    wide = odd.withColumns(more)
+    for docs in (odd, none, wide):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
-            assert out.count() <= 2 * docs.count()
+            rows = out.collect()
+            assert len(rows) <= 2 * docs.count()
             assert name == "byte-level BPE" or out.columns == docs.columns
+            if docs is wide and name != "byte-level BPE":
+                assert rows and all(r[c] == f"{c}{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in more)
