@@ -281,25 +281,6 @@ def template_description(name: Column, kind: Column, fmt: Column, strategy: Colu
     return F.concat(main, F.lit("\n"), detail)
 
 
-def preview_plan(kind: Column, pictures: Column) -> Column:
-    """strategy, mode, confidence, inputs and grid of a resource's preview, from its type and its pictures."""
-    ordered = F.transform(F.array_sort(F.transform(pictures, lambda p: F.struct(natural_key(p).alias("key"), p.alias("path")))), lambda x: x["path"])
-
-    def made(strategy: str, mode: str, confidence: str, most: int = 0, grid: int = 0) -> Column:
-        inputs = even_sample(ordered, most) if most else F.array().cast("array<string>")
-        side = F.least(F.lit(grid), F.greatest(F.lit(2), F.ceil(F.sqrt(F.size(inputs))).cast("int"))) if grid else F.lit(0)
-        return F.struct(F.lit(strategy).alias("strategy"), F.lit(mode).alias("mode"), F.lit(confidence).alias("confidence"), inputs.alias("inputs"), side.alias("grid"))
-
-    n = F.size(pictures)
-    return (
-        F.when((kind == "tileset") & (n > 0), made("contact_sheet", "composed", "high", 16, 4))
-        .when((kind == "animation_sequence") & (n > 1), made("gif", "composed", "high", 12))
-        .when((kind == "pack") & (n > 0), made("contact_sheet", "composed", "medium", 9, 3))
-        .when((kind == "single_image") & (n > 0), made("static", "direct", "high", 2))
-        .otherwise(made("info_card", "metadata_only", "low"))
-    )
-
-
 def card_lines(pack: Column, kind: Column, path: Column, tags: Column, counts: dict[str, Column], contains: Column) -> Column:
     """Lines of a resource's card; those without a value are left out."""
     line = lambda name, x: F.concat(F.lit(f"{name}: "), x)

@@ -6,30 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions.expressions import file_name
+from assetflow.streaming.progress import stored
 
 from .registration import in_order
 from .selection import latest
 
 
+#: Ids of hits that are sent to every task at most.
+MOST_SENT = 100_000
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """Written ids, to be broadcast where they are few."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def enrich(hits: DataFrame, tasks: DataFrame, descriptions: DataFrame, files: DataFrame, previews: DataFrame) -> DataFrame:
     """The hits (resource_id and further columns) with their tasks, descriptions, files, previews and parents.
 
     Hits without a task go.  tasks: resource_id, id, process_state, title, source_resource_id,
     parent_resource_id, download_key; descriptions: task_id, id, main; files: task_id, ord, format, size,
     path; previews: task_id, id, path.  Preview keys keep their order, each once; the first is primary.  The
-    download key is the package's, else the first file's.  Only rows of the hits' tasks and of their parents
-    are aggregated.
+    download key is the package's, else the first file's.
+
+    The hits are written once, so the search behind them runs once; so are their tasks and the parents', whose ids
+    then filter the other tables before anything there is ranked or aggregated: sent to every task
+    where they are at most MOST_SENT, else joined by shuffle.
     """
+    hits = stored(hits, "hits")
     named = tasks.withColumn("parent_resource_id", F.coalesce("parent_resource_id", F.lit("")))
-    own = hits.select("resource_id").distinct().join(named, "resource_id")
-    above = named.join(own.select(F.col("parent_resource_id").alias("resource_id")).distinct(), "resource_id", "left_semi")
-    of = own.select(F.col("id").alias("task_id"))
+    own = stored(named.join(_sent(hits.select("resource_id").distinct()), "resource_id", "left_semi"), "hit-tasks")
+    above = stored(named.join(_sent(own.select(F.col("parent_resource_id").alias("resource_id")).distinct()), "resource_id", "left_semi"), "hit-parents")
+    of = _sent(own.select(F.col("id").alias("task_id")))
 
     said = latest(descriptions.select("task_id", "id", "main").join(of, "task_id", "left_semi"), "task_id", "id").select("task_id", F.col("main").alias("description"))
     bare = F.regexp_replace(F.lower(F.trim("format")), r"^\.+", "")
     held = files.join(of, "task_id", "left_semi").groupBy("task_id").agg(
         F.count("*").alias("file_count"), F.sum("size").alias("file_size"), in_order("ord", F.nullif(bare, F.lit(""))).alias("formats"), F.min_by("path", "ord").alias("first_path"))
-    shown = previews.where("path <> ''").join(of.unionByName(above.select(F.col("id").alias("task_id"))), "task_id", "left_semi")
+    shown = previews.where("path <> ''").join(_sent(own.unionByName(above).select(F.col("id").alias("task_id")).distinct()), "task_id", "left_semi")
     keys = shown.groupBy("task_id").agg(in_order("id", file_name(F.col("path"))).alias("names"))
 
     parent = above.join(keys.withColumnRenamed("task_id", "id"), "id", "left").select(

@@ -8,6 +8,7 @@ from assetflow.functions import expressions as X
 from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
 from assetflow.operators import memo as M
+from assetflow.operators import previews as V
 from assetflow.operators import providers as P
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
@@ -221,18 +222,32 @@ def stage_results(spark, d):
     return S.apply_outcomes(t, told)
 
 
-@query("""WITH f AS (SELECT task_id, count_if(format = 'png') AS n FROM w_file GROUP BY task_id), p AS (SELECT id, id % 4 AS kind, coalesce(n, 0) AS n FROM w_order_task LEFT JOIN f ON id = task_id)
-    SELECT id, CASE WHEN kind = 0 AND n > 0 THEN 'contact_sheet' WHEN kind = 1 AND n > 1 THEN 'gif' WHEN kind = 2 AND n > 0 THEN 'contact_sheet' ELSE 'info_card' END AS strategy,
-    CASE WHEN kind = 0 AND n > 0 THEN 'high' WHEN kind = 1 AND n > 1 THEN 'high' WHEN kind = 2 AND n > 0 THEN 'medium' ELSE 'low' END AS confidence,
-    CASE WHEN kind = 0 AND n > 0 OR kind = 1 AND n > 1 OR kind = 2 AND n > 0 THEN least(n, CASE kind WHEN 0 THEN 16 WHEN 1 THEN 12 ELSE 9 END) ELSE 0 END AS n_inputs,
-    CASE WHEN kind = 0 AND n > 0 THEN least(4, greatest(2, ceil(sqrt(least(n, 16)))))::INT WHEN kind = 2 AND n > 0 THEN least(3, greatest(2, ceil(sqrt(least(n, 9)))))::INT ELSE 0 END AS grid FROM p""")
+@query(r"""WITH q AS (SELECT DISTINCT o_orderkey // 20 AS id FROM orders), t AS (SELECT id, id % 8 AS k, md5('r' || id) AS md5 FROM q),
+    f AS (SELECT task_id // 20 AS id, (task_id % 20) * 10 + ord AS ord, CASE WHEN id % 8 = 4 AND format = 'fbx' THEN regexp_replace(path, 'fbx$', 'SVG') WHEN id % 8 = 5 AND format = 'ogg' THEN regexp_replace(path, 'ogg$', 'ttf') ELSE path END AS path, format,
+        regexp_extract(path, 'p(\d+)_', 1)::BIGINT AS a, regexp_extract(path, '_(\d+)', 1)::BIGINT AS b FROM w_file WHERE task_id // 20 % 8 <> 7),
+    p AS (SELECT id, arg_min(path, (ord % 5 <> 2, ord)) AS main FROM f GROUP BY id),
+    r AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY a, b, ord) - 1 AS r, count(*) OVER (PARTITION BY id) AS n, [16, 12, 9][id % 8 + 1] AS most FROM f WHERE format = 'png' AND id % 8 < 3),
+    s AS (SELECT id, max(n) AS n, list(path ORDER BY r) AS xs FROM r WHERE n <= most OR list_contains(list_transform(range(most), lambda i: round_even(i * ((n - 1) / (most - 1)::DOUBLE), 0)::BIGINT), r) GROUP BY id),
+    j AS (SELECT t.id, k, md5, coalesce(n, 0) AS n, coalesce(xs, []) AS xs, main, lower(regexp_extract(coalesce(main, ''), '([^.]*)$', 1)) AS ext FROM t LEFT JOIN s ON t.id = s.id LEFT JOIN p ON t.id = p.id),
+    c AS (SELECT *, CASE WHEN k = 0 AND n > 0 THEN 'primary|contact_sheet|composed|high|_tileset.webp' WHEN k = 1 AND n > 1 THEN 'primary|gif|composed|high|_sequence.gif' WHEN k = 2 AND n > 0 THEN 'primary|contact_sheet|composed|medium|_pack.webp'
+        WHEN k IN (3, 4) AND ext = 'png' THEN 'primary|static|direct|high|_preview.webp' WHEN k IN (3, 4) AND ext = 'svg' THEN 'primary|static|direct|medium|_preview.webp' WHEN k IN (3, 4) AND main IS NOT NULL THEN 'primary|static|fallback|low|_metadata.webp'
+        WHEN k = 5 AND ext = 'ttf' THEN 'primary|static|composed|medium|_font.webp' ELSE 'primary|static|metadata_only|low|_metadata.webp' END AS p FROM j),
+    d AS (SELECT id, md5, p, CASE WHEN split_part(p, '|', 2) <> 'static' THEN xs WHEN split_part(p, '|', 4) <> 'low' THEN [main] ELSE [] END AS xs, CASE WHEN split_part(p, '|', 2) = 'contact_sheet' THEN least(4 - k // 2, greatest(2, ceil(sqrt(len(xs)))))::INT ELSE 0 END AS grid FROM c
+        UNION ALL SELECT id, md5, 'gallery|static|direct|medium|_tile_preview.webp', xs[1:1], 0 FROM c WHERE k = 0 AND n > 0)
+    SELECT id, split_part(p, '|', 1) AS role, split_part(p, '|', 2) AS strategy, split_part(p, '|', 3) AS mode, split_part(p, '|', 4) AS confidence, md5 || split_part(p, '|', 5) AS output, array_to_string(xs, '|') AS inputs, grid,
+    CASE WHEN grid > 0 THEN array_to_string(list_transform(xs[1:grid * grid], lambda x, i: (i - 1) // grid || ',' || (i - 1) % grid || '=' || x), '|') ELSE '' END AS cells FROM d""".replace("\\\\", "\\"))
 def preview_plan(spark, d):
-    """How each resource is shown, and from how many sampled pictures in what grid."""
-    kind = F.element_at(F.array(*map(F.lit, ("tileset", "animation_sequence", "pack", "audio_file"))), (F.col("id") % 4 + 1).cast("int"))
-    pictures = W.files(spark, d).where("format = 'png'").groupBy(F.col("task_id").alias("id")).agg(F.collect_list("path").alias("pictures"))
-    t = W.order_tasks(spark, d).select("id", kind.alias("kind")).join(pictures, "id", "left")
-    plan = X.preview_plan(F.col("kind"), F.coalesce("pictures", F.array().cast("array<string>")))
-    return t.select("id", plan.alias("p")).select("id", "p.strategy", "p.confidence", F.size("p.inputs").alias("n_inputs"), "p.grid")
+    """How each resource is shown, from which pictures in what cells, under what name: the files of twenty orders each as tilesets, sequences, packs, single pictures (also vectors), fonts, sounds and resources without files."""
+    kinds = ("tileset", "animation_sequence", "pack", "single_image", "single_image", "font_file", "audio_file", "pack")
+    id_ = F.floor(F.col("task_id") / 20)
+    f = W.files(spark, d).withColumn("id", id_).where("id % 8 <> 7")
+    path = F.when((F.col("id") % 8 == 4) & (F.col("format") == "fbx"), F.regexp_replace("path", "fbx$", "SVG")).when((F.col("id") % 8 == 5) & (F.col("format") == "ogg"), F.regexp_replace("path", "ogg$", "ttf")).otherwise(F.col("path"))
+    ord_ = (F.col("task_id") % 20) * 10 + F.col("ord")
+    t = W.order_tasks(spark, d).select(F.floor(F.col("id") / 20).alias("id")).distinct()
+    t = t.select("id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 8 + 1).cast("int")).alias("resource_type"), F.md5(F.concat(F.lit("r"), "id")).alias("content_md5"))
+    rows = V.preview_rows(t, f.select("id", ord_.alias("ord"), (ord_ % 5 == 2).alias("is_primary"), path.alias("path")))
+    cells = F.transform("cells", lambda c: F.concat(c["row"], F.lit(","), c["col"], F.lit("="), c["path"]))
+    return rows.select("id", "role", "strategy", "mode", "confidence", "output", F.array_join("inputs", "|").alias("inputs"), "grid", F.array_join(cells, "|").alias("cells"))
 
 
 @query("""SELECT id, 'Pack: ' || coalesce(nullif(source, ''), 'Unknown') || '|Type: ' || resource_type || CASE WHEN title <> '' THEN '|Path: ' || title ELSE '' END || CASE WHEN retry_count > 0 THEN '|Files: ' || retry_count ELSE '' END AS card FROM w_task""")
