@@ -53,6 +53,12 @@ def list_field(record: Column, name: str) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
 
 
+def json_list(raw: Column) -> Column:
+    """A JSON list as texts; empty where the text is null, blank, no JSON or no list."""
+    listed = F.startswith(F.ltrim(raw), F.lit("["))
+    return F.coalesce(F.from_json(F.when(listed, raw), "array<string>"), F.array().cast("array<string>"))
+
+
 def count_field(record: Column, name: str, items: Column) -> Column:
     """A count of a JSON record; the number of items where it is absent or no whole number."""
     return F.coalesce(F.get_json_object(record, f"$.{name}").try_cast("bigint"), F.size(items).cast("bigint"))

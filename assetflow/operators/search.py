@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.functions.expressions import file_name
+from assetflow.functions.expressions import file_name, stripped
 from assetflow.streaming.progress import stored
 
 from .registration import in_order
@@ -21,6 +21,22 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
 
 
+def ranked(rows: DataFrame, query: str, score: str, k: int, threshold: float, *ties: Column, kind: tuple[str, list[str]] | None = None, formats: tuple[str, list[str | None]] | None = None) -> DataFrame:
+    """Already scored rows of each query with rank, the k best of the threshold or more, after the filters.
+
+    kind and formats name a column and what it must be: types as they are; formats trimmed, in lower case and without leading
+    dots on both sides, blank ones asked for nothing.  A filter that asks for nothing keeps all.  Rows without a score go.
+    """
+    if kind and kind[1]:
+        rows = rows.where(F.col(kind[0]).isin(kind[1]))
+    bare = lambda c: F.regexp_replace(F.lower(stripped(c)), r"^\.+", "")
+    asked = {f.strip().lower().lstrip(".") for f in formats[1] if f and f.strip()} if formats else set()
+    if asked:
+        rows = rows.where(bare(F.coalesce(formats[0], F.lit(""))).isin(sorted(asked)))
+    order = Window.partitionBy(query).orderBy(F.desc(score), *ties)
+    return rows.where(F.col(score) >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def enrich(hits: DataFrame, tasks: DataFrame, descriptions: DataFrame, files: DataFrame, previews: DataFrame) -> DataFrame:
     """The hits (resource_id and further columns) with their tasks, descriptions, files, previews and parents.
 

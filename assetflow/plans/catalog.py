@@ -10,6 +10,7 @@ from assetflow.operators import delivery as D
 from assetflow.operators import entities as E
 from assetflow.operators import lifecycle as L
 from assetflow.operators import names as N
+from assetflow.operators import previews as P
 from assetflow.operators import selection as S
 from assetflow.sources import working as W
 from assetflow.states import FAILED, RESUMABLE
@@ -166,11 +167,15 @@ def missing_ratio(spark, d):
     return W.files(spark, d).groupBy("task_id").agg(F.round(F.try_divide(F.count_if(F.col("ord") % 3 == 0), F.count("*")), 4).alias("ratio"))
 
 
-@query("SELECT event_id, '' AS bad, event_type || '|' || user_id AS good FROM events")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN '1|2.5|x' ELSE '' END AS texts, CASE event_id % 7 WHEN 0 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS n FROM events""")
 def json_list_codec(spark, d):
-    e = W.table(spark, d, "events")
-    decode = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
-    return e.select("event_id", F.array_join(decode(F.lit("not json")), "|").alias("bad"), F.array_join(decode(F.to_json(F.array("event_type", F.col("user_id").cast("string")))), "|").alias("good"))
+    """Lists read from JSON texts: lists of texts and of numbers, and null, blank, broken texts and JSON that is no list, which are empty."""
+    k = F.col("event_id") % 7
+    raw = (
+        F.when(k == 0, F.to_json(F.array("event_type", F.col("user_id").cast("string")))).when(k == 1, F.lit(None)).when(k == 2, " ").when(k == 3, "not json").when(k == 4, F.to_json(F.struct("event_id")))
+        .when(k == 5, '[1, 2.5, "x"]').otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))))
+    read = X.json_list(raw)
+    return W.table(spark, d, "events").select("event_id", F.array_join(read, "|").alias("texts"), F.size(read).alias("n"))
 
 
 @query("""SELECT task_id, CASE WHEN bool_or(f IN ('fbx', 'obj', 'gltf', 'glb', 'blend')) THEN 'model' WHEN bool_or(f IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'bmp', 'tif', 'tiff', 'svg')) THEN 'image' ELSE 'other' END AS kind
@@ -341,9 +346,11 @@ def unique_names(spark, d):
     return N.unique_names(f, N.category(name), name, "path", "task_id", "ord").select("task_id", "ord", "category", "target")
 
 
-@query("SELECT task_id, ord, CASE WHEN ord = 1 THEN 'primary' ELSE 'gallery' END AS role FROM w_file")
+@query("SELECT task_id, ord, CASE WHEN task_id % 3 = 0 AND ord <= 2 THEN CASE ord WHEN 1 THEN 'gallery' ELSE 'primary' END WHEN ord = 1 THEN 'primary' ELSE 'gallery' END AS role FROM w_file")
 def preview_roles(spark, d):
-    return W.files(spark, d).select("task_id", "ord", F.coalesce(F.lit(None).cast("string"), F.when(F.col("ord") == 1, "primary").otherwise("gallery")).alias("role"))
+    """Roles of uploaded previews: every third task gave two, another third an empty list, the others none."""
+    given = F.when(F.col("task_id") % 3 == 0, F.array(F.lit("gallery"), F.lit("primary"))).when(F.col("task_id") % 3 == 1, F.array().cast("array<string>"))
+    return P.with_roles(W.files(spark, d).select("task_id", "ord", (F.col("ord") - 1).alias("place"), given.alias("roles"))).select("task_id", "ord", "role")
 
 
 @query("SELECT task_id, string_agg(path, '|' ORDER BY format <> 'fbx', ord) AS children FROM w_file GROUP BY task_id")

@@ -10,7 +10,7 @@ from assetflow.operators import delivery as D
 from assetflow.operators import registration as R
 from assetflow.operators import selection as S
 from assetflow.operators.lifecycle import accepted_uploads
-from assetflow.operators.search import enrich
+from assetflow.operators.search import enrich, ranked
 from assetflow.operators.vectors import cosine_top_k as top_k
 from assetflow.operators.vectors import usable
 from assetflow.sources import working as W
@@ -392,7 +392,13 @@ def format_filtered_search(spark, d):
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("place <= 10").select("query_id", "place", "resource_id", "score")
 
 
-@query("WITH s AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS rank FROM events WHERE value >= 0.5) SELECT event_type, rank, event_id FROM s WHERE rank <= 20")
+@query("""WITH e AS (SELECT event_type, event_id, value, CASE event_id % 5 WHEN 0 THEN ' .PNG' WHEN 1 THEN 'png ' WHEN 2 THEN 'jpg' WHEN 3 THEN '' END AS format, 'q' || (user_id % 10) AS query_id FROM events),
+    s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, event_id)::INT AS rank FROM e WHERE value >= 0.5 AND event_type IN ('purchase', 'signup') AND ltrim(lower(trim(coalesce(format, ''))), '.') IN ('png', 'jpeg'))
+    SELECT query_id, rank, event_id, value FROM s WHERE rank <= 20""")
 def rank_scored_rows(spark, d):
-    order = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return W.table(spark, d, "events").where("value >= 0.5").withColumn("rank", F.row_number().over(order)).where("rank <= 20").select("event_type", "rank", "event_id")
+    """The twenty best scored rows of each query of two types and two formats, of 0.5 or more; the types and formats asked for are given in several spellings."""
+    k = F.col("event_id") % 5
+    fmt = F.when(k == 0, " .PNG").when(k == 1, "png ").when(k == 2, "jpg").when(k == 3, "")
+    rows = W.table(spark, d, "events").select("event_id", "event_type", "value", fmt.alias("format"), F.concat(F.lit("q"), F.col("user_id") % 10).alias("query_id"))
+    return ranked(rows, "query_id", "value", 20, 0.5, F.col("event_id"), kind=("event_type", ["purchase", "signup"]), formats=("format", ["png", " .JPEG", "", None])).select("query_id", "rank", "event_id", "value")
+
