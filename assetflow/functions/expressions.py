@@ -27,20 +27,20 @@ KEYWORDS = {
 
 
 def blank(c: Column) -> Column:
-    """null in place of an empty text."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """The text without white space at its ends; null where nothing is left."""
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def type_filter(value: Column) -> Column:
     """A canonical resource type, or empty (no filter) for any other value."""
-    kind = F.lower(F.trim(value))
+    kind = F.lower(stripped(value))
     return F.when(kind.isin(TYPES), kind).otherwise("")
 
 
 def format_filter(values: Column) -> Column:
     """Formats as they are compared: trimmed, in lower case, without leading dots; blank ones dropped, each once."""
-    given = F.filter(values, lambda v: F.trim(v) != "")
-    return F.array_distinct(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(F.trim(v)), r"^\.+", "")))
+    given = F.filter(values, lambda v: stripped(v) != "")
+    return F.array_distinct(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(stripped(v)), r"^\.+", "")))
 
 
 def text_field(record: Column, name: str) -> Column:
@@ -64,6 +64,15 @@ def count_field(record: Column, name: str, items: Column) -> Column:
     return F.coalesce(F.get_json_object(record, f"$.{name}").try_cast("bigint"), F.size(items).cast("bigint"))
 
 
+def relative(path: Column, root: Column) -> Column:
+    """The path as seen from root, with .. for each folder that leads out of it; both are taken as they are written."""
+    here, own = F.split(F.regexp_replace(root, "/+$", ""), "/"), F.split(path, "/")
+    most = F.least(F.size(here), F.size(own) - 1)
+    apart = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), lambda i: F.get(here, i) != F.get(own, i)), F.lit(True)).cast("int")
+    same = F.when(apart > 0, apart - 1).otherwise(most)
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(here) - same), F.slice(own, same + 1, F.size(own))), "/")
+
+
 def sanitized(name: Column) -> Column:
     """A pack name with the characters that file systems refuse as underscores."""
     return F.translate(name, '<>:"/\\|?*', "_" * 9)
@@ -87,7 +96,7 @@ def asset_format(fmt: Column, path: Column) -> Column:
 
 def merged(*lists: Column) -> Column:
     """Trimmed, non-empty values of the lists in order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.concat(*lists), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(*lists), lambda x: stripped(x)), lambda x: x != ""))
 
 
 def normal_path(path: Column) -> Column:

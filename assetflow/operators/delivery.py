@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.functions.expressions import file_name, stripped
+from assetflow.functions.expressions import file_name, relative, stripped
 
 from .memo import answered
 from .providers import vector_checksum
@@ -57,21 +57,31 @@ def download_links(requests: DataFrame, tasks: DataFrame, files: DataFrame, now:
         F.when(known, filled("download_type", F.lit("application/octet-stream"))).otherwise("").alias("content_type"), F.when(known, expires).otherwise("").alias("expires_at"))
 
 
+def agent_answers(links: DataFrame, *keys: str) -> DataFrame:
+    """keys and what an agent is told of each of download_links(): a link, when it expires, name and size, or the error alone."""
+    fine = F.col("error_code") == ""
+    told = lambda c, name, none="": F.when(fine, F.col(c)).otherwise(F.lit(none)).alias(name)
+    return links.select(*keys, told("key", "download_url"), told("expires_at", "expires_at"), told("file_name", "file_name"), told("file_size", "file_size", 0), "error_code", "error_message")
+
+
 def package_members(resources: DataFrame, files: DataFrame) -> DataFrame:
     """Members of the archives that resources are handed over in: task_id, ord, archive, member.
 
-    resources: id, title, resource_type, download_name, root; files: task_id, ord, path, found.  Packs and resources of
-    several files are packed; only files that are found become members, with their path below root.
-    Names that occur again get _1, _2, ... in front of the extension.  An archive without members is left out.
+    resources: id, title, resource_type, download_name, root, and where they have them resource_path, source_resource_id
+    and content_md5, which stand in for an empty title; files: task_id, ord, path, found.  Packs and resources of
+    several files are packed; only files that are found become members, with their path as seen from root (with ..
+    where they lie outside), or their name without a root.  Names that occur again get _1, _2, ... in front of
+    the extension.  An archive without members is left out.
     """
     n = files.groupBy("task_id").agg(F.count("*").alias("__n"))
     packed = resources.join(n, F.col("id") == F.col("task_id")).where((F.col("resource_type") == "pack") | (F.col("__n") > 1)).drop("task_id", "__n")
-    safe = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace("title", r"[^\p{L}\p{N}_-]", "_"), "^_+|_+$", ""), F.lit("")), F.lit("resource"))
+    titles = ["title", *(c for c in ("resource_path", "source_resource_id") if c in resources.columns)]
+    title = F.coalesce(*(F.nullif(c, F.lit("")) for c in titles), *([F.substring("content_md5", 1, 12)] if "content_md5" in resources.columns else []))
+    safe = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(title, r"[^\p{L}\p{N}_-]", "_"), "^_+|_+$", ""), F.lit("")), F.lit("resource"))
     name = F.coalesce(F.nullif("download_name", F.lit("")), F.concat(safe, F.lit(".zip")))
     archive = F.when(F.lower(name).endswith(".zip"), name).otherwise(F.concat(name, F.lit(".zip")))
     own = packed.withColumn("archive", archive).join(files.where("found"), F.col("id") == F.col("task_id"))
-    below = F.length("root") > 0
-    base = F.when(below & F.startswith("path", F.concat("root", F.lit("/"))), F.substr("path", F.length("root") + 2)).otherwise(file_name(F.col("path")))
+    base = F.when(F.length("root") > 0, relative(F.col("path"), F.col("root"))).otherwise(file_name(F.col("path")))
     again = F.row_number().over(Window.partitionBy("task_id", "__base").orderBy("ord")) - 1
     split = lambda part: F.regexp_extract("__base", r"^(.*?[^/.][^/]*?|.*?)(\.[^/.]*)?$", part)
     member = F.when(again == 0, F.col("__base")).otherwise(F.concat(split(1), F.lit("_"), again, split(2)))

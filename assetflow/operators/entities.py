@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from assetflow.functions.expressions import IMAGE, extension, file_name, merged, sanitized
+from assetflow.functions.expressions import IMAGE, extension, file_name, merged, sanitized, stripped
 from assetflow.streaming.progress import stored
 
 from .registration import in_order
@@ -21,7 +21,7 @@ def matching(entries: DataFrame, kind: str = "", source: str = "", limit: int |
     own = entries.withColumn("__n", first).where("__n = 1").drop("__n")
     for column, wanted in (("resource_type", kind), ("source", source)):
         if wanted.strip():
-            own = own.where(F.lower(F.trim(column)) == wanted.strip().lower())
+            own = own.where(F.lower(stripped(F.col(column))) == wanted.strip().lower())
     seen = Observation("matching")
     own = own.observe(seen, F.count(F.lit(1)).alias("n"))
     kept = stored(own if limit is None else own.orderBy(order).limit(limit), "matching")
@@ -119,7 +119,7 @@ def counters(resources: DataFrame, assets: DataFrame, *keys: str) -> DataFrame:
     both = resources.join(assets, "asset_id")
     out = resources.select("id").distinct()
     for key in keys:
-        n = both.where(F.trim(key) != "").groupBy("id", F.trim(key).alias("value")).agg(F.count("*").alias("n"))
+        n = both.where(stripped(F.col(key)) != "").groupBy("id", stripped(F.col(key)).alias("value")).agg(F.count("*").alias("n"))
         own = n.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias(key))
         out = out.join(own, "id", "left").withColumn(key, F.coalesce(key, F.array().cast("array<struct<value: string, n: bigint>>")))
     return out

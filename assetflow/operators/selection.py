@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.functions.expressions import state_ordinal
+from assetflow.functions.expressions import state_ordinal, stripped
 from assetflow.states import CONTINUED, FAILED, REUSABLE
 
 
@@ -94,7 +94,7 @@ def registration_match(requests: DataFrame, tasks: DataFrame) -> DataFrame:
     content and committed; the newest task of a tier (updated_at, then id).  Blank source ids, keys
     and checksums match nothing.
     """
-    r = requests.select("req_id", F.trim("source_resource_id").alias("sid"), F.col("source").alias("src"), F.col("idempotency_key").alias("idem"), F.col("content_md5").alias("md5"))
+    r = requests.select("req_id", stripped(F.col("source_resource_id")).alias("sid"), F.col("source").alias("src"), F.col("idempotency_key").alias("idem"), F.col("content_md5").alias("md5"))
     t = tasks.select("id", "source_resource_id", "source", "idempotency_key", "content_md5", "process_state", "updated_at")
     by_id = r.where("sid <> ''").join(t, F.col("sid") == F.col("source_resource_id")).withColumn("tier", F.when((F.col("src") != "") & (F.col("src") == F.col("source")), 1).otherwise(2))
     by_key = r.where("idem <> ''").join(t, F.col("idem") == F.col("idempotency_key")).withColumn("tier", F.lit(3))

@@ -376,15 +376,17 @@ def upload_mode(spark, d):
 
 
 @query(r"""WITH f AS (SELECT task_id, ord, format, l_partkey, 'assets/' || CASE WHEN l_partkey % 2 = 0 THEN 'sub/' ELSE '' END || 'p' || (l_partkey % 3) || '.' || format AS path, count(*) OVER (PARTITION BY task_id) AS n FROM w_file),
-    o AS (SELECT *, CASE WHEN task_id % 5 = 0 THEN split_part(path, '/', -1) ELSE substr(path, 8) END AS base FROM f WHERE (n > 1 OR task_id % 4 = 0) AND l_partkey % 7 <> 0),
+    o AS (SELECT *, CASE task_id % 5 WHEN 0 THEN split_part(path, '/', -1) WHEN 1 THEN '../../' || path WHEN 2 THEN '../' || substr(path, 8) ELSE substr(path, 8) END AS base,
+        CASE WHEN task_id % 7 = 0 THEN 'path_' || task_id || '_x' WHEN task_id % 7 = 1 THEN substr(md5('c' || task_id), 1, 12) WHEN task_id % 3 = 1 THEN 'order_' || task_id || '_1' ELSE 'resource' END AS named FROM f WHERE (n > 1 OR task_id % 4 = 0) AND l_partkey % 7 <> 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY task_id, base ORDER BY ord) - 1 AS k FROM o)
-    SELECT task_id, ord, CASE task_id % 3 WHEN 0 THEN 'own ' || task_id || '.ZIP' WHEN 1 THEN 'order_' || task_id || '_1.zip' ELSE 'resource.zip' END AS archive, CASE WHEN k = 0 THEN base ELSE regexp_replace(base, '\.[^.]*$', '') || '_' || k || '.' || format END AS member FROM k""")
+    SELECT task_id, ord, CASE task_id % 3 WHEN 0 THEN 'own ' || task_id || '.ZIP' ELSE named || '.zip' END AS archive, CASE WHEN k = 0 THEN base ELSE regexp_replace(base, '\.[^.]*$', '') || '_' || k || '.' || format END AS member FROM k""")
 def package_manifest(spark, d):
-    """Members of archives; every seventh file is missing, every fifth task has no root, and some have titles without a letter."""
-    id_, third = F.col("id"), F.col("id") % 3
+    """Members of archives; every seventh file is missing, some tasks have no root or one beside the files, some titles no letter, and some are empty, so that a path or a checksum names the archive."""
+    id_, third, seventh = F.col("id"), F.col("id") % 3, F.col("id") % 7
     r = W.order_tasks(spark, d).select(
-        "id", F.when(third == 1, F.concat("title", F.lit(".1*"))).otherwise(" /").alias("title"), F.when(id_ % 4 == 0, "pack").otherwise("image").alias("resource_type"),
-        F.when(third == 0, F.concat(F.lit("own "), "id", F.lit(".ZIP"))).otherwise("").alias("download_name"), F.when(id_ % 5 == 0, "").otherwise("assets").alias("root"))
+        "id", F.when(seventh < 2, "").when(third == 1, F.concat("title", F.lit(".1*"))).otherwise(" /").alias("title"), F.when(seventh == 0, F.concat(F.lit("path/"), "id", F.lit(".x"))).alias("resource_path"), F.md5(F.concat(F.lit("c"), "id")).alias("content_md5"),
+        F.when(id_ % 4 == 0, "pack").otherwise("image").alias("resource_type"), F.when(third == 0, F.concat(F.lit("own "), "id", F.lit(".ZIP"))).otherwise("").alias("download_name"),
+        F.when(id_ % 5 == 0, "").when(id_ % 5 == 1, "other/deep").when(id_ % 5 == 2, "assets/none/").otherwise("assets").alias("root"))
     path = F.concat(F.lit("assets/"), F.when(F.col("l_partkey") % 2 == 0, "sub/").otherwise(""), F.lit("p"), F.col("l_partkey") % 3, F.lit("."), "format")
     return D.package_members(r, W.files(spark, d).select("task_id", "ord", path.alias("path"), (F.col("l_partkey") % 7 != 0).alias("found")))
 

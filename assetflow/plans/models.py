@@ -161,12 +161,15 @@ def search_suggestion(spark, d):
         F.greatest(F.lit(0.1), F.round(F.lit(0.6) - 0.2, 6)).alias("threshold"), F.lit(True).alias("try_cross_type"))
 
 
-@query("""WITH p AS (SELECT task_id, arg_min(path, ord) AS path, arg_min(size, ord) AS size, arg_min(path, ord) FILTER (WHERE format = 'ogg') AS ppath, arg_min(size, ord) FILTER (WHERE format = 'ogg') AS psize FROM w_file GROUP BY task_id),
+_DOWNLOADS = """WITH p AS (SELECT task_id, arg_min(path, ord) AS path, arg_min(size, ord) AS size, arg_min(path, ord) FILTER (WHERE format = 'ogg') AS ppath, arg_min(size, ord) FILTER (WHERE format = 'ogg') AS psize FROM w_file GROUP BY task_id),
     r AS (SELECT r.id, CASE WHEN r.id % 13 = 0 THEN ' ' ELSE 'res-' || r.id END AS resource_id, CASE r.id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 90000 ELSE 60 END AS expire_seconds, o.id AS oid, o.title, coalesce(ppath, path) AS path, CASE WHEN ppath IS NULL THEN size ELSE psize END AS size FROM w_task r LEFT JOIN w_order_task o ON r.id = o.id LEFT JOIN p ON o.id = p.task_id),
     e AS (SELECT *, CASE WHEN trim(resource_id) = '' THEN 'INVALID_REQUEST|resource_id 不能为空' WHEN expire_seconds <= 0 THEN 'INVALID_REQUEST|expire_seconds 必须大于 0' WHEN expire_seconds > 86400 THEN 'INVALID_REQUEST|expire_seconds 不能超过 86400' WHEN oid IS NULL THEN 'RESOURCE_NOT_FOUND|resource not found' ELSE '|' END AS e FROM r)
     SELECT resource_id, expire_seconds, split_part(e, '|', 1) AS error_code, split_part(e, '|', 2) AS error_message, CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN 'packs/' || id || '.zip' WHEN path IS NOT NULL THEN 'files/res-' || id || '/' || split_part(path, '/', -1) ELSE 'files/res-' || id || '/' END AS key,
     CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN CASE WHEN id % 10 = 0 THEN 'resource' ELSE id || '.zip' END WHEN path IS NOT NULL THEN split_part(path, '/', -1) ELSE title END AS file_name, CASE WHEN e <> '|' THEN 0 WHEN id % 5 = 0 THEN id * 7 ELSE coalesce(size, 0) END::BIGINT AS file_size,
-    CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN 'application/zip' ELSE 'application/octet-stream' END AS content_type, CASE WHEN e <> '|' THEN '' ELSE strftime(TIMESTAMP '2024-01-01' + coalesce(expire_seconds, 3600) * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S+00:00') END AS expires_at FROM e""")
+    CASE WHEN e <> '|' THEN '' WHEN id % 5 = 0 THEN 'application/zip' ELSE 'application/octet-stream' END AS content_type, CASE WHEN e <> '|' THEN '' ELSE strftime(TIMESTAMP '2024-01-01' + coalesce(expire_seconds, 3600) * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S+00:00') END AS expires_at FROM e"""
+
+
+@query(_DOWNLOADS)
 def download_manifest(spark, d):
     """What each request for a download gets, as of the first of January 2024; every fifth task has a package."""
     id_ = F.col("id")
@@ -181,6 +184,13 @@ def download_manifest(spark, d):
     return D.download_links(r, t, f, F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+@query(f"""SELECT resource_id, expire_seconds, CASE WHEN error_code = '' THEN key ELSE '' END AS download_url, CASE WHEN error_code = '' THEN expires_at ELSE '' END AS expires_at, CASE WHEN error_code = '' THEN file_name ELSE '' END AS file_name,
+    CASE WHEN error_code = '' THEN file_size ELSE 0 END::BIGINT AS file_size, error_code, error_message FROM ({_DOWNLOADS})""")
+def download_answers(spark, d):
+    """What an agent is told of each request for a download."""
+    return D.agent_answers(download_manifest(spark, d), "resource_id", "expire_seconds")
+
+
 @query("""SELECT 'res-' || o.id AS resource_id, CASE WHEN t.id IS NULL THEN 'not_found' ELSE 'found' END AS status, t.process_state AS process_state, t.title AS title, coalesce(n, 0) AS n_files, coalesce(paths, '') AS paths, coalesce(pictures, '') AS previews, main, CASE WHEN e.vec_id IS NULL THEN '' ELSE '64|embed_v' || (e.vec_id % 3) END AS embedding,
     CASE WHEN t.id % 2 = 0 THEN 'a|b' ELSE '' END AS tags, CASE WHEN t.id % 10 <> 0 THEN 'res-' || (t.id - t.id % 10) END AS parent_resource_id, CASE WHEN t.id % 5 = 0 THEN 'packs/' || t.id || '.zip' END AS download_key
     FROM w_order_task o LEFT JOIN w_task t ON o.id = t.id LEFT JOIN (SELECT task_id, count(*) AS n, string_agg(path, '|' ORDER BY ord) AS paths, string_agg(path, '|' ORDER BY ord) FILTER (WHERE format = 'png') AS pictures FROM w_file GROUP BY task_id) f ON t.id = f.task_id
