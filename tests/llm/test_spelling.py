@@ -71,7 +71,7 @@ def test_odd_texts(spark, odd, none):
     docs = docs.unionByName(long, allowMissingColumns=True).unionByName(docs).unionByName(docs)
     got = sorted(map(tuple, S.spelling_variants(docs).collect()))
     assert got == plain([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert [r[4] for r in got if r[0][0] == "x" and len(r[0]) >= 40_000] == [1, 1]
+    assert [r[4] for r in got if len(r[0]) in (40_000, 40_001)] == [1, 1]
     assert S.spelling_variants(none).collect() == []
 
 
