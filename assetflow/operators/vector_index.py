@@ -109,7 +109,7 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int, p
     told = about(spark, folder)
     probed = told["probed"] if probed is None else probed
     known = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
-    centres = np.array([r["centre"] for r in known], np.float64).reshape(len(known), -1)
+    centres = np.array([r["centre"] for r in known], np.float64) if known else np.zeros((0, 1))
     parts = {r["cell"]: max(1, -(-r["rows"] // ROWS)) for r in known}
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
