@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +13,26 @@ from .shared import written
 LEAST_WORDS = 8
 #: Lines under suspicion, and keys that several lines share, that may be broadcast (up to about 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: What separates words, beside the line feed.
+BLANKS = " \t\x0B\f\r"
 
 
 def _plain(line: Column) -> Column:
     """The line's words with one blank between them."""
-    odd = line.rlike(r"[\t\x0B\f\r]|  |^ | $")
+    # searches for bytes: a pattern would have every line decoded and tried at each of its characters
+    odd = reduce(Column.__or__, [line.contains(c) for c in ("  ", *BLANKS[1:])], line.startswith(" ") | line.endswith(" "))
     return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
+def _worded(line: Column) -> Column:
+    """Whether the line has a word."""
+    return F.trim(line, F.lit(BLANKS)) != ""
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_hash (of the text), line_no (from 0) and line (its words) of every line with a word."""
+    """doc_id, doc_hash (of the text), line_no (from 0) and line (as it stands) of every line with a word."""
     rows = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
-    split = rows.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.withColumn("line", _plain(F.col("line"))).where("line <> ''")
+    return rows.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_worded(F.col("line")))
 
 
 def _halves(least: int) -> Column:
@@ -53,7 +62,7 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     Earlier means a smaller (doc_id, doc_hash, line_no).
     """
     place = F.struct("doc_id", "doc_hash", "line_no")
-    lines = _lines(documents).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    lines = _lines(documents).withColumn("line", _plain(F.col("line"))).withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     made = lines.select(place.alias("pos"), "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), _halves(least_words).alias("keys"))
     made = written(made, "lines")
     distinct = made.groupBy("h", "g").agg(F.min("pos").alias("first"), F.max("n").alias("n"), F.max("keys").alias("keys"))
@@ -65,29 +74,29 @@ def dropped_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     # a shared first half leaves the odd word to the positions behind it, a shared last half to those before it
     half = F.expr("n div 2 - k div 2")
     suspects = halves.join(shared, "key").groupBy("pos").agg(F.min(F.when(F.col("k") % 2 == 0, half)).alias("behind"), F.max(F.when(F.col("k") % 2 == 1, F.col("n") - half)).alias("before"))
-    suspects = written(suspects.select("pos.*", "behind", "before"), "suspect-lines")
+    # ids rise with the positions: the earliest line of a key is then the least of plain numbers, which aggregates by hash
+    suspects = written(suspects.sort("pos").select("pos.*", "behind", "before", F.monotonically_increasing_id().alias("id")), "suspect-lines")
     at_hand = F.broadcast(suspects) if suspects.count() <= BROADCAST_ROWS else suspects
-    found = _lines(documents).join(at_hand, ["doc_id", "doc_hash", "line_no"]).dropDuplicates(["doc_id", "doc_hash", "line_no"])
-    texts = written(found.select(place.alias("pos"), F.split("line", " ").alias("words"), "behind", "before"), "suspect-texts")
-
-    without = lambda i: F.concat(F.expr("slice(words, 1, i - 1)"), F.expr("slice(words, i + 1, size(words))"))
-    spread = texts.select(
-        "pos", "words", F.explode(F.expr("filter(sequence(1, size(words)), i -> i > behind or i <= before)")).alias("i")
-    ).select("pos", "i", F.size("words").alias("n"), without("i").alias("rest"))
-    left_out = spread.select("pos", "n", F.explode(F.array(
+    found = _lines(documents).join(at_hand, ["doc_id", "doc_hash", "line_no"]).dropDuplicates(["id"]).withColumn("line", _plain(F.col("line")))
+    texts = written(found.select("id", place.alias("pos"), "line", F.size(F.split("line", " ")).alias("n"), "behind", "before"), "suspect-texts")
+
+    spread = texts.select("id", "line", "n", F.explode(F.expr("filter(sequence(1, n), i -> i > behind or i <= before)")).alias("i"))
+    rest = F.expr("trim(concat(substring_index(line, ' ', i - 1), ' ', substring_index(line, ' ', i - n)))")
+    left_out = spread.select("id", "n", "i", rest.alias("rest")).select("id", "n", F.explode(F.array(
         F.struct(F.xxhash64(F.lit("s"), "i", "rest").alias("k"), F.xxhash64("rest", "i").alias("k2"), F.lit("s").alias("kind")),
         F.struct(F.xxhash64(F.lit("f"), "rest").alias("k"), F.xxhash64("rest", F.lit(0)).alias("k2"), F.lit("d").alias("kind")),
-    )).alias("v")).where((F.col("v.kind") == "s") | (F.col("n") > least_words)).select("pos", "v.*")
-    whole = texts.select("pos", F.xxhash64(F.lit("f"), "words").alias("k"), F.xxhash64("words", F.lit(0)).alias("k2"), F.lit("f").alias("kind"))
+    )).alias("v")).where((F.col("v.kind") == "s") | (F.col("n") > least_words)).select("id", "v.*")
+    whole = texts.select("id", F.xxhash64(F.lit("f"), "line").alias("k"), F.xxhash64("line", F.lit(0)).alias("k2"), F.lit("f").alias("kind"))
     variants = left_out.unionByName(whole)
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("pos"))).alias(f"first_{kind}")
-    meet = variants.groupBy("k", "k2").agg(first("s"), first("d"), first("f"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo < hi").drop("lo", "hi")
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id"))).alias(f"first_{kind}")
+    meet = variants.groupBy("k", "k2").agg(first("s"), first("d"), first("f"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
     meet = written(meet, "meeting-variants")
     meet = F.broadcast(meet) if meet.count() <= BROADCAST_ROWS else meet
     earlier = F.when(F.col("kind") == "s", F.col("first_s")).when(F.col("kind") == "d", F.col("first_f")).otherwise(F.col("first_d"))
-    pairs = variants.join(meet, ["k", "k2"]).select("pos", earlier.alias("witness")).where("witness < pos").distinct()
-    one, two = texts.select("pos", F.col("words").alias("x")), texts.select(F.col("pos").alias("witness"), F.col("words").alias("y"))
-    near = pairs.join(one, "pos").join(two, "witness").where(_apart_by_one("x", "y")).select("pos.*").distinct().withColumn("near", F.lit(True))
+    pairs = variants.join(meet, ["k", "k2"]).select("id", earlier.alias("witness")).where("witness < id").distinct()
+    words = F.split("line", " ")
+    one, two = texts.select("id", "pos", words.alias("x")), texts.select(F.col("id").alias("witness"), words.alias("y"))
+    near = pairs.join(one, "id").join(two, "witness").where(_apart_by_one("x", "y")).select("pos.*").distinct().withColumn("near", F.lit(True))
     return equal.unionByName(near)
 
 
@@ -114,7 +123,7 @@ def line_dedup(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     # the lines are split once for a text: within the outer function they have a name
     rest = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n"))
     left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(rest, 0))
-    worded = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^ \t\x0B\f\r]"))), F.lit(0))
+    worded = F.coalesce(F.size(F.filter(lines, _worded)), F.lit(0))
     columns = [left.alias("text") if c == "text" else kept[c] for c in kept.columns]
     counts = [F.coalesce(f"__{c}", F.lit(0)).alias(f"n_{c}") for c in ("equal", "near")]
     return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(worded).cast("bigint").alias("n_lines"), *counts)

@@ -75,6 +75,29 @@ def test_line_dedup_keeps_rows_of_one_doc_id_apart(spark):
     assert out.columns == [*documents.columns, "n_lines", "n_equal", "n_near"] and all(r["gone"] == "gone" and r["near"] == "near" for r in out.collect())
 
 
+def test_line_dedup_tries_no_pattern_on_every_line_and_sorts_no_variants(spark, monkeypatch):
+    """White space of any kind parts words, yet no stage searches all lines by pattern; the earliest line of a variant is found by hash."""
+    words, plans, written = "one two three four five six seven eight nine".split(), {}, line_dedup.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    blanks = ["\t", "\x0b", "\f", "\r", "  ", " \t", "\t ", "\r\x0b"]
+    lines = [b.join(words) for b in blanks] + [b + " ".join(words) for b in [" ", *blanks]] + [" ".join(words) + b for b in [" ", *blanks]]
+    lines += [" ".join(words[:i] + words[i + 1 :]) for i in range(9)] + [" ".join([*words[:i], "x", *words[i:]]) for i in range(10)] + blanks + ["one\u00a0two three", "one two three"]
+    rows = [(i % 7, line) for i, line in enumerate(lines)]
+    rows = [(d, "\n".join(line for e, line in rows if e == d)) for d in range(7)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.line_dedup(documents)
+    got = {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.dropped_lines(documents).collect()}
+    assert got == plain_dedup(rows, 8) and set(got.values()) == {True, False}
+    assert sum(r["n_lines"] for r in out.collect()) == len(lines) - len(blanks)
+    assert {"lines", "suspect-texts", "meeting-variants"} <= set(plans) and not any("RLIKE" in plan for plan in plans.values())
+    assert "RLIKE" not in out._jdf.queryExecution().toString() and "SortAggregate" not in plans["meeting-variants"]
+
+
 def test_license_scan(spark, odd, none):
     mit = "MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
     rows = [(1, mit), (2, "Some words. Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (3, "Licensed under CC BY-NC 4.0. Released under the MIT License."), (4, "nothing"), (5, "Licensed under CC BY 4.0 or so."), (6, None), (6, "")]
