@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.sources import images as I
 from assetflow.sources import working as W
-from assetflow.streaming.progress import state_folder
+from assetflow.streaming.progress import removed, state_folder
 
 from .registry import query
 
@@ -49,17 +51,41 @@ def _webp(width: int, height: int, kind: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
 
 
-def _drawn(spark, d, draw) -> str:
-    """The folder of the files, one for each part for which draw(key, size) gives a name and bytes."""
-    folder = f"{state_folder(spark, 'pictures')}/files"
+# The pictures that stand on disk at a time, by their bytes and their number.
+MOST_BYTES, MOST_FILES = 1 << 29, 50_000
+
+
+def _in_rounds(spark, d, draw, weight: Column, look: Callable[[str, DataFrame, int], DataFrame]) -> DataFrame:
+    """What look(folder, parts, tasks) tells of the files below a folder, one for each part for which draw(key, size) gives a name and bytes.
+
+    Parts are dealt into rounds by their keys, as many as keep each one's pictures (weight: their bytes, about) within
+    MOST_BYTES and MOST_FILES.  A round's files are drawn, looked at, and removed once their rows are written, so neither
+    the disk nor the driver, which lists the files, holds more of them however many parts there are.
+    """
+    folder, tasks = state_folder(spark, "pictures"), max(8, spark.sparkContext.defaultParallelism)
+    parts = W.table(spark, d, "part").select("p_partkey", "p_size")
+    n, size = parts.agg(F.count("*"), F.coalesce(F.sum(weight.cast("double")), F.lit(0.0))).first()
+    rounds = max(1, math.ceil(n / MOST_FILES), math.ceil(size / MOST_BYTES))
+    dealt = parts.withColumn("round", F.pmod(F.xxhash64("p_partkey"), F.lit(rounds)))
+    dealt.repartition("round").write.partitionBy("round").parquet(f"{folder}/parts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [x for x in map(draw, batch["p_partkey"].tolist(), batch["p_size"].tolist()) if x]
-            yield pd.DataFrame(made, columns=["name", "content"])
-
-    I.write_files(W.table(spark, d, "part").select("p_partkey", "p_size").mapInPandas(run, "name string, content binary"), folder)
-    return folder
+            # a few pictures at a time, as they are large beside their keys
+            for at in range(0, len(batch), 64):
+                few = batch.iloc[at : at + 64]
+                made = [x for x in map(draw, few["p_partkey"].tolist(), few["p_size"].tolist()) if x]
+                yield pd.DataFrame(made, columns=["name", "content"])
+
+    told = None
+    for r in sorted(x[0] for x in spark.read.parquet(f"{folder}/parts").select("round").distinct().collect()):
+        own = spark.read.schema(parts.schema).parquet(f"{folder}/parts/round={r}").repartition(tasks, "p_partkey")
+        files = f"{folder}/round-{r}/files"
+        I.write_files(own.mapInPandas(run, "name string, content binary"), files)
+        told = look(files, own, tasks)
+        told.write.mode("append").parquet(f"{folder}/told")
+        removed(spark, f"{folder}/round-{r}")
+    return spark.read.schema(told.schema).parquet(f"{folder}/told")
 
 
 def _any_format(key: int, size: int) -> tuple[str, bytes]:
@@ -76,8 +102,14 @@ def _any_format(key: int, size: int) -> tuple[str, bytes]:
     CASE k WHEN 0 THEN 57 + 6 + 5 * greatest(1, ceil((w + 1) * h / 65535)) + (w + 1) * h WHEN 1 THEN 14 WHEN 2 THEN 54 + (3 * w + (4 - 3 * w % 4) % 4) * h WHEN 3 THEN 54 + (3 * w + (4 - 3 * w % 4) % 4) * h WHEN 4 THEN 19 + 2 * p_size WHEN 8 THEN 12 ELSE 30 END::BIGINT AS length FROM p""")
 def image_metadata(spark, d):
     """Format, sides and bytes of a picture of each part, by its header: PNG, GIF, BMP from the bottom and from the top, JPEG behind notes, three kinds of WebP, and files cut off."""
-    found = I.scan_images(spark, _drawn(spark, d, _any_format))
-    return found.select(F.regexp_extract("path", "/files/(.*)$", 1).alias("name"), "format", "width", "height", "length")
+    side = (F.col("p_size") + 8) * (F.col("p_partkey") % 300 + 1)
+    weight = 4096 + F.when((F.col("p_partkey") % 9).isin(2, 3), 3 * side).when(F.col("p_partkey") % 9 == 0, side).otherwise(0)
+
+    def look(folder, parts, tasks):
+        found = I.scan_images(spark, folder, tasks)
+        return found.select(F.regexp_extract("path", "/files/(.*)$", 1).alias("name"), "format", "width", "height", "length")
+
+    return _in_rounds(spark, d, _any_format, weight, look)
 
 
 def _preview(key: int, size: int) -> tuple[str, bytes] | None:
@@ -93,9 +125,13 @@ def _preview(key: int, size: int) -> tuple[str, bytes] | None:
     SELECT 'p' || key || CASE WHEN k = 9 THEN '.gif' ELSE '.png' END AS name, reason = '' AS passed, reason, k = 7 OR k = 9 AND 400 * (p_size + 300) > 200 * 1024 AS oversized FROM r""")
 def preview_quality(spark, d):
     """What the check says of a preview of each part: missing, empty, broken, too small, black or white with and without an alpha channel, sound, or too large for its kind."""
-    folder = _drawn(spark, d, _preview)
-    end = F.when(F.col("p_partkey") % 10 == 9, ".gif").otherwise(".png")
-    names = W.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", end).alias("path"))
-    shown = I.pixel_range(spark, folder).withColumn("path", F.regexp_extract("path", "/files/(.*)$", 1))
-    checked = I.check_previews(I.file_sizes(names, folder, "path"), shown)
-    return checked.select(F.col("path").alias("name"), "passed", "reason", "oversized")
+    k, size = F.col("p_partkey") % 10, F.col("p_size")
+    weight = 4096 + F.when(k == 7, 900 * (size + 200)).when(k == 9, 400 * (size + 300)).when(k == 8, 200 * (size + 51)).when(k > 2, 4 * (size + 51) * (size + 40)).otherwise(0)
+
+    def look(folder, parts, tasks):
+        names = parts.select(F.concat(F.lit("p"), "p_partkey", F.when(k == 9, ".gif").otherwise(".png")).alias("path"))
+        shown = I.pixel_range(spark, folder, tasks).withColumn("path", F.regexp_extract("path", "/files/(.*)$", 1))
+        checked = I.check_previews(I.file_sizes(names, folder, "path"), shown)
+        return checked.select(F.col("path").alias("name"), "passed", "reason", "oversized")
+
+    return _in_rounds(spark, d, _preview, weight, look)

@@ -33,6 +33,7 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", content: str =
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
         made = set()
         for batch in batches:
             for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -97,11 +98,12 @@ def header(body: memoryview) -> tuple[str | None, int, int]:
     return None, -1, -1
 
 
-def scan_images(spark: SparkSession, folder: str) -> DataFrame:
+def scan_images(spark: SparkSession, folder: str, tasks: int | None = None) -> DataFrame:
     """The files below a folder as pictures: path, format, width, height, length; format null and sides -1 where the header tells none.
 
     PNG, GIF, BMP, JPEG and WebP are known by their first bytes, not by their names.  Of a JPEG, whose frame may
-    stand behind long notes, tasks see all bytes, of others the header alone; nothing is shuffled.
+    stand behind long notes, tasks see all bytes, of others the header alone; nothing is shuffled.  With a number of
+    tasks, small files are read by no more than these.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     jpeg = F.substring("content", 1, 2) == F.lit(b"\xff\xd8")
@@ -114,14 +116,15 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("path"), pa.array(kinds, pa.string()), pa.array(widths, pa.int32()), pa.array(heights, pa.int32()), batch.column("length")], names=["path", "format", "width", "height", "length"])
 
-    return own.mapInArrow(run, _HEADER)
+    return (own if tasks is None else own.coalesce(tasks)).mapInArrow(run, _HEADER)
 
 
-def pixel_range(spark: SparkSession, folder: str) -> DataFrame:
+def pixel_range(spark: SparkSession, folder: str, tasks: int | None = None) -> DataFrame:
     """The files below a folder decoded: path, length, width, height, darkest and brightest, the least and greatest value of red, green and blue.
 
     An alpha channel doesn't count.  Where a file can't be decoded (also every WebP, which the source doesn't know)
-    sides are -1 and the range is null.  Each picture is decoded and reduced within its task.
+    sides are -1 and the range is null.  Each picture is decoded and reduced within its task, of which there are
+    as many as Spark deals the files to, or no more than the number given.
     """
     shown = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
     rows = shown.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), "image.width", "image.height", "image.nChannels", "image.data")
@@ -137,7 +140,7 @@ def pixel_range(spark: SparkSession, folder: str) -> DataFrame:
                 high.append(int(pixels.max()) if pixels.size else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "length", "width", "height")), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["path", "length", "width", "height", "darkest", "brightest"])
 
-    return rows.mapInArrow(run, "path string, length bigint, width int, height int, darkest int, brightest int")
+    return (rows if tasks is None else rows.coalesce(tasks)).mapInArrow(run, "path string, length bigint, width int, height int, darkest int, brightest int")
 
 
 def file_sizes(rows: DataFrame, folder: str, name: str = "path") -> DataFrame:
