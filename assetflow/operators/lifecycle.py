@@ -35,14 +35,17 @@ def accepted_uploads(uploads: DataFrame, registered: DataFrame) -> tuple[DataFra
     and only with a registered md5, so a file without either is accepted.  The first mismatch ends a batch:
     the files before it count.  batches: resource_id, success, uploaded_bytes, file_count, error_message.
     """
-    known = registered.groupBy("resource_id", "name").agg(F.max_by("md5", "ord").alias("md5"))
+    # both kinds of rows side by side, as a join by two keys would deal out anew what is dealt out by resource already
+    known = registered.select("resource_id", "name", F.col("md5").alias("__md5"), F.col("ord").alias("__at"), F.lit(True).alias("__registered"))
+    last = F.max_by("__md5", "__at").over(Window.partitionBy("resource_id", "name"))
+    both = uploads.unionByName(known, allowMissingColumns=True).withColumn("__md5", F.when(F.col("resource_id").isNotNull() & F.col("name").isNotNull(), last)).where("__registered is null")
     tag = F.split(F.regexp_replace("etag", '^"+|"+$', ""), "-")[0]
-    both = uploads.join(known, ["resource_id", "name"], "left").withColumn("__tag", tag)
-    bad = F.coalesce((F.col("md5") != "") & (F.length("__tag") == 32) & (F.col("__tag") != F.col("md5")), F.lit(False))
+    both = both.withColumn("__tag", tag)
+    bad = F.coalesce((F.col("__md5") != "") & (F.length("__tag") == 32) & (F.col("__tag") != F.col("__md5")), F.lit(False))
     run = Window.partitionBy("resource_id").orderBy("ord", "name").rowsBetween(Window.unboundedPreceding, 0)
     told = both.withColumn("__bad", bad).withColumn("__stopped", F.max("__bad").over(run))
     # Fixed value: the message of a mismatch.
-    message = F.concat(F.lit("MD5 mismatch for "), "name", F.lit(": expected="), "md5", F.lit(", actual="), "__tag")
+    message = F.concat(F.lit("MD5 mismatch for "), "name", F.lit(": expected="), "__md5", F.lit(", actual="), "__tag")
     batches = told.groupBy("resource_id").agg(
         (~F.bool_or("__bad")).alias("success"), F.coalesce(F.sum(F.when(~F.col("__stopped"), F.col("size"))), F.lit(0)).cast("bigint").alias("uploaded_bytes"), F.count_if(~F.col("__stopped")).alias("file_count"),
         F.coalesce(F.min_by(F.when(F.col("__bad"), message), F.when(F.col("__bad"), F.struct("ord", "name"))), F.lit("")).alias("error_message"))

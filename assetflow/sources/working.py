@@ -47,12 +47,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource files, one per line item, numbered within their task."""
-    line = table(spark, sf_dir, "lineitem")
+    # named in front of the window, for what is dealt out by l_orderkey isn't known to be dealt out by its alias
+    line = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "task_id")
     fmt = F.when(F.col("l_returnflag") == "A", "png").when(F.col("l_returnflag") == "N", "fbx").otherwise("ogg")
     path = F.concat(F.lit("assets/s"), "l_suppkey", F.lit("/p"), "l_partkey", F.lit("_"), "l_linenumber", F.lit("."), fmt)
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    order = Window.partitionBy("task_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     return line.select(
-        F.col("l_orderkey").alias("task_id"), F.row_number().over(order).alias("ord"), fmt.alias("format"),
+        "task_id", F.row_number().over(order).alias("ord"), fmt.alias("format"),
         (F.col("l_quantity") * 1000).cast("bigint").alias("size"), path.alias("path"), F.md5(path).alias("md5"), "l_suppkey", "l_partkey",
     )
 
