@@ -104,8 +104,20 @@ def details(requests: DataFrame, tasks: DataFrame, files: DataFrame, previews: D
     lists = {c.removesuffix("_json"): read(c) for c in ("tags_json", "child_resource_ids_json", "contains_resource_types_json") if c in tasks.columns}
     item = F.struct(*(c for c in embeddings.columns if c != "task_id"))
     vector = embeddings.groupBy(F.col("task_id").alias("__task")).agg(F.max_by(item, "id").alias("embedding"))
-    asked = tasks.join(requests.select("resource_id").distinct(), "resource_id", "left_semi")
-    known = entities(asked, files, previews, descriptions).join(vector, F.col("id") == F.col("__task"), "left").drop("__task")
-    known = known.withColumns(lists).drop(*(f"{c}_json" for c in lists)).withColumn("__known", F.lit(True))
-    out = requests.join(known, "resource_id", "left")
-    return out.withColumn("status", F.when(F.col("__known"), "found").otherwise("not_found")).drop("__known")
+    # requests meet the tasks' ids first, so that what belongs to a task is dealt out by its id alone, and once
+    ids = tasks.select("resource_id", F.col("id").alias("__id"), F.lit(True).alias("__known")).distinct()
+    keyed = requests.join(ids, "resource_id", "left")
+    bounds = tasks.agg(F.min("id"), F.max("id")).first()
+    own = lambda df: df.where(F.col("task_id").between(*map(F.lit, bounds)))  # noqa: E731 - other rows belong to no task
+    known = entities(tasks, own(files), own(previews), own(descriptions)).join(own(vector.withColumnRenamed("__task", "task_id")).withColumnRenamed("task_id", "__task"), F.col("id") == F.col("__task"), "left").drop("__task")
+    known = known.withColumns(lists).drop(*(f"{c}_json" for c in lists)).withColumnRenamed("resource_id", "__rid")
+    rest = [c for c in known.columns if c != "__rid"]
+    first = [F.col(c) for c in ("resource_id", *(c for c in requests.columns if c != "resource_id"))]
+    same = (F.col("__id") == F.col("id")) & F.col("resource_id").between(F.col("__rid"), F.col("__rid"))
+    found = keyed.where("__id is not null").join(known, same).select(*first, *rest, F.lit("found").alias("status"))
+    # tasks without an id have nothing that belongs to them
+    bare = keyed.where("__known and __id is null").drop("__id", "__known").join(tasks.where("id is null").withColumns(lists), "resource_id")
+    nothing = {f.name: (F.array() if f.name in ("files", "previews") else F.lit(None)).cast(f.dataType) for f in known.schema if f.name not in bare.columns}
+    bare = bare.withColumns(nothing).select(*first, *rest, F.lit("found").alias("status"))
+    lost = keyed.where("__known is null").select(*first, *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in rest), F.lit("not_found").alias("status"))
+    return found.unionByName(bare).unionByName(lost)
