@@ -343,7 +343,8 @@ def unique_names(spark, d):
     f = W.files(spark, d)
     ext = F.when(F.col("ord") % 6 == 4, F.upper("format")).otherwise(F.col("format"))
     name = F.concat(F.lit("f"), F.col("l_partkey") % 500, ending, F.lit("."), ext)
-    return N.unique_names(f, N.category(name), name, "path", "task_id", "ord").select("task_id", "ord", "category", "target")
+    f = f.select("task_id", "ord", "path", N.category(name).alias("category"), name.alias("name"))
+    return N.unique_names(f, F.col("category"), F.col("name"), "path", "task_id", "ord").select("task_id", "ord", "category", "target")
 
 
 @query("SELECT task_id, ord, CASE WHEN task_id % 3 = 0 AND ord <= 2 THEN CASE ord WHEN 1 THEN 'gallery' ELSE 'primary' END WHEN ord = 1 THEN 'primary' ELSE 'gallery' END AS role FROM w_file")
